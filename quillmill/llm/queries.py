@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import importlib
 
+from quillmill.llm.mtree import OP5_SQL
+
 #: Query name → module of this subpackage that holds it.
-WHERE = {"op1_simhash": "simhash", "op2_langid": "langid", "op4_bpe": "bpe", "op7_mixing": "mixing"}
+WHERE = {"op1_simhash": "simhash", "op2_langid": "langid", "op3_token_count": "token_count", "op4_bpe": "bpe", "op5_topk": "mtree", "op7_mixing": "mixing"}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_topk": OP5_SQL}
 
 
 def queries() -> dict:
