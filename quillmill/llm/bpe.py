@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 #: Fixed value: the pattern that byte-level BPE vocabularies of this family split texts with before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept encoded in a task, at most.
-WORDS = 400_000
+WORDS = 300_000
 #: Documents whose ids a task holds at once.
 ROWS = 256
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 UND = "und"
 NOT_LETTERS = regex.compile(r"[^\p{L}\n]+")
 #: Words whose sums a task keeps, at most.
-WORDS = 400_000
+WORDS = 200_000
 
 
 def subwords(words: list[str], bits: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,8 +164,9 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, bits: int = 16,
                 names=["lang", "held", "at", "count"],
             )
 
-    got = sample.select("lang", "text", held.alias("held")).mapInArrow(bag, "lang string, held boolean, at array<int>, count array<int>").toArrow().to_pylist()
-    return train([(g["lang"], np.array(g["at"]), np.array(g["count"]), g["held"]) for g in got], bits, longest, seed=seed, **options)
+    got = sample.select("lang", "text", held.alias("held")).mapInArrow(bag, "lang string, held boolean, at array<int>, count array<int>").toArrow()
+    bags = [(g.as_py(), at.values.to_numpy(), n.values.to_numpy(), h.as_py()) for g, at, n, h in zip(*(got.column(c) for c in ("lang", "at", "count", "held")))]
+    return train(bags, bits, longest, seed=seed, **options)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

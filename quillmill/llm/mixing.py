@@ -21,7 +21,7 @@ from quillmill.plans.scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in one bucket of the hash order, about; only a source's last, split bucket is ordered row by row.
-BUCKET = 20_000
+BUCKET = 2_000
 
 
 def size_of(text: Column) -> Column:
@@ -124,7 +124,7 @@ def repeat_documents(docs: DataFrame, weight: Callable[[Column], Column], **opti
     docs must have one row for each doc_id (a repeated row would take its twin's repetitions too).
     """
     taken = materialize(mix(docs, weight, **options).where("times > 0").select("doc_id", F.col("times").alias("_times")), "mix-times")
-    rows = docs.join(taken, "doc_id")
+    rows = docs.join(taken.hint("merge"), "doc_id")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
 
 

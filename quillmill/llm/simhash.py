@@ -141,7 +141,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, one document of each component: the one with the smallest doc_id; a repeated row stays once."""
     found = near_duplicates(docs, **options)
     kept = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "simhash-kept")
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return rows.select(*docs.columns)
 
 

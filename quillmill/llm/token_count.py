@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 #: Characters of a chunk and of the first overlap; texts of over two chunks are huge.
 CHUNK, OVERLAP = 16_384, 256
 #: Stretches whose counts a task keeps, at most.
-WORDS = 700_000
+WORDS = 300_000
 
 
 class TokenCounter:
