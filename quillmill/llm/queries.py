@@ -7,7 +7,7 @@ import importlib
 from quillmill.llm.mtree import OP5_SQL
 
 #: Query name → module of this subpackage that holds it.
-WHERE = {"op1_simhash": "simhash", "op2_langid": "langid", "op3_token_count": "token_count", "op4_bpe": "bpe", "op5_topk": "mtree", "op7_mixing": "mixing"}
+WHERE = {"op1_simhash": "simhash", "op2_langid": "langid", "op3_token_count": "token_count", "op4_bpe": "bpe", "op5_topk": "mtree", "op6_html_text": "html_text", "op7_mixing": "mixing", "op8_license_scan": "license_scan", "op9_chroma": "chroma", "op10_id_shards": "idcodec"}
 
 SQL: dict[str, str] = {"op5_topk": OP5_SQL}
 
