@@ -1,0 +1,171 @@
+"""Tokens and per-document linguistic features, all as joins, windows and grouped aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+TOKEN = r"\p{L}+|[^\p{L}\s]"
+SENTENCE, CLAUSE = r"[.!?。！？]+", r"[,，;；:：.!?。！？]+"
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, and 0 where b is 0."""
+    return F.when(b == 0, 0.0).otherwise(a / b)
+
+
+def tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, tok_idx, word): runs of letters and single other characters, in lower case."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))
+    return docs.select("doc_id", F.posexplode(found).alias("tok_idx", "word")).withColumn("word", F.lower("word"))
+
+
+def tag(word: Column) -> Column:
+    """Rule tagger that stands in for a segmenter's tags: w punctuation, m numeral, u function word, v, a, n."""
+    return (
+        F.when(word.rlike(r"^[.!?。！？]$"), "wj").when(~word.rlike(r"^\p{L}"), F.when(word.rlike(r"^\p{N}$"), "m").otherwise("wd"))
+        .when(F.length(word) <= 3, "u").when(word.rlike("(ing|ed|er|en|ir)$"), "v").when(word.rlike("(ly|ble|ous|lich|eux)$"), "a").otherwise("n")
+    )
+
+
+def lexical_diversity(docs: DataFrame, window: int = 50) -> DataFrame:
+    """One row for each document with words: tokens, types, ttr, guiraud, hapax, top10_share, mean_length, mattr.
+
+    MATTR is linear in the words: a word at j whose last occurrence was p is the first of its kind in
+    min(j, n - w) - max(0, j - w + 1, p + 1) + 1 windows. Everything is partitioned by doc_id once.
+    """
+    words = tokens(docs).where(F.col("word").rlike(r"^\p{L}")).repartition("doc_id")
+    by_doc = Window.partitionBy("doc_id")
+    j = words.withColumn("j", F.row_number().over(by_doc.orderBy("tok_idx")) - 1).withColumn("n", F.count("*").over(by_doc))
+    j = j.withColumn("p", F.coalesce(F.lag("j").over(Window.partitionBy("doc_id", "word").orderBy("j")), F.lit(-1)))
+    w = F.least(F.lit(window), F.col("n"))
+    j = j.withColumn("firsts", F.greatest(F.lit(0), F.least("j", F.col("n") - w) - F.greatest(F.lit(0), F.col("j") - w + 1, F.col("p") + 1) + 1))
+    per_word = j.groupBy("doc_id", "word").agg(F.count("*").alias("c"), F.sum("firsts").alias("firsts"), F.first("n").alias("n"))
+    per_word = per_word.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("c"), "word")))
+    out = per_word.groupBy("doc_id").agg(
+        F.sum("c").alias("tokens"), F.count("*").alias("types"), F.sum((F.col("c") == 1).cast("int")).alias("hapax"), F.sum(F.when(F.col("r") <= 10, F.col("c")).otherwise(0)).alias("top10"),
+        F.sum(F.col("c") * F.length("word")).alias("letters"), F.sum("firsts").alias("firsts"),
+    )
+    n, w = F.col("tokens"), F.least(F.lit(window), F.col("tokens"))
+    return out.select(
+        "doc_id", "tokens", "types", "hapax", F.round(F.col("types") / n, 6).alias("ttr"), F.round(F.col("types") / F.sqrt(n), 6).alias("guiraud"),
+        F.round(F.col("top10") / n, 6).alias("top10_share"), F.round(F.col("letters") / n, 6).alias("mean_length"), F.round(F.col("firsts") / (w * (n - w + 1)), 6).alias("mattr"),
+    )
+
+
+def sentence_structure(docs: DataFrame, long: int = 30) -> DataFrame:
+    """Sentences with a letter, their letter counts (mean, median, population sd, max, share over `long`), clauses."""
+    text = F.coalesce("text", F.lit(""))
+    letters = lambda s: F.regexp_count(s, F.lit(r"\p{L}"))
+    parts = lambda p: F.filter(F.transform(F.split(text, p), letters), lambda n: n > 0)
+    base = docs.select("doc_id", parts(SENTENCE).alias("s"), F.size(parts(CLAUSE)).cast("long").alias("clauses"), F.regexp_count(text, F.lit("[,，]")).cast("long").alias("commas"))
+    rows = base.select("doc_id", "clauses", "commas", F.explode_outer("s").alias("n"))
+    out = rows.groupBy("doc_id", "clauses", "commas").agg(
+        F.count("n").alias("sentences"), F.avg("n").alias("mean"), F.percentile("n", 0.5).alias("median"), F.stddev_pop("n").alias("sd"), F.max("n").alias("longest"), F.sum((F.col("n") > long).cast("int")).alias("over")
+    )
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return out.select(
+        "doc_id", "clauses", "commas", "sentences", zero(F.col("mean")).alias("mean_length"), zero(F.col("median")).alias("median_length"), zero(F.col("sd")).alias("sd_length"),
+        F.coalesce("longest", F.lit(0)).cast("long").alias("longest"), zero(ratio(F.col("over"), F.col("sentences"))).alias("long_share"), zero(ratio(F.col("clauses"), F.col("sentences"))).alias("clauses_per_sentence"),
+    )
+
+
+TAGS = ["a", "m", "n", "u", "v", "wd", "wj"]
+
+
+def tag_counts(docs: DataFrame) -> DataFrame:
+    """Counts by tag and their rates for 1000 letters; the tags are pinned, so the pivot needs no pass of its own."""
+    t = tokens(docs).withColumn("tag", tag(F.col("word")))
+    letters = F.sum(F.when(F.col("word").rlike(r"^\p{L}"), F.length("word")).otherwise(0)).alias("letters")
+    out = t.groupBy("doc_id").agg(letters, *[F.sum((F.col("tag") == x).cast("int")).alias(f"n_{x}") for x in TAGS])
+    return out.select("doc_id", "letters", *[f"n_{x}" for x in TAGS], *[F.round(ratio(F.col(f"n_{x}") * 1000, F.col("letters")), 6).alias(f"rate_{x}") for x in TAGS])
+
+
+def verb_runs(docs: DataFrame) -> DataFrame:
+    """Maximal runs of v tokens: how many have two or more, and the longest (gaps and islands)."""
+    v = tokens(docs).withColumn("tag", tag(F.col("word"))).where("tag = 'v'")
+    island = F.col("tok_idx") - F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_idx"))
+    runs = v.withColumn("island", island).groupBy("doc_id", "island").count()
+    return runs.groupBy("doc_id").agg(F.sum((F.col("count") >= 2).cast("int")).alias("runs"), F.max("count").alias("longest_run"))
+
+
+def adjective_before_verb(docs: DataFrame) -> DataFrame:
+    t = tokens(docs).withColumn("tag", tag(F.col("word")))
+    nxt = F.lead("tag").over(Window.partitionBy("doc_id").orderBy("tok_idx"))
+    return t.withColumn("next", nxt).groupBy("doc_id").agg(F.sum(((F.col("tag") == "a") & (F.col("next") == "v")).cast("int")).alias("adjective_verb"))
+
+
+def sentence_classes(docs: DataFrame) -> DataFrame:
+    """Sentences end with a wj token, inclusive; a class counts a sentence once: question, else exclamation."""
+    t = tokens(docs).withColumn("tag", tag(F.col("word")))
+    before = Window.partitionBy("doc_id").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1)
+    s = t.withColumn("sentence", F.coalesce(F.sum((F.col("tag") == "wj").cast("int")).over(before), F.lit(0)))
+    flags = s.groupBy("doc_id", "sentence").agg(F.max(F.col("word").isin("?", "？")).alias("q"), F.max(F.col("word").isin("!", "！")).alias("e"), F.max(F.col("word").rlike(r"^\p{L}")).alias("w")).where("w")
+    return flags.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.col("q").cast("int")).alias("questions"), F.sum((~F.col("q") & F.col("e")).cast("int")).alias("exclamations"))
+
+
+def vocabulary_levels(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """vocabulary (word, level, tag or null): a word's only level; of several the single one whose tag is the token's;
+    else the lowest. Tokens without an entry count in the denominators."""
+    entry = vocabulary.groupBy("word").agg(F.min("level").alias("low"), F.countDistinct("level").alias("levels"), F.collect_set(F.struct("level", "tag")).alias("entries"))
+    t = tokens(docs).where(F.col("word").rlike(r"^\p{L}")).withColumn("tag", tag(F.col("word")))
+    j = t.join(entry, "word", "left")
+    fit = F.array_distinct(F.transform(F.filter("entries", lambda e: e["tag"] == F.col("tag")), lambda e: e["level"]))
+    level = F.when(F.col("levels") == 1, F.col("low")).when(F.size(fit) == 1, fit[0]).otherwise(F.col("low"))
+    j = j.withColumn("level", level)
+    n = lambda k: F.sum((F.col("level") == k).cast("int"))
+    return j.groupBy("doc_id").agg(
+        F.count("*").alias("words"), *[F.coalesce(n(k), F.lit(0)).alias(f"level_{k}") for k in (1, 2, 3)], F.countDistinct(F.when(F.col("level").isNotNull(), F.col("word"))).alias("known_types"),
+        F.round(F.count("level") / F.count("*"), 6).alias("coverage"),
+    )
+
+
+def lexicon_spans(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """lexicon (feature, term: words joined by spaces) → doc_id, feature, start, end (exclusive), term.
+
+    N-grams of the lexicon's few lengths are hash-joined to the terms; for each feature, matches are taken from the
+    left, the longest first, without overlap. Lexicons are dictionaries, so one group's matches stay few.
+    """
+    lengths = [r[0] for r in lexicon.select(F.size(F.split("term", " "))).distinct().collect()]  # a few small numbers
+    t = tokens(docs)
+    by_doc = Window.partitionBy("doc_id").orderBy("tok_idx")
+    ahead = t.select("doc_id", "tok_idx", "word", *[F.lead("word", i).over(by_doc).alias(f"w{i}") for i in range(1, max(lengths, default=1))])
+    grams = ahead.select("doc_id", "tok_idx", F.explode(F.array_distinct(F.array(*[F.concat_ws(" ", "word", *[f"w{i}" for i in range(1, n)]) for n in lengths]))).alias("term"))
+    hits = grams.join(lexicon.select("feature", "term").distinct(), "term").withColumn("end", F.col("tok_idx") + F.size(F.split("term", " ")))
+    best = hits.groupBy("doc_id", "feature", "tok_idx").agg(F.max_by(F.struct("end", "term"), "end").alias("m"))
+    rows = best.groupBy("doc_id", "feature").agg(F.array_sort(F.collect_list(F.struct(F.col("tok_idx").alias("start"), F.col("m.end").alias("end"), F.col("m.term").alias("term")))).alias("found"))
+    nothing = F.array().cast("array<struct<start:int,end:int,term:string>>")
+    taken = F.aggregate("found", nothing, lambda a, x: F.when((F.size(a) == 0) | (x["start"] >= F.element_at(a, -1)["end"]), F.concat(a, F.array(x))).otherwise(a))
+    return rows.select("doc_id", "feature", F.explode(taken).alias("s")).select("doc_id", "feature", "s.start", "s.end", "s.term")
+
+
+def lexicon_features(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc_id", "feature").agg(F.count("*").alias("matches"), F.countDistinct("term").alias("terms"))
+
+
+def terms_in_corpus(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """terms (term) that occur somewhere in a text: the character n-grams of the terms' lengths are looked up among the
+    terms. A dictionary of up to `few` terms is broadcast, so no gram is shuffled; a larger one is joined to distinct
+    grams."""
+    few = 200_000
+    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()]
+    if not lengths:
+        return terms
+    grams = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}})).")) for n in lengths])))
+    rows = docs.where("text is not null").select(F.explode(grams).alias("term"))
+    if terms.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(terms), "term").select("term").distinct()
+    return terms.join(rows.distinct(), "term", "left_semi")
+
+
+def scalars(docs: DataFrame) -> DataFrame:
+    from quillmill.functions import text as T
+
+    t = F.coalesce("text", F.lit(""))
+    return docs.select(
+        "doc_id",
+        F.length(F.regexp_replace(t, r"[ \t\n\r\f]", "")).cast("long").alias("chars"),
+        F.regexp_count(t, F.lit(r"\p{L}")).cast("long").alias("letters"),
+        T.count_direct_quotes(t).cast("long").alias("quotes"),
+        T.occurrences(F.lower(t), ["the", "and", "then"]).cast("long").alias("hits"),
+    )
