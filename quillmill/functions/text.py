@@ -6,27 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Annotation codes of learner-corpus texts. What keeps its payload, and what goes with it.
-KEPT = [(r"\[BQ([^\[\]{}]*)\]", "$1"), (r"\{BQ([^\[\]{}]*)\}", "$1"), (r"\{CQ([^\[\]{}]*)\}", "$1"), (r"\{CP([^\[\]{}]*?)P?\}", "$1"), (r"\{CJ-[a-z]*([^\[\]{}]*)\}", "$1")]
-DROPPED = [r"\[(?:BC|BD|#)[^\[\]{}]*\]", r"\[[CBLDFYPcbldfyp][^\[\]{}]*\]", r"\{(?:CC|CLH|CD|W|CJ\+|CJ|WWJ)[^\[\]{}]*\}", r"[\[{][A-Z][^\[\]{}]*[\]}]"]
+BODY = "([^-]*"
+KEPT = [(rf"\[BQ{BODY})\]", "$1"), (rf"\{{BQ{BODY})\}}", "$1"), (rf"\{{CQ{BODY})\}}", "$1"), (rf"\{{CP{BODY}?)P?\}}", "$1"), (rf"\{{CJ-[a-z]*{BODY})\}}", "$1")]
+DROPPED = [rf"\[(?:BC|BD|#){BODY})\]", rf"\[[CBLDFYPcbldfyp]{BODY})\]", rf"\{{(?:CC|CLH|CD|W|CJ\+|CJ|WWJ){BODY})\}}", rf"\[[A-Z]{BODY})\]", rf"\{{[A-Z]{BODY})\}}"]
 DEPTH = 4
 FULLWIDTH = ("［］｛｝【】", "[]{}[]")
-#: Private characters that stand for literal brackets until all markers are gone.
+#: Private characters that stand for a round's innermost brackets, and for literal ones until all markers are gone.
+INNERMOST = ("\ue010\ue011", "\ue012\ue013")
 LITERAL_MARKS = "\ue000\ue001\ue003\ue004"
-LITERAL = [(r"\[([^\[\]{}]*)\]", "\ue000$1\ue001"), (r"\{([^\[\]{}]*)\}", "\ue003$1\ue004")]
 HIT = "\ue002"
 
 
 def clean_annotations(text: Column) -> Column:
-    """Innermost markers first, DEPTH times: payloads of kept codes stay, dropped codes go, brackets around other text
-    are literal and stay. Unmatched brackets stay."""
+    """DEPTH rounds, each of which takes the innermost markers: payloads of kept codes stay, dropped codes and unknown
+    upper-case ones go, brackets around other text are literal and stay. Unmatched brackets stay."""
     out = F.translate(text, *FULLWIDTH)
     for _ in range(DEPTH):
-        for pattern, to in KEPT:
-            out = F.regexp_replace(out, pattern, to)
-        for pattern in DROPPED:
-            out = F.regexp_replace(out, pattern, "")
-        for pattern, to in LITERAL:
+        for (left, right), (a, b) in zip(("[]", "{}"), INNERMOST):
+            out = F.regexp_replace(out, rf"\{left}([^\[\]{{}}\ue010-\ue013]*)\{right}", f"{a}$1{b}")
+        for pattern, to in [*KEPT, *((d, "") for d in DROPPED)]:
+            for mark, at in (("\\[", "\ue010"), ("\\]", "\ue011"), ("\\{", "\ue012"), ("\\}", "\ue013")):
+                pattern = pattern.replace(mark, at)
             out = F.regexp_replace(out, pattern, to)
+        out = F.translate(out, "".join(a + b for a, b in INNERMOST), LITERAL_MARKS)
     return F.translate(out, LITERAL_MARKS, "[]{}")
 
 
