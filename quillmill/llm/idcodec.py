@@ -217,7 +217,7 @@ def write_documents(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quillmill.llm.token_ids import encoder
 
-        encode = encoder(path)
+        encode = encoder(path).encode
         names, kept, size, before, seq, part = [], [], 0, 0, 0, None
 
         def flush() -> pa.RecordBatch:
@@ -228,8 +228,8 @@ def write_documents(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
             return pa.record_batch([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], names=["part", "seq", "before", "doc_ids", "lengths", "shard"])
 
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                piece = b.slice(k, 256)
+            for k in range(0, b.num_rows, 2048):
+                piece = b.slice(k, 2048)
                 part = piece.column(2)[0].as_py()
                 for name, ids in zip(piece.column(0).to_pylist(), encode([t or "" for t in piece.column(1).to_pylist()])):
                     names.append(name)

@@ -5,8 +5,7 @@ the pre-tokenizer at the same character, far enough from the earlier chunk's cut
 and looks one character ahead at most, so from a shared start on both find what the whole text gives. If an overlap
 holds no such place, it is doubled until it does or the text ends. So no more than a few chunks are in memory at once.
 
-Shorter texts are cut at their spaces, where the pre-tokenizer always starts a new piece unless more white space
-follows; the library encodes each distinct stretch once in a task, in batches.
+Shorter texts are cut at their spaces, and the library encodes each distinct stretch once (`token_ids`).
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows each get a row; an empty table gives an
 empty result; other columns are not read.
@@ -14,34 +13,24 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillmill.llm.token_ids import WORDS, Encoder
+
 #: Characters of a chunk and of the first overlap; texts of over two chunks are huge.
 CHUNK, OVERLAP = 16_384, 256
-#: Stretches whose counts a task keeps, at most.
-WORDS = 300_000
 
 
 class TokenCounter:
     def __init__(self, path: str, words: int = WORDS, chunk: int = CHUNK, overlap: int = OVERLAP):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.lib.no_truncation()
-        self.lib.no_padding()
-        self.specials = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.margin = max([1, *map(len, self.specials)]) + 2
-        self.loose = re.compile(r" \s").search
-        self.known: dict[str, int] = {}
-        self.words, self.chunk, self.overlap = words, chunk, overlap
+        self.ids = Encoder(path, words)
+        self.lib = self.ids.lib
+        self.margin = max([1, *map(len, self.ids.specials)]) + 2
+        self.chunk, self.overlap = chunk, overlap
         #: How often an overlap was widened.
         self.widened = 0
 
@@ -78,28 +67,9 @@ class TokenCounter:
         return total + len(starts) - done
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.known) > self.words:
-            self.known.clear()
-        known, whole, split, unknown = self.known, {}, {}, set()
-        for i, t in enumerate(texts):
-            if len(t) > 2 * self.chunk:
-                continue
-            if t.endswith(" ") or self.loose(t) or any(s in t for s in self.specials):
-                whole[i] = t
-            else:
-                first, *rest = t.split(" ")
-                whole[i], split[i] = first, rest
-                unknown.update(filterfalse(known.__contains__, rest))
-        new = list(unknown)
-        for k in range(0, len(new), 8192):
-            part = new[k : k + 8192]
-            known.update(zip(part, map(len, self.lib.encode_batch_fast([" " + u for u in part], add_special_tokens=False))))
-        firsts = dict(zip(whole, map(len, self.lib.encode_batch_fast(list(whole.values()), add_special_tokens=False))))
-        out = [firsts[i] + sum(map(known.__getitem__, split.get(i, ()))) if i in firsts else self.huge(t) for i, t in enumerate(texts)]
-        for u in new:
-            if len(u) > 64:
-                del known[u]
-        return out
+        short = [t for t in texts if len(t) <= 2 * self.chunk]
+        sizes = iter(map(len, self.ids.encode(short)))
+        return [next(sizes) if len(t) <= 2 * self.chunk else self.huge(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -113,8 +83,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for k in range(0, b.num_rows, 2048):
+                part = b.slice(k, 2048)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 n = c.count(texts)
                 size = [len(t.encode()) for t in texts]

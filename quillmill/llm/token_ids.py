@@ -1,54 +1,124 @@
-"""Ids of whole texts by the tokenizers library, each distinct stretch of a task encoded once."""
+"""Ids of whole texts by the tokenizers library, each distinct stretch of a batch looked up once.
+
+Texts are cut before single spaces, where the pre-tokenizer of byte-level BPE always starts a new piece unless more
+white space follows; others go to the library whole. Arrow splits the texts and numbers their distinct stretches, so
+Python sees a stretch once a batch and the library sees it once while the task remembers it.
+"""
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Stretches whose ids a task keeps, at most.
-WORDS = 300_000
+#: Stretches whose ids a task keeps, at most: the older half goes when the newer one is full.
+WORDS = 400_000
+#: Longer stretches are not kept.
+LONG = 64
+#: Stretches that the library takes at once.
+JOINED = 256
+#: Characters that are split at once, about.
+BATCH = 8_000_000
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """texts → int32 ids as the library gives them. Texts are cut before single spaces, where the pre-tokenizer of
-    byte-level BPE always starts a new piece unless more white space follows; others go to the library whole."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    lib = Tokenizer.from_file(path)
-    lib.no_truncation()
-    lib.no_padding()
-    specials = [t.content for t in lib.get_added_tokens_decoder().values()]
-    loose = re.compile(r" \s").search
-    known: dict[str, bytes] = {}
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        if len(known) > WORDS:
-            known.clear()
-        firsts, rests, unknown = [], [], set()
-        for t in texts:
-            cut = not (t.endswith(" ") or loose(t) or any(s in t for s in specials))
-            first, *rest = t.split(" ") if cut else [t]
-            firsts.append(first)
-            rests.append(rest)
-            unknown.update(filterfalse(known.__contains__, rest))
-        new = list(unknown)
-        for k in range(0, len(new), 8192):
-            part = new[k : k + 8192]
-            known.update(zip(part, whole([" " + u for u in part])))
-        out = [np.frombuffer(b"".join([f, *map(known.__getitem__, r)]), np.int32) for f, r in zip(whole(firsts), rests)]
-        for u in new:
-            if len(u) > 64:
-                del known[u]
+class Encoder:
+    def __init__(self, path: str, words: int = WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.lib = Tokenizer.from_file(path)
+        self.lib.no_truncation()
+        self.lib.no_padding()
+        self.specials = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.loose = re.compile(r" \s").search
+        vocabulary = self.lib.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that begin with a space
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.half = max(1, words // 2)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(texts), 8192):
+            out += [np.array(e.ids, np.int32).tobytes() for e in self.lib.encode_batch_fast(texts[k : k + 8192], add_special_tokens=False)]
+        return out
+
+    def spaced_out(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each stretch behind a space. The library takes `JOINED` at once: only their spaces begin tokens."""
+        out = []
+        for k in range(0, len(stretches), JOINED):
+            part = stretches[k : k + JOINED]
+            ids = np.array(self.lib.encode(" " + " ".join(part), add_special_tokens=False).ids, np.int32)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(part):  # not a byte-level vocabulary
+                out += self.whole([" " + w for w in part])
+                continue
+            data, edges = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
+            out += [data[a:z] for a, z in zip(edges, edges[1:])]
         return out
 
-    return encode
+    def words(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each of these distinct stretches behind a space."""
+        found = [self.new.get(w) for w in stretches]
+        missing = []
+        for i, f in enumerate(found):
+            if f is None:
+                kept = self.old.get(stretches[i])
+                if kept is None:
+                    missing.append(i)
+                else:
+                    found[i] = self.new[stretches[i]] = kept
+        for i, ids in zip(missing, self.spaced_out([stretches[i] for i in missing])):
+            found[i] = ids
+            if len(stretches[i]) <= LONG:
+                self.new[stretches[i]] = ids
+        if len(self.new) > self.half:
+            self.old, self.new = self.new if len(self.new) <= 2 * self.half else {}, {}
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """int32 ids of each text as the library gives them."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size >= BATCH:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + self._encode(part) if part else out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [not (t.endswith(" ") or self.loose(t) or any(s in t for s in self.specials)) for t in texts]
+        split = pc.split_pattern(pa.array([t if c else "" for t, c in zip(texts, cut)], pa.large_string()), " ")
+        offsets = split.offsets.to_numpy()
+        numbered = split.flatten().dictionary_encode()
+        index = numbered.indices.to_numpy().astype(np.int64)
+        # a text's first stretch has no space before it: the library takes it alone, and it holds its place as number -1
+        heads = self.whole([t.split(" ", 1)[0] if c else t for t, c in zip(texts, cut)])
+        named = np.ones(len(index), bool)
+        named[offsets[:-1]] = False
+        seen = np.zeros(len(numbered.dictionary), bool)
+        seen[index[named]] = True
+        number = np.cumsum(seen) - 1
+        pieces = self.words(numbered.dictionary.filter(pa.array(seen)).to_pylist())
+        n = len(pieces)
+        index = np.where(named, number[index], 0)
+        index[offsets[:-1]] = n + np.arange(len(texts))
+        pieces += heads
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
+        pool = np.frombuffer(b"".join(pieces), np.int32)
+        width = sizes[index]
+        ends = np.cumsum(width)
+        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - width), width) + np.arange(ends[-1])]
+        bounds = ends[offsets[1:] - 1]
+        return np.split(ids, bounds[:-1])
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
