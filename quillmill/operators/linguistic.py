@@ -169,3 +169,46 @@ def scalars(docs: DataFrame) -> DataFrame:
         T.count_direct_quotes(t).cast("long").alias("quotes"),
         T.occurrences(F.lower(t), ["the", "and", "then"]).cast("long").alias("hits"),
     )
+
+
+def sentence_tokens(docs: DataFrame) -> DataFrame:
+    """tokens with their tag and the number of their sentence, which a wj token ends."""
+    before = Window.partitionBy("doc_id").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1)
+    t = tokens(docs).withColumn("tag", tag(F.col("word")))
+    return t.withColumn("sentence", F.coalesce(F.sum((F.col("tag") == "wj").cast("int")).over(before), F.lit(0)))
+
+
+def compound_sentences(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """lexicon (feature: the relation, term: its marker) → for each document with one: sentences in which a marker of
+    each relation starts, summed over relations (relation_sentences), sentences with any (compound), relations used."""
+    spans = lexicon_spans(docs, lexicon).withColumnRenamed("start", "tok_idx")
+    hits = spans.join(sentence_tokens(docs).select("doc_id", "tok_idx", "sentence"), ["doc_id", "tok_idx"]).select("doc_id", "feature", "sentence").distinct()
+    return hits.groupBy("doc_id").agg(F.count("*").alias("relation_sentences"), F.countDistinct("sentence").alias("compound"), F.countDistinct("feature").alias("relations"))
+
+
+def two_part_idioms(docs: DataFrame, idioms: DataFrame) -> DataFrame:
+    """idioms (idiom, first, second: words joined by spaces) → doc_id, idiom, hits: sentences that hold both parts.
+
+    The parts are n-grams inside a sentence; distinct (document, sentence, idiom, part) rows are counted, so a part that
+    repeats makes no pairs.
+    """
+    parts = idioms.select("idiom", F.explode(F.array(F.struct(F.col("first").alias("term"), F.lit(1).alias("part")), F.struct(F.col("second").alias("term"), F.lit(2).alias("part")))).alias("p")).select("idiom", "p.term", "p.part")
+    lengths = [r[0] for r in parts.select(F.size(F.split("term", " "))).distinct().collect()]  # a few small numbers
+    ahead = Window.partitionBy("doc_id", "sentence").orderBy("tok_idx")
+    t = sentence_tokens(docs).select("doc_id", "sentence", "word", *[F.lead("word", i).over(ahead).alias(f"w{i}") for i in range(1, max(lengths, default=1))])
+    grams = t.select("doc_id", "sentence", F.explode(F.array_distinct(F.array(*[F.concat_ws(" ", "word", *[f"w{i}" for i in range(1, n)]) for n in lengths]))).alias("term"))
+    found = grams.join(parts, "term").groupBy("doc_id", "sentence", "idiom").agg(F.countDistinct("part").alias("parts")).where("parts = 2")
+    return found.groupBy("doc_id", "idiom").agg(F.count("*").alias("hits"))
+
+
+def idiom_diversity(hits: DataFrame) -> DataFrame:
+    """(doc_id, idiom, hits) → idioms in all, different ones, and their ratio."""
+    return hits.groupBy("doc_id").agg(F.sum("hits").alias("idioms"), F.count("*").alias("different")).withColumn("diversity", F.round(F.col("different") / F.col("idioms"), 6))
+
+
+def uncovered(docs: DataFrame, spans: DataFrame, tags: list[str]) -> DataFrame:
+    """Tokens of each tag that no span of a lexicon covers, for each document that has tokens of those tags."""
+    covered = spans.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("tok_idx")).distinct().withColumn("covered", F.lit(1))
+    t = tokens(docs).withColumn("tag", tag(F.col("word"))).where(F.col("tag").isin(tags))
+    j = t.join(covered, ["doc_id", "tok_idx"], "left")
+    return j.groupBy("doc_id").agg(*[F.sum(((F.col("tag") == x) & F.col("covered").isNull()).cast("int")).alias(f"free_{x}") for x in tags])

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import dedup, linguistic, selection, statistics
+from quillmill.operators import dedup, factors, linguistic, matching, selection, statistics, validation
+from quillmill.plans.scratch import materialize
 
+FEATURES = ["rate_a", "rate_n", "rate_u", "rate_v", "rate_wd", "rate_wj", "ttr", "guiraud", "top10_share", "mean_length", "mattr"]
+RELATIONS = [("cause", "car"), ("cause", "denn"), ("addition", "and"), ("addition", "und"), ("addition", "et"), ("addition", "y"), ("contrast", "that"), ("contrast", "mais")]
+IDIOMS = [("both", "the", "of"), ("chain", "of", "and"), ("pair", "la", "de"), ("case", "der", "und")]
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 VOCABULARY = [("the", 1, None), ("of", 1, None), ("and", 1, None), ("der", 1, None), ("que", 2, None), ("la", 2, None), ("de", 1, "u"), ("de", 2, "n"), ("ering", 3, None), ("that", 2, None), ("with", 2, "n"), ("with", 3, "v"), ("thing", 3, None)]
 LEXICON = [("cohesion", "and"), ("cohesion", "of the"), ("cohesion", "the"), ("cohesion", "the of the"), ("stance", "that"), ("stance", "it was"), ("stance", "was"), ("stance", "de la"), ("stance", "la")]
@@ -325,3 +329,81 @@ def _(spark, sf):
 @query("event_props", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 4) AS mean_value FROM events GROUP BY event_type")
 def _(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean_value"))
+
+
+@query("compound_sentences", rf"""WITH {TAGGED}, s AS (SELECT *, coalesce(sum(CAST(tag = 'wj' AS INT)) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM t),
+r(relation, marker) AS (VALUES {', '.join(map(repr, RELATIONS))}), h AS (SELECT DISTINCT doc_id, relation, sentence FROM s JOIN r ON word = marker)
+SELECT doc_id, count(*) AS relation_sentences, count(DISTINCT sentence) AS compound, count(DISTINCT relation) AS relations FROM h GROUP BY doc_id""")
+def _(spark, sf):
+    return linguistic.compound_sentences(table(spark, sf, "documents"), spark.createDataFrame(RELATIONS, "feature string, term string"))
+
+
+@query("two_part_idioms", rf"""WITH {TAGGED}, s AS (SELECT *, coalesce(sum(CAST(tag = 'wj' AS INT)) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM t),
+r(idiom, a, b) AS (VALUES {', '.join(map(repr, IDIOMS))}), h AS (SELECT doc_id, sentence, idiom FROM s JOIN r ON word IN (a, b) GROUP BY doc_id, sentence, idiom HAVING bool_or(word = a) AND bool_or(word = b)),
+i AS (SELECT doc_id, idiom, count(*) AS hits FROM h GROUP BY ALL) SELECT doc_id, CAST(sum(hits) AS BIGINT) AS idioms, count(*) AS different, round(count(*) / sum(hits), 6) AS diversity FROM i GROUP BY doc_id""")
+def _(spark, sf):
+    return linguistic.idiom_diversity(linguistic.two_part_idioms(table(spark, sf, "documents"), spark.createDataFrame(IDIOMS, "idiom string, first string, second string")))
+
+
+@query("uncovered_words", rf"""WITH {TAGGED} SELECT doc_id, CAST(sum(CAST(tag = 'u' AND word NOT IN ('the', 'and', 'la') AS INT)) AS BIGINT) AS free_u, CAST(sum(CAST(tag = 'n' AND word NOT IN ('that', 'with') AS INT)) AS BIGINT) AS free_n FROM t WHERE tag IN ('u', 'n') GROUP BY doc_id""")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    marks = spark.createDataFrame([("marks", w) for w in ("the", "and", "la", "that", "with")], "feature string, term string")
+    return linguistic.uncovered(d, linguistic.lexicon_spans(d, marks), ["u", "n"])
+
+
+@query("article_status", r"""WITH p AS (SELECT page_id, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g'), '\p{L}')) AS letters FROM pages),
+r AS (SELECT *, CASE WHEN contains(title, 'admin') OR contains(title, 'login') THEN 'excluded' WHEN letters < 600 THEN 'too short' WHEN letters > 4000 THEN 'too long' WHEN length(trim(coalesce(html, ''))) = 0 THEN 'empty' END AS reason FROM p)
+SELECT page_id, CASE WHEN html IS NULL THEN 'failed' WHEN reason IS NOT NULL THEN 'invalid' WHEN NOT contains(lower(html), 'ment') THEN 'off topic' ELSE 'candidate' END AS status, CASE WHEN html IS NULL THEN 'no page' ELSE reason END AS why FROM r""")
+def _(spark, sf):
+    body = F.coalesce("html", F.lit(""))
+    letters = F.regexp_count(F.regexp_replace(body, "<[^>]*>", ""), F.lit(r"\p{L}"))
+    reason = validation.first_failure(validation.article_checks(body, F.regexp_extract(body, "<title>([^<]*)</title>", 1), ["admin", "login"], letters, 600, 4000))
+    tier = F.when(F.contains(F.lower(body), F.lit("ment")), "broad").otherwise("mismatch")
+    status, why = validation.candidate_status(F.when(F.col("html").isNull(), "no page"), reason, F.lit(None).cast("string"), tier)
+    return table(spark, sf, "pages").select("page_id", status.alias("status"), why.alias("why"))
+
+
+@query("page_links", r"""SELECT page_id, CAST(i - 1 AS INTEGER) AS position, regexp_extract(l[i], 'href="([^"]*)"', 1) AS target, regexp_extract(l[i], '>([^<]*)<', 1) AS label
+FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*>[^<]*</a>') AS l FROM pages WHERE html IS NOT NULL))""")
+def _(spark, sf):
+    return validation.listing(table(spark, sf, "pages").select("page_id", "html"), "html", "<a [^>]*>[^<]*</a>", {"target": 'href="([^"]*)"', "label": ">([^<]*)<"})
+
+
+def features(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates and diversity of each document with words, written once: the factor queries read it several times."""
+    d = table(spark, sf, "documents")
+    return materialize(linguistic.tag_counts(d).join(linguistic.lexical_diversity(d), "doc_id").select("doc_id", *FEATURES), "features")
+
+
+@query("sampling_adequacy")
+def _(spark, sf):
+    return factors.adequacy(features(spark, sf), FEATURES)
+
+
+@query("parallel_analysis")
+def _(spark, sf):
+    return factors.parallel_analysis(features(spark, sf), FEATURES)
+
+
+@query("factor_models")
+def _(spark, sf):
+    return factors.factor_models(features(spark, sf), FEATURES, [1, 2, 3])
+
+
+@query("factor_stability")
+def _(spark, sf):
+    return factors.factor_stability(features(spark, sf), FEATURES, 2)
+
+
+@query("slot_selection")
+def _(spark, sf):
+    pool = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    targets = selection.quantile_targets(table(spark, sf, "documents"), "source", "n_chars", 5)
+    return matching.select_slots(pool, targets, "source", "doc_id", "n_chars", F.col("toxic") * 0.38, F.col("quality") == 1, F.col("lang"), {"en": 2, "fr": 2, "de": 1}, 5)
+
+
+@query("length_matched")
+def _(spark, sf):
+    d = table(spark, sf, "documents").withColumn("words", F.size(F.split("text", " ")))
+    return matching.length_matched(d.where("lang = 'en'"), d.where("lang <> 'en'"), "source", "doc_id", "n_chars", "words", 200)
