@@ -5,8 +5,8 @@ of the ids' high parts (order 0) spread the rest. The chances that the order-2 p
 by whether order 1 agrees, are mixed; so each id takes one coding step if a prediction holds and two if none does. All
 of it is learnt again in every block, so a block can be read alone; a shard's blocks are coded side by side in numpy.
 
-Shard format, little-endian: b"QMID", version u16, bits of the low part u16, ids u64, ids of a block u32, blocks u32;
-for each block its payload's bytes u32 and crc32 u32; then the payloads, 32-bit words each.
+Shard format, little-endian: b"QMID", version u8, bits of the low part u8, high parts u16, ids u64, ids of a block u32,
+blocks u32; for each block its payload's bytes u32 and crc32 u32; then the payloads, 32-bit words each.
 
 Defined results: a null text is encoded as empty and so holds the end id alone; documents with equal doc_id follow one
 another; rows without doc_id come first; an empty table writes no shard; a damaged block raises ValueError.
@@ -25,176 +25,224 @@ from pyspark.sql import functions as F
 
 from quillmill.plans.scratch import materialize
 
-MAGIC, VERSION = b"QMID", 1
-HEADER = struct.Struct("<4sHHQII")
+MAGIC, VERSION = b"QMID", 2
+HEADER = struct.Struct("<4sBBHQII")
 #: Ids of a shard, about; a document never spans two shards.
 SHARD = 1 << 21
-#: Fixed values of the format: slots of a prediction table, steps between rebuilds of order 0, coder bounds.
-SLOTS, EVERY, BITS = 1024, 128, 8
-BOTTOM = np.uint64(1 << 28)
-WORD = np.uint64(32)
-LOW = np.uint64(0xFFFFFFFF)
-CHANCE, LAST = 12, 23
+#: Fixed values of the format: slots of a prediction table, bits of a chance and of order 0, bounds of a chance.
+SLOTS, CHANCE, SPREAD, LEAST, MOST = 1024, 12, 12, 16, 3800
+#: Steps after which order 0 is rebuilt.
+REBUILDS = [1 << k for k in range(5, 20)]
+#: Steps whose intervals the encoder computes together.
+CHUNK = 64
+WORD, BOTTOM, LOW = np.uint64(32), np.uint64(1 << 32), np.uint64(0xFFFFFFFF)
 
 
 class Models:
-    """Predictions of `rows` blocks, all at the same position."""
-
-    def __init__(self, rows: int, kinds: int):
-        self.rows, self.at = rows, np.arange(rows)
-        self.one, self.two, self.sure = np.zeros(rows * SLOTS, np.int64), np.zeros(rows * SLOTS, np.int64), np.zeros(rows * SLOTS, np.int64)
-        self.record = np.tile(np.array([200, 1200, 2400, 3200] * 4), rows)  # chance of order 2 by its record and history
-        self.agree = np.full(rows * 4, 1000)  # ... by whether order 1 agrees and order 2 held last time
-        self.first = np.full(rows * 4, 600)  # chance of order 1
-        self.last, self.before, self.held = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        self.kinds, self.counts, self.steps = kinds, np.ones((rows, kinds), np.int64), 0
-        self.slot, self.row_kind = self.at * SLOTS, self.at * kinds
-
-    def predict(self) -> None:
-        if self.steps % EVERY == 0:
-            total = np.cumsum(self.counts, axis=1)
-            scale = (1 << LAST - BITS) - self.kinds
-            bounds = total * scale // total[:, -1:] + np.arange(1, self.kinds + 1)
-            bounds[:, -1] = 1 << LAST - BITS
-            self.bounds = np.concatenate([np.zeros((self.rows, 1), np.int64), bounds], axis=1)
-            self.flat, self.row_bound = self.bounds.ravel(), self.at * (self.kinds + 1)
-        self.steps += 1
-        self.i1 = self.slot + (self.last * 40503 >> 4 & SLOTS - 1)
-        self.i2 = self.slot + ((self.last * 40503 ^ self.before * 60493) * 2654435761 >> 18 & SLOTS - 1)
-        self.c1, self.c2, k = self.one[self.i1], self.two[self.i2], self.sure[self.i2]
-        self.k = k
-        self.ia = self.at * 16 + k + 4 * self.held
-        self.ib = self.at * 4 + 2 * (self.c1 == self.c2) + (self.held & 1)
-        self.ic = self.at * 4 + (self.held & 3)
-        two = np.clip(self.record[self.ia] + self.agree[self.ib] >> 1, 16, 3800)
-        self.f2 = two
-        self.f1 = np.maximum(1, ((1 << CHANCE) - two) * np.clip(self.first[self.ic], 16, 4000) >> CHANCE)
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, other: np.ndarray) -> None:
-        goal = hit2.astype(np.int64) << CHANCE
-        self.record[self.ia] += goal - self.record[self.ia] >> 4
-        self.agree[self.ib] += goal - self.agree[self.ib] >> 4
-        self.first[self.ic] += np.where(hit2, 0, (hit1.astype(np.int64) << CHANCE) - self.first[self.ic]) >> 4
-        self.sure[self.i2] = np.where(hit2, np.minimum(self.k + 1, 3), 0)
+    """Predictions of `rows` blocks, all at the same position. A row's chances are 16 by record and history of order 2,
+    4 by agreement with order 1 and 4 of order 1, in a stretch of 32."""
+
+    def __init__(self, rows: int, kinds: int, low_bits: int):
+        self.rows, self.kinds, self.low_bits = rows, kinds, low_bits
+        at = np.arange(rows)
+        self.slot = at * SLOTS
+        self.one, self.two = np.zeros(rows * SLOTS, np.int32), np.zeros(rows * SLOTS, np.int32)  # two: id * 4 + record
+        self.chance = np.tile(np.array([200, 1200, 2400, 3200] * 4 + [1000] * 4 + [600] * 4 + [0] * 8), rows)
+        self.r0, self.r16, self.r20 = at * 32, at * 32 + 16, at * 32 + 20
+        self.base2, self.base_agree, self.base1 = self.r0, self.r16, self.r20
+        self.held = np.zeros(rows, np.int64)
+        self.counts, self.row_kind = np.ones(rows * kinds, np.int64), at * kinds
+
+    def rebuild(self) -> np.ndarray:
+        """Start << 16 | width of each kind of each row, in units of 2 ** -SPREAD; also their widths."""
+        total = np.cumsum(self.counts.reshape(self.rows, self.kinds), axis=1)
+        bounds = total * ((1 << SPREAD) - self.kinds) // total[:, -1:] + np.arange(1, self.kinds + 1)
+        bounds[:, -1] = 1 << SPREAD
+        self.widths = np.diff(bounds, axis=1, prepend=0)
+        self.spread = ((bounds - self.widths) << 16 | self.widths).ravel()
+        return self.spread
+
+    def count(self, ids: np.ndarray, other: np.ndarray) -> None:
+        """Ids (steps, rows) that no prediction held for, towards order 0."""
+        self.counts += 24 * np.bincount((self.row_kind + (ids >> self.low_bits))[other], minlength=len(self.counts))
+
+    def slots(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = last * 40503
+        return self.slot + (h >> 4 & SLOTS - 1), self.slot + ((h ^ before * 60493) * 2654435761 >> 18 & SLOTS - 1)
+
+    def predict(self, i1: np.ndarray, i2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Predictions of orders 2 and 1, and their chances."""
+        self.i1, self.i2 = i1, i2
+        c1, two = self.one[i1], self.two[i2]
+        c2, self.sure = two >> 2, two & 3
+        self.ia, self.ib, self.ic = self.base2 + self.sure, self.base_agree + ((c1 == c2) << 1), self.base1
+        self.a, self.b, self.c = self.chance[self.ia], self.chance[self.ib], self.chance[self.ic]
+        f2 = self.a + self.b >> 1
+        return c2, c1, f2, ((1 << CHANCE) - f2) * self.c >> CHANCE
+
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        goal = hit2 * (MOST - LEAST) + LEAST
+        self.chance[self.ia] = self.a + (goal - self.a >> 4)
+        self.chance[self.ib] = self.b + (goal - self.b >> 4)
+        self.chance[self.ic] = self.c + ((hit1 * (MOST - LEAST) + LEAST - self.c >> 4) * ~hit2)
         self.one[self.i1] = ids
-        self.two[self.i2] = ids
-        self.held = (self.held << 1 | hit2) & 3
-        self.before, self.last = self.last, ids
-        self.counts.ravel()[self.row_kind + (ids >> BITS)] += 24 * other
+        self.two[self.i2] = (ids << 2) + np.minimum(self.sure + 1, 3) * hit2  # int32, as ids are
+        self.held = (self.held << 1 & 2) + hit2
+        self.base2, self.base_agree, self.base1 = self.r0 + (self.held << 2), self.r16 + hit2, self.r20 + self.held
 
 
-def encode_blocks(ids: np.ndarray, block: int) -> list[bytes]:
+def intervals(hit2: np.ndarray, hit1: np.ndarray, f2: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of the first coding step."""
+    start = (f2 + f1 * ~hit1) * ~hit2
+    width = np.where(hit2, f2, np.where(hit1, f1, (1 << CHANCE) - start))
+    return start.view(np.uint64), width.view(np.uint64)
+
+
+def encode_blocks(ids: np.ndarray, block: int, kinds: int, low_bits: int) -> list[bytes]:
     """Payload of each run of `block` ids."""
     n, rows = len(ids), -(-len(ids) // block)
-    x = np.zeros(rows * block, np.int64)
+    x = np.zeros(rows * block, np.int32)
     x[:n] = ids
     x = np.ascontiguousarray(x.reshape(rows, block).T)
     steps = block if rows > 1 else n
-    m = Models(rows, (int(ids.max(initial=0)) >> BITS) + 1 if n else 1)
+    m = Models(rows, kinds, low_bits)
     low, size = np.zeros(rows, np.uint64), np.full(rows, (1 << 64) - 1, np.uint64)
     out, used = np.zeros((rows, 2 * block + 4), np.uint32), np.zeros(rows, np.int64)
-    flat, base = out.ravel(), m.at * out.shape[1]
-
-    def put(start: np.ndarray, width: np.ndarray, bits: int) -> None:
-        nonlocal low, size
-        r = size >> np.uint64(bits)
-        low = low + start.astype(np.uint64) * r
-        size = width.astype(np.uint64) * r
-        same = (low ^ (low + size)) <= LOW
-        go = np.flatnonzero(same | (size < BOTTOM))
+    flat, base = out.ravel(), np.arange(rows) * out.shape[1]
+    first, last = np.uint64(CHANCE), np.uint64(SPREAD + low_bits)
+
+    def add(start: np.ndarray) -> None:
+        nonlocal low
+        low = low + start
+        go = np.flatnonzero(low < start)
+        back = 1
+        while len(go):  # a carry runs back through words of ones
+            at = base[go] + used[go] - back
+            flat[at] += np.uint32(1)
+            go, back = go[flat[at] == 0], back + 1
+
+    def shift() -> None:
+        go = np.flatnonzero(size < BOTTOM)
         if len(go):
             own = low[go]
-            size[go] = np.where(same[go], size[go], (~own + np.uint64(1)) & (BOTTOM - np.uint64(1))) << WORD
-            flat[base[go] + used[go]] = own >> WORD
-            used[go] += 1
+            at = used[go]
+            flat[base[go] + at] = own >> WORD
+            used[go] = at + 1
             low[go] = own << WORD
-
-    full = 1 << LAST
-    for t in range(steps):
-        v = x[t]
-        m.predict()
-        hit2 = v == m.c2
-        hit1 = (v == m.c1) & ~hit2
-        other = ~(hit2 | hit1)
-        edge = m.f2 + m.f1
-        put(np.where(hit2, 0, np.where(hit1, m.f2, edge)), np.where(hit2, m.f2, np.where(hit1, m.f1, (1 << CHANCE) - edge)), CHANCE)
-        k = m.row_bound + (v >> BITS)
-        start = m.flat[k]
-        width = m.flat[k + 1] - start
-        put(np.where(other, (start << BITS) + (v & (1 << BITS) - 1) * width, 0), np.where(other, width, full), LAST)
-        m.learn(v, hit2, hit1, other)
+            size[go] <<= WORD
+
+    before = np.zeros((2, rows), np.int64)
+    edges = sorted({0, steps, *range(0, steps, CHUNK), *(r for r in REBUILDS if r < steps)})
+    f2, f1 = np.zeros((CHUNK, rows), np.int64), np.zeros((CHUNK, rows), np.int64)
+    hit2, hit1 = np.zeros((CHUNK, rows), bool), np.zeros((CHUNK, rows), bool)
+    for t0, t1 in zip(edges, edges[1:]):
+        if t0 == 0 or t0 in REBUILDS:
+            spread = m.rebuild()
+        v, k = x[t0:t1], t1 - t0
+        past = np.concatenate([before, v])
+        before = past[-2:]
+        i1, i2 = m.slots(past[1:-1], past[:-2])
+        for t in range(k):
+            c2, c1, f2[t], f1[t] = m.predict(i1[t], i2[t])
+            np.equal(v[t], c2, out=hit2[t])
+            np.greater(v[t] == c1, hit2[t], out=hit1[t])
+            m.learn(v[t], hit2[t], hit1[t])
+        start, width = intervals(hit2[:k], hit1[:k], f2[:k], f1[:k])
+        other = ~(hit2[:k] | hit1[:k])
+        m.count(v, other)
+        own = spread[m.row_kind + (v >> low_bits)]
+        each = own & 0xFFFF
+        start2 = np.where(other, (own >> 16 << low_bits) + (v & (1 << low_bits) - 1) * each, 0).view(np.uint64)
+        width2 = np.where(other, each, 1 << SPREAD + low_bits).view(np.uint64)
+        for t in range(k):
+            r = size >> first
+            begin = start[t] * r
+            size = width[t] * r
+            if low_bits > 8:
+                add(begin)
+                shift()
+                begin = np.uint64(0)
+            r = size >> last
+            size = width2[t] * r
+            add(begin + start2[t] * r)
+            shift()
     flat[base + used] = low >> WORD
     flat[base + used + 1] = low & LOW
     return [out[i, : used[i] + 2].astype("<u4").tobytes() for i in range(rows)]
 
 
-def decode_blocks(payloads: list[bytes], n: int, block: int, kinds: int) -> np.ndarray:
+def decode_blocks(payloads: list[bytes], n: int, block: int, kinds: int, low_bits: int) -> np.ndarray:
     rows = len(payloads)
-    m = Models(rows, kinds)
+    m = Models(rows, kinds, low_bits)
     steps = block if rows > 1 else n
-    words = np.zeros((rows, max(map(len, payloads)) // 4 + 4), np.uint64)
+    words = np.zeros((rows, max(map(len, payloads)) // 4 + 4), np.uint32)
     for i, p in enumerate(payloads):
         words[i, : len(p) // 4] = np.frombuffer(p, "<u4")
-    flat, base, used = words.ravel(), m.at * words.shape[1], np.full(rows, 2)
-    code = words[:, 0] << WORD | words[:, 1]
-    low, size = np.zeros(rows, np.uint64), np.full(rows, (1 << 64) - 1, np.uint64)
-    out = np.zeros((steps, rows), np.int64)
-    last = words.shape[1] - 1
-
-    def take(start: np.ndarray, width: np.ndarray, r: np.ndarray) -> None:
-        nonlocal low, size
-        low = low + start.astype(np.uint64) * r
-        size = width.astype(np.uint64) * r
-        same = (low ^ (low + size)) <= LOW
-        go = np.flatnonzero(same | (size < BOTTOM))
+    flat, base, used = words.ravel(), np.arange(rows) * words.shape[1], np.full(rows, 2)
+    code = words[:, 0].astype(np.uint64) << WORD | words[:, 1]  # less the start of the interval
+    size, end = np.full(rows, (1 << 64) - 1, np.uint64), words.shape[1] - 1
+    out, other = np.zeros((steps, rows), np.int32), np.zeros((steps, rows), bool)
+    first, last, full = np.uint64(CHANCE), np.uint64(SPREAD + low_bits), 1 << SPREAD + low_bits
+    at_spread = np.arange(rows) << SPREAD
+    one, two = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+
+    def shift() -> None:
+        go = np.flatnonzero(size < BOTTOM)
         if len(go):
-            own = low[go]
-            size[go] = np.where(same[go], size[go], (~own + np.uint64(1)) & (BOTTOM - np.uint64(1))) << WORD
-            code[go] = code[go] << WORD | flat[base[go] + np.minimum(used[go], last)]
-            used[go] += 1
-            low[go] = own << WORD
-
-    full, bits = 1 << LAST, max(1, kinds.bit_length())
-    for t in range(steps):
-        m.predict()
-        r = size >> np.uint64(CHANCE)
-        at = np.minimum((code - low) // r, np.uint64((1 << CHANCE) - 1)).astype(np.int64)
-        edge = m.f2 + m.f1
-        hit2 = at < m.f2
-        hit1 = ~hit2 & (at < edge)
-        other = at >= edge
-        take(np.where(hit2, 0, np.where(hit1, m.f2, edge)), np.where(hit2, m.f2, np.where(hit1, m.f1, (1 << CHANCE) - edge)), r)
-        r = size >> np.uint64(LAST)
-        at = np.minimum((code - low) // r, np.uint64(full - 1)).astype(np.int64)
-        high = np.zeros(rows, np.int64)  # the last kind whose bound is not above
-        for b in range(bits - 1, -1, -1):
-            try_at = high + (1 << b)
-            fits = try_at < kinds
-            fits &= m.flat[m.row_bound + np.where(fits, try_at, 0)] <= at >> BITS
-            high = np.where(fits, try_at, high)
-        start = m.flat[m.row_bound + high]
-        width = m.flat[m.row_bound + high + 1] - start
-        part = np.minimum((at - (start << BITS)) // width, (1 << BITS) - 1)
-        take(np.where(other, (start << BITS) + part * width, 0), np.where(other, width, full), r)
-        v = np.where(hit2, m.c2, np.where(hit1, m.c1, high << BITS | part))
-        m.learn(v, hit2, hit1, other)
-        out[t] = v
+            at = used[go]
+            code[go] = code[go] << WORD | flat[base[go] + np.minimum(at, end)]
+            used[go] = at + 1
+            size[go] <<= WORD
+
+    edges = sorted({0, steps, *(r for r in REBUILDS if r < steps)})
+    for t0, t1 in zip(edges, edges[1:]):
+        spread = m.rebuild()
+        kind_at = np.repeat(np.tile(np.arange(kinds, dtype=np.int16), rows), m.widths.ravel())
+        for t in range(t0, t1):
+            c2, c1, f2, f1 = m.predict(*m.slots(one, two))
+            r = size >> first
+            d = np.minimum(code // r, np.uint64((1 << CHANCE) - 1)).view(np.int64)
+            edge = f2 + f1
+            hit2, none = d < f2, d >= edge
+            hit1 = ~(hit2 | none)
+            start, width = intervals(hit2, hit1, f2, f1)
+            code -= start * r
+            size = width * r
+            if low_bits > 8:
+                shift()
+            r = size >> last
+            d = np.minimum(code // np.maximum(r, np.uint64(1)), np.uint64(full - 1)).view(np.int64)
+            kind = kind_at[at_spread + (d >> low_bits)].astype(np.int64)
+            own = spread[m.row_kind + kind]
+            each, begin = own & 0xFFFF, own >> 16 << low_bits
+            part = np.minimum((d - begin) // each, (1 << low_bits) - 1)
+            code -= ((begin + part * each) * none).view(np.uint64) * r
+            size = np.where(none, each, full).view(np.uint64) * r
+            shift()
+            v = np.where(hit2, c2, np.where(hit1, c1, ((kind << low_bits) + part).astype(np.int32)))
+            other[t] = none
+            out[t] = v
+            m.learn(v, hit2, hit1)
+            one, two = v.astype(np.int64), one
+        m.count(out[t0:t1], other[t0:t1])
     return np.ascontiguousarray(out.T).ravel()[:n]
 
 
 def write_shard(ids: np.ndarray) -> bytes:
-    """A shard of non-negative 32-bit ids."""
+    """A shard of non-negative ids below 2^22."""
     block = int(np.clip(len(ids) // 1024, 256, 4096))
-    kinds = (int(ids.max(initial=0)) >> BITS) + 1
-    if kinds > 1 << 14:
-        raise ValueError("ids of 2^22 and more do not fit the format")
-    payloads = encode_blocks(ids, block) if len(ids) else []
+    most = int(ids.max(initial=0))
+    low_bits = max(8, most.bit_length() - 8)
+    kinds = (most >> low_bits) + 1
+    if most >> 22 or ids.min(initial=0) < 0:
+        raise ValueError("ids below 0, of 2^22 and more do not fit the format")
+    payloads = encode_blocks(ids, block, kinds, low_bits) if len(ids) else []
     table = b"".join(struct.pack("<II", len(p), zlib.crc32(p)) for p in payloads)
-    return HEADER.pack(MAGIC, VERSION, kinds, len(ids), block, len(payloads)) + table + b"".join(payloads)
+    return HEADER.pack(MAGIC, VERSION, low_bits, kinds, len(ids), block, len(payloads)) + table + b"".join(payloads)
 
 
 def read_shard(shard: bytes) -> np.ndarray:
-    magic, version, kinds, n, block, blocks = HEADER.unpack_from(shard)
+    magic, version, low_bits, kinds, n, block, blocks = HEADER.unpack_from(shard)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a shard of this format")
     at, payloads = HEADER.size + 8 * blocks, []
@@ -204,7 +252,7 @@ def read_shard(shard: bytes) -> np.ndarray:
         if len(payloads[-1]) != size or zlib.crc32(payloads[-1]) != crc:
             raise ValueError(f"block {i} is damaged")
         at += size
-    return decode_blocks(payloads, n, block, kinds).astype(np.int32) if blocks else np.zeros(0, np.int32)
+    return decode_blocks(payloads, n, block, kinds, low_bits) if blocks else np.zeros(0, np.int32)
 
 
 def write_documents(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
