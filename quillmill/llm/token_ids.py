@@ -10,15 +10,14 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Stretches whose ids a task keeps, at most: the older half goes when the newer one is full.
-WORDS = 400_000
-#: Longer stretches are not kept.
-LONG = 64
+#: Stretches whose ids a task keeps, about, and ids kept for each: beyond them it starts anew.
+WORDS, EACH = 600_000, 8
 #: Stretches that the library takes at once.
 JOINED = 256
 #: Characters that are split at once, about.
@@ -38,48 +37,47 @@ class Encoder:
         vocabulary = self.lib.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that begin with a space
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        self.half = max(1, words // 2)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.most = max(1, words)
+        self.forget()
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        out = []
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.width = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after another, and their numbers of ids."""
+        out = [np.zeros(0, np.int32)]
         for k in range(0, len(texts), 8192):
-            out += [np.array(e.ids, np.int32).tobytes() for e in self.lib.encode_batch_fast(texts[k : k + 8192], add_special_tokens=False)]
-        return out
+            out += [np.array(e.ids, np.int32) for e in self.lib.encode_batch_fast(texts[k : k + 8192], add_special_tokens=False)]
+        return np.concatenate(out), np.fromiter(map(len, out[1:]), np.int64, len(texts))
 
-    def spaced_out(self, stretches: list[str]) -> list[bytes]:
-        """Ids of each stretch behind a space. The library takes `JOINED` at once: only their spaces begin tokens."""
-        out = []
+    def spaced_out(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As `whole`, of each stretch behind a space. The library takes `JOINED` at once: only their spaces begin tokens."""
+        out, widths = [], []
         for k in range(0, len(stretches), JOINED):
             part = stretches[k : k + JOINED]
-            ids = np.array(self.lib.encode(" " + " ".join(part), add_special_tokens=False).ids, np.int32)
+            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.int32)
             starts = np.flatnonzero(self.spaced[ids])
+            width = np.diff(starts, append=len(ids))
             if len(starts) != len(part):  # not a byte-level vocabulary
-                out += self.whole([" " + w for w in part])
-                continue
-            data, edges = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
-            out += [data[a:z] for a, z in zip(edges, edges[1:])]
-        return out
-
-    def words(self, stretches: list[str]) -> list[bytes]:
-        """Ids of each of these distinct stretches behind a space."""
-        found = [self.new.get(w) for w in stretches]
-        missing = []
-        for i, f in enumerate(found):
-            if f is None:
-                kept = self.old.get(stretches[i])
-                if kept is None:
-                    missing.append(i)
-                else:
-                    found[i] = self.new[stretches[i]] = kept
-        for i, ids in zip(missing, self.spaced_out([stretches[i] for i in missing])):
-            found[i] = ids
-            if len(stretches[i]) <= LONG:
-                self.new[stretches[i]] = ids
-        if len(self.new) > self.half:
-            self.old, self.new = self.new if len(self.new) <= 2 * self.half else {}, {}
-        return found
+                ids, width = self.whole([" " + w for w in part])
+            out.append(ids)
+            widths.append(width)
+        return np.concatenate(out), np.concatenate(widths)
+
+    def words(self, stretches: list[str]) -> np.ndarray:
+        """Places in the pool of these distinct stretches behind a space."""
+        if len(self.known) > self.most or len(self.pool) > EACH * self.most:
+            self.forget()
+        at = np.fromiter(map(self.known.get, stretches, repeat(-1)), np.int64, len(stretches))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            names, n = [stretches[i] for i in missing.tolist()], len(self.width)
+            ids, width = self.spaced_out(names)
+            self.pool, self.width = np.concatenate([self.pool, ids]), np.concatenate([self.width, width])
+            self.known.update(zip(names, range(n, n + len(names))))
+            at[missing] = n + np.arange(len(names))
+        return at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """int32 ids of each text as the library gives them."""
@@ -99,19 +97,18 @@ class Encoder:
         numbered = split.flatten().dictionary_encode()
         index = numbered.indices.to_numpy().astype(np.int64)
         # a text's first stretch has no space before it: the library takes it alone, and it holds its place as number -1
-        heads = self.whole([t.split(" ", 1)[0] if c else t for t, c in zip(texts, cut)])
+        heads, head_width = self.whole([t.split(" ", 1)[0] if c else t for t, c in zip(texts, cut)])
         named = np.ones(len(index), bool)
         named[offsets[:-1]] = False
         seen = np.zeros(len(numbered.dictionary), bool)
         seen[index[named]] = True
         number = np.cumsum(seen) - 1
-        pieces = self.words(numbered.dictionary.filter(pa.array(seen)).to_pylist())
-        n = len(pieces)
-        index = np.where(named, number[index], 0)
+        places = self.words(numbered.dictionary.filter(pa.array(seen)).to_numpy(zero_copy_only=False).tolist())
+        n = len(self.width)
+        index = np.where(named, places[number[index]], 0) if len(places) else index
         index[offsets[:-1]] = n + np.arange(len(texts))
-        pieces += heads
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
-        pool = np.frombuffer(b"".join(pieces), np.int32)
+        sizes = np.concatenate([self.width, head_width])
+        pool = np.concatenate([self.pool, heads])
         width = sizes[index]
         ends = np.cumsum(width)
         ids = pool[np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - width), width) + np.arange(ends[-1])]
