@@ -30,7 +30,7 @@ HEADER = struct.Struct("<4sBBHQII")
 #: Ids of a shard, about; a document never spans two shards.
 SHARD = 1 << 21
 #: Fixed values of the format: slots of a prediction table, bits of a chance and of order 0, bounds of a chance.
-SLOTS, CHANCE, SPREAD, LEAST, MOST = 1024, 12, 12, 16, 3800
+SLOTS, CHANCE, SPREAD, LEAST, MOST = 512, 12, 12, 16, 3800
 #: Steps after which order 0 is rebuilt.
 REBUILDS = [1 << k for k in range(5, 20)]
 #: Steps whose intervals the encoder computes together.
@@ -59,7 +59,7 @@ class Models:
         bounds = total * ((1 << SPREAD) - self.kinds) // total[:, -1:] + np.arange(1, self.kinds + 1)
         bounds[:, -1] = 1 << SPREAD
         self.widths = np.diff(bounds, axis=1, prepend=0)
-        self.spread = ((bounds - self.widths) << 16 | self.widths).ravel()
+        self.spread = ((bounds - self.widths) << 16 | self.widths).ravel().astype(np.int32)
         return self.spread
 
     def count(self, ids: np.ndarray, other: np.ndarray) -> None:
@@ -150,7 +150,7 @@ def encode_blocks(ids: np.ndarray, block: int, kinds: int, low_bits: int) -> lis
         start, width = intervals(hit2[:k], hit1[:k], f2[:k], f1[:k])
         other = ~(hit2[:k] | hit1[:k])
         m.count(v, other)
-        own = spread[m.row_kind + (v >> low_bits)]
+        own = spread[m.row_kind + (v >> low_bits)].astype(np.int64)
         each = own & 0xFFFF
         start2 = np.where(other, (own >> 16 << low_bits) + (v & (1 << low_bits) - 1) * each, 0).view(np.uint64)
         width2 = np.where(other, each, 1 << SPREAD + low_bits).view(np.uint64)
@@ -197,7 +197,7 @@ def decode_blocks(payloads: list[bytes], n: int, block: int, kinds: int, low_bit
     edges = sorted({0, steps, *(r for r in REBUILDS if r < steps)})
     for t0, t1 in zip(edges, edges[1:]):
         spread = m.rebuild()
-        kind_at = np.repeat(np.tile(np.arange(kinds, dtype=np.int16), rows), m.widths.ravel())
+        kind_at = np.repeat(np.tile(np.arange(kinds, dtype=np.uint8), rows), m.widths.ravel())
         for t in range(t0, t1):
             c2, c1, f2, f1 = m.predict(*m.slots(one, two))
             r = size >> first
@@ -213,7 +213,7 @@ def decode_blocks(payloads: list[bytes], n: int, block: int, kinds: int, low_bit
             r = size >> last
             d = np.minimum(code // np.maximum(r, np.uint64(1)), np.uint64(full - 1)).view(np.int64)
             kind = kind_at[at_spread + (d >> low_bits)].astype(np.int64)
-            own = spread[m.row_kind + kind]
+            own = spread[m.row_kind + kind].astype(np.int64)
             each, begin = own & 0xFFFF, own >> 16 << low_bits
             part = np.minimum((d - begin) // each, (1 << low_bits) - 1)
             code -= ((begin + part * each) * none).view(np.uint64) * r
