@@ -33,30 +33,91 @@ MARKS = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer colophon sidebar aside widget widgets cookie cookies consent gdpr notice notices banner popup modal overlay alert newsletter subscribe subscription signup login ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion share sharing social comment comments commentlist reply replies respond disqus related recommended recommendations form search searchbox pagination pager toolbar skip contentinfo complementary dialog".split()
 )
 WORDS = re.compile(r"[a-z]+")
+#: Words after a mark that leave it one ("share-box"), those that only do without other words ("share-wrapper"), and
+#: those that tell about a page with or without the furniture ("no-sidebar").
+PARTS = set("bar bars block blocks bottom box button buttons feed icon icons item items left link links list panel right slot top unit".split())
+WRAPS = set("area container group holder inner outer section wrap wrapper".split())
+STATES = set("no not non with without has have is enabled disabled on off open closed".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 class Node:
-    __slots__ = ("name", "parent", "drop", "main", "label", "parts", "hash")
+    __slots__ = ("name", "parent", "mark", "drop", "main", "label", "parts", "hash")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool, main: bool, label: str):
-        self.name, self.parent, self.drop, self.main, self.label = name, parent, drop, main, label
+    def __init__(self, name: str, parent: Node | None, mark: int, main: bool, label: str):
+        self.name, self.parent, self.mark, self.drop, self.main, self.label = name, parent, mark, False, main, label
         self.parts: list[Node | str | None] = []  # children, text, and None where a block ends
         self.hash = 0
 
 
-def _furniture(name: str, attributes: dict[str, str], inside_main: bool) -> bool:
-    if name in DROP or (name == "header" and not inside_main) or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    if "display:none" in attributes.get("style", "").replace(" ", ""):
-        return True
-    if name in ("html", "body", "main", "article", "h1"):
+#: What markup says of an element: nothing, furniture unless the page's own text is in it, never shown.
+PLAIN, MARKED, HIDDEN = 0, 1, 2
+
+
+def _is_mark(token: str, inside_main: bool) -> bool:
+    """Whether one class, id or role names furniture: its last word does, apart from words for parts and wrappers."""
+    ws = WORDS.findall(token)
+    if not STATES.isdisjoint(ws):
+        return False
+    n, wrapped = len(ws), False
+    while n > 1 and (ws[n - 1] in PARTS or ws[n - 1] in WRAPS):
+        n, wrapped = n - 1, wrapped or ws[n - 1] in WRAPS
+    if n == 0 or ws[n - 1] not in MARKS or (inside_main and ws[n - 1] == "header"):
         return False
-    return any(not MARKS.isdisjoint(WORDS.findall(attributes[k])) for k in ("class", "id", "role") if k in attributes)
+    return not wrapped or MARKS.issuperset(ws[:n])
+
+
+def _mark(name: str, attributes: dict[str, str], inside_main: bool) -> int:
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
+        return HIDDEN
+    if name in DROP or (name == "header" and not inside_main):
+        return HIDDEN if name in ("head", "select", "option") else MARKED
+    if name in ("html", "body", "main", "article", "h1"):
+        return PLAIN
+    return MARKED if any(_is_mark(t, inside_main) for k in ("class", "id", "role") if k in attributes for t in attributes[k].split()) else PLAIN
+
+
+def _settle(made: list[Node]) -> None:
+    """Sets drop. A marked element stays if it holds the page's main element, its only h1, or its article.
+
+    Articles in marked elements are cards or comments if an article with text lies outside of them, or if the text
+    outside is longer than theirs. `made` has parents before their children.
+    """
+    out = {}  # nodes outside of marked and hidden elements
+    for n in made:
+        out[n] = n.mark == PLAIN and (n.parent is None or out[n.parent])
+    inside = {"article", "main", "h1"}
+    if any(n.mark == MARKED for n in made):
+        holds: dict[Node, set[str]] = {}
+        size: dict[Node, int] = {}  # characters of text, without hidden elements
+        plain: dict[Node, int] = {}  # characters of text outside of marked elements
+        for n in reversed(made):
+            own = sum(len(x.strip()) for x in n.parts if isinstance(x, str)) if n.mark != HIDDEN else 0
+            size[n] = own + size.get(n, 0) if n.mark != HIDDEN else 0
+            plain[n] = own + plain.get(n, 0) if out[n] else 0
+            kinds = holds.setdefault(n, set())
+            if n.mark == HIDDEN:
+                kinds.clear()
+            elif n.name in inside or n.main and not (n.parent and n.parent.main):
+                kinds.add(n.name if n.name in inside else "main")
+            if n.parent is not None:
+                size[n.parent] = size.get(n.parent, 0) + size[n]
+                plain[n.parent] = plain.get(n.parent, 0) + plain[n]
+                holds.setdefault(n.parent, set()).update(kinds)
+        h1 = any(out[n] and n.name == "h1" for n in made)
+        article = any(out[n] and n.name == "article" and plain[n] for n in made)
+        for n in made:
+            if n.mark == MARKED:
+                kinds = holds[n]
+                if "main" in kinds or ("h1" in kinds and not h1) or ("article" in kinds and not article and size[n] >= plain[made[0]]):
+                    n.mark = PLAIN
+    for n in made:
+        n.drop = n.mark != PLAIN or (n.parent is not None and n.parent.drop)
 
 
 def parse(page: str) -> Node:
-    root = here = Node("", None, False, False, "")
+    root = here = Node("", None, PLAIN, False, "")
+    made = [root]
     for m in TOKEN.finditer(page):
         t = m[0]
         if t[0] != "<" or t == "<":
@@ -96,12 +157,14 @@ def parse(page: str) -> Node:
                     here = at.parent
         found = {a.lower(): v.strip("\"'").lower() for a, v in ATTRIBUTE.findall(t[n.end() : -1])}
         main = here.main or name in ("article", "main") or found.get("role") == "main"
-        child = Node(name, here, here.drop or _furniture(name, found, here.main), main, f"{name}.{found.get('class', '')}#{found.get('id', '')}")
+        child = Node(name, here, _mark(name, found, here.main), main, f"{name}.{found.get('class', '')}#{found.get('id', '')}")
         if name in BLOCK:
             here.parts.append(None)
         here.parts.append(child)
+        made.append(child)
         if not t.endswith("/>") or name in BLOCK:
             here = child
+    _settle(made)
     return root
 
 

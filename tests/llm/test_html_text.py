@@ -24,6 +24,25 @@ def test_extract(page, want):
     assert html_text.extract(page) == want
 
 
+@pytest.mark.parametrize("attribute", ["class='content with-sidebar'", "class=no-sidebar", "class='post comments-enabled'", "class=article-share-wrapper", "id=related-work", "class=sidebar", "id=comments"])
+@pytest.mark.parametrize("inner", ["<article><p>Text</p></article>", "<main><p>Text</p></main>", "<h1>Text</h1>"])
+def test_what_holds_the_text_stays(attribute, inner):
+    assert html_text.extract(f"<body><div class=nav>Menu</div><div {attribute}><section {attribute}>{inner}</section></div></body>") == "Text"
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<p>a</p><div class='no-sidebar'><p>b</p></div><div id='related-work'><p>c</p></div>", "a\nb\nc"),
+    ("<p>a</p><div class='left-sidebar'>x</div><div class='share-wrapper'>y</div><div class='x comments'>z</div><div class='menu-item'>w</div>", "a"),
+    ("<article><p>Post</p><div class='comments'><article>First!</article></div></article><div class='related'><article>Card, longer than the post</article></div>", "Post"),
+    ("<main><p>A post without an article</p><div class='comments'><article>First!</article></div></main>", "A post without an article"),
+    ("<article><div class='entry-header'><h2>T</h2></div><p>b</p></article>", "T\nb"),
+    ("<form id=aspnetForm><article>a</article></form>", "a"),
+    ("<div hidden><h1>no</h1></div><p>a</p>", "a"),
+])
+def test_furniture_by_whole_tokens(page, want):
+    assert html_text.extract(page) == want
+
+
 def test_deep_and_long_pages():
     assert html_text.extract("<div>" * 20_000 + "x") == "x"
     assert len(html_text.extract("<p>word " * 100_000)) == 500_000 - 1
