@@ -1,10 +1,12 @@
 """Main text of web pages; site templates are found by counting hashed subtrees over the pages of each host.
 
 A page is read into elements and blocks. Rules take away what is furniture by its markup (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments). Every element that is left is hashed with its subtree,
-Spark counts, for each host, in how many pages with different main texts each hash occurs, and subtrees recurring in
-at least `share` of them, `least` at least, are deleted too. Pages with the same main text count once, so that copies
-of an article don't make it a template.
+sidebars, notices, adverts, forms, scripts, styles, comments). Every block element that is left is hashed with its
+subtree, Spark counts, for each host, in how many different texts each hash occurs, and subtrees recurring in at least
+`share` of them, `least` at least, are deleted too. Copies and near copies of an article count once, so that they don't
+make it a template: pages with the same main text are one, and a page of whose word pairs less than OWN are found on no
+other text of its host is a near copy, which counts together with those that agree on the least hash of the other pairs.
+A page whose template is that much longer than its own text looks the same; then the template stays, and no text is lost.
 
 Defined results: null and empty html give an empty text; broken markup is read as far as it goes; repeated rows each
 get a row; an empty table gives an empty result; pages without a host form a host of their own.
@@ -18,9 +20,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.plans.scratch import materialize
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?](?:[^>"']|"[^"]*"|'[^']*')*+>|<[a-zA-Z/!?][^>]*+(?:>|\Z)|[^<]+|<""", re.S | re.I)
 NAME = re.compile(r"</?\s*([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -217,7 +222,7 @@ def blocks(tops: list[Node], templates: frozenset[int] | set[int] = frozenset())
             end()
         elif isinstance(x, str):
             now.append(x)
-        elif not x.drop and not (x.hash and x.hash in templates):
+        elif not x.drop and not (x.hash and x.name in BLOCK and x.hash in templates):
             todo += [*([None] if x.name in BLOCK else []), *reversed(x.parts)]
         elif x.name in BLOCK:
             end()
@@ -225,8 +230,23 @@ def blocks(tops: list[Node], templates: frozenset[int] | set[int] = frozenset())
     return out
 
 
-def subtrees(page: str) -> tuple[int, list[int]]:
-    """Hash of the main text, and of each element below the main one (all different, without empty ones)."""
+#: Word pairs of a page in its sketch, about (all of a shorter page's, under twice as many of any), and the share of them
+#: that makes a text its own. A changed word makes two pairs, which no sketch takes for a text of its own.
+SKETCH, OWN = 24, 0.15
+
+
+def sketch(texts: list[str]) -> list[int]:
+    """Hashes of the word pairs within blocks, of long pages those below a limit that halves with twice the pairs."""
+    found = set()
+    for t in texts:
+        ws = t.split()
+        found.update(map(xxhash.xxh64_intdigest, map(" ".join, zip(ws, ws[1:])) if len(ws) > 1 else ws))
+    level = max(0, (len(found) // SKETCH).bit_length() - 1)
+    return sorted(x - (1 << 63) for x in found if not x >> (64 - level))[:63]
+
+
+def subtrees(page: str) -> tuple[int, list[int], list[int]]:
+    """Hash of the main text, of each block element below the main one (all different, without empty ones), and sketch."""
     tops = _main(parse(page))
     for t in tops:
         _hash(t)
@@ -234,9 +254,11 @@ def subtrees(page: str) -> tuple[int, list[int]]:
     while todo:
         n = todo.pop()
         if isinstance(n, Node) and not n.drop:
-            found.add(n.hash)
+            if n.name in BLOCK:
+                found.add(n.hash)
             todo += n.parts
-    return _signed("\n".join(blocks(tops))), sorted(found - {0})
+    texts = blocks(tops)
+    return _signed("\n".join(texts)), sorted(found - {0}), sketch(texts)
 
 
 def extract(page: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
@@ -247,18 +269,30 @@ def extract(page: str, templates: frozenset[int] | set[int] = frozenset()) -> st
     return "\n".join(blocks(tops, templates))
 
 
-def site_templates(pages: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame:
-    """(host, hash): subtrees that recur across the pages of a host, of which there are `least` at least."""
+def site_templates(pages: DataFrame, share: float = 0.25, least: int = 5) -> DataFrame:
+    """(host, hash): block subtrees that recur across the texts of a host, of which there are `least` at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [subtrees(p or "") for p in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=["host", "main", "hashes"])
-
-    found = pages.select("host", "html").mapInArrow(run, "host string, main long, hashes array<long>")
-    # one row for the page itself (hash 0) and one for each subtree; pages with one main text fall together
-    rows = found.select("host", "main", F.explode(F.concat("hashes", F.array(F.lit(0).cast("long")))).alias("hash")).distinct()
-    counts = rows.groupBy("host", "hash").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
+            columns = [b.column(0), pa.array([g[0] for g in got], pa.int64()), *(pa.array([g[i] for g in got], pa.list_(pa.int64())) for i in (1, 2))]
+            yield pa.record_batch(columns, names=["host", "main", "hashes", "sketch"])
+
+    found = materialize(pages.select("host", "html").mapInArrow(run, "host string, main long, hashes array<long>, sketch array<long>"), "html-subtrees")
+    found = found.select("host", F.xxhash64("host", "main").alias("main"), "hashes", "sketch")
+    # pages with one main text have one sketch: a pair of words that one text alone has tells that text
+    pairs = found.select("host", "main", F.posexplode("sketch").alias("at", "pair")).select(F.xxhash64("host", "pair").alias("pair"), "main", "at")
+    alone = pairs.groupBy("pair").agg(F.min("main").alias("main"), F.max("main").alias("other"), F.min("at").alias("at")).where("main = other")
+    own = alone.groupBy("main").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("own"))
+    mask = F.coalesce("own", F.lit(0).cast("long"))
+    near = F.bit_count(mask) < OWN * F.size("sketch")
+    shared = F.array_min(F.filter("sketch", lambda x, i: F.getbit(mask, i) == 0))
+    named = found.groupBy("main").agg(F.first("host").alias("host"), F.first("sketch").alias("sketch")).join(own, "main", "left")
+    named = named.select("main", "host", F.when(near, shared).otherwise(F.col("main")).alias("text"))
+    # one row for the text itself (hash 0) and one for each subtree; copies and near copies fall together
+    rows = found.select("main", F.explode(F.concat("hashes", F.array(F.lit(0).cast("long")))).alias("hash")).distinct()
+    rows = rows.join(named, "main").select("host", "text", "hash").distinct()
+    counts = materialize(rows.groupBy("host", "hash").agg(F.count("*").alias("texts")).where(F.col("texts") >= least), "html-counts")
     totals = counts.where("hash = 0").select("host", F.col("texts").alias("all_texts"))
     return counts.where("hash <> 0").join(totals, "host").where(F.col("texts") >= share * F.col("all_texts")).select("host", "hash")
 
@@ -267,7 +301,7 @@ def site_templates(pages: DataFrame, share: float = 0.5, least: int = 5) -> Data
 TABLE = 50_000
 
 
-def main_text(pages: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame:
+def main_text(pages: DataFrame, share: float = 0.25, least: int = 5) -> DataFrame:
     """pages (page_id, url, html) → page_id, url, text, n_chars."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
@@ -279,7 +313,7 @@ def main_text(pages: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame
             table.setdefault(h, set()).add(x)
         pages = pages.withColumn("templates", F.lit(None).cast("array<long>"))
     else:
-        of = found.groupBy("host").agg(F.collect_set("hash").alias("templates"))  # at most all subtrees that recur in half a host's pages
+        of = found.groupBy("host").agg(F.collect_set("hash").alias("templates"))  # at most all subtrees that recur in a quarter of a host's texts
         pages = pages.join(of.hint("merge"), "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from quillmill.llm import html_text
@@ -62,3 +64,29 @@ def test_templates_of_a_host_go_and_copies_stay(spark, most, monkeypatch):
     want += [(200, "Read more stories\nz", 19), (201, "", 0), (202, "q", 1), (203, "", 0)]
     assert got == want
     assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_near_copies_make_no_template(spark):
+    rng = random.Random(5)
+    prose = lambda n: [f"w{rng.randint(0, 9_999)}" for _ in range(n)]
+    page = lambda title, ps, bar="": f"<article><h1>{title}</h1>{bar}" + "".join(f"<p>{' '.join(p)}</p>" for p in ps) + "</article>"
+    text = lambda title, ps: "\n".join([title, *(" ".join(p) for p in ps)])
+    rows, want = [], {}
+
+    def add(host, title, ps, bar=""):
+        rows.append((len(rows), f"http://{host}.example/{len(rows)}", page(title, ps, bar)))
+        want[len(rows) - 1] = text(title, ps)
+
+    for host, copies, others in (("few", 5, 3), ("hot", 200, 20)):  # one word changed, in any paragraph
+        story = [prose(30) for _ in range(6)]
+        for i in range(copies):
+            ps = [list(p) for p in story]
+            ps[i % 6][i % 30] = f"changed{i}"
+            add(host, "Story", ps)
+        for i in range(others):
+            add(host, f"Other {i}", [prose(40)])
+    for i in range(30):  # a bar on a third of the pages goes; a recurring inline word stays
+        add("bars", f"Title {i}", [[*prose(20), "<b>always</b>", *prose(9)]], "<div><p>More from this section</p></div>" if i % 3 == 0 else "")
+    want = {k: v.replace("<b>", "").replace("</b>", "") for k, v in want.items()}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == want
