@@ -5,6 +5,8 @@ subsequence is kept, and the gaps between them are aligned the same way, after e
 Coverage is the share of the template's words that are aligned. Where a template may lie is found losslessly: at
 coverage c at most (1 - c) * m of its m words are missing, so one of any floor((1 - c) * m) + 1 of its word positions
 is there; the positions of the longest words are looked up in the text, and a window around each hit is aligned.
+The phrases that name a license and its version must be in the text whole, whatever the coverage: a template with such
+phrases is looked up by them, and only what stands between them is aligned.
 
 Defined results: null and empty texts have no license and give no row; repeated rows each get their rows; texts are
 scanned whole, whatever their length; an empty table gives an empty result; other columns are not read.
@@ -19,7 +21,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 #: Statements and notices of public licenses, by SPDX identifier.
@@ -39,8 +40,55 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     ],
     "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+#: Phrases that name a license: a template that holds one is found only where the phrase stands whole.
+NAMES: dict[str, list[str]] = {
+    "Apache-2.0": ["Apache License, Version 2.0"],
+    "BSD-3-Clause": ["Neither the name"],
+    "MIT": ["MIT License"],
+    "MPL-2.0": ["Mozilla Public License, v. 2.0"],
+    "Unlicense": ["public domain"],
+}
+#: Phrases that tell another license where one of them stands in the hit or in the AFTER words that follow it.
+OTHERS = {"BSD-2-Clause": ["Neither the name", "All advertising materials"], "BSD-3-Clause": ["All advertising materials"]}
+AFTER = 150
+
+
+def _add(license: str, names: list[str], texts: list[str], identifiers: tuple[str, ...] = ()) -> None:
+    tags = [f"SPDX-License-Identifier: {x}" for x in (license, *identifiers)]
+    NAMES.setdefault(license, []).extend(names + tags)
+    TEMPLATES.setdefault(license, []).extend(texts + tags)
+
+
+for _l, _names in {
+    "Apache-2.0": ["Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License"], "MIT": [], "ISC": ["ISC License"], "Unlicense": ["The Unlicense"], "BSD-2-Clause": ["BSD 2-Clause License", "BSD-2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "BSD-3-Clause License"], "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+    "Zlib": ["zlib License"], "BSL-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0"], "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, Version 2.0", "Eclipse Public License v2.0"], "0BSD": ["BSD Zero Clause License"],
+}.items():
+    _add(_l, _names, [f"Licensed under the {x}." for x in _names])
+for _l, _name, _versions in (("GPL", "GNU General Public License", ("2", "3")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3")), ("AGPL", "GNU Affero General Public License", ("3",))):
+    for _v in _versions:
+        _id = f"{_l}-{_v if '.' in _v else _v + '.0'}"
+        _said = [x for v in dict.fromkeys((_v, _v if "." in _v else _v + ".0")) for x in (f"{_name}, version {v}", f"{_name} v{v}", f"{_name} {v}")]
+        _terms = f"is free software: you can redistribute it and/or modify it under the terms of the {_name} as published by the Free Software Foundation, either version {_v} of the License, or (at your option) any later version."
+        _add(_id, [_name, f"version {_v}", *_said], [f"This work is licensed under the {x}." for x in _said] + [f"This program {_terms}"], (f"{_id}-only", f"{_id}-or-later", f"{_id}+"))
+for _kind, _long in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items():
+    for _v in ("2.0", "2.5", "3.0", "4.0"):
+        _said = [f"CC {_kind} {_v}", f"CC-{_kind}-{_v}", f"Creative Commons {_long} {_v}"]
+        _add(f"CC-{_kind}-{_v}", _said, [f"Licensed under {_said[0]}.", f"Licensed under {_said[1]}.", f"Licensed under the {_said[2]} International License."])
+_add("CC0-1.0", ["CC0 1.0"], ["Licensed under CC0 1.0.", "CC0 1.0 Universal"])
+#: The title lines of whole license texts.
+for _l, _title in {
+    "GPL-2.0": "GNU General Public License Version 2, June 1991", "GPL-3.0": "GNU General Public License Version 3, 29 June 2007", "LGPL-2.1": "GNU Lesser General Public License Version 2.1, February 1999", "LGPL-3.0": "GNU Lesser General Public License Version 3, 29 June 2007",
+    "AGPL-3.0": "GNU Affero General Public License Version 3, 19 November 2007", "Apache-2.0": "Apache License Version 2.0, January 2004", "MPL-2.0": "Mozilla Public License Version 2.0", "MIT": "The MIT License", "ISC": "The ISC License", "BSD-3-Clause": "BSD 3-Clause License", "BSD-2-Clause": "BSD 2-Clause License",
+}.items():
+    TEMPLATES[_l].append(_title)
 
 
 def words(text: str) -> list[str]:
@@ -84,25 +132,65 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _places(phrase: list[str], text: list[str], start: int, end: int) -> Iterator[int]:
+    n = len(phrase)
+    return (i for i in range(max(0, start), min(end, len(text)) - n + 1) if text[i] == phrase[0] and text[i : i + n] == phrase)
+
+
 class Template:
-    def __init__(self, name: str, text: str, coverage: float):
+    def __init__(self, name: str, text: str, coverage: float, names: list[str] = [], others: list[str] = []):
         self.name, self.words, self.coverage = name, words(text), coverage
+        self.others = [words(x) for x in others]
         m = len(self.words)
-        need = min(m, int((1 - coverage) * m + 1e-9) + 1)
+        self.slack = m // 4 + 2
+        #: Runs of word positions (first, end) that must be in the text whole.
+        named = {j for x in names if (p := words(x)) for i in _places(p, self.words, 0, m) for j in range(i, i + len(p))}
+        self.runs: list[tuple[int, int]] = []
+        for j in sorted(named):
+            if self.runs and self.runs[-1][1] == j:
+                self.runs[-1] = (self.runs[-1][0], j + 1)
+            else:
+                self.runs.append((j, j + 1))
         #: Positions of which at least one is in any text that covers enough of the template.
         self.keys: dict[str, list[int]] = {}
+        if self.runs:
+            first = max(range(*self.runs[0]), key=lambda j: (len(self.words[j]), -j))
+            self.keys[self.words[first]] = [first]
+            return
+        need = min(m, int((1 - coverage) * m + 1e-9) + 1)
         for j in sorted(range(m), key=lambda j: (-len(self.words[j]), j))[:need]:
             self.keys.setdefault(self.words[j], []).append(j)
-        self.slack = m // 4 + 2
+
+    def _around(self, text: list[str], at: int) -> list[tuple[int, int]]:
+        """Pairs of an alignment in which the first run stands at word `at` of the text, each next one where it comes next."""
+        m, (a, b) = len(self.words), self.runs[0]
+        if text[at : at + b - a] != self.words[a:b]:
+            return []
+        start, end = max(0, at - a - self.slack), at - a + m + self.slack
+        out = [(start + i, j) for i, j in align(text[start:at], self.words[:a])]
+        out += [(at + k, a + k) for k in range(b - a)]
+        here, done = at + b - a, b
+        for x, y in self.runs[1:]:
+            i = next(_places(self.words[x:y], text, here, end), None)
+            if i is None:
+                return []
+            out += [(here + p, done + q) for p, q in align(text[here:i], self.words[done:x])]
+            out += [(i + k, x + k) for k in range(y - x)]
+            here, done = i + y - x, y
+        return out + [(here + p, done + q) for p, q in align(text[here:end], self.words[done:])]
 
     def find(self, text: list[str], places: dict[str, list[int]]) -> list[tuple[float, int, int]]:
         """(coverage, first word, words) of each place; of overlapping ones the best stays."""
         m, hits = len(self.words), []
-        windows = {max(0, i - j - self.slack) for w, js in self.keys.items() for i in places.get(w, ()) for j in js}
-        for at in sorted(windows):
-            got = align(text[at : at + m + 2 * self.slack], self.words)
-            if len(got) >= self.coverage * m - 1e-9 and got[-1][0] - got[0][0] + 1 <= m + self.slack:
-                hits.append((len(got) / m, at + got[0][0], got[-1][0] - got[0][0] + 1))
+        if self.runs:
+            found = (self._around(text, i - j + self.runs[0][0]) for w, (j,) in self.keys.items() for i in places.get(w, ()) if i - j + self.runs[0][0] >= 0)
+        else:
+            windows = {max(0, i - j - self.slack) for w, js in self.keys.items() for i in places.get(w, ()) for j in js}
+            found = ([(at + i, j) for i, j in align(text[at : at + m + 2 * self.slack], self.words)] for at in sorted(windows))
+        for got in found:
+            if got and len(got) >= self.coverage * m - 1e-9 and got[-1][0] - got[0][0] + 1 <= m + self.slack:
+                if not any(i is not None for x in self.others for i in [next(_places(x, text, got[0][0], got[-1][0] + AFTER), None)]):
+                    hits.append((len(got) / m, got[0][0], got[-1][0] - got[0][0] + 1))
         out: list[tuple[float, int, int]] = []
         for c, a, n in sorted(hits, key=lambda h: (-h[0], h[1])):
             if all(a + n <= x or a >= x + y for _, x, y in out):
@@ -113,21 +201,20 @@ class Template:
 def scan_texts(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, coverage: float = 0.8) -> DataFrame:
     """docs (doc_id, text) → one row for each document and license found: doc_id, license, coverage (the best),
     first_word and n_words (where that is), places (how many)."""
-    known = [Template(name, t, coverage) for name, ts in templates.items() for t in ts]
-    keys = sorted({w for t in known for w in t.keys})
-    # lossless: a text without any of the key words covers no template
-    some = docs.select("doc_id", "text").where(F.col("text").rlike("(?iu)" + "|".join(map(re.escape, keys))))
-    keep = set(keys)
+    known = [Template(name, t, coverage, NAMES.get(name, []), OTHERS.get(name, [])) for name, ts in templates.items() for t in dict.fromkeys(ts)]
+    keep = {w for t in known for w in t.keys}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ws, places = words(text), {}
+                ws, places = words(text or ""), {}
+                if keep.isdisjoint(ws):  # lossless: a text without any of the key words covers no template
+                    continue
                 for i, w in enumerate(ws):
                     if w in keep:
                         places.setdefault(w, []).append(i)
-                hits = [(c, a, n, t) for t in known for c, a, n in t.find(ws, places)]
+                hits = [(c, a, n, t) for t in known if not places.keys().isdisjoint(t.keys) for c, a, n in t.find(ws, places)]
                 best: dict[str, tuple] = {}
                 taken: list[tuple[int, int]] = []
                 for c, a, n, t in sorted(hits, key=lambda h: (-h[0], -len(h[3].words), h[1], h[3].name)):
@@ -140,7 +227,7 @@ def scan_texts(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, cov
             yield pa.record_batch([pa.array(v, t) for v, t in zip(cols, (b.schema.field(0).type, pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "license", "coverage", "first_word", "n_words", "places"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return some.mapInArrow(run, f"doc_id {kind}, license string, coverage double, first_word long, n_words long, places long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, license string, coverage double, first_word long, n_words long, places long")
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:

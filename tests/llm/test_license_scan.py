@@ -29,3 +29,22 @@ def test_documents(spark, awkward, empty):
     assert 0.8 <= got[2, "MIT"].coverage < 1 and got[2, "MIT"].first_word >= 40_000
     assert ls.scan_texts(df).count() == len(got) + 1
     assert ls.scan_texts(awkward).count() == 0 and ls.scan_texts(empty).count() == 0
+
+
+def test_look_alikes(spark):
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    bsd3 = ls.TEMPLATES["BSD-3-Clause"][0]
+    lines = {
+        "Released under the BSD License.": None, "Released under the MIT License.": "MIT", "Released under the ISC License.": "ISC", "Released under the mat License.": None,
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY 3.0.": "CC-BY-3.0", "Licensed under CC BY 5.0.": None, "Licensed under CC0 1.0.": "CC0-1.0",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0", "Licensed under the Apache License, Version 1.1.": None, lgpl: "LGPL-2.1", lgpl.replace("2.1", "2"): None,
+        lgpl.replace("Lesser", "Affero").replace("2.1", "3"): "AGPL-3.0", ls.TEMPLATES["ISC"][0]: "ISC", ls.TEMPLATES["Unlicense"][0]: "Unlicense", bsd3: "BSD-3-Clause", bsd3[: bsd3.index(" Neither")]: "BSD-2-Clause",
+        "Released under the BSD 3-Clause License.": "BSD-3-Clause", "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "SPDX-License-Identifier: Foo": None, "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007 Copyright": "GPL-3.0",
+    }
+    df = spark.createDataFrame([(f"{x}",) for x in lines], "text string").selectExpr("text as doc_id", "'some words. ' || text || ' More words' as text")
+    got = {}
+    for r in ls.scan_texts(df).collect():
+        assert r.doc_id not in got, (r, got[r.doc_id])
+        got[r.doc_id] = r.license
+    assert {x: got.get(x) for x in lines} == lines
