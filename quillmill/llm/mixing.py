@@ -5,19 +5,20 @@ source leaves goes to the others by weight, until none is above its limit. A sou
 is taken floor(r) times whole, and documents in seeded hash order give the fraction that is left.
 
 Defined results: a null text has size 0; rows with a null source form a source of their own, last in the order;
-repeated rows are separate documents; an empty table gives an empty result; sources without words get target 0.
+repeated rows are separate documents; ids may be null (the
+text then gives the place in the order) or shared by documents; an empty table gives an empty result; sources without words get target 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.plans.prefix import range_offsets
-from quillmill.plans.scratch import materialize
+from quillmill.plans.scratch import ROW_KEY, materialize, with_row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in one bucket of the hash order, about; only a source's last, split bucket is ordered row by row.
@@ -72,26 +73,25 @@ def _take(sizes: list[int], goal: float, extra: list[int], at: list[int]) -> flo
     return goal - left
 
 
-def _fill(rows: pd.DataFrame) -> pd.DataFrame:
+def _fill(rows: pa.Table) -> pa.Table:
     """Documents in hash order until what the source lacks is filled: first the share of the long ones, whose sizes
     leave gaps, then the others."""
-    rows = rows.sort_values(["_h", "doc_id", "size"], kind="stable").reset_index(drop=True)
-    sizes, goal, extra = rows["size"].tolist(), float(rows["_left"].iloc[0]), [0] * len(rows)
+    rows = rows.sort_by([(c, "ascending") for c in ("_h", "doc_id", "size", *ROW_KEY) if c in rows.column_names])
+    sizes, goal, extra = rows["size"].to_pylist(), float(rows["_left"][0].as_py()), [0] * len(rows)
     long = [i for i, n in enumerate(sizes) if 50 * n > goal]
     got = _take(sizes, goal * sum(sizes[i] for i in long) / max(1, sum(sizes)), extra, long)
     _take(sizes, goal - got, extra, [i for i, n in enumerate(sizes) if 50 * n <= goal])
-    rows["extra"] = pd.Series(extra, dtype="int64")
-    return rows
+    return rows.append_column("extra", pa.array(extra, pa.int64()))
 
 
-def mix(docs: DataFrame, weight: Callable[[Column], Column], max_epochs: float = 3.0, share: float = 1.0, seed: int = 42) -> DataFrame:
-    """doc_id, source, size, source_size, target, times (repetitions of the document) and taken (= times * size).
+def mix(docs: DataFrame, weight: Callable[[Column], Column], max_epochs: float = 3.0, share: float = 1.0, seed: int = 42, carry: list[str] = []) -> DataFrame:
+    """doc_id, source, size, source_size, target, times (repetitions of the document), taken (= times * size) and `carry`.
 
     No task holds a whole source: the hash order is cut into buckets whose sums tell which are taken whole; only the
     bucket in which a source's fraction ends, of about BUCKET documents whatever the source's size, is walked through.
     """
-    h = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    slim = materialize(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), h.alias("_h")), "mix")
+    h = F.xxhash64(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(seed))  # nulls leave a hash as it is
+    slim = materialize(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), h.alias("_h"), *carry), "mix")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     goal = materialize(targets(sizes, weight, max_epochs, share), "targets")
     goal = goal.withColumn("whole", _whole(F.col("target"), F.col("source_size")))
@@ -112,19 +112,19 @@ def mix(docs: DataFrame, weight: Callable[[Column], Column], max_epochs: float =
     marked = rows.join(fate, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("bucket") == F.col("f_bucket"))).drop("f_source", "f_bucket")
     split = marked.where("extra is null").drop("extra")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in split.schema)
-    filled = split.groupBy("source").applyInPandas(_fill, f"{fields}, extra long")
+    filled = split.groupBy("source").applyInArrow(_fill, f"{fields}, extra long")
     out = marked.where("extra is not null").unionByName(filled)
     times = F.col("whole") + F.col("extra")
-    return out.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), *carry)
 
 
 def repeat_documents(docs: DataFrame, weight: Callable[[Column], Column], **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; documents that it leaves out go.
-
-    docs must have one row for each doc_id (a repeated row would take its twin's repetitions too).
-    """
-    taken = materialize(mix(docs, weight, **options).where("times > 0").select("doc_id", F.col("times").alias("_times")), "mix-times")
-    rows = docs.join(taken.hint("merge"), "doc_id")
+    """The rows of docs, each as often as the mix takes it; documents that it leaves out go. Ids need not be unique."""
+    keyed = with_row_key(docs)
+    taken = mix(keyed, weight, carry=ROW_KEY, **options).where("times > 0").groupBy(*ROW_KEY).agg(F.sum("times").alias("_times"))
+    # equal rows share a key: one of them takes the repetitions of all
+    first = keyed.withColumn("_twin", F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy(ROW_KEY[0]))).where("_twin = 1")
+    rows = first.join(materialize(taken, "mix-times").hint("merge"), ROW_KEY)
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
 
 

@@ -7,7 +7,8 @@ fingerprint is replicated to all anchors within covering radius + half the half'
 each linked pair meets at an anchor at least once. All 64 bits are compared there.
 
 Defined results: null, empty and blank texts have fingerprint 0 and link to one another; repeated rows each get a row;
-an empty table gives an empty result; columns other than doc_id and text are not read, whatever their names.
+a null doc_id comes after all others, and a component of such rows alone has a null component_id; different texts may
+share a doc_id; an empty table gives an empty result; near_duplicates reads no columns but doc_id and text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.components import connected_components
-from quillmill.plans.scratch import materialize
+from quillmill.plans.scratch import ROW_KEY, materialize, with_row_key
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Fingerprints compared in one call at most; fuller anchors are cut into pairs of such chunks.
@@ -45,16 +46,16 @@ def fingerprint(text: bytes | None, n: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > total).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, n: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) for every row of docs (doc_id, text)."""
+def fingerprints(docs: DataFrame, n: int = 4, seed: int = 42, carry: list[str] = []) -> DataFrame:
+    """(doc_id, fp long) and the long columns `carry` for every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [fingerprint(t.as_py(), n, seed) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *carry])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.encode("text", "UTF-8").alias("text"), *carry).mapInArrow(run, ", ".join([f"doc_id {kind}, fp long", *(f"{c} long" for c in carry)]))
 
 
 def _coset_masks() -> list[list[int]]:
@@ -126,22 +127,31 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     return groups.select(F.explode(forest("members")).alias("e")).select("e.a", "e.b").distinct()
 
 
+def _rooted(of: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, first, root): the distinct fingerprints of `of`, their smallest doc_id and the root of their component."""
+    distinct = materialize(of.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    roots = connected_components(links(distinct.select("fp"), max_bits))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = 4, n: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable over links)."""
     of = materialize(fingerprints(docs, n, seed), "simhash")
-    distinct = materialize(of.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = connected_components(links(distinct.select("fp"), max_bits))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(of, max_bits)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialize(named.join(least, "root").select("fp", "component_id"), "simhash-components")
     return of.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, one document of each component: the one with the smallest doc_id; a repeated row stays once."""
-    found = near_duplicates(docs, **options)
-    kept = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "simhash-kept")
-    rows = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, max_bits: int = 4, n: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of docs, one of each component: the one with the smallest doc_id, rows without one last; among equal
+    ids the least row key decides, so the same rows stay in any run. Ids need not be unique; a repeated row stays once."""
+    keyed = with_row_key(docs)
+    of = materialize(fingerprints(keyed, n, seed, ROW_KEY), "simhash")
+    named = materialize(_rooted(of, max_bits).select("fp", "root"), "simhash-components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)
+    kept = of.join(named, "fp").groupBy("root").agg(F.min(order).alias("best")).select(*(f"best.{k}" for k in ROW_KEY)).distinct()
+    rows = keyed.join(materialize(kept, "simhash-kept").hint("merge"), ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)
     return rows.select(*docs.columns)
 
 

@@ -6,6 +6,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
+
+#: Columns that with_row_key adds.
+ROW_KEY = ["_row_a", "_row_b"]
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Adds 128 bits of hash over the whole row, nulls included: rows agree on them exactly if they are equal. (Map
+    columns, which can't be hashed, don't count.)"""
+    cells = [x for f in df.schema if not isinstance(f.dataType, MapType) for x in (F.col(f"`{f.name}`"), F.col(f"`{f.name}`").isNull())]
+    return df.withColumns({k: F.xxhash64(F.lit(i), *cells) for i, k in enumerate(ROW_KEY)})
 
 
 def shared_dir(spark: SparkSession) -> str:

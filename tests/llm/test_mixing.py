@@ -55,3 +55,16 @@ def test_clamped_sources(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "tiny" if i < 2 else "big") for i in range(40)], "doc_id long, text string, source string")
     got = {r.source: r.target for r in mixing.mix(docs, mixing.cycle_weights([1, 50])).collect()}
     assert got == pytest.approx({"tiny": 60.0, "big": 340.0})
+
+
+def test_null_and_shared_ids_are_repeated_row_by_row(spark):
+    big = (1 << 60) + 1
+    rows = [(None, "a b c", "x"), (None, "d e", "x"), (7, "f g h i", "x"), (7, "j", "x"), (big, "k l", "x"), (big, "k l", "x"), (1, "m n o", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share in (1.0, 0.6, 2.0):
+        taken = mixing.mix(df, mixing.cycle_weights([1]), share=share).collect()
+        got = mixing.repeat_documents(df, mixing.cycle_weights([1]), share=share).collect()
+        assert len(taken) == len(rows) and len(got) == sum(r.times for r in taken)
+        assert {r.doc_id for r in taken} == {None, 7, big, 1}
+        count = lambda items: {k: items.count(k) for k in items}
+        assert count([(r.doc_id, len(r.text.split())) for r in got]) == count([(r.doc_id, r.size) for r in taken for _ in range(r.times)])

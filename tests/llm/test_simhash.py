@@ -69,3 +69,13 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def test_null_and_shared_ids_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    big = (1 << 60) + 1
+    rows = [(None, text(1), "a"), (None, text(2), "b"), (None, text(2), "b"), (7, text(3), "a"), (7, text(4), "a"), (None, text(3), "a"), (big, text(5), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = {(None, text(1), "a"), (None, text(2), "b"), (7, text(3), "a"), (7, text(4), "a"), (big, text(5), None)}
+    got = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert len(got) == len(want) and set(got) == want
