@@ -1,19 +1,24 @@
 """Token ids as compressed binary shards: an adaptive context-mixing range coder over independent, checksummed blocks.
 
-For each id, tables under the last two ids (order 2) and the last id (order 1) each predict one id, and adaptive counts
-of the ids' high parts (order 0) spread the rest. The chances that the order-2 prediction holds, kept by its record and
-by whether order 1 agrees, are mixed; so each id takes one coding step if a prediction holds and two if none does. All
-of it is learnt again in every block, so a block can be read alone; a shard's blocks are coded side by side in numpy.
+Each id has three predictions. Order 2 by the block's own history: the id that last followed the same two ids, in use
+while it has held lately; the chance that it holds mixes, in the logistic domain and with weights learnt in the block,
+how often it held in this state with what the counts say of it. Counts under the last two ids where they are frequent,
+else under the last one, else under none; they hold frequent ids only. Order 0 over the ids that the counts leave out.
+The counts are those of the whole shard and stand in its head, so every block starts from them and can be read alone;
+history, chances and weights start anew in every block. A shard's blocks are coded side by side in numpy.
 
-Shard format, little-endian: b"QMID", version u8, bits of the low part u8, high parts u16, ids u64, ids of a block u32,
-blocks u32; for each block its payload's bytes u32 and crc32 u32; then the payloads, 32-bit words each.
+Shard format, little-endian: the fixed head (HEADER), the packed documents (an Arrow stream of doc_id and length) and
+the packed counts; for each block its payload's bytes u32 and crc32 u32; crc32 of all that u32; the payloads, 32-bit words
+each.
 
 Defined results: a null text is encoded as empty and so holds the end id alone; documents with equal doc_id follow one
-another; rows without doc_id come first; an empty table writes no shard; a damaged block raises ValueError.
+another; rows without doc_id come first; texts of any length are one document of one shard; columns other than doc_id
+and text are not read; an empty table writes no shard; a damaged block or head raises ValueError.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,297 +30,462 @@ from pyspark.sql import functions as F
 
 from quillmill.plans.scratch import materialize
 
-MAGIC, VERSION = b"QMID", 2
-HEADER = struct.Struct("<4sBBHQII")
+MAGIC, VERSION = b"QMID", 3
+#: Magic, version, bits of order 0, ids, ids of a block, blocks, bytes of the documents and of the counts.
+HEADER = struct.Struct("<4sBBQIIII")
 #: Ids of a shard, about; a document never spans two shards.
-SHARD = 1 << 21
-#: Fixed values of the format: slots of a prediction table, bits of a chance and of order 0, bounds of a chance.
-SLOTS, CHANCE, SPREAD, LEAST, MOST = 512, 12, 12, 16, 3800
-#: Steps after which order 0 is rebuilt.
-REBUILDS = [1 << k for k in range(5, 20)]
-#: Steps whose intervals the encoder computes together.
+SHARD = 1 << 23
+#: Blocks of a shard, about, and the least and most ids of one. Many short blocks side by side keep numpy busy.
+ROWS, SHORT, LONG = 4096, 256, 1024
+#: Fixed values of the format: frequent ids (the last stands for all others), contexts of two ids at most, slots of a
+#: block's history, bits of a chance, of a count, and of a mixing weight.
+KINDS, PAIRS, SLOTS, CHANCE, COUNT, WEIGHT = 2048, 2047, 512, 12, 10, 16
+#: Counts of a context below this are left to order 0: in the head they cost more than they save.
+LEAST = 4
+#: States (the last three outcomes of the history, as bits) in which it is in use, and the logits they begin with.
+IN_USE = np.array([0, 0, 0, 1, 0, 1, 1, 1], bool)
+BEGIN = np.array([-550, -320, -270, 80, -150, 270, 190, 500])
+#: Positions that the encoder looks up together.
 CHUNK = 64
 WORD, BOTTOM, LOW = np.uint64(32), np.uint64(1 << 32), np.uint64(0xFFFFFFFF)
-
-
-class Models:
-    """Predictions of `rows` blocks, all at the same position. A row's chances are 16 by record and history of order 2,
-    4 by agreement with order 1 and 4 of order 1, in a stretch of 32."""
-
-    def __init__(self, rows: int, kinds: int, low_bits: int):
-        self.rows, self.kinds, self.low_bits = rows, kinds, low_bits
-        at = np.arange(rows)
-        self.slot = at * SLOTS
-        self.one, self.two = np.zeros(rows * SLOTS, np.int32), np.zeros(rows * SLOTS, np.int32)  # two: id * 4 + record
-        self.chance = np.tile(np.array([200, 1200, 2400, 3200] * 4 + [1000] * 4 + [600] * 4 + [0] * 8), rows)
-        self.r0, self.r16, self.r20 = at * 32, at * 32 + 16, at * 32 + 20
-        self.base2, self.base_agree, self.base1 = self.r0, self.r16, self.r20
-        self.held = np.zeros(rows, np.int64)
-        self.counts, self.row_kind = np.ones(rows * kinds, np.int64), at * kinds
-
-    def rebuild(self) -> np.ndarray:
-        """Start << 16 | width of each kind of each row, in units of 2 ** -SPREAD; also their widths."""
-        total = np.cumsum(self.counts.reshape(self.rows, self.kinds), axis=1)
-        bounds = total * ((1 << SPREAD) - self.kinds) // total[:, -1:] + np.arange(1, self.kinds + 1)
-        bounds[:, -1] = 1 << SPREAD
-        self.widths = np.diff(bounds, axis=1, prepend=0)
-        self.spread = ((bounds - self.widths) << 16 | self.widths).ravel().astype(np.int32)
-        return self.spread
-
-    def count(self, ids: np.ndarray, other: np.ndarray) -> None:
-        """Ids (steps, rows) that no prediction held for, towards order 0."""
-        self.counts += 24 * np.bincount((self.row_kind + (ids >> self.low_bits))[other], minlength=len(self.counts))
-
-    def slots(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = last * 40503
-        return self.slot + (h >> 4 & SLOTS - 1), self.slot + ((h ^ before * 60493) * 2654435761 >> 18 & SLOTS - 1)
-
-    def predict(self, i1: np.ndarray, i2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Predictions of orders 2 and 1, and their chances."""
-        self.i1, self.i2 = i1, i2
-        c1, two = self.one[i1], self.two[i2]
-        c2, self.sure = two >> 2, two & 3
-        self.ia, self.ib, self.ic = self.base2 + self.sure, self.base_agree + ((c1 == c2) << 1), self.base1
-        self.a, self.b, self.c = self.chance[self.ia], self.chance[self.ib], self.chance[self.ic]
-        f2 = self.a + self.b >> 1
-        return c2, c1, f2, ((1 << CHANCE) - f2) * self.c >> CHANCE
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        goal = hit2 * (MOST - LEAST) + LEAST
-        self.chance[self.ia] = self.a + (goal - self.a >> 4)
-        self.chance[self.ib] = self.b + (goal - self.b >> 4)
-        self.chance[self.ic] = self.c + ((hit1 * (MOST - LEAST) + LEAST - self.c >> 4) * ~hit2)
-        self.one[self.i1] = ids
-        self.two[self.i2] = (ids << 2) + np.minimum(self.sure + 1, 3) * hit2  # int32, as ids are
-        self.held = (self.held << 1 & 2) + hit2
-        self.base2, self.base_agree, self.base1 = self.r0 + (self.held << 2), self.r16 + hit2, self.r20 + self.held
-
-
-def intervals(hit2: np.ndarray, hit1: np.ndarray, f2: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width of the first coding step."""
-    start = (f2 + f1 * ~hit1) * ~hit2
-    width = np.where(hit2, f2, np.where(hit1, f1, (1 << CHANCE) - start))
-    return start.view(np.uint64), width.view(np.uint64)
-
-
-def encode_blocks(ids: np.ndarray, block: int, kinds: int, low_bits: int) -> list[bytes]:
-    """Payload of each run of `block` ids."""
+FULL = 1 << CHANCE
+_p = np.arange(FULL) + 0.5
+#: Logit of a chance in 256ths, and back.
+STRETCH = np.rint(np.log(_p / (FULL - _p)) * 256).astype(np.int64)
+MIDDLE = 2047
+SQUASH = np.clip(np.rint(FULL / (1 + np.exp(-np.arange(-MIDDLE, MIDDLE + 1) / 256))), 32, FULL - 32).astype(np.int64)
+
+
+def _spread(counts: np.ndarray, owner: np.ndarray, total: int) -> np.ndarray:
+    """Whole shares of `total`, 1 at least, of the counts of each owner (sorted); what is left goes to its greatest one."""
+    if not len(counts):
+        return counts
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    sizes = np.diff(first, append=len(owner))
+    sums = np.add.reduceat(counts, first)
+    share = counts * np.repeat(total - sizes, sizes) // np.repeat(sums, sizes) + 1
+    top = np.lexsort((-counts, owner))[first]
+    share[top] += total - np.add.reduceat(share, first)
+    return share
+
+
+class Counts:
+    """What a shard's head knows: `top` (frequent ids), `singles` and `pairs` (contexts), for each context's slot the
+    chance that it holds the id and its ids' shares, and the shares of order 0."""
+
+    def __init__(self, parts: list[np.ndarray], bits: int):
+        self.parts, self.bits = parts, bits
+        self.top, self.singles, self.pairs, chance, held, kind, share, self.rare, rare_share = parts
+        slots = 1 + len(self.singles) + len(self.pairs)
+        one = np.zeros(KINDS, np.int16)
+        one[self.singles] = 1 + np.arange(len(self.singles))
+        self.slot = np.repeat(one, KINDS)
+        self.slot[self.pairs] = 1 + len(self.singles) + np.arange(len(self.pairs))
+        self.chance = chance.astype(np.int64)
+        owner = np.repeat(np.arange(slots), held)
+        self.entries, n = owner * KINDS + kind, len(kind)
+        upto = np.cumsum(share)
+        # shares of a slot add up to 1 << COUNT, so empty slots are taken out of the running sum
+        start = upto - share - ((np.cumsum(held > 0) - 1)[owner] << COUNT)
+        end0 = np.cumsum(rare_share)
+        #: Of each entry, start << 32 | width; entries are those of the slots, of order 0, and then the frequent ids alone.
+        self.width = np.concatenate([share, rare_share])
+        self.span = (np.concatenate([start, end0 - rare_share]) << 32 | self.width).astype(np.uint64)
+        self.ids = np.concatenate([self.top[kind], self.rare, self.top]).astype(np.int32)
+        self.kinds = np.concatenate([kind, self.kind_of(self.rare), np.arange(len(self.top))]).astype(np.int16)
+        self.first_rare, self.first_top = n, n + len(self.rare)
+
+    def kind_of(self, ids: np.ndarray) -> np.ndarray:
+        if not len(self.top):
+            return np.full(len(ids), KINDS - 1)
+        order = np.argsort(self.top)
+        at = order[np.minimum(np.searchsorted(self.top, ids, sorter=order), len(order) - 1)]
+        return np.where(self.top[at] == ids, at, KINDS - 1)
+
+    def entry_of(self) -> np.ndarray:
+        """Entry of each (slot, kind), -1 where there is none."""
+        out = np.full(len(self.chance) * KINDS, -1, np.int32)
+        out[self.entries] = np.arange(len(self.entries))
+        return out
+
+    def places(self) -> np.ndarray:
+        """Entry of each unit of each slot, and then of each unit of order 0."""
+        held = np.bincount(self.entries // KINDS, minlength=len(self.chance)) > 0
+        units = np.zeros((len(held), 1 << COUNT), np.int32)
+        units[held] = np.repeat(np.arange(self.first_rare, dtype=np.int32), self.width[: self.first_rare].astype(np.int64)).reshape(-1, 1 << COUNT)
+        rare = np.repeat(np.arange(self.first_rare, len(self.width), dtype=np.int32), self.width[self.first_rare :].astype(np.int64))
+        return np.concatenate([units.ravel(), rare if len(rare) else np.zeros(1 << self.bits, np.int32)])
+
+    def pack(self) -> bytes:
+        """Rising lists as differences; everything as u32 after the number of values, under zlib."""
+        top, singles, pairs, chance, held, kind, share, rare, rare_share = self.parts
+        lists = [top, np.diff(singles, prepend=0), np.diff(pairs, prepend=0), chance, held, np.diff(kind, prepend=0), share, np.diff(rare, prepend=0), rare_share]
+        raw = b"".join(struct.pack("<I", len(v)) + np.ascontiguousarray(v.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for v in lists)
+        return zlib.compress(raw, 6)
+
+    @classmethod
+    def unpack(cls, packed: bytes, bits: int) -> Counts:
+        raw, at, lists = zlib.decompress(packed), 0, []
+        for _ in range(9):
+            (n,) = struct.unpack_from("<I", raw, at)
+            planes = np.frombuffer(raw, np.uint8, 4 * n, at + 4).reshape(4, n)
+            lists.append(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) if n else np.zeros(0, np.int64))
+            at += 4 + 4 * n
+        for i in (1, 2, 5, 7):
+            lists[i] = np.cumsum(lists[i].astype(np.int32), dtype=np.int64)
+        return cls(lists, bits)
+
+
+def count(x: np.ndarray, n: int) -> tuple[Counts, np.ndarray]:
+    """Counts of the ids x (steps, rows), n but for filling at the end; also slot and kind of each id, as one number."""
+    often = np.bincount(x.ravel())
+    order = np.argsort(-often, kind="stable")[: KINDS - 1]
+    top = order[often[order] > 0]
+    kind_of = np.full(len(often), KINDS - 1, np.int16)
+    kind_of[top] = np.arange(len(top))
+    c = kind_of[x]
+    other = np.full((1, x.shape[1]), KINDS - 1, np.int16)
+    last = np.concatenate([other, c[:-1]])
+    context = (last.astype(np.int32) << 11) + np.concatenate([other, last[:-1]])
+    at_pair = np.bincount(context.ravel(), minlength=KINDS * KINDS)
+    singles = np.flatnonzero(at_pair.reshape(KINDS, KINDS).sum(axis=1) >= max(16, n >> 16))
+    pairs = np.argpartition(-at_pair, PAIRS)[:PAIRS]
+    pairs = np.sort(pairs[at_pair[pairs] >= max(64, n >> 12)])
+    del at_pair
+    one = np.zeros(KINDS, np.int16)
+    one[singles] = 1 + np.arange(len(singles))
+    slot = np.repeat(one, KINDS)
+    slot[pairs] = 1 + len(singles) + np.arange(len(pairs))
+    slots = 1 + len(singles) + len(pairs)
+    key = slot[context].astype(np.int32)
+    key <<= 11
+    key += c
+    seen = np.bincount(key.ravel(), minlength=slots * KINDS)
+    total = seen.reshape(slots, KINDS).sum(axis=1)
+    seen.reshape(slots, KINDS)[:, KINDS - 1] = 0
+    entries = np.flatnonzero(seen >= LEAST)
+    counts, owner = seen[entries], entries // KINDS
+    # no slot has more than 2047 entries; of more than half its units the rarest go to order 0
+    if len(entries) and np.bincount(owner).max() > 1 << COUNT - 1:
+        by = np.lexsort((-counts, owner))
+        rank = np.arange(len(by)) - np.searchsorted(owner[by], owner[by])
+        entries = np.sort(entries[by[rank < 1 << COUNT - 1]])
+        counts, owner = seen[entries], entries // KINDS
+    held = np.bincount(owner, minlength=slots)
+    hits = np.bincount(owner, counts, minlength=slots)
+    keep = np.zeros(slots * KINDS, bool)
+    keep[entries] = True
+    escaped = ~keep[key]
+    rare = np.bincount(x[escaped]) if escaped.any() else np.zeros(0, np.int64)
+    rare_ids = np.flatnonzero(rare)
+    bits = max(16, int(2 * len(rare_ids)).bit_length())
+    chance = np.where(held > 0, np.clip(hits * FULL / np.maximum(total, 1), 1, FULL - (1 << bits - 16)), 0).astype(np.int64)
+    share = _spread(counts, owner, 1 << COUNT)
+    rare_share = _spread(rare[rare_ids], np.zeros(len(rare_ids), np.int64), 1 << bits)
+    return Counts([top, singles, pairs, chance, held, entries % KINDS, share, rare_ids, rare_share], bits), key
+
+
+class History:
+    """The blocks' own order-2 history and its logistic mixer; all blocks stand at the same position."""
+
+    def __init__(self, rows: int):
+        self.kind = np.full(rows * SLOTS, KINDS - 1, np.int16)
+        self.state = np.zeros(rows, np.int64)
+        self.logit = np.tile(BEGIN, rows)
+        self.weight = np.full(rows, 1 << WEIGHT - 2)
+        self.row8, self.place = np.arange(rows) * 8, np.arange(rows) * SLOTS
+
+    def guess(self, go: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """Chances that the guesses of rows `go` hold; `counted`: the chances that the counts give them."""
+        self.go, self.at = go, self.row8.take(go) + self.state.take(go)
+        self.own, self.said = self.logit.take(self.at), STRETCH.take(counted)
+        self.mixed = SQUASH.take(self.own + (self.weight.take(go) * self.said >> WEIGHT) + MIDDLE, mode="clip")
+        return self.mixed
+
+    def learn(self, hit: np.ndarray, t: int) -> None:
+        """Of the guesses just made; the weights learn at every eighth position."""
+        error = (hit << CHANCE) - self.mixed
+        self.logit[self.at] = self.own + (error >> 5)
+        if not t & 7:
+            self.weight[self.go] += error * self.said >> 7
+
+
+def _place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Slot of the history after the kinds a, and b before it."""
+    return (a * 40503 ^ b * 30011) >> 5 & SLOTS - 1
+
+
+def encode_blocks(ids: np.ndarray, block: int) -> tuple[Counts, list[bytes]]:
+    """Counts, and the payload of each run of `block` ids."""
     n, rows = len(ids), -(-len(ids) // block)
-    x = np.zeros(rows * block, np.int32)
-    x[:n] = ids
-    x = np.ascontiguousarray(x.reshape(rows, block).T)
     steps = block if rows > 1 else n
-    m = Models(rows, kinds, low_bits)
+    x = np.full(rows * steps, ids[-1], np.int32)
+    x[:n] = ids
+    x = np.ascontiguousarray(x.reshape(rows, steps).T)
+    m, keys = count(x, n)
+    entry_of, h = m.entry_of(), History(rows)
+    rare_at = np.zeros(int(m.rare[-1]) + 1 if len(m.rare) else 1, np.int32)
+    rare_at[m.rare] = m.first_rare + np.arange(len(m.rare))
     low, size = np.zeros(rows, np.uint64), np.full(rows, (1 << 64) - 1, np.uint64)
-    out, used = np.zeros((rows, 2 * block + 4), np.uint32), np.zeros(rows, np.int64)
+    out, used = np.zeros((rows, steps + 8), np.uint32), np.zeros(rows, np.int64)
     flat, base = out.ravel(), np.arange(rows) * out.shape[1]
-    first, last = np.uint64(CHANCE), np.uint64(SPREAD + low_bits)
+    chance_bits, count_bits, order0 = np.uint64(CHANCE), np.uint64(COUNT), np.uint64(m.bits)
 
-    def add(start: np.ndarray) -> None:
-        nonlocal low
-        low = low + start
-        go = np.flatnonzero(low < start)
+    def carry(go: np.ndarray) -> None:
         back = 1
         while len(go):  # a carry runs back through words of ones
             at = base[go] + used[go] - back
             flat[at] += np.uint32(1)
             go, back = go[flat[at] == 0], back + 1
 
-    def shift() -> None:
-        go = np.flatnonzero(size < BOTTOM)
-        if len(go):
-            own = low[go]
-            at = used[go]
-            flat[base[go] + at] = own >> WORD
-            used[go] = at + 1
-            low[go] = own << WORD
-            size[go] <<= WORD
-
-    before = np.zeros((2, rows), np.int64)
-    edges = sorted({0, steps, *range(0, steps, CHUNK), *(r for r in REBUILDS if r < steps)})
-    f2, f1 = np.zeros((CHUNK, rows), np.int64), np.zeros((CHUNK, rows), np.int64)
-    hit2, hit1 = np.zeros((CHUNK, rows), bool), np.zeros((CHUNK, rows), bool)
-    for t0, t1 in zip(edges, edges[1:]):
-        if t0 == 0 or t0 in REBUILDS:
-            spread = m.rebuild()
-        v, k = x[t0:t1], t1 - t0
-        past = np.concatenate([before, v])
-        before = past[-2:]
-        i1, i2 = m.slots(past[1:-1], past[:-2])
-        for t in range(k):
-            c2, c1, f2[t], f1[t] = m.predict(i1[t], i2[t])
-            np.equal(v[t], c2, out=hit2[t])
-            np.greater(v[t] == c1, hit2[t], out=hit1[t])
-            m.learn(v[t], hit2[t], hit1[t])
-        start, width = intervals(hit2[:k], hit1[:k], f2[:k], f1[:k])
-        other = ~(hit2[:k] | hit1[:k])
-        m.count(v, other)
-        own = spread[m.row_kind + (v >> low_bits)].astype(np.int64)
-        each = own & 0xFFFF
-        start2 = np.where(other, (own >> 16 << low_bits) + (v & (1 << low_bits) - 1) * each, 0).view(np.uint64)
-        width2 = np.where(other, each, 1 << SPREAD + low_bits).view(np.uint64)
-        for t in range(k):
-            r = size >> first
-            begin = start[t] * r
-            size = width[t] * r
-            if low_bits > 8:
-                add(begin)
-                shift()
-                begin = np.uint64(0)
-            r = size >> last
-            size = width2[t] * r
-            add(begin + start2[t] * r)
-            shift()
+    def shift(go: np.ndarray) -> None:
+        own, at = low.take(go), used.take(go)
+        flat[base.take(go) + at] = own >> WORD
+        used[go] = at + 1
+        low[go] = own << WORD
+        size[go] <<= WORD
+
+    past = np.full((2, rows), KINDS - 1, np.int64)
+    for t0 in range(0, steps, CHUNK):
+        key = keys[t0 : t0 + CHUNK]
+        kinds = key & KINDS - 1
+        slot, kinds16 = key >> 11, kinds.astype(np.int16)
+        entry = entry_of.take(key)
+        rare_t, rare_row = np.nonzero(entry < 0)
+        entry[rare_t, rare_row] = rare_at[x[t0 + rare_t, rare_row]]
+        rare_from = np.searchsorted(rare_t, np.arange(len(key) + 1)).tolist()
+        span, chance = m.span.take(entry), m.chance.take(slot)
+        start, width, chance64 = span >> WORD, span & LOW, chance.view(np.uint64)
+        seen = np.concatenate([past, kinds])
+        past, place = seen[-2:], _place(seen[1:-1], seen[:-2]) + h.place
+        known = kinds != KINDS - 1
+        for t in range(len(key)):
+            kind, at = kinds16[t], place[t]
+            old = h.kind.take(at)
+            h.kind[at] = kind
+            held = (old == kind) & known[t]
+            go = np.flatnonzero(IN_USE.take(h.state) & (old != KINDS - 1))
+            done = go[:0]
+            if len(go):
+                e = entry_of.take((slot[t].take(go) << 11) + old.take(go))
+                p = h.guess(go, (e >= 0) * chance[t].take(go) * m.width.take(e, mode="clip") >> COUNT).view(np.uint64)
+                hit, own = held.take(go), size.take(go)
+                bound = (own >> chance_bits) * p
+                begin = bound * ~hit
+                new, from_ = np.where(hit, bound, own - bound), low.take(go) + begin
+                size[go], low[go] = new, from_
+                carry(go[from_ < begin])
+                h.learn(hit, t0 + t)
+                short = go[new < BOTTOM]
+                if len(short):
+                    shift(short)
+                done = go[hit]
+                kept = size.take(done)
+            h.state = (h.state << 1 & 7) + held
+            bound = (size >> chance_bits) * chance64[t]
+            unit = bound >> count_bits
+            begin = start[t] * unit
+            r0, r1 = rare_from[t], rare_from[t + 1]
+            if r0 < r1:
+                rare = rare_row[r0:r1]
+                own = bound.take(rare)
+                unit[rare] = few = size.take(rare) - own >> order0
+                begin[rare] = start[t].take(rare) * few + own
+            size = width[t] * unit
+            if len(done):
+                begin[done], size[done] = 0, kept
+            low += begin
+            over = np.flatnonzero(low < begin)
+            if len(over):
+                carry(over)
+            short = np.flatnonzero(size < BOTTOM)
+            if len(short):
+                shift(short)
     flat[base + used] = low >> WORD
     flat[base + used + 1] = low & LOW
-    return [out[i, : used[i] + 2].astype("<u4").tobytes() for i in range(rows)]
+    return m, [out[i, : used[i] + 2].astype("<u4").tobytes() for i in range(rows)]
 
 
-def decode_blocks(payloads: list[bytes], n: int, block: int, kinds: int, low_bits: int) -> np.ndarray:
+def decode_blocks(m: Counts, payloads: list[bytes], n: int, block: int) -> np.ndarray:
     rows = len(payloads)
-    m = Models(rows, kinds, low_bits)
     steps = block if rows > 1 else n
     words = np.zeros((rows, max(map(len, payloads)) // 4 + 4), np.uint32)
     for i, p in enumerate(payloads):
         words[i, : len(p) // 4] = np.frombuffer(p, "<u4")
-    flat, base, used = words.ravel(), np.arange(rows) * words.shape[1], np.full(rows, 2)
+    flat, end, used = words.ravel(), words.shape[1] - 1, np.full(rows, 2)
+    base = np.arange(rows) * words.shape[1]
     code = words[:, 0].astype(np.uint64) << WORD | words[:, 1]  # less the start of the interval
-    size, end = np.full(rows, (1 << 64) - 1, np.uint64), words.shape[1] - 1
-    out, other = np.zeros((steps, rows), np.int32), np.zeros((steps, rows), bool)
-    first, last, full = np.uint64(CHANCE), np.uint64(SPREAD + low_bits), 1 << SPREAD + low_bits
-    at_spread = np.arange(rows) << SPREAD
-    one, two = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-
-    def shift() -> None:
-        go = np.flatnonzero(size < BOTTOM)
+    size = np.full(rows, (1 << 64) - 1, np.uint64)
+    out = np.zeros((steps, rows), np.int32)
+    entry_of, places, h = m.entry_of(), m.places(), History(rows)
+    chance_bits, count_bits, order0 = np.uint64(CHANCE), np.uint64(COUNT), np.uint64(m.bits)
+    most, most0, first0 = np.uint64((1 << COUNT) - 1), np.uint64((1 << m.bits) - 1), len(m.chance) << COUNT
+    a = b = np.full(rows, KINDS - 1, np.int64)
+
+    def shift(go: np.ndarray) -> None:
+        at = used.take(go)
+        code[go] = code.take(go) << WORD | flat.take(base.take(go) + np.minimum(at, end))
+        used[go] = at + 1
+        size[go] <<= WORD
+
+    for t in range(steps):
+        slot = m.slot.take((a << 11) + b).astype(np.int64)
+        chance = m.chance.take(slot)
+        at = _place(a, b) + h.place
+        old = h.kind.take(at)
+        known = old != KINDS - 1
+        go = np.flatnonzero(IN_USE.take(h.state) & known)
+        done = go[:0]
         if len(go):
-            at = used[go]
-            code[go] = code[go] << WORD | flat[base[go] + np.minimum(at, end)]
-            used[go] = at + 1
-            size[go] <<= WORD
-
-    edges = sorted({0, steps, *(r for r in REBUILDS if r < steps)})
-    for t0, t1 in zip(edges, edges[1:]):
-        spread = m.rebuild()
-        kind_at = np.repeat(np.tile(np.arange(kinds, dtype=np.uint8), rows), m.widths.ravel())
-        for t in range(t0, t1):
-            c2, c1, f2, f1 = m.predict(*m.slots(one, two))
-            r = size >> first
-            d = np.minimum(code // r, np.uint64((1 << CHANCE) - 1)).view(np.int64)
-            edge = f2 + f1
-            hit2, none = d < f2, d >= edge
-            hit1 = ~(hit2 | none)
-            start, width = intervals(hit2, hit1, f2, f1)
-            code -= start * r
-            size = width * r
-            if low_bits > 8:
-                shift()
-            r = size >> last
-            d = np.minimum(code // np.maximum(r, np.uint64(1)), np.uint64(full - 1)).view(np.int64)
-            kind = kind_at[at_spread + (d >> low_bits)].astype(np.int64)
-            own = spread[m.row_kind + kind].astype(np.int64)
-            each, begin = own & 0xFFFF, own >> 16 << low_bits
-            part = np.minimum((d - begin) // each, (1 << low_bits) - 1)
-            code -= ((begin + part * each) * none).view(np.uint64) * r
-            size = np.where(none, each, full).view(np.uint64) * r
-            shift()
-            v = np.where(hit2, c2, np.where(hit1, c1, ((kind << low_bits) + part).astype(np.int32)))
-            other[t] = none
-            out[t] = v
-            m.learn(v, hit2, hit1)
-            one, two = v.astype(np.int64), one
-        m.count(out[t0:t1], other[t0:t1])
+            e = entry_of.take((slot.take(go) << 11) + old.take(go))
+            p = h.guess(go, (e >= 0) * chance.take(go) * m.width.take(e, mode="clip") >> COUNT).view(np.uint64)
+            own, mine = size.take(go), code.take(go)
+            bound = (own >> chance_bits) * p
+            hit = mine < bound
+            new = np.where(hit, bound, own - bound)
+            size[go], code[go] = new, mine - bound * ~hit
+            h.learn(hit, t)
+            short = go[new < BOTTOM]
+            if len(short):
+                shift(short)
+            done = go[hit]
+            kept = size.take(done), code.take(done)
+        bound = (size >> chance_bits) * chance.view(np.uint64)
+        rare = np.flatnonzero(code >= bound)
+        unit = bound >> count_bits
+        slot <<= COUNT
+        if len(rare):
+            own = bound.take(rare)
+            unit[rare] = few = size.take(rare) - own >> order0
+            code[rare] = rest = code.take(rare) - own
+            slot[rare] = first0 + np.minimum(rest // few, most0).view(np.int64)
+        np.maximum(unit, np.uint64(1), out=unit)  # of rows whose guess held: their result is not used
+        d = code // unit
+        np.minimum(d, most, out=d)
+        if len(rare):
+            d[rare] = 0
+        entry = places.take(slot + d.view(np.int64)).astype(np.int64)
+        span = m.span.take(entry)
+        code -= (span >> WORD) * unit
+        size = (span & LOW) * unit
+        if len(done):
+            size[done], code[done] = kept
+            entry[done] = old.take(done).astype(np.int64) + m.first_top
+        short = np.flatnonzero(size < BOTTOM)
+        if len(short):
+            shift(short)
+        kind = m.kinds.take(entry)
+        out[t] = entry
+        h.kind[at] = kind
+        h.state = (h.state << 1 & 7) + ((old == kind) & known)
+        a, b = kind.astype(np.int64), a
+    for t in range(0, steps, CHUNK):
+        out[t : t + CHUNK] = m.ids.take(out[t : t + CHUNK])
     return np.ascontiguousarray(out.T).ravel()[:n]
 
 
-def write_shard(ids: np.ndarray) -> bytes:
-    """A shard of non-negative ids below 2^22."""
-    block = int(np.clip(len(ids) // 1024, 256, 4096))
-    most = int(ids.max(initial=0))
-    low_bits = max(8, most.bit_length() - 8)
-    kinds = (most >> low_bits) + 1
-    if most >> 22 or ids.min(initial=0) < 0:
+def write_shard(ids: np.ndarray, documents: bytes = b"") -> bytes:
+    """A shard of non-negative ids below 2^22, and whatever bytes tell its documents."""
+    if ids.max(initial=0) >> 22 or ids.min(initial=0) < 0:
         raise ValueError("ids below 0, of 2^22 and more do not fit the format")
-    payloads = encode_blocks(ids, block, kinds, low_bits) if len(ids) else []
+    block = int(np.clip(-(-len(ids) // ROWS), SHORT, LONG))
+    m, payloads = encode_blocks(ids, block) if len(ids) else (None, [])
+    packed, counts = zlib.compress(documents), m.pack() if m else b""
     table = b"".join(struct.pack("<II", len(p), zlib.crc32(p)) for p in payloads)
-    return HEADER.pack(MAGIC, VERSION, low_bits, kinds, len(ids), block, len(payloads)) + table + b"".join(payloads)
+    head = HEADER.pack(MAGIC, VERSION, m.bits if m else 16, len(ids), block, len(payloads), len(packed), len(counts)) + packed + counts + table
+    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(payloads)
 
 
-def read_shard(shard: bytes) -> np.ndarray:
-    magic, version, low_bits, kinds, n, block, blocks = HEADER.unpack_from(shard)
-    if magic != MAGIC or version != VERSION:
+def read_shard(shard: bytes) -> tuple[np.ndarray, bytes]:
+    """(ids, the bytes that tell the documents)."""
+    if len(shard) < HEADER.size or shard[:4] != MAGIC or shard[4] != VERSION:
         raise ValueError("not a shard of this format")
-    at, payloads = HEADER.size + 8 * blocks, []
+    _, _, bits, n, block, blocks, packed, counts = HEADER.unpack_from(shard)
+    at = HEADER.size + packed + counts
+    end = at + 8 * blocks + 4
+    if len(shard) < end or zlib.crc32(shard[: end - 4]) != struct.unpack_from("<I", shard, end - 4)[0]:
+        raise ValueError("the head is damaged")
+    documents, payloads = zlib.decompress(shard[HEADER.size : HEADER.size + packed]), []
     for i in range(blocks):
-        size, crc = struct.unpack_from("<II", shard, HEADER.size + 8 * i)
-        payloads.append(shard[at : at + size])
-        if len(payloads[-1]) != size or zlib.crc32(payloads[-1]) != crc:
+        size, own = struct.unpack_from("<II", shard, at + 8 * i)
+        payloads.append(shard[end : end + size])
+        if len(payloads[-1]) != size or zlib.crc32(payloads[-1]) != own:
             raise ValueError(f"block {i} is damaged")
-        at += size
-    return decode_blocks(payloads, n, block, kinds, low_bits) if blocks else np.zeros(0, np.int32)
+        end += size
+    if not blocks:
+        return np.zeros(0, np.int32), documents
+    return decode_blocks(Counts.unpack(shard[HEADER.size + packed : at], bits), payloads, n, block), documents
 
 
 def write_documents(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """Shards of the ids of docs (doc_id, text), an end id after each document, in ascending doc_id order.
 
-    One row for each shard: part and seq (their order), before (ids of the part's earlier shards), doc_ids, lengths,
-    shard. Texts, not ids, are range-partitioned; the rows are written to the shared folder by Spark's own writer.
+    One row for each shard: part and seq (their order), before (ids of the part's earlier shards), ids (its own), shard.
+    Texts, not ids, are range-partitioned; the rows are written to the shared folder by Spark's own writer. A shard
+    itself tells its documents' ids, of whatever type, and lengths.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quillmill.llm.token_ids import encoder
 
-        encode = encoder(path).encode
+        encode, end = encoder(path).encode, np.array([end_id], np.int32)
         names, kept, size, before, seq, part = [], [], 0, 0, 0, None
 
         def flush() -> pa.RecordBatch:
             nonlocal names, kept, size, before, seq
-            shard = write_shard(np.concatenate(kept))
-            row = [[part], [seq], [before], [names], [list(map(len, kept))], [shard]]
+            told = pa.record_batch([pa.concat_arrays(names), pa.array(map(len, kept), pa.int64())], names=["doc_id", "length"])
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, told.schema) as stream:
+                stream.write_batch(told)
+            row = [[part], [seq], [before], [size], [write_shard(np.concatenate(kept), sink.getvalue())]]
             names, kept, before, seq, size = [], [], before + size, seq + 1, 0
-            return pa.record_batch([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], names=["part", "seq", "before", "doc_ids", "lengths", "shard"])
+            return pa.record_batch([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "seq", "before", "ids", "shard"])
 
         for b in batches:
             for k in range(0, b.num_rows, 2048):
                 piece = b.slice(k, 2048)
-                part = piece.column(2)[0].as_py()
-                for name, ids in zip(piece.column(0).to_pylist(), encode([t or "" for t in piece.column(1).to_pylist()])):
-                    names.append(name)
-                    kept.append(np.append(ids, np.int32(end_id)))
+                part, taken = piece.column(2)[0].as_py(), 0
+                for i, ids in enumerate(encode([t or "" for t in piece.column(1).to_pylist()]), 1):
+                    kept.append(np.concatenate([ids, end]))
                     size += len(kept[-1])
                     if size >= SHARD:
+                        names.append(piece.column(0).slice(taken, i - taken))
+                        taken = i
                         yield flush()
+                if taken < piece.num_rows:
+                    names.append(piece.column(0).slice(taken))
         if kept:
             yield flush()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    rows = dealt.withColumn("part", F.spark_partition_id()).mapInArrow(run, "part int, seq int, before long, doc_ids array<long>, lengths array<long>, shard binary")
+    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = dealt.withColumn("part", F.spark_partition_id()).mapInArrow(run, "part int, seq int, before long, ids long, shard binary")
     return materialize(rows, "id-shards")
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, all from the shards' decoded ids."""
-    parts = shards.select("part", (F.col("before") + F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    upto = sorted(map(tuple, parts.groupBy("part").agg(F.max("n")).collect()))  # one row for each partition
-    base = np.cumsum([0] + [n for _, n in upto]).tolist()
-    starts = dict(zip((p for p, _ in upto), base))
+def read_documents(shards: DataFrame, kind: str = "long") -> DataFrame:
+    """doc_id (of type `kind`), start (ids of all documents before it), n_tokens, ids_crc32, from the shards' bytes; only
+    the numbers of ids that come before each shard stand beside them."""
+    parts = shards.groupBy("part").agg(F.sum("ids")).collect()  # one row for each partition
+    upto = sorted(map(tuple, parts))
+    starts = dict(zip((p for p, _ in upto), np.cumsum([0] + [n for _, n in upto]).tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                part, before, names, lengths, shard = (b.column(c)[r].as_py() for c in range(5))
-                ids = read_shard(shard).astype("<u4")
-                ends = np.cumsum(lengths)
-                first = ends - lengths
-                crc = [zlib.crc32(ids[a:z].tobytes()) for a, z in zip(first.tolist(), ends.tolist())]
-                yield pa.record_batch([pa.array(names, pa.int64()), pa.array(first + before + starts[part], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                part, before, shard = (b.column(c)[r].as_py() for c in range(3))
+                ids, told = read_shard(shard)
+                names, lengths = pa.ipc.open_stream(told).read_next_batch().columns
+                ends, raw = np.cumsum(lengths.to_numpy()), ids.astype("<u4", copy=False).data
+                first = ends - lengths.to_numpy()
+                crc = [zlib.crc32(raw[a:z]) for a, z in zip(first.tolist(), ends.tolist())]
+                yield pa.record_batch([names, pa.array(first + before + starts[part], pa.int64()), lengths, pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("part", "before", "doc_ids", "lengths", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "before", "shard").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_id_shards(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return read_documents(write_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return read_documents(write_documents(docs, public_tokenizers.path("byte_bpe_50k.json")), docs.schema["doc_id"].dataType.simpleString())

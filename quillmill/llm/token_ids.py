@@ -1,12 +1,15 @@
-"""Ids of whole texts by the tokenizers library, each distinct stretch of a batch looked up once.
+"""Ids of whole texts by the tokenizers library, each distinct stretch looked up once.
 
 Texts are cut before single spaces, where the pre-tokenizer of byte-level BPE always starts a new piece unless more
 white space follows; others go to the library whole. Arrow splits the texts and numbers their distinct stretches, so
-Python sees a stretch once a batch and the library sees it once while the task remembers it.
+Python sees a stretch once a batch and the library sees it once while the task remembers it. Unknown stretches go to the
+library many at a time: those of Latin letters, ASCII marks and single line ends are cut into pieces here and only
+merged there (its own pre-tokenizer costs about as much as its merges); the others pass its whole pipeline.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -19,15 +22,32 @@ import pyarrow.compute as pc
 #: Stretches whose ids a task keeps, about, and ids kept for each: beyond them it starts anew.
 WORDS, EACH = 600_000, 8
 #: Stretches that the library takes at once.
-JOINED = 256
+JOINED = 512
 #: Characters that are split at once, about.
 BATCH = 8_000_000
+#: Stretches whose ids are put together at once: their arrays stay in the processor's cache.
+SLICE = 1 << 15
+#: A stretch whose pieces are told without the library: letters and the marks after them, twice if a line ends within.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+PLAIN = re.compile(rf"[{LETTERS}]+[{MARKS}]*(?:\n[{LETTERS}]+[{MARKS}]*)?").fullmatch
+PIECES = re.compile(rf" ?[{LETTERS}]+|[{MARKS}]+|\n").findall
+
+
+def byte_letters() -> dict[int, str]:
+    """Characters by which byte-level vocabularies write bytes: printable ones stand for themselves, others count up
+    from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+
+
+#: NUL stays: it cuts pieces.
+WRITTEN = {b: c for b, c in byte_letters().items() if b}
 
 
 class Encoder:
     def __init__(self, path: str, words: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
@@ -39,44 +59,57 @@ class Encoder:
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.most = max(1, words)
         self.forget()
+        self.merger = None
+        said = json.loads(self.lib.to_str())
+        cut, model = said["pre_tokenizer"] or {}, said["model"]
+        plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+        if model["type"] == "BPE" and plain and said["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space"):
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self.merger = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))  # stretches come once: no cache
+            self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\0")
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.pool, self.width = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.pool, self.width = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after another, and their numbers of ids."""
         out = [np.zeros(0, np.int32)]
         for k in range(0, len(texts), 8192):
             out += [np.array(e.ids, np.int32) for e in self.lib.encode_batch_fast(texts[k : k + 8192], add_special_tokens=False)]
-        return np.concatenate(out), np.fromiter(map(len, out[1:]), np.int64, len(texts))
-
-    def spaced_out(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As `whole`, of each stretch behind a space. The library takes `JOINED` at once: only their spaces begin tokens."""
-        out, widths = [], []
-        for k in range(0, len(stretches), JOINED):
-            part = stretches[k : k + JOINED]
-            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.int32)
-            starts = np.flatnonzero(self.spaced[ids])
-            width = np.diff(starts, append=len(ids))
-            if len(starts) != len(part):  # not a byte-level vocabulary
-                ids, width = self.whole([" " + w for w in part])
-            out.append(ids)
-            widths.append(width)
-        return np.concatenate(out), np.concatenate(widths)
+        return np.concatenate(out), np.fromiter(map(len, out[1:]), np.int32, len(texts))
+
+    def _run(self, lib, part: list[str], text: str) -> tuple[np.ndarray, np.ndarray]:
+        """As `whole`, of stretches behind spaces that stand one after another in `text`: only their spaces begin tokens."""
+        ids = np.array(lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(part):  # not a byte-level vocabulary
+            return self.whole([" " + w for w in part])
+        return ids, np.diff(starts, append=len(ids)).astype(np.int32)
+
+    def plain(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = "\0".join(PIECES(" " + " ".join(part)))
+        return self._run(self.merger, part, text.replace(" ", "Ġ").replace("\n", "Ċ") if text.isascii() else text.encode().decode("latin-1").translate(WRITTEN))
+
+    def other(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._run(self.lib, part, " " + " ".join(part))
 
     def words(self, stretches: list[str]) -> np.ndarray:
         """Places in the pool of these distinct stretches behind a space."""
         if len(self.known) > self.most or len(self.pool) > EACH * self.most:
             self.forget()
         at = np.fromiter(map(self.known.get, stretches, repeat(-1)), np.int64, len(stretches))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            names, n = [stretches[i] for i in missing.tolist()], len(self.width)
-            ids, width = self.spaced_out(names)
-            self.pool, self.width = np.concatenate([self.pool, ids]), np.concatenate([self.width, width])
-            self.known.update(zip(names, range(n, n + len(names))))
-            at[missing] = n + np.arange(len(names))
+        names = [stretches[i] for i in np.flatnonzero(at < 0).tolist()]
+        if names:
+            simple = [w for w in names if self.merger and PLAIN(w)]
+            rest = [w for w in names if not (self.merger and PLAIN(w))]
+            found = [(f, ws[k : k + JOINED]) for f, ws in ((self.plain, simple), (self.other, rest)) for k in range(0, len(ws), JOINED)]
+            ids, width = zip((self.pool, self.width), *[f(ws) for f, ws in found])
+            n = len(self.width)
+            self.pool, self.width = np.concatenate(ids), np.concatenate(width)
+            self.known.update(zip(simple + rest, range(n, n + len(names))))
+            missing = np.flatnonzero(at < 0)
+            at[missing] = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
         return at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -95,25 +128,29 @@ class Encoder:
         split = pc.split_pattern(pa.array([t if c else "" for t, c in zip(texts, cut)], pa.large_string()), " ")
         offsets = split.offsets.to_numpy()
         numbered = split.flatten().dictionary_encode()
-        index = numbered.indices.to_numpy().astype(np.int64)
-        # a text's first stretch has no space before it: the library takes it alone, and it holds its place as number -1
+        index = numbered.indices.to_numpy()
+        # a text's first stretch has no space before it: the library takes it alone, behind the pool
         heads, head_width = self.whole([t.split(" ", 1)[0] if c else t for t, c in zip(texts, cut)])
         named = np.ones(len(index), bool)
         named[offsets[:-1]] = False
         seen = np.zeros(len(numbered.dictionary), bool)
         seen[index[named]] = True
-        number = np.cumsum(seen) - 1
-        places = self.words(numbered.dictionary.filter(pa.array(seen)).to_numpy(zero_copy_only=False).tolist())
-        n = len(self.width)
-        index = np.where(named, places[number[index]], 0) if len(places) else index
-        index[offsets[:-1]] = n + np.arange(len(texts))
-        sizes = np.concatenate([self.width, head_width])
-        pool = np.concatenate([self.pool, heads])
-        width = sizes[index]
-        ends = np.cumsum(width)
-        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - width), width) + np.arange(ends[-1])]
-        bounds = ends[offsets[1:] - 1]
-        return np.split(ids, bounds[:-1])
+        places = np.zeros(len(seen), np.int64)
+        places[seen] = self.words(numbered.dictionary.filter(pa.array(seen)).to_numpy(zero_copy_only=False).tolist())
+        sizes, pool = np.concatenate([self.width, head_width]), np.concatenate([self.pool, heads])
+        first = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32)
+        at = places[index]
+        at[offsets[:-1]] = len(self.width) + np.arange(len(texts))
+        width, start = sizes[at], first[at]
+        ends = np.cumsum(width, dtype=np.int64)
+        ids = np.empty(ends[-1], np.int32)
+        for k in range(0, len(at), SLICE):
+            w = width[k : k + SLICE]
+            end = np.cumsum(w, dtype=np.int32)
+            from_ = np.repeat(start[k : k + SLICE] - end + w, w)
+            from_ += np.arange(len(from_), dtype=np.int32)
+            np.take(pool, from_, out=ids[ends[k] - w[0] : ends[k] - w[0] + len(from_)])
+        return np.split(ids, ends[offsets[1:] - 1][:-1])
 
 
 @lru_cache(maxsize=2)
