@@ -2,34 +2,76 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-#: Annotation codes of learner-corpus texts. What keeps its payload, and what goes with it.
-BODY = "([^-]*"
-KEPT = [(rf"\[BQ{BODY})\]", "$1"), (rf"\{{BQ{BODY})\}}", "$1"), (rf"\{{CQ{BODY})\}}", "$1"), (rf"\{{CP{BODY}?)P?\}}", "$1"), (rf"\{{CJ-[a-z]*{BODY})\}}", "$1")]
-DROPPED = [rf"\[(?:BC|BD|#){BODY})\]", rf"\[[CBLDFYPcbldfyp]{BODY})\]", rf"\{{(?:CC|CLH|CD|W|CJ\+|CJ|WWJ){BODY})\}}", rf"\[[A-Z]{BODY})\]", rf"\{{[A-Z]{BODY})\}}"]
-DEPTH = 4
-FULLWIDTH = ("［］｛｝【】", "[]{}[]")
-#: Private characters that stand for a round's innermost brackets, and for literal ones until all markers are gone.
-INNERMOST = ("\ue010\ue011", "\ue012\ue013")
-LITERAL_MARKS = "\ue000\ue001\ue003\ue004"
+from pyspark.sql.types import StringType
+
+#: Annotation codes of learner-corpus texts. Codes whose payload stays, codes that go with it, and the
+#: letters that begin other codes that go. In square brackets these letters count in either case.
+FULLWIDTH = str.maketrans("［］｛｝", "[]{}")
+SQUARE_KEPT, SQUARE_DROPPED = ("BQ",), ("BC", "BD", "#")
+CURLY_KEPT, CURLY_DROPPED = ("CQ", "BQ"), ("CC", "CLH", "CD", "CJ", "WWJ", "BC", "BD", "#")
+LETTERS = "CBLDFYP"
 HIT = "\ue002"
 
 
-def clean_annotations(text: Column) -> Column:
-    """DEPTH rounds, each of which takes the innermost markers: payloads of kept codes stay, dropped codes and unknown
-    upper-case ones go, brackets around other text are literal and stay. Unmatched brackets stay."""
-    out = F.translate(text, *FULLWIDTH)
-    for _ in range(DEPTH):
-        for (left, right), (a, b) in zip(("[]", "{}"), INNERMOST):
-            out = F.regexp_replace(out, rf"\{left}([^\[\]{{}}\ue010-\ue013]*)\{right}", f"{a}$1{b}")
-        for pattern, to in [*KEPT, *((d, "") for d in DROPPED)]:
-            for mark, at in (("\\[", "\ue010"), ("\\]", "\ue011"), ("\\{", "\ue012"), ("\\}", "\ue013")):
-                pattern = pattern.replace(mark, at)
-            out = F.regexp_replace(out, pattern, to)
-        out = F.translate(out, "".join(a + b for a, b in INNERMOST), LITERAL_MARKS)
-    return F.translate(out, LITERAL_MARKS, "[]{}")
+def _marker(text: str, a: int, z: int) -> tuple[str, int, int]:
+    """What becomes of the marker whose brackets stand at a and z: drop, keep (its payload, from and to), or literal."""
+    square, head = text[a] == "[", text[a + 1 : min(z, a + 2)]
+    begins = lambda codes: next((c for c in codes if text.startswith(c, a + 1) and a + len(c) < z), None)
+    if not square and begins(("CP",)):
+        return "keep", a + 3, z - (text[z - 1] == "P" and z - 1 >= a + 3)
+    if not square and begins(("CJ-",)):
+        at = a + 4
+        while at < z and text[at].isascii() and text[at].isalpha():
+            at += 1
+        return "keep", at, z
+    if code := begins(SQUARE_KEPT if square else CURLY_KEPT):
+        return "keep", a + 1 + len(code), z
+    if begins(SQUARE_DROPPED if square else CURLY_DROPPED) or (head and head in LETTERS + (LETTERS.lower() if square else "")):
+        return "drop", z, z
+    if not square and head == "W":
+        follows = text[a + 2 : min(z, a + 3)]
+        if not follows or follows.isdigit() or not follows.islower():
+            return "drop", z, z
+    return ("drop" if head.isupper() else "literal"), z, z
+
+
+def without_annotations(text: str) -> str:
+    """One pass finds each bracket's partner, whatever the depth; a second one copies what stays."""
+    text = text.translate(FULLWIDTH)
+    partner, open_ = {}, []
+    for i, c in enumerate(text):
+        if c in "[{":
+            open_.append(i)
+        elif c in "]}" and open_ and text[open_[-1]] + c in ("[]", "{}"):
+            partner[open_.pop()] = i
+    out, skip, i = [], set(), 0
+    while i < len(text):
+        z = partner.get(i)
+        if z is None:
+            if i not in skip:
+                out.append(text[i])
+            i += 1
+            continue
+        what, start, end = _marker(text, i, z)
+        if what == "drop":
+            i = z + 1
+        elif what == "keep":
+            skip.update(range(end, z + 1))
+            i = start
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
+@F.pandas_udf(StringType())
+def clean_annotations(text: pd.Series) -> pd.Series:
+    """Payloads of kept codes stay, dropped codes and unknown upper-case ones go, brackets around other text are literal
+    and stay. Unmatched brackets stay. Markers nest to any depth. Null stays null."""
+    return text.map(without_annotations, na_action="ignore")
 
 
 def leftover_markers(text: Column, most: int = 10) -> Column:
@@ -102,3 +144,88 @@ def effect_label(g: Column) -> Column:
 
 def exclusion_reason(country: Column, regions: list[str]) -> Column:
     return F.when(F.coalesce(F.trim(country), F.lit("")) == "", "missing").when(country.isin(regions), country).when(country.contains("少数民族") | country.endswith("族"), "minority")
+
+
+#: The line that tells a text's number, and lines of bracketed codes at its end.
+META, FOOTER = r"^\s*\d{6,7}[^。\n]{0,80}\.\d+.*$", r"^([（(][A-Za-z0-9]+[）)]\s*)+$"
+
+
+def body_lines(text: Column) -> Column:
+    """Text without its first meta line, lines that begin with "title", and lines of codes; blank lines are empty."""
+    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
+    meta = F.array_position(F.transform(lines, lambda x: x.rlike(META)), True)
+    bare = F.transform(lines, lambda x, i: F.struct(x.alias("x"), F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).alias("t"), (i + 1 == meta).alias("meta")))
+    kept = F.filter(bare, lambda x: (x["t"] == "") | ~(x["meta"] | F.lower(x["t"]).startswith("title") | x["t"].rlike(FOOTER)))
+    return F.array_join(F.transform(kept, lambda x: F.when(x["t"] == "", "").otherwise(x["x"])), "\n")
+
+
+def absolute_url(url: Column, own: str = "example.com") -> Column:
+    """As `normalize_url`, and paths belong to the own host."""
+    bare = F.trim(url)
+    return F.when(bare.startswith("/"), F.concat(F.lit(f"https://www.{own}"), bare)).otherwise(normalize_url(bare, own))
+
+
+def is_article_url(url: Column, own: str = "example.com", pattern: str = r"/\d{3,}") -> Column:
+    host = F.lower(F.regexp_extract(url, r"^https?://([^/?#:]+)", 1))
+    return host.isin(own, f"www.{own}") & F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1).rlike(pattern)
+
+
+def source_label(value: Column, markers: list[str]) -> Column:
+    """White space collapsed, a leading "source:" taken off, cut before each marker in turn, separators at the end off."""
+    out = F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
+    out = F.regexp_replace(out, r"(?i)^(来源|source)[:：]\s*", "")
+    for m in markers:
+        out = F.trim(F.substring_index(out, m, 1))
+    return F.trim(F.regexp_replace(out, r"(?U)[|｜/\s]+$", ""))
+
+
+def nominal_length(title: Column) -> Column:
+    return F.regexp_extract(title, r"_(\d{2,4})字", 1).try_cast("int")
+
+
+def clean_body(text: Column, title: Column, boilerplate: list[str], dropped: list[str], tail: str) -> Column:
+    """Lines of a page's body: white space collapsed, the title's line gone, patterns of `boilerplate` taken out of each,
+    lines that match one of `dropped` gone, lines at the end that match `tail` (with blank ones after them) gone, blank
+    lines collapsed. Null stays null."""
+    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
+    lines = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "[ \t　]+", " ")))
+    lines = F.filter(lines, lambda x: (x == "") | (base_title(x) != base_title(title)) | (base_title(x) == ""))
+
+    def without(x: Column) -> Column:
+        for p in boilerplate:
+            x = F.trim(F.regexp_replace(x, p, ""))
+        return x
+
+    cleaned = F.transform(lines, lambda x: F.struct((x == "").alias("blank"), without(x).alias("x")))
+    kept = F.filter(cleaned, lambda x: x["blank"] | ((x["x"] != "") & ~_any(x["x"], dropped)))
+    joined = F.array_join(F.transform(kept, lambda x: x["x"]), "\n")
+    ended = F.regexp_replace(joined, rf"(?m)(\n*^({tail})$\n*)+\z", "") if tail else joined
+    return F.trim(F.regexp_replace(F.regexp_replace(ended, r"\n{3,}", "\n\n"), r"^\n+|\n+$", ""))
+
+
+def _any(x: Column, patterns: list[str]) -> Column:
+    return x.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+
+
+def level_parts(level: Column) -> Column:
+    """`4（5）` → main 4, extra 5 (several joined by |), group elementary (1 to 3), middle (4 to 6), advanced (7-9) or
+    other; null where the text has another form."""
+    ok = level.rlike(r"^([^（）]+)((（[^（）]+）)*)$")
+    main = F.regexp_extract(level, r"^([^（）]+)", 1)
+    group = F.when(main.isin("1", "2", "3"), "elementary").when(main.isin("4", "5", "6"), "middle").when(main == "7-9", "advanced").otherwise("other")
+    return F.when(ok, F.struct(main.alias("main"), F.array_join(F.regexp_extract_all(level, F.lit("（([^）]+)）"), F.lit(1)), "|").alias("extra"), group.alias("group")))
+
+
+def p_text(p: Column) -> Column:
+    return F.when(p < 0.001, "<.001").otherwise(F.regexp_replace(F.format_number(p, 3), "^0", ""))
+
+
+def whole_score(score: Column) -> Column:
+    """A score as a whole number, null where it is none."""
+    d = F.trim(score.cast("string")).try_cast("double")
+    return F.when(d == F.floor(d), d.cast("int"))
+
+
+def sheet_title(sheet: Column, code: Column) -> Column:
+    """A sheet's name without the code and separators before it."""
+    return F.when(sheet.startswith(code), F.trim(F.regexp_replace(F.substring(sheet, F.length(code) + 1, F.length(sheet)), r"^[\s_\-—:：]+", ""))).otherwise(F.trim(sheet))

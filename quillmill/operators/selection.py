@@ -20,6 +20,24 @@ def first_valid(df: DataFrame, group: str, valid: str, order: list, desired: int
     return d.drop("_s")
 
 
+def scanned_pools(df: DataFrame, group: str, valid: str, order: list, desired: int, groups: list, salts: int = 16) -> DataFrame:
+    """df with kept, of the rows that a scan in `order` sees before it has enough valid ones: groups are scanned in the
+    order of `groups`, and what is enough shrinks to the fewest valid ones that an earlier group had."""
+    have = {r[0]: r[1] for r in df.where(F.col(valid)).groupBy(group).count().collect()}  # a row for each group
+    enough, limits = desired, []
+    for g in groups:
+        limits.append((g, enough))
+        enough = min(enough, have.get(g, 0))
+    table = F.create_map(*[F.lit(x) for gl in limits for x in gl])
+    picked = first_valid(df, group, valid, order, desired, salts).where(F.col("rank") <= table[F.col(group)])
+    ends = picked.groupBy(group).agg(F.max(F.struct(*[F.struct(c.alias("x")).alias(f"o{i}") for i, c in enumerate(order)])).alias("_last"), F.count("*").alias("_n"))
+    here = F.struct(*[F.struct(c.alias("x")).alias(f"o{i}") for i, c in enumerate(order)])
+    j = df.where(F.col(group).isin(groups)).join(F.broadcast(ends), group, "left")  # a row for each group
+    full = F.col("_n") >= table[F.col(group)]
+    seen = F.col("_last").isNull() | ~F.coalesce(full, F.lit(False)) | (here <= F.col("_last"))
+    return j.where(seen).withColumn("kept", F.col(valid) & (F.col("_last").isNotNull()) & (here <= F.col("_last"))).drop("_last", "_n")
+
+
 def merge_sources(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Fold of candidates (score, verified, hint, backup) in source order: a backup loses, a verified one wins, a new
     hint beats none, else the strictly higher score wins."""
@@ -33,9 +51,40 @@ def merge_sources(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     return rows.select(*keys, F.aggregate(F.slice("rows", 2, F.greatest(F.lit(1), F.size("rows"))), F.col("rows")[0], step).alias("m")).select(*keys, "m.*")
 
 
-def balanced_quota(counts: DataFrame, stratum: list[str], unit: str, size: int, seed: int = 42) -> DataFrame:
-    """counts (stratum, unit, n) → quota of each unit so that `size` rows are spread as evenly as can be: the units
-    take turns, the rarest over all strata first."""
+def balanced_quota(counts: DataFrame, stratum: list[str], unit: str, sizes: DataFrame | int, seed: int = 42) -> DataFrame:
+    """counts (stratum, unit, n), sizes (stratum, size) or one size → quota of each unit in each stratum.
+
+    Strata are taken in the order of a seeded hash, and what a unit got in earlier ones counts against it. Within a
+    stratum every unit gets one row, those with the least so far first; then the unit with the least of (so far + here,
+    here, so far) gets the next, while it has rows; ties go by seeded hash. A stratum with fewer rows than its size gives
+    all. Only the table of counts, a row for each stratum and unit, is walked through on the driver.
+    """
+    spark = counts.sparkSession
+    order = F.xxhash64(*stratum, F.lit(seed))
+    rows = counts.where("n > 0").select(*stratum, unit, "n", order.alias("_o"), F.xxhash64(*stratum, unit, F.lit(seed)).alias("_t"))
+    rows = rows.withColumn("_size", F.lit(sizes)) if isinstance(sizes, int) else rows.join(sizes.select(*stratum, F.col("size").alias("_size")), stratum)
+    taken: dict = {}
+    groups: dict = {}
+    for r in rows.collect():
+        groups.setdefault((r["_o"], tuple(str(r[c]) for c in stratum)), []).append(r)
+    out = []
+    for _, rs in sorted(groups.items()):
+        size, so_far = min(rs[0]["_size"], sum(r["n"] for r in rs)), {r[unit]: taken.get(r[unit], 0) for r in rs}
+        first = sorted(rs, key=lambda r: (so_far[r[unit]], r["_t"], str(r[unit])))[:size]
+        here = {r[unit]: 1 for r in first}
+        for _ in range(size - len(here)):
+            best = min((r for r in first if here[r[unit]] < r["n"]), key=lambda r: (so_far[r[unit]] + here[r[unit]], here[r[unit]], so_far[r[unit]], r["_t"], str(r[unit])))
+            here[best[unit]] += 1
+        for r in first:
+            taken[r[unit]] = taken.get(r[unit], 0) + here[r[unit]]
+            out.append((*[r[c] for c in stratum], r[unit], here[r[unit]]))
+    schema = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in [*stratum, unit])
+    return spark.createDataFrame(out, f"{schema}, quota long")
+
+
+def least_taken_first(counts: DataFrame, stratum: list[str], unit: str, size: int) -> DataFrame:
+    """As `balanced_quota` for independent strata, without a walk: the units of a stratum take turns, the rarest over all
+    strata first."""
     total = counts.groupBy(unit).agg(F.sum("n").alias("_all"))
     turns = counts.join(total, unit).withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(size)).cast("int"))))
     w = Window.partitionBy(*stratum).orderBy("k", "_all", unit)
@@ -78,6 +127,25 @@ def violations(df: DataFrame, checks: dict[str, str]) -> DataFrame:
     return row.unpivot([], list(checks), "check", "violations")
 
 
+def table_checks(df: DataFrame, unique: list[list[str]] = (), equal: dict[str, tuple[str, str]] | None = None, sizes: list[str] = (), distributions: list[tuple[str, str]] = ()) -> DataFrame:
+    """(check, violations): repeated keys, rows whose sums differ (name → two SQL expressions), groups of other sizes than
+    the largest one, and groups whose distribution of another column is not that of all groups together."""
+    parts = [df.groupBy(*k).count().where("count > 1").agg(F.lit("unique " + ", ".join(k)).alias("check"), F.count("*").alias("violations")) for k in unique]
+    parts += [df.agg(F.lit(n).alias("check"), F.count(F.when(~F.coalesce(F.abs(F.expr(a) - F.expr(b)) <= 1e-9, F.lit(False)), 1)).alias("violations")) for n, (a, b) in (equal or {}).items()]
+    for g in sizes:
+        c = df.groupBy(g).count()
+        parts.append(c.crossJoin(F.broadcast(c.agg(F.max("count").alias("_m")))).agg(F.lit(f"equal {g}").alias("check"), F.count(F.when(F.col("count") != F.col("_m"), 1)).alias("violations")))  # one row
+    for g, v in distributions:
+        cells, groups, values = df.groupBy(g, v).count(), df.groupBy(g).agg(F.count("*").alias("_g")), df.groupBy(v).agg(F.count("*").alias("_v"))
+        grid = groups.crossJoin(values).join(cells, [g, v], "left").crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))  # two small dimensions, one row
+        bad = grid.where(F.coalesce("count", F.lit(0)) * F.col("_n") != F.col("_g") * F.col("_v")).select(g).distinct()
+        parts.append(bad.agg(F.lit(f"{v} alike in {g}").alias("check"), F.count("*").alias("violations")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> bool:
     """Whether both tables hold the same set of keys."""
     x, y = a.select(*keys).distinct(), b.select(*keys).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+_own: dict[str, str] = {}
 #: Columns that with_row_key adds.
 ROW_KEY = ["_row_a", "_row_b"]
 
@@ -23,16 +24,18 @@ def with_row_key(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
 
-    Where it is unset, local sessions (tests) get a temporary folder of their own and others use the warehouse.
+    Where it is unset, local sessions (tests) get a temporary folder of their own; elsewhere that is an error, because
+    executors would not share it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        found = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        return found
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if master not in _own:
+        _own[master] = tempfile.mkdtemp(prefix="spark-scratch-")
+    return _own[master]
 
 
 def materialize(df: DataFrame, name: str = "scratch") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import dedup, factors, linguistic, matching, selection, statistics, validation
+from quillmill.operators import dedup, factors, linguistic, matching, reports, selection, statistics, validation
 from quillmill.plans.scratch import materialize
 
 FEATURES = ["rate_a", "rate_n", "rate_u", "rate_v", "rate_wd", "rate_wj", "ttr", "guiraud", "top10_share", "mean_length", "mattr"]
@@ -36,6 +36,8 @@ TOK = r"""tok AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS tok_idx, lower
   FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\p{L}+|[^\p{L}\s]') AS l FROM documents))"""
 TAG = r"""CASE WHEN regexp_matches(word, '^[.!?。！？]$') THEN 'wj' WHEN NOT regexp_matches(word, '^\p{L}') THEN CASE WHEN regexp_matches(word, '^\p{N}$') THEN 'm' ELSE 'wd' END
   WHEN length(word) <= 3 THEN 'u' WHEN regexp_matches(word, '(ing|ed|er|en|ir)$') THEN 'v' WHEN regexp_matches(word, '(ly|ble|ous|lich|eux)$') THEN 'a' ELSE 'n' END"""
+PARTS = r"""part AS (SELECT doc_id, generate_subscripts(l, 1) AS p, unnest(l) AS line FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\n'), lambda x: trim(x) <> '') AS l FROM documents)),
+  tok AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) - 1 AS tok_idx, word FROM (SELECT doc_id, p, generate_subscripts(l, 1) AS k, lower(unnest(l)) AS word FROM (SELECT doc_id, p, regexp_extract_all(line, '\p{L}+|[^\p{L}\s]') AS l FROM part)))"""
 TAGGED = f"{TOK}, t AS (SELECT *, {TAG} AS tag FROM tok)"
 
 QUERIES: dict = {}
@@ -83,17 +85,17 @@ def _(spark, sf):
     return linguistic.verb_runs(table(spark, sf, "documents"))
 
 
-@query("adjective_before_verb", f"""WITH {TAGGED}, n AS (SELECT doc_id, tag, lead(tag) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS nxt FROM t)
+@query("adjective_before_verb", f"""WITH {PARTS}, t AS (SELECT *, {TAG} AS tag FROM tok), n AS (SELECT doc_id, tag, lead(tag) OVER (PARTITION BY doc_id, p ORDER BY tok_idx) AS nxt FROM t)
 SELECT doc_id, CAST(coalesce(sum(CASE WHEN tag = 'a' THEN CASE WHEN nxt = 'v' THEN 1 WHEN nxt IS NULL THEN NULL ELSE 0 END ELSE 0 END), 0) AS BIGINT) AS adjective_verb FROM n GROUP BY doc_id""")
 def _(spark, sf):
-    return linguistic.adjective_before_verb(table(spark, sf, "documents")).select("doc_id", F.coalesce("adjective_verb", F.lit(0)).alias("adjective_verb"))
+    return linguistic.adjective_before_verb(table(spark, sf, "documents"))
 
 
 @query("sentence_classes", rf"""WITH {TAGGED}, s AS (SELECT *, coalesce(sum(CAST(tag = 'wj' AS INT)) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM t),
 f AS (SELECT doc_id, sentence, bool_or(word IN ('?', '？')) AS q, bool_or(word IN ('!', '！')) AS e FROM s GROUP BY ALL HAVING bool_or(regexp_matches(word, '^\p{{L}}')))
 SELECT doc_id, count(*) AS sentences, CAST(sum(CAST(q AS INT)) AS BIGINT) AS questions, CAST(sum(CAST(NOT q AND e AS INT)) AS BIGINT) AS exclamations FROM f GROUP BY doc_id""")
 def _(spark, sf):
-    return linguistic.sentence_classes(table(spark, sf, "documents"))
+    return linguistic.sentence_classes(table(spark, sf, "documents")).select("doc_id", "sentences", "questions", "exclamations")
 
 
 _VOC = ", ".join(f"('{w}', {k}, {'NULL' if t is None else repr(t)})" for w, k, t in VOCABULARY)
@@ -112,9 +114,9 @@ def _(spark, sf):
     return linguistic.lexicon_features(linguistic.lexicon_spans(table(spark, sf, "documents"), spark.createDataFrame(LEXICON, "feature string, term string")))
 
 
-@query("terms_in_corpus", """WITH t AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS term FROM benchmark) SELECT term FROM t WHERE length(term) BETWEEN 5 AND 7 AND EXISTS (SELECT 1 FROM documents WHERE contains(text, term))""")
+@query("terms_in_corpus", """WITH t AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS term FROM benchmark) SELECT term FROM t WHERE length(term) >= 3 AND EXISTS (SELECT 1 FROM documents WHERE contains(text, term))""")
 def _(spark, sf):
-    terms = table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("term")).distinct().where(F.length("term").between(5, 7))
+    terms = table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("term")).distinct()
     return linguistic.terms_in_corpus(table(spark, sf, "documents"), terms)
 
 
@@ -173,7 +175,7 @@ def _(spark, sf):
 t AS (SELECT c.*, total, unnest(range(1, least(n, 10) + 1)) AS k FROM c JOIN a USING (country)), r AS (SELECT *, row_number() OVER (PARTITION BY code, score ORDER BY k, total, country) AS r FROM t)
 SELECT code, score, country, count(*) AS quota FROM r WHERE r <= 10 GROUP BY ALL""")
 def _(spark, sf):
-    return selection.balanced_quota(segments(spark, sf).groupBy("code", "score", "country").agg(F.count("*").alias("n")), ["code", "score"], "country", 10)
+    return selection.least_taken_first(segments(spark, sf).groupBy("code", "score", "country").agg(F.count("*").alias("n")), ["code", "score"], "country", 10)
 
 
 @query("balanced_sample")
@@ -213,19 +215,27 @@ def _(spark, sf):
     return statistics.welch(table(spark, sf, "lineitem"), "l_returnflag", NUMBERS).select("variable", "a", "b", (F.round("difference", 4) + 0.0).alias("difference"), r("t", 4), r("df", 2), r("g", 6))
 
 
-@query("adjusted_tests", _WELCH + """, s AS (SELECT variable, a, b, exp(-abs(d / sqrt(sa + sb))) AS p FROM w), i AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY p, a, b) AS i, count(*) OVER (PARTITION BY variable) AS m FROM s)
-SELECT variable, a, b, round(p, 6) AS p, round(least(1, max((m - i + 1) * p) OVER (PARTITION BY variable ORDER BY i)), 6) AS holm, round(least(1, min(m / i * p) OVER (PARTITION BY variable ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bh FROM i""")
+@query("adjusted_tests", """WITH s AS (SELECT c_mktsegment AS family, c_custkey AS test, round(abs(c_acctbal) / 10000, 6) AS p FROM customer), i AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, test) AS i, count(*) OVER (PARTITION BY family) AS m FROM s)
+SELECT family, test, p, round(least(1, max((m - i + 1) * p) OVER (PARTITION BY family ORDER BY i)), 6) AS holm, round(least(1, min(m / i * p) OVER (PARTITION BY family ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bh FROM i""")
 def _(spark, sf):
-    t = statistics.welch(table(spark, sf, "lineitem"), "l_returnflag", NUMBERS).select("variable", "a", "b", F.exp(-F.abs("t")).alias("p"))
+    """Balances scaled to 0 to 1 stand for given p values."""
+    t = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("family"), F.col("c_custkey").alias("test"), F.round(F.abs("c_acctbal").cast("double") / 10000, 6).alias("p"))
     r = lambda c: F.round(c, 6).alias(c)
-    return statistics.adjust(t, "variable", "p", ["a", "b"]).select("variable", "a", "b", r("p"), r("holm"), r("bh"))
+    return statistics.adjust(t, "family", "p", ["test"]).select("family", "test", "p", r("holm"), r("bh"))
 
 
-@query("welch_anova", f"""WITH {_MOMENTS}, w AS (SELECT *, n / var AS w FROM m), t AS (SELECT variable, count(*) AS k, sum(w) AS sw, sum(w * mean) / sum(w) AS grand FROM w GROUP BY variable),
-f AS (SELECT variable, k, sum(w * power(mean - grand, 2)) AS b, sum(power(1 - w / sw, 2) / (n - 1)) AS l FROM w JOIN t USING (variable) GROUP BY ALL)
-SELECT variable, round(b / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * l), 4) AS f, k - 1 AS df1, round((k * k - 1) / (3 * l), 4) AS df2 FROM f""")
+@query("welch_p")
 def _(spark, sf):
-    return statistics.welch_anova(table(spark, sf, "lineitem"), "l_returnflag", NUMBERS)
+    """Tests of all pairs of groups with their p values, corrected within each variable."""
+    t = statistics.welch(table(spark, sf, "lineitem"), "l_returnflag", NUMBERS)
+    return statistics.adjust(t, "variable", "p", ["a", "b"])
+
+
+@query("welch_anova", f"""WITH {_MOMENTS}, w AS (SELECT *, n / var AS w FROM m), t AS (SELECT variable, count(*) AS k, sum(w) AS sw, sum(w * mean) / sum(w) AS grand, sum(n) AS rows, sum((n - 1) * var) AS ssw, sum(n * mean) / sum(n) AS plain FROM w GROUP BY variable),
+f AS (SELECT variable, k, rows, ssw, sum(w * power(mean - grand, 2)) AS b, sum(n * power(mean - plain, 2)) AS ssb, sum(power(1 - w / sw, 2) / (n - 1)) AS l FROM w JOIN t USING (variable) GROUP BY ALL)
+SELECT variable, round(b / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * l), 4) AS f, k - 1 AS df1, round((k * k - 1) / (3 * l), 4) AS df2, round(greatest(0, (ssb - (k - 1) * ssw / (rows - k)) / (ssb + ssw + ssw / (rows - k))), 6) AS omega2 FROM f""")
+def _(spark, sf):
+    return statistics.welch_anova(table(spark, sf, "lineitem"), "l_returnflag", NUMBERS).drop("p")
 
 
 @query("correlations", " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]))
@@ -260,7 +270,7 @@ def _(spark, sf):
 
 @query("bootstrap_difference")
 def _(spark, sf):
-    return statistics.bootstrap_difference(table(spark, sf, "lineitem"), "l_returnflag", "A", "N", "l_extendedprice", replicates=500)
+    return statistics.bootstrap_difference(table(spark, sf, "lineitem"), "l_returnflag", "A", "N", "l_extendedprice")
 
 
 @query("quantile_targets", "SELECT source, CAST(i AS INTEGER) AS i, CAST(round_even(round(quantile_cont(n_chars, [0.1, 0.3, 0.5, 0.7, 0.9])[i + 1], 6), 0) AS BIGINT) AS target FROM documents, range(5) AS r(i) GROUP BY source, i")
@@ -317,20 +327,17 @@ def _(spark, sf):
     return m.groupBy("lang").agg(F.max_by("source", F.struct("m", "source")).alias("highest"), F.min_by("source", F.struct("m", "source")).alias("lowest"))
 
 
-@query("congruence", """WITH d AS (SELECT source AS feature, lang AS factor, CAST(count(*) AS DOUBLE) AS loading FROM documents GROUP BY ALL), e AS (SELECT source AS feature, 'q' || quality AS factor, CAST(count(*) AS DOUBLE) AS loading FROM documents JOIN labels USING (doc_id) GROUP BY ALL),
-x AS (SELECT factor, sum(loading * loading) AS n FROM d GROUP BY factor), y AS (SELECT factor, sum(loading * loading) AS n FROM e GROUP BY factor)
-SELECT d.factor AS factor_a, e.factor AS factor_b, round(sum(d.loading * e.loading) / sqrt(any_value(x.n) * any_value(y.n)), 6) AS c FROM d JOIN e USING (feature) JOIN x ON x.factor = d.factor JOIN y ON y.factor = e.factor GROUP BY ALL""")
+@query("congruence", """WITH d AS (SELECT source AS feature, lang AS factor, CAST(count(*) AS DOUBLE) AS loading FROM documents GROUP BY ALL UNION ALL SELECT 'other', 'apart', 1), e AS (SELECT source AS feature, 'q' || quality AS factor, CAST(count(*) AS DOUBLE) AS loading FROM documents JOIN labels USING (doc_id) GROUP BY ALL),
+x AS (SELECT factor, sum(loading * loading) AS n FROM d GROUP BY factor), y AS (SELECT factor, sum(loading * loading) AS n FROM e GROUP BY factor),
+p AS (SELECT d.factor AS a, e.factor AS b, sum(d.loading * e.loading) AS s FROM d JOIN e USING (feature) GROUP BY ALL)
+SELECT x.factor AS factor_a, y.factor AS factor_b, round(coalesce(s, 0) / sqrt(x.n * y.n), 6) AS c FROM x CROSS JOIN y LEFT JOIN p ON p.a = x.factor AND p.b = y.factor""")
 def _(spark, sf):
     a = table(spark, sf, "documents").groupBy(F.col("source").alias("feature"), F.col("lang").alias("factor")).agg(F.count("*").cast("double").alias("loading"))
+    a = a.unionByName(spark.createDataFrame([("other", "apart", 1.0)], "feature string, factor string, loading double"))  # shares no feature
     b = scored(spark, sf).groupBy(F.col("source").alias("feature"), F.concat(F.lit("q"), "quality").alias("factor")).agg(F.count("*").cast("double").alias("loading"))
     return statistics.congruence(a, b).withColumn("c", F.round("c", 6))
 
 
-@query("event_props", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 4) AS mean_value FROM events GROUP BY event_type")
-def _(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean_value"))
-
-
 @query("compound_sentences", rf"""WITH {TAGGED}, s AS (SELECT *, coalesce(sum(CAST(tag = 'wj' AS INT)) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM t),
 r(relation, marker) AS (VALUES {', '.join(map(repr, RELATIONS))}), h AS (SELECT DISTINCT doc_id, relation, sentence FROM s JOIN r ON word = marker)
 SELECT doc_id, count(*) AS relation_sentences, count(DISTINCT sentence) AS compound, count(DISTINCT relation) AS relations FROM h GROUP BY doc_id""")
@@ -406,4 +413,159 @@ def _(spark, sf):
 @query("length_matched")
 def _(spark, sf):
     d = table(spark, sf, "documents").withColumn("words", F.size(F.split("text", " ")))
-    return matching.length_matched(d.where("lang = 'en'"), d.where("lang <> 'en'"), "source", "doc_id", "n_chars", "words", 200)
+    return matching.length_matched(d.where("lang = 'en'"), d.where("lang <> 'en'"), "source", "doc_id", "n_chars", "words")
+
+
+_SENT = f"{TAGGED}, s AS (SELECT *, coalesce(sum(CAST(tag = 'wj' AS INT)) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM t)"
+
+
+@query("diversity_by_tag", rf"""WITH {TAGGED}, c AS (SELECT doc_id, word, tag, count(*) AS n FROM t WHERE regexp_matches(word, '^\p{{L}}') GROUP BY ALL)
+SELECT doc_id, {', '.join(f"CAST(coalesce(sum(n) FILTER (tag = '{x}'), 0) AS BIGINT) AS n_{x}, count(*) FILTER (tag = '{x}') AS types_{x}, round(CASE WHEN coalesce(sum(n) FILTER (tag = '{x}'), 0) = 0 THEN 0 ELSE count(*) FILTER (tag = '{x}') / sum(n) FILTER (tag = '{x}') END, 6) AS ttr_{x}" for x in 'nva')}, round(count(*) FILTER (n = 1) / count(*), 6) AS hapax_share FROM c GROUP BY doc_id""")
+def _(spark, sf):
+    return linguistic.diversity_by_tag(table(spark, sf, "documents"))
+
+
+@query("token_sizes", f"""WITH {TAGGED} SELECT d.doc_id, count(t.word) AS tokens, count(t.word) FILTER (t.tag NOT LIKE 'w%') AS words, count(DISTINCT t.word) FILTER (t.tag NOT LIKE 'w%') AS distinct_words FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id""")
+def _(spark, sf):
+    return linguistic.sizes(table(spark, sf, "documents"))
+
+
+@query("density", rf"""WITH {TAGGED}, w AS (SELECT *, CASE WHEN regexp_full_match(word, '\p{{L}}+') THEN least(length(word), 3) END AS l FROM t WHERE tag NOT LIKE 'w%'),
+c AS (SELECT d.doc_id, count(word) AS words, count(word) FILTER (tag IN ('n', 'v', 'a')) AS content, count(word) FILTER (tag IN ('n', 'v', 'a', 'm')) AS "real", count(word) FILTER (tag = 'u') AS functional, CAST(0 AS BIGINT) AS other, coalesce(sum(length(word)), 0) AS chars, count(*) FILTER (l = 1) AS one, count(*) FILTER (l = 2) AS two, count(*) FILTER (l = 3) AS three FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT doc_id, words, content, "real", functional, other, {', '.join(f'round(CASE WHEN {b} = 0 THEN 0 ELSE {a} / {b} END, 6) AS {n}' for a, b, n in (('content', 'words', 'density'), ('"real"', 'words', 'real_share'), ('"real"', 'functional', 'real_per_function'), ('chars', 'words', 'mean_length'), ('one', '(one + two + three)', 'share_one'), ('two', '(one + two + three)', 'share_two'), ('three', '(one + two + three)', 'share_three')))}, one, two, three FROM c""")
+def _(spark, sf):
+    return linguistic.density(table(spark, sf, "documents"))
+
+
+@query("class_counts", f"""WITH {TAGGED} SELECT d.doc_id, {', '.join(f"count(tag) FILTER (tag LIKE '{x}%') AS {n}" for x, n in (('n', 'noun'), ('v', 'verb'), ('a', 'adjective'), ('m', 'numeral'), ('u', 'particle'), ('w', 'punctuation_mark'), ('a', 'adjectives'), ('nr', 'persons')))} FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id""")
+def _(spark, sf):
+    return linguistic.other_classes(linguistic.class_counts(table(spark, sf, "documents"))).select("doc_id", "noun", "verb", "adjective", "numeral", "particle", "punctuation_mark", "adjectives", "persons")
+
+
+@query("paragraph_structure", rf"""WITH {_SENT}, g AS (SELECT doc_id, sentence, count(*) AS n FROM s GROUP BY ALL HAVING bool_or(regexp_matches(word, '^\p{{L}}'))),
+l AS (SELECT doc_id, avg(n) AS mean, quantile_cont(n, 0.5) AS med, stddev_pop(n) AS sd, max(n) AS longest FROM g GROUP BY doc_id), k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (tag LIKE 'w%') AS marks FROM t GROUP BY doc_id),
+p AS (SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\n'), lambda x: trim(x) <> '')) AS p, length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) AS chars FROM documents)
+SELECT p.doc_id, CAST(p AS BIGINT) AS paragraphs, round(CASE WHEN p = 0 THEN 0 ELSE chars / p END, 6) AS paragraph_chars, round(CASE WHEN p = 0 THEN 0 ELSE coalesce(k.n, 0) / p END, 6) AS paragraph_tokens, round(coalesce(mean, 0), 6) AS mean_tokens, round(coalesce(med, 0), 6) AS median_tokens, round(coalesce(sd, 0), 6) AS sd_tokens, coalesce(longest, 0) AS longest_tokens, round(coalesce(marks / k.n, 0), 6) AS punctuation_share
+FROM p LEFT JOIN l ON l.doc_id = p.doc_id LEFT JOIN k ON k.doc_id = p.doc_id""")
+def _(spark, sf):
+    return linguistic.paragraph_structure(table(spark, sf, "documents"))
+
+
+@query("level_profile", rf"""WITH {TAGGED}, v(word, level, vtag) AS (VALUES {_VOC}), e AS (SELECT word, min(level) AS low, count(DISTINCT level) AS levels FROM v GROUP BY word),
+m AS (SELECT t.doc_id, t.tok_idx, t.word, t.tag, e.low, e.levels, count(DISTINCT v.level) AS fits, min(v.level) AS fit FROM t LEFT JOIN e ON t.word = e.word LEFT JOIN v ON v.word = t.word AND v.vtag = t.tag WHERE regexp_matches(t.word, '^\p{{L}}') GROUP BY ALL),
+l AS (SELECT doc_id, word, CASE WHEN levels = 1 THEN low WHEN fits = 1 THEN fit ELSE low END AS level FROM m),
+k AS (SELECT doc_id, word, 'level' AS kind, CAST(level AS VARCHAR) AS name FROM l WHERE level IS NOT NULL UNION ALL SELECT doc_id, word, 'group', CASE WHEN level = 1 THEN 'low' ELSE 'high' END FROM l WHERE level IS NOT NULL
+UNION ALL SELECT doc_id, word, 'outside', 'all' FROM l WHERE level IS NULL UNION ALL SELECT doc_id, word, 'outside', CASE WHEN regexp_matches(word, '[A-Za-z]') THEN 'letters' ELSE 'other' END FROM l WHERE level IS NULL), n AS (SELECT doc_id, count(*) AS words FROM l GROUP BY doc_id)
+SELECT k.doc_id, kind, name, count(*) AS n, round(count(*) / any_value(words), 6) AS share, count(DISTINCT word) AS types, round(count(DISTINCT word) / count(*), 6) AS ttr FROM k JOIN n ON n.doc_id = k.doc_id GROUP BY k.doc_id, kind, name""")
+def _(spark, sf):
+    return linguistic.level_profile(table(spark, sf, "documents"), spark.createDataFrame(VOCABULARY, "word string, level int, tag string"), {"low": [1], "high": [2, 3]})
+
+
+@query("joined_labels", "SELECT doc_id, source, quality, toxic FROM documents JOIN labels USING (doc_id)")
+def _(spark, sf):
+    labels = table(spark, sf, "labels")
+    d = table(spark, sf, "documents").select("doc_id", "source").join(labels.select("doc_id"), "doc_id", "left_semi")
+    return reports.one_to_one(d, labels.select("doc_id", "quality", "toxic"), ["doc_id"])
+
+
+def measured(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the median and sd of their source's lengths as target and scale."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
+    return d.join(d.groupBy("source").agg(F.percentile("n_chars", 0.5).alias("target"), F.stddev_samp("n_chars").alias("sd")), "source")
+
+
+_MEASURED = "m AS (SELECT source, quantile_cont(n_chars, 0.5) AS target, stddev_samp(n_chars) AS sd FROM documents GROUP BY source), d AS (SELECT doc_id, d.source, lang, n_chars, target, sd, abs(n_chars - target) / greatest(target, 1) AS r, abs(n_chars - target) / greatest(sd, 1) AS z FROM documents d JOIN m ON m.source = d.source)"
+
+
+@query("deviations", f"WITH {_MEASURED} SELECT doc_id, round(r, 6) AS relative_deviation, round(z, 6) AS sd_deviation, r > 0.5 AS far, z > 1 AS wide, (r > 0.5 AND z > 1) OR r > 2 AS out_of_range FROM d")
+def _(spark, sf):
+    return reports.deviations(measured(spark, sf), "n_chars", "target", "sd", (0.5, 1.0, 2.0)).select("doc_id", F.round("relative_deviation", 6).alias("relative_deviation"), F.round("sd_deviation", 6).alias("sd_deviation"), "far", "wide", "out_of_range")
+
+
+@query("sampling_audit", f"WITH {_MEASURED} SELECT source, count(*) AS n, round(avg(n_chars), 6) AS mean_length, quantile_cont(n_chars, 0.5) AS median_length, count(*) FILTER (lang = 'en') AS tier_en, count(*) FILTER (lang = 'fr') AS tier_fr, count(*) FILTER (z > 1) AS flagged, round(avg(r), 6) AS mean_deviation FROM d GROUP BY source")
+def _(spark, sf):
+    d = reports.deviations(measured(spark, sf), "n_chars", "target", "sd", (0.5, 1.0, 2.0))
+    r = lambda c: F.round(c, 6).alias(c)
+    return reports.sampling_audit(d, "source", "n_chars", "lang", ["en", "fr"], F.col("wide"), "relative_deviation").select("source", "n", r("mean_length"), "median_length", "tier_en", "tier_fr", "flagged", r("mean_deviation"))
+
+
+@query("selection_summary", "WITH c AS (SELECT * FROM documents JOIN labels USING (doc_id) WHERE quality = 1), a AS (SELECT source, count(*) AS n, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, min(doc_id) AS first_year, max(doc_id) AS last_year, avg(n_chars) AS m, var_samp(n_chars) AS v, quantile_cont(n_chars, 0.5) AS median_length FROM c GROUP BY source), b AS (SELECT source, count(*) AS n, avg(n_chars) AS m, var_samp(n_chars) AS v FROM documents GROUP BY source) SELECT a.source, a.n, en, de, first_year, last_year, round(a.m, 6) AS mean_length, median_length, round((a.m - b.m) / sqrt((a.v + b.v) / 2), 6) AS length_difference FROM a JOIN b USING (source)")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    s = reports.selection_summary(scored(spark, sf).where("quality = 1"), d, "source", "n_chars", "doc_id", {"lang": ["en", "de"]})
+    return s.select("source", "n", F.col("lang")["en"].alias("en"), F.col("lang")["de"].alias("de"), "first_year", "last_year", F.round("mean_length", 6).alias("mean_length"), "median_length", F.round("length_difference", 6).alias("length_difference"))
+
+
+@query("numbered_files", "SELECT doc_id, source || '_' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS VARCHAR), 6, '0') AS filename FROM documents")
+def _(spark, sf):
+    return reports.numbered(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), "source", ["n_chars", "doc_id"], width=6).select("doc_id", "filename")
+
+
+@query("profiles", "SELECT 0 AS level, source, NULL AS lang, round(avg(n_chars), 6) AS n_chars FROM documents GROUP BY source UNION ALL SELECT 1, source, lang, round(avg(n_chars), 6) FROM documents GROUP BY source, lang")
+def _(spark, sf):
+    return reports.profile(table(spark, sf, "documents"), [["source"], ["source", "lang"]], ["n_chars"]).withColumn("n_chars", F.round("n_chars", 6))
+
+
+LOADINGS = [("l_quantity", "f1", 0.8), ("l_quantity", "f2", 0.1), ("l_extendedprice", "f1", 0.7), ("l_extendedprice", "f2", -0.2), ("l_discount", "f1", 0.2), ("l_discount", "f2", -0.6), ("l_tax", "f1", 0.1), ("l_tax", "f2", 0.2)]
+
+
+@query("dimension_scores", """WITH p AS (SELECT avg(l_quantity) AS mq, stddev_samp(l_quantity) AS sq, avg(l_extendedprice) AS me, stddev_samp(l_extendedprice) AS se, avg(l_discount) AS md, stddev_samp(l_discount) AS sd FROM lineitem),
+r AS (SELECT l_orderkey * 10 + l_linenumber AS id, (l_quantity - mq) / sq + (l_extendedprice - me) / se AS f1, -(l_discount - md) / sd AS f2 FROM lineitem, p), z AS (SELECT avg(f1) AS a1, stddev_samp(f1) AS s1, avg(f2) AS a2, stddev_samp(f2) AS s2 FROM r)
+SELECT id, 'f1' AS factor, round(f1, 4) + 0.0 AS raw, round((f1 - a1) / s1, 4) + 0.0 AS score FROM r, z UNION ALL SELECT id, 'f2', round(f2, 4) + 0.0, round((f2 - a2) / s2, 4) + 0.0 FROM r, z""")
+def _(spark, sf):
+    d = table(spark, sf, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    s = statistics.dimension_scores(d, spark.createDataFrame(LOADINGS, "feature string, factor string, loading double"), "id")
+    return s.select("id", "factor", (F.round("raw", 4) + 0.0).alias("raw"), (F.round("score", 4) + 0.0).alias("score"))
+
+
+@query("scaled_projection", """WITH p AS (SELECT avg(n_chars) AS m, stddev_samp(n_chars) AS s FROM documents WHERE lang = 'en') SELECT doc_id, round((n_chars - m) / s, 4) + 0.0 AS score FROM documents, p WHERE lang = 'fr'""")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    p = statistics.projection_parameters(d.where("lang = 'en'"), {"n_chars": 1})
+    return statistics.project_scaled(d.where("lang = 'fr'"), p, "doc_id").select("doc_id", (F.round("score", 4) + 0.0).alias("score"))
+
+
+@query("sensitivity", "WITH d AS (SELECT * FROM documents JOIN labels USING (doc_id)), g AS (SELECT DISTINCT source FROM d) " + " UNION ALL ".join(f"SELECT '{n}' AS sample, g.source, 'n_chars' AS variable, round(avg(n_chars) FILTER (quality = 1) - avg(n_chars) FILTER (quality = 0), 4) AS difference FROM g LEFT JOIN d ON d.source = g.source AND {c} GROUP BY g.source" for n, c in (("all", "true"), ("short", "n_chars < 500"), ("none", "false"))))
+def _(spark, sf):
+    samples = {"all": F.lit(True), "short": F.col("n_chars") < 500, "none": F.lit(False)}
+    return statistics.sensitivity(scored(spark, sf), samples, "source", F.col("quality") == 1, ["n_chars"]).withColumn("difference", F.round("difference", 4))
+
+
+@query("table_checks", "SELECT 'unique doc_id' AS \"check\", CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'chars', count(*) FILTER (NOT coalesce(n_chars = length(text), false)) FROM documents UNION ALL SELECT 'equal source', count(*) FILTER (n <> m) FROM (SELECT n, max(n) OVER () AS m FROM (SELECT source, count(*) AS n FROM documents GROUP BY source))")
+def _(spark, sf):
+    return selection.table_checks(table(spark, sf, "documents"), [["doc_id"]], {"chars": ("n_chars", "length(text)")}, ["source"])
+
+
+@query("frequent_values", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY n DESC, n_name LIMIT 15")
+def _(spark, sf):
+    return reports.frequent(segments(spark, sf).withColumnRenamed("country", "n_name"), "n_name")
+
+
+@query("group_examples", r"SELECT source, doc_id, CASE WHEN length(e) > 18 THEN substring(e, 1, 18) || '…' ELSE e END AS excerpt FROM (SELECT *, regexp_extract(trim(coalesce(text, '')), '^[^.!?。！？\n]*[.!?。！？]?') AS e, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")
+def _(spark, sf):
+    return reports.examples(table(spark, sf, "documents"), "source", [F.desc("n_chars"), "doc_id"], "text").select("source", "doc_id", "excerpt")
+
+
+@query("serial_gaps", "WITH k AS (SELECT o_orderkey AS s FROM orders WHERE o_orderkey % 7 <> 3) SELECT CAST(i AS BIGINT) AS serial, CAST(0 AS BIGINT) AS n FROM range(1, 2001) AS r(i) WHERE i NOT IN (SELECT s FROM k) UNION ALL SELECT s, count(*) FROM k GROUP BY s HAVING count(*) > 1 OR s NOT BETWEEN 1 AND 2000")
+def _(spark, sf):
+    return reports.serial_gaps(table(spark, sf, "orders").where("o_orderkey % 7 <> 3"), "o_orderkey", 2000)
+
+
+@query("representatives")
+def _(spark, sf):
+    return reports.representatives(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", ["n_chars"], {"low": 0.1, "high": 0.9})
+
+
+@query("correlation_filter")
+def _(spark, sf):
+    return statistics.correlation_filter(table(spark, sf, "lineitem"), NUMBERS)
+
+
+@query("deduplicated_across")
+def _(spark, sf):
+    return dedup.deduplicate_across(table(spark, sf, "documents"))
+
+
+@query("source_labels", r"SELECT page_id, rtrim(trim(regexp_replace(split_part(regexp_replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), '^(来源|source)[:：]\s*', '', 'i'), ' the', 1), '[|｜/\s]+$', ''))) AS label FROM pages")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.source_label(F.regexp_extract("html", "<title>([^<]*)</title>", 1), [" the"]).alias("label"))

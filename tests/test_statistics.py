@@ -41,7 +41,7 @@ def test_merge_and_align(spark):
 
 def test_quota_spreads_evenly(spark):
     counts = spark.createDataFrame([("s", "x", 10), ("s", "y", 1), ("s", "z", 10), ("t", "x", 3)], "s string, u string, n long")
-    got = {(r.s, r.u): r.quota for r in selection.balanced_quota(counts, ["s"], "u", 6).collect()}
+    got = {(r.s, r.u): r.quota for r in selection.least_taken_first(counts, ["s"], "u", 6).collect()}
     assert got == {("s", "y"): 1, ("s", "z"): 3, ("s", "x"): 2, ("t", "x"): 3}
 
 
@@ -49,3 +49,59 @@ def test_range_offsets(spark):
     df = spark.range(100).select("id", (F.col("id") % 7).alias("v"))
     got = {r.id: r.before for r in range_offsets(df, ["id"], F.col("v"), "before").collect()}
     assert got == {i: sum(j % 7 for j in range(i)) for i in range(100)}
+
+
+def test_tails():
+    """Points of printed tables."""
+    assert statistics.t_tail(2.228, 10) == pytest.approx(0.05, abs=2e-5) and statistics.t_tail(1.96, 1e7) == pytest.approx(0.05, abs=1e-4)
+    assert statistics.f_tail(3.478, 4, 10) == pytest.approx(0.05, abs=2e-4) and statistics.f_tail(161.45, 1, 1) == pytest.approx(0.05, abs=1e-4)
+    assert statistics.t_point(0.05, 10) == pytest.approx(2.2281, abs=1e-4) and statistics.t_tail(0, 5) == pytest.approx(1)
+
+
+def test_bootstrap_of_equal_groups(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(10, 5, 200)
+    df = spark.createDataFrame([(g, float(v)) for g in "pq" for v in x for _ in range(5)], "g string, y double").repartition(7)
+    r = statistics.bootstrap_difference(df, "g", "p", "q", "y").first()
+    half = 1.96 * np.sqrt(2 * x.var() / 1000)
+    assert r.replicates == 2000 and abs(r.difference) < 1e-9 and abs(r.g) < 1e-9
+    assert r.low == pytest.approx(-half, rel=0.15) and r.high == pytest.approx(half, rel=0.15)
+    assert statistics.bootstrap_difference(df.where("g = 'p'"), "g", "p", "q", "y").count() == 0
+
+
+def test_congruence_of_disjoint_features(spark):
+    a = spark.createDataFrame([("x", "f", 1.0), ("y", "g", 1.0)], "feature string, factor string, loading double")
+    b = spark.createDataFrame([("x", "h", 2.0), ("z", "k", 1.0)], "feature string, factor string, loading double")
+    c = statistics.congruence(a, b)
+    assert sorted(map(tuple, c.collect())) == [("f", "h", 1.0), ("f", "k", 0.0), ("g", "h", 0.0), ("g", "k", 0.0)]
+    assert sorted(map(tuple, statistics.assigned(c).collect())) == [("f", "h", 1.0), ("g", "k", 0.0)]
+
+
+def test_filter_scores_and_sensitivity(spark):
+    df = spark.createDataFrame([(i, float(i), 2.0 * i + (i % 2) * 0.1, float((i * 7) % 5), 3.0) for i in range(20)], "id long, a double, b double, c double, d double")
+    got = {r.variable: (r.kept, r.conflict) for r in statistics.correlation_filter(df, ["a", "b", "c", "d"]).collect()}
+    assert got == {"a": (True, None), "b": (False, "a"), "c": (True, None), "d": (True, None)}
+    l = spark.createDataFrame([("a", "f", 0.9), ("c", "f", -0.8), ("d", "f", 0.1)], "feature string, factor string, loading double")
+    s = statistics.dimension_scores(df, l, "id").toPandas()
+    assert len(s) == 20 and s.score.mean() == pytest.approx(0) and s.score.std() == pytest.approx(1)
+    assert statistics.agreement(statistics.dimension_scores(df, l, "id"), statistics.dimension_scores(df, l, "id"), ["id"], "score").first().r == pytest.approx(1)
+
+
+def test_quota_carries_over(spark):
+    """Equal to a walk over rows."""
+    rows = [(s, u, 2 + (i * j) % 5) for i, s in enumerate("stvw", 1) for j, u in enumerate("abcdef", 1)]
+    got = selection.balanced_quota(spark.createDataFrame(rows, "s string, u string, n long"), ["s"], "u", 9).collect()
+    n = {(s, u): k for s, u, k in rows}
+    assert {s: sum(r.quota for r in got if r.s == s) for s in "stvw"} == {s: 9 for s in "stvw"}
+    assert all(1 <= r.quota <= n[r.s, r.u] for r in got)
+    total = {u: sum(r.quota for r in got if r.u == u) for u in "abcdef"}
+    assert max(total.values()) - min(total.values()) <= 2
+    few = selection.balanced_quota(spark.createDataFrame(rows, "s string, u string, n long"), ["s"], "u", 4).collect()
+    assert len(few) == 16 and {sum(1 for r in few if r.u == u) for u in "abcdef"} == {2, 3}  # rarest so far first
+
+
+def test_scan_stops_when_there_are_enough(spark):
+    df = spark.createDataFrame([("g", i, i % 2 == 0) for i in range(10)] + [("h", i, True) for i in range(10)] + [("k", 0, True)], "g string, i long, ok boolean")
+    got = selection.scanned_pools(df, "g", "ok", [F.col("i")], 8, ["g", "h", "k"])
+    by = {r.g: (r.n, r.k) for r in got.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k")).collect()}
+    assert by == {"g": (10, 5), "h": (5, 5), "k": (1, 1)}

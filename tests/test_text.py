@@ -8,7 +8,7 @@ def one(spark, value, f):
     return spark.createDataFrame([(value,)], "v string").select(f(F.col("v"))).first()[0]
 
 
-@pytest.mark.parametrize("raw,want", [("榜[b棒]样", "榜样"), ("他{CQ的}书", "他的书"), ("a［BQ，］b", "a，b"), ("x[BC。]y", "xy"), ("{CP他{CC了去}走P}", "他走"), ("a]b[", "a]b["), ("keep [1] it", "keep [1] it"), ("{CJ-zy我}好", "我好"), ("{CJ+buy他}好", "好"), ("", "")])
+@pytest.mark.parametrize("raw,want", [("榜[b棒]样", "榜样"), ("他{CQ的}书", "他的书"), ("a［BQ，］b", "a，b"), ("x[BC。]y", "xy"), ("{CP他{CC了去}走P}", "他走"), ("a]b[", "a]b["), ("keep [1] it", "keep [1] it"), ("{CJ-zy我}好", "我好"), ("{CJ+buy他}好", "好"), ("", ""), ("{CPa" * 6 + "zP}" + "P}" * 5, "a" * 6 + "z"), ("[BQ" * 40 + "x" + "]" * 40, "x"), ("{ [BQa] (b", "{ a (b"), ("{Wx}{wx}", "{wx}")])
 def test_annotations(spark, raw, want):
     assert one(spark, raw, T.clean_annotations) == want
 
