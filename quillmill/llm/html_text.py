@@ -1,15 +1,19 @@
 """Main text of web pages; site templates are found by counting hashed subtrees over the pages of each host.
 
-A page is read into elements and blocks. Rules take away what is furniture by its markup (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments). Every block element that is left is hashed with its
-subtree, Spark counts, for each host, in how many different texts each hash occurs, and subtrees recurring in at least
-`share` of them, `least` at least, are deleted too. Copies and near copies of an article count once, so that they don't
+A page is read into elements and blocks. Its main mass is its article, or the element that holds most of its text.
+Subtrees beside the main mass are hashed by their shape: their place, elements and classes, without texts, which change
+from page to page in menus, adverts and footers. Block elements inside it are hashed with their texts. Spark counts, for
+each host, in how many different texts each hash occurs, and subtrees recurring in at least `share` of them, `least` at
+least, are deleted. What no template takes, on hosts with few pages above all, is left to rules for furniture by markup
+(menus, headers, footers, sidebars, notices, adverts, forms, comments), which in an article only know containers of
+adverts, links and comments. Copies and near copies of an article count once, so that they don't
 make it a template: pages with the same main text are one, and a page of whose word pairs less than OWN are found on no
 other text of its host is a near copy, which counts together with those that agree on the least hash of the other pairs.
 A page whose template is that much longer than its own text looks the same; then the template stays, and no text is lost.
 
 Defined results: null and empty html give an empty text; broken markup is read as far as it goes; repeated rows each
-get a row; an empty table gives an empty result; pages without a host form a host of their own.
+get a row; an empty table gives an empty result; pages without a host form a host of their own; pages are read whole,
+whatever their length; columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +41,11 @@ DROP = set("nav footer aside form head button select option input label dialog o
 MARKS = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer colophon sidebar aside widget widgets cookie cookies consent gdpr notice notices banner popup modal overlay alert newsletter subscribe subscription signup login ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion share sharing social comment comments commentlist reply replies respond disqus related recommended recommendations form search searchbox pagination pager toolbar skip contentinfo complementary dialog".split()
 )
+#: Those that count inside an article, and there on containers alone: a paragraph may be of class "notice".
+MARKS_INSIDE = MARKS - set("header masthead topbar footer colophon aside notice notices banner popup modal overlay alert form search searchbox skip contentinfo complementary dialog".split())
+CONTAINERS = set("div section ul ol aside details menu nav footer header table span".split())
 WORDS = re.compile(r"[a-z]+")
+DIGITS = re.compile(r"\d+")
 #: Words after a mark that leave it one ("share-box"), those that only do without other words ("share-wrapper"), and
 #: those that tell about a page with or without the furniture ("no-sidebar").
 PARTS = set("bar bars block blocks bottom box button buttons feed icon icons item items left link links list panel right slot top unit".split())
@@ -47,12 +55,14 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 
 
 class Node:
-    __slots__ = ("name", "parent", "mark", "drop", "main", "label", "parts", "hash")
+    __slots__ = ("name", "parent", "mark", "drop", "main", "label", "parts", "hash", "size", "links", "cut")
 
     def __init__(self, name: str, parent: Node | None, mark: int, main: bool, label: str):
         self.name, self.parent, self.mark, self.drop, self.main, self.label = name, parent, mark, False, main, label
         self.parts: list[Node | str | None] = []  # children, text, and None where a block ends
         self.hash = 0
+        self.size = self.links = 0  # characters of text, and of those in links
+        self.cut = False  # a template takes it
 
 
 #: What markup says of an element: nothing, furniture unless the page's own text is in it, never shown.
@@ -67,7 +77,7 @@ def _is_mark(token: str, inside_main: bool) -> bool:
     n, wrapped = len(ws), False
     while n > 1 and (ws[n - 1] in PARTS or ws[n - 1] in WRAPS):
         n, wrapped = n - 1, wrapped or ws[n - 1] in WRAPS
-    if n == 0 or ws[n - 1] not in MARKS or (inside_main and ws[n - 1] == "header"):
+    if n == 0 or ws[n - 1] not in (MARKS_INSIDE if inside_main else MARKS):
         return False
     return not wrapped or MARKS.issuperset(ws[:n])
 
@@ -77,7 +87,7 @@ def _mark(name: str, attributes: dict[str, str], inside_main: bool) -> int:
         return HIDDEN
     if name in DROP or (name == "header" and not inside_main):
         return HIDDEN if name in ("head", "select", "option") else MARKED
-    if name in ("html", "body", "main", "article", "h1"):
+    if name in ("html", "body", "main", "article", "h1") or (inside_main and name not in CONTAINERS):
         return PLAIN
     return MARKED if any(_is_mark(t, inside_main) for k in ("class", "id", "role") if k in attributes for t in attributes[k].split()) else PLAIN
 
@@ -173,6 +183,86 @@ def parse(page: str) -> Node:
     return root
 
 
+def measure(root: Node) -> None:
+    """Sets size and links of every element that is shown."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n.mark != HIDDEN:
+            order.append(n)
+            todo += [c for c in n.parts if isinstance(c, Node)]
+    for n in reversed(order):
+        n.size += sum(len(x.strip()) for x in n.parts if isinstance(x, str))
+        if n.name == "a":
+            n.links = n.size
+        if n.parent is not None:
+            n.parent.size += n.size
+            n.parent.links += n.links
+
+
+def beside(root: Node, tops: list[Node]) -> list[tuple[Node, str]]:
+    """Topmost shown blocks with text outside of the page's main mass, and the path that leads to each.
+
+    The main mass is `tops`, or, if that is the whole page, what one gets to by going into the block that holds more than
+    half of the text. There, subtrees count only if a rule marks them or half of their text is links; a subtree with the
+    page's h1 never does.
+    """
+    marked_only = tops == [root]
+    mass = set(map(id, tops))
+    if marked_only:
+        at = root
+        while (inner := next((c for c in at.parts if isinstance(c, Node) and c.name in BLOCK and c.mark == PLAIN and 2 * c.size > at.size), None)) is not None:
+            at = inner
+        mass = {id(at)}
+        tops = [at]
+    above: set[int] = set()
+    for t in tops:
+        at = t.parent
+        while at is not None and id(at) not in above:
+            above.add(id(at))
+            at = at.parent
+    out, todo = [], [(root, "")]
+    while todo:
+        n, path = todo.pop()
+        for c in n.parts:
+            if not isinstance(c, Node) or c.mark == HIDDEN or not c.size or id(c) in mass:
+                continue
+            if id(c) in above:
+                todo.append((c, f"{path}/{c.label}"))
+            elif c.name in BLOCK and not _holds(c, "h1") and (not marked_only or c.mark == MARKED or 2 * c.links >= c.size):
+                out.append((c, path))
+    return out
+
+
+def _holds(top: Node, name: str) -> bool:
+    todo = [top]
+    while todo:
+        n = todo.pop()
+        if n.name == name:
+            return True
+        todo += [c for c in n.parts if isinstance(c, Node)]
+    return False
+
+
+def shape(top: Node, path: str) -> int:
+    """Hash of a subtree's place, elements and classes. Texts only count as there or not, numbers in names not at all,
+    and children of one shape that follow one another are one."""
+    order, todo = [], [top]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += [c for c in n.parts if isinstance(c, Node) and c.mark != HIDDEN]
+    told: dict[int, str] = {}
+    for n in reversed(order):
+        inner: list[str] = []
+        for c in n.parts:
+            x = told.get(id(c), "") if isinstance(c, Node) else "t" if c and not c.isspace() else ""
+            if x and (not inner or inner[-1] != x):
+                inner.append(x)
+        told[id(n)] = DIGITS.sub("#", n.label) + "(" + " ".join(inner) + ")"
+    return _signed("shape " + DIGITS.sub("#", path) + "\x00" + told[id(top)])
+
+
 def _main(root: Node) -> list[Node]:
     """The outermost article elements, else main, else the whole page."""
     for wanted in ("article", "main"):
@@ -222,7 +312,7 @@ def blocks(tops: list[Node], templates: frozenset[int] | set[int] = frozenset())
             end()
         elif isinstance(x, str):
             now.append(x)
-        elif not x.drop and not (x.hash and x.name in BLOCK and x.hash in templates):
+        elif not x.drop and not x.cut and not (x.hash and x.name in BLOCK and x.hash in templates):
             todo += [*([None] if x.name in BLOCK else []), *reversed(x.parts)]
         elif x.name in BLOCK:
             end()
@@ -246,11 +336,13 @@ def sketch(texts: list[str]) -> list[int]:
 
 
 def subtrees(page: str) -> tuple[int, list[int], list[int]]:
-    """Hash of the main text, of each block element below the main one (all different, without empty ones), and sketch."""
-    tops = _main(parse(page))
+    """Hash of the main text, hashes of the subtrees that may be templates (all different), and sketch."""
+    root = parse(page)
+    measure(root)
+    tops = _main(root)
     for t in tops:
         _hash(t)
-    found, todo = set(), [c for t in tops for c in t.parts]
+    found, todo = {shape(n, path) for n, path in beside(root, tops)}, [c for t in tops for c in t.parts]
     while todo:
         n = todo.pop()
         if isinstance(n, Node) and not n.drop:
@@ -261,12 +353,27 @@ def subtrees(page: str) -> tuple[int, list[int], list[int]]:
     return _signed("\n".join(texts)), sorted(found - {0}), sketch(texts)
 
 
-def extract(page: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    tops = _main(parse(page))
+def extract(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple[str, int]:
+    """(main text, subtrees that templates took)."""
+    root = parse(page)
+    tops, taken = _main(root), 0
     if templates:
+        measure(root)
+        for n, path in beside(root, tops):
+            if shape(n, path) in templates:
+                n.cut = True
+                taken += 1
         for t in tops:
             _hash(t)
-    return "\n".join(blocks(tops, templates))
+        todo = [c for t in tops for c in t.parts]
+        while todo:
+            n = todo.pop()
+            if isinstance(n, Node) and not n.drop and not n.cut:
+                if n.hash and n.name in BLOCK and n.hash in templates:
+                    taken += 1
+                else:
+                    todo += n.parts
+    return "\n".join(blocks(tops, templates)), taken
 
 
 def site_templates(pages: DataFrame, share: float = 0.25, least: int = 5) -> DataFrame:
@@ -302,7 +409,7 @@ TABLE = 50_000
 
 
 def main_text(pages: DataFrame, share: float = 0.25, least: int = 5) -> DataFrame:
-    """pages (page_id, url, html) → page_id, url, text, n_chars."""
+    """pages (page_id, url, html) → page_id, url, text, n_chars, n_templates (subtrees that templates took)."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
     found = site_templates(pages, share, least)
@@ -319,10 +426,11 @@ def main_text(pages: DataFrame, share: float = 0.25, least: int = 5) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [extract(p or "", table.get(h, ()) if t is None else set(t)) for p, h, t in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            got = [extract(p or "", table.get(h, ()) if t is None else set(t)) for p, h, t in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))]
+            text = [t for t, _ in got]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64()), pa.array([n for _, n in got], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_templates"])
 
-    return pages.select("page_id", "url", "html", "host", "templates").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html", "host", "templates").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_templates long")
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:
