@@ -404,33 +404,27 @@ def site_templates(pages: DataFrame, share: float = 0.25, least: int = 5) -> Dat
     return counts.where("hash <> 0").join(totals, "host").where(F.col("texts") >= share * F.col("all_texts")).select("host", "hash")
 
 
-#: Template subtrees that tasks get as one table, at most; more of them are joined to the pages.
-TABLE = 50_000
+#: Template subtrees, at most, that are broadcast to the pages (some 10 MB); more of them are joined by a merge.
+TABLE = 500_000
 
 
 def main_text(pages: DataFrame, share: float = 0.25, least: int = 5) -> DataFrame:
     """pages (page_id, url, html) → page_id, url, text, n_chars, n_templates (subtrees that templates took)."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
-    found = site_templates(pages, share, least)
-    few = found.limit(TABLE + 1).toArrow().to_pydict()
-    table: dict[str, set[int]] = {}
-    if len(few["host"]) <= TABLE:
-        for h, x in zip(few["host"], few["hash"]):
-            table.setdefault(h, set()).add(x)
-        pages = pages.withColumn("templates", F.lit(None).cast("array<long>"))
-    else:
-        of = found.groupBy("host").agg(F.collect_set("hash").alias("templates"))  # at most all subtrees that recur in a quarter of a host's texts
-        pages = pages.join(of.hint("merge"), "host", "left")
+    found = materialize(site_templates(pages, share, least), "html-templates")
+    of = found.groupBy("host").agg(F.collect_set("hash").alias("templates"))  # at most all subtrees that recur in a quarter of a host's texts
+    few = found.limit(TABLE + 1).count() <= TABLE
+    pages = pages.join(F.broadcast(of) if few else of.hint("merge"), "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [extract(p or "", table.get(h, ()) if t is None else set(t)) for p, h, t in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))]
+            got = [extract(p or "", set(t or ())) for p, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             text = [t for t, _ in got]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64()), pa.array([n for _, n in got], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_templates"])
 
-    return pages.select("page_id", "url", "html", "host", "templates").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_templates long")
+    return pages.select("page_id", "url", "html", "templates").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_templates long")
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:
