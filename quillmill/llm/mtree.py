@@ -8,7 +8,9 @@ parent)| bounds an entry before its own distance is computed, and what can't rea
 are exact integer products; bounds carry a margin for rounding, and ties are never pruned.
 
 On Spark: pivots from a bounded sample give each vector a tree (salted, so that many equal vectors fill several
-bounded trees), each tree is one row, queries come in blocks of bounded size, and every tree meets every block once.
+bounded trees), each tree is one row, and queries come in blocks of bounded size. First each query searches one tree of
+the pivot nearest to it; its k-th score there then bounds the search when every tree meets every block once. A tree is a
+join key of its own, so trees spread over as many tasks as there are.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; repeated rows are separate
 candidates; fewer than k candidates give all of them; an empty table gives an empty result; other columns aren't read.
@@ -30,9 +32,8 @@ from quillmill.plans.scratch import materialize
 
 #: Vectors of a tree, entries of a leaf page, and queries of a block, at most or about.
 TREE, PAGE, BLOCK = 4096, 64, 256
-#: Pivots that deal vectors out to trees, at most.
-PIVOTS = 128
-LANES = 32
+#: Pivots that deal vectors out to trees: one for each TREE vectors, within these bounds.
+PIVOTS, MOST_PIVOTS = 128, 2048
 
 
 def quantized(embedding: Column, scale: int = 1024) -> Column:
@@ -80,8 +81,9 @@ class MTree:
             todo += [r[cut[: len(r) // 2]], r[cut[len(r) // 2 :]]]
         return out
 
-    def search(self, query: np.ndarray, own: int | None, k: int, counts: dict | None = None) -> list[tuple[int, int]]:
-        """(score, id) of the k best candidates other than `own`, by score, then by smaller id."""
+    def search(self, query: np.ndarray, own: int | None, k: int, counts: dict | None = None, least: int | None = None) -> list[tuple[int, int]]:
+        """(score, id) of the k best candidates other than `own`, by score, then by smaller id; of those below the score
+        `least`, if given, some may lack."""
         q = np.append(query.astype(float), 0.0)
         q2 = float((q * q).sum())
         far = q2 + self.top
@@ -91,7 +93,7 @@ class MTree:
         queue = [(b, i, -1.0) for i, b in enumerate(cheap.tolist())]
         heapq.heapify(queue)
         best: list[tuple[int, int]] = []
-        reach = np.inf  # distance of the k-th result
+        reach = np.inf if least is None else float(np.sqrt(max(0.0, far - 2.0 * least)))  # distance of the k-th result
         computed = opened = 0
         while queue:
             bound, i, d = heapq.heappop(queue)
@@ -111,7 +113,7 @@ class MTree:
                 got = products(v[at].astype(np.int64), query[None, :])[:, 0]
                 best = heapq.nsmallest(k, best + list(zip((-got).tolist(), ids[at].tolist())))
                 if len(best) == k:
-                    reach = float(np.sqrt(max(0.0, far + 2.0 * best[-1][0])))
+                    reach = min(reach, float(np.sqrt(max(0.0, far + 2.0 * best[-1][0]))))
         if counts is not None:
             counts["computed"] = counts.get("computed", 0) + computed
             counts["opened"] = counts.get("opened", 0) + opened
@@ -127,7 +129,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     A query's candidates are all vectors of its dimension but those with its own id.
     """
-    sample = [r.v for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()]  # bounded
+    pivots = min(MOST_PIVOTS, max(PIVOTS, vectors.count() // TREE))
+    sample = [r.v for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]  # bounded
     by_size: dict[int, np.ndarray] = {}
     for v in sample:
         by_size.setdefault(len(v), []).append(v)
@@ -144,34 +147,41 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     n_dim = F.size("v").alias("n")
     placed = materialize(vectors.select("vec_id", "v", n_dim, nearest("v").alias("pivot")), "mtree-vectors")
-    full = placed.groupBy("n", "pivot").count().withColumn("salts", F.ceil(F.col("count") / TREE)).drop("count")
-    # PIVOTS rows for each dimension: a bounded table
-    dealt = placed.join(F.broadcast(full), ["n", "pivot"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("salts")))
+    sizes = sorted((r.n, r.pivot, -(-r["count"] // TREE)) for r in placed.groupBy("n", "pivot").count().collect())  # a row for each pivot
+    first = np.cumsum([0] + [salts for _, _, salts in sizes]).tolist()
+    table = vectors.sparkSession.createDataFrame([(*x, at) for x, at in zip(sizes, first)], "n int, pivot int, salts long, first long")
+    dealt = placed.join(F.broadcast(table), ["n", "pivot"]).select("n", "vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("salts"))).alias("tree_no"))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         tree = MTree(rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"]))
-        lane = hash((int(rows["pivot"].iloc[0]), int(rows["salt"].iloc[0]))) % LANES
-        return pd.DataFrame({"n": [int(rows["n"].iloc[0])], "lane": [lane], "tree": [pickle.dumps(tree)]})
+        return pd.DataFrame({"n": [int(rows["n"].iloc[0])], "tree_no": [int(rows["tree_no"].iloc[0])], "tree": [pickle.dumps(tree)]})
 
-    trees = dealt.groupBy("n", "pivot", "salt").applyInPandas(build, "n int, lane int, tree binary")
+    trees = materialize(dealt.groupBy("n", "tree_no").applyInPandas(build, "n int, tree_no long, tree binary"), "mtrees")
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n": [int(rows["n"].iloc[0])], "block": [pickle.dumps((rows["query_id"].to_numpy(np.int64), _matrix(rows["q"])))]})
-
-    asked = queries.withColumn("n", F.size("q"))
-    many = max(1, -(-asked.count() // BLOCK))
-    blocks = asked.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(many))).groupBy("n", "b").applyInPandas(pack, "n int, block binary")
-    blocks = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
-    meet = trees.join(blocks, ["n", "lane"]).select("tree", "block")
+        least = [None if x is None or x != x else int(x) for x in rows["least"]]
+        return pd.DataFrame({"n": [int(rows["n"].iloc[0])], "tree_no": [int(rows["tree_no"].iloc[0])], "block": [pickle.dumps((rows["query_id"].to_numpy(np.int64), _matrix(rows["q"]), least))]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t, q in zip(b.column(0), b.column(1)):
-                tree, (ids, block) = pickle.loads(t.as_py()), pickle.loads(q.as_py())
-                out = [(i, v, s) for i, x in zip(ids.tolist(), block) for s, v in tree.search(x, i, k)]
+                tree, (ids, block, least) = pickle.loads(t.as_py()), pickle.loads(q.as_py())
+                out = [(i, v, s) for i, x, l in zip(ids.tolist(), block, least) for s, v in tree.search(x, i, k, None, l)]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], names=["query_id", "vec_id", "score"])
 
-    found = meet.mapInArrow(run, "query_id long, vec_id long, score long")
+    def packed(asked: DataFrame) -> DataFrame:
+        many = max(1, -(-asked.count() // BLOCK))
+        return asked.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(many))).groupBy("n", "tree_no", "b").applyInPandas(pack, "n int, tree_no long, block binary")
+
+    found_in = lambda blocks: trees.join(blocks, ["n", "tree_no"]).select("tree", "block").mapInArrow(run, "query_id long, vec_id long, score long")
+    asked = queries.select("query_id", "q", F.size("q").alias("n"), nearest("q").alias("pivot"))
+    # one tree of the nearest pivot; where its dimension has no vector there, no bound
+    near = asked.join(F.broadcast(table.select("n", "pivot", F.col("first").alias("tree_no"))), ["n", "pivot"]).select("query_id", "q", "n", "tree_no", F.lit(None).cast("double").alias("least"))
+    bound = found_in(packed(near)).groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").cast("double").alias("least")).where(F.col("c") >= k)
+    asked = materialize(asked.join(bound.select("query_id", "least"), "query_id", "left").select("query_id", "q", "n", F.lit(0).cast("long").alias("tree_no"), "least"), "mtree-queries")
+    every = trees.select("n", F.col("tree_no").alias("t")).groupBy("n").agg(F.collect_list("t").alias("t"))  # numbers alone
+    blocks = packed(asked).drop("tree_no").join(every, "n").select("n", F.explode("t").alias("tree_no"), "block")
+    found = found_in(blocks)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
