@@ -10,7 +10,8 @@ size, against all classes, in pages of bounded size; each recording gets its cla
 
 Defined results: null, empty and too short recordings have an empty fingerprint, are a class of their own and align
 with nothing; repeated rows each get a row; equal counts of offsets go to the smaller offset; an empty table gives an
-empty result; other columns are not read.
+empty result; other columns are not read. Frames of a recording are computed in pieces, and offsets of an integer that
+fills much of both recordings (silence, a held tone) are counted by convolution, so hours of sound stay in memory.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from quillmill.plans.scratch import materialize
 
 RATE, FRAME, HOP = 4000, 1024, 256
 FILTERS = 16
-PAGE, BLOCK, LANES = 512, 128, 32
+PAGE, BLOCK = 512, 128
+#: Frames that are transformed at once, and pairs of frames that are listed at once.
+FRAMES, PAIRS = 4096, 1 << 18
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -48,8 +51,8 @@ def chroma(pcm: np.ndarray) -> np.ndarray:
     n = (len(pcm) - FRAME) // HOP + 1
     if n < 1:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(pcm.astype(np.float32), FRAME)[:: HOP][:n]
-    x = np.abs(np.fft.rfft(frames * WINDOW, axis=1)) ** 2 @ CLASSES
+    frames = np.lib.stride_tricks.sliding_window_view(pcm, FRAME)[::HOP][:n]
+    x = np.concatenate([np.abs(np.fft.rfft(frames[k : k + FRAMES].astype(np.float32) * WINDOW, axis=1)) ** 2 @ CLASSES for k in range(0, n, FRAMES)])
     size = np.linalg.norm(x, axis=1, keepdims=True)
     return np.where(size > 1e-6, x / np.maximum(size, 1e-6), 0.0)
 
@@ -92,20 +95,46 @@ def fingerprint(x: np.ndarray) -> np.ndarray:
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
-    """(offset, hits, bit error) of a in b: a[i] goes with b[i + offset]; None if they share no integer."""
-    order = np.argsort(b, kind="stable")
-    s = b[order]
-    lo, hi = np.searchsorted(s, a, "left"), np.searchsorted(s, a, "right")
-    n = hi - lo
-    if not n.any():
+    """(offset, hits, bit error) of a in b: a[i] goes with b[i + offset]; None if they share no integer. The error is that
+    of the passage that agrees: the stretch where most frames differ in fewer than a quarter of their bits, by the
+    greatest sum of what they stay under it."""
+    hits = offsets(a, b)
+    if not hits.any():
         return None
-    at = np.repeat(np.arange(len(a)), n)
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    offset, hits = np.unique(order[np.repeat(lo, n) + within] - at, return_counts=True)
-    best = int(offset[hits.argmax()])
+    best = int(hits.argmax()) - len(a) + 1
     x, y = (a[max(0, -best) :], b[max(0, best) :])
     size = min(len(x), len(y))
-    return best, int(hits.max()), float(np.bitwise_count(x[:size] ^ y[:size]).sum() / (32 * size))
+    wrong = np.bitwise_count(x[:size] ^ y[:size]).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(8 - wrong)])
+    low = np.minimum.accumulate(upto)
+    end = int((upto - low).argmax())
+    start = int(upto[: end + 1].argmin())
+    end = max(end, start + 1)
+    return best, int(hits.max()), float(wrong[start:end].sum() / (32 * (end - start)))
+
+
+def offsets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many equal integers a[i] == b[j] lie at each offset j - i, from 1 - len(a) on."""
+    out = np.zeros(len(a) + len(b) - 1 if len(a) and len(b) else 0, np.int64)
+    order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    values, from_a, in_a = np.unique(a[order_a], return_index=True, return_counts=True)
+    from_b = np.searchsorted(b[order_b], values, "left")
+    in_b = np.searchsorted(b[order_b], values, "right") - from_b
+    often = in_a * in_b > 64 * (len(a) + len(b))  # cheaper by convolution, whose sums are exact well below 2^53
+    for k in np.flatnonzero(often):
+        n = 1 << (len(a) + len(b)).bit_length()
+        x, y = np.fft.rfft(a[::-1] == values[k], n), np.fft.rfft(b == values[k], n)
+        out += np.rint(np.fft.irfft(x * y, n)[: len(out)]).astype(np.int64)
+    some = np.flatnonzero((in_b > 0) & ~often)
+    rows = np.repeat(some, in_a[some])  # a row for each such frame of a
+    at = order_a[np.repeat(from_a[some] - np.cumsum(in_a[some]) + in_a[some], in_a[some]) + np.arange(len(rows))]
+    pairs = np.cumsum(in_b[rows])
+    for k in np.split(np.arange(len(rows)), np.searchsorted(pairs, np.arange(PAIRS, pairs[-1] if len(pairs) else 0, PAIRS))):
+        n = in_b[rows[k]]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        j = order_b[np.repeat(from_b[rows[k]], n) + within]
+        out += np.bincount(j - np.repeat(at[k], n) + len(a) - 1, minlength=len(out))
+    return out
 
 
 def fingerprints(media: DataFrame) -> DataFrame:
@@ -133,14 +162,15 @@ def align_queries(prints: DataFrame, every: int = 50, least_hits: int = 8, most_
     some = classes.where("class_id is not null and length(print) > 0")
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lane": [int(rows["part"].iloc[0]) % LANES], "packed": [pickle.dumps((rows["class_id"].tolist(), rows["print"].tolist()))]})
+        return pd.DataFrame({"lane": [int(rows["part"].iloc[0])], "packed": [pickle.dumps((rows["class_id"].tolist(), rows["print"].tolist()))]})
 
-    def packed(df: DataFrame, size: int) -> DataFrame:
+    def packed(df: DataFrame, size: int) -> tuple[DataFrame, int]:
         parts = max(1, -(-df.count() // size))
-        return df.withColumn("part", F.pmod(F.xxhash64("class_id"), F.lit(parts))).groupBy("part").applyInPandas(pack, "lane int, packed binary")
+        return df.withColumn("part", F.pmod(F.xxhash64("class_id"), F.lit(parts))).groupBy("part").applyInPandas(pack, "lane int, packed binary"), parts
 
-    asked = packed(some.where("query = 1").select("class_id", "print"), BLOCK).select(F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), F.col("packed").alias("asked"))
-    meet = packed(some.select("class_id", "print"), PAGE).join(asked, "lane").select("packed", "asked")
+    pages, lanes = packed(some.select("class_id", "print"), PAGE)  # a page is a join key of its own
+    asked, _ = packed(some.where("query = 1").select("class_id", "print"), BLOCK)
+    meet = pages.join(asked.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("packed").alias("asked")), "lane").select("packed", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,9 +203,10 @@ def align_queries(prints: DataFrame, every: int = 50, least_hits: int = 8, most_
     return prints.join(of, "print").select("media_id", "class_id", "links", "match_id", "offset", "hits", "bit_error")
 
 
-def melodies(vectors: DataFrame, note: float = 0.125, spread: float = 0.25) -> DataFrame:
-    """A media column derived from vectors (media_id, embedding): each component is a note of an 8-second recording
-    (for 64 components), its pitch one of 24 semitones by the component's value; 16-bit samples at RATE."""
+def melodies(vectors: DataFrame, note: float = 0.128, spread: float = 0.25) -> DataFrame:
+    """A media column derived from vectors (media_id, embedding, quoted or null): each component is a note of an 8-second
+    recording (for 64 components; notes last two hops), its pitch one of 24 semitones by the component's value; the notes of `quoted` stand
+    before them. 16-bit samples at RATE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.arange(int(note * RATE)) / RATE
@@ -184,14 +215,24 @@ def melodies(vectors: DataFrame, note: float = 0.125, spread: float = 0.25) -> D
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part, pcm = b.slice(k, 256), []
-                for v in part.column(1):
-                    x = [0.0 if c is None or not np.isfinite(c) else c for c in (v.as_py() or [])]
+                for v, q in zip(part.column(1), part.column(2)):
+                    x = [0.0 if c is None or not np.isfinite(c) else c for c in (q.as_py() or []) + (v.as_py() or [])]
                     pcm.append(tones[np.clip((np.array(x) / spread + 1) * 12, 0, 23).astype(int)].tobytes() if x else b"")
                 yield pa.record_batch([part.column(0), pa.array(pcm, pa.binary())], names=["media_id", "pcm"])
 
-    return vectors.select("media_id", "embedding").mapInArrow(run, "media_id long, pcm binary")
+    return vectors.select("media_id", "embedding", "quoted").mapInArrow(run, "media_id long, pcm binary")
+
+
+def with_quotes(vectors: DataFrame, every: int = 50) -> DataFrame:
+    """vectors (media_id, embedding) with quoted: in one recording of four, a passage of the query `every` * (id // every),
+    from a place that depends on the id."""
+    theme = vectors.where(F.col("media_id") % every == 0).groupBy("media_id").agg(F.first("embedding").alias("theme")).select(F.col("media_id").alias("_of"), "theme")
+    of = (F.floor(F.col("media_id") / every) * every).cast("long")
+    j = vectors.withColumn("_of", of).join(theme, "_of", "left")
+    passage = F.slice("theme", (F.col("media_id") % 16 + 1).cast("int"), 40)
+    return j.select("media_id", "embedding", F.when((F.col("media_id") % 4 == 1) & (F.col("media_id") % every != 0) & F.col("theme").isNotNull(), passage).alias("quoted"))
 
 
 def op9_chroma(spark, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("media_id"), "embedding")
-    return align_queries(fingerprints(melodies(vectors)))
+    return align_queries(fingerprints(melodies(with_quotes(vectors))))

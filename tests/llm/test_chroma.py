@@ -47,3 +47,37 @@ def test_recordings(spark):
     assert (got[53].match_id, got[53].offset) == (100, -30)
     assert got[54].class_id == got[55].class_id == 54 and got[54].links == got[56].links == 0 and got[56].match_id is None
     assert chroma.align_queries(chroma.fingerprints(df.limit(0))).count() == 0
+
+
+def test_offsets_equal_all_pairs(monkeypatch):
+    monkeypatch.setattr(chroma, "PAIRS", 50)
+    rng = np.random.default_rng(4)
+    for n, m, top in ((30, 50, 5), (400, 300, 2), (1, 1, 1), (700, 3, 3), (0, 5, 2)):
+        a, b = rng.integers(0, top, n).astype(np.uint32), rng.integers(0, top, m).astype(np.uint32)
+        want = np.zeros(max(0, n + m - 1) if n and m else 0, int)
+        for i in range(n):
+            for j in range(m):
+                want[j - i + n - 1] += a[i] == b[j]
+        assert np.array_equal(chroma.offsets(a, b), want)
+
+
+def test_hours_of_silence_stay_small():
+    a = prints(np.zeros(chroma.RATE * 1800, "<i2"))
+    assert chroma.align(a, a) == (0, len(a), 0.0)
+
+
+def test_quotes_are_found_as_by_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 0.125, 64).tolist(), "x") for i in range(150)] + [(150, None, "x"), (151, [], "x"), (153, rng.normal(0, 0.125, 64).tolist(), "x")]
+    df = spark.createDataFrame(rows, "media_id long, embedding array<double>, print string")
+    made = chroma.fingerprints(chroma.melodies(chroma.with_quotes(df)))
+    p = {r.media_id: np.frombuffer(bytes(r.print), "<u4") for r in made.collect()}
+    want = {}
+    for i in p:
+        near = [(q, got) for q in (0, 50, 100) if q != i and len(p[i]) and (got := chroma.align(p[i], p[q])) and got[1] >= 8 and got[2] <= 0.25]
+        want[i] = len(near)
+    got = {r.media_id: r for r in chroma.align_queries(made).collect()}
+    assert {i: r.links for i, r in got.items()} == want
+    quoting = [i for i in range(150) if i % 4 == 1 and i % 50]
+    found = [i for i in quoting if got[i].match_id == i // 50 * 50]
+    assert len(found) >= 0.9 * len(quoting) and sum(want.values()) <= 1.1 * len(quoting), (len(found), len(quoting), sum(want.values()))
