@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from quillmill.llm import license_scan as ls
 
 
@@ -48,3 +49,35 @@ def test_look_alikes(spark):
         assert r.doc_id not in got, (r, got[r.doc_id])
         got[r.doc_id] = r.license
     assert {x: got.get(x) for x in lines} == lines
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_repeated_notices_are_all_counted(spark, n):
+    rows = [(1, "x " + "Released under the MIT License. " * n), (2, (ls.TEMPLATES["BSD-2-Clause"][0] + ". ") * n), (3, ("some words " + ls.TEMPLATES["ISC"][0] + " ") * n)]
+    got = {r.doc_id: (r.license, r.places) for r in ls.scan_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", n), 2: ("BSD-2-Clause", n), 3: ("ISC", n)}
+
+
+def test_whole_texts_are_known(spark):
+    rows = [(i, name, "Copyright 2020 somebody " + max(ls.TEMPLATES[name], key=len) + " and more words") for i, name in enumerate(["MIT", "ISC", "BSD-2-Clause", "Zlib", "BSD-3-Clause"])]
+    got = {r.doc_id: r.license for r in ls.scan_texts(spark.createDataFrame(rows, "doc_id long, want string, text string")).collect()}
+    assert got == {i: name for i, name, _ in rows}
+
+
+def test_every_window_is_seen():
+    """Where a template is cut short or a few words differ, looking at every window finds nothing that the key words miss."""
+    rng = random.Random(2)
+    for name in ("MIT", "ISC", "BSD-2-Clause", "GPL-3.0"):
+        for t in ls.TEMPLATES[name][:2]:
+            m = ls.Template(name, t, 0.8, ls.NAMES.get(name, []), ls.OTHERS.get(name, []))
+            for _ in range(6):
+                ws = ls.words(t)
+                for _ in range(rng.randint(0, max(1, len(ws) // 4))):
+                    ws[rng.randrange(len(ws))] = f"other{rng.randint(0, 99)}"
+                text = [f"w{i}" for i in range(9)] + ws + [f"v{i}" for i in range(9)]
+                at = {}
+                for i, w in enumerate(text):
+                    at.setdefault(w, []).append(i)
+                best = max(len(ls.align(text[i : i + len(m.words) + 2 * m.slack], m.words)) for i in range(len(text)))
+                whole = all(any(text[i : i + b - a] == m.words[a:b] for i in range(len(text))) for a, b in m.runs)
+                assert bool(m.find(text, at)) == (best >= 0.8 * len(m.words) - 1e-9 and whole)
