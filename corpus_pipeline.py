@@ -1,4 +1,10 @@
-"""The corpus pipeline: language ID, near-duplicates, source mixing, BPE; each stage is written and read again."""
+"""The corpus pipeline: language ID, near-duplicates, source mixing, BPE; each stage is written and read again.
+
+Every stage takes all rows of the one before, with the columns that it finds there. Defined results: a null or blank
+text, or one without letters, goes at the first stage; rows with a null doc_id, source or language are treated as any
+others; of equal rows and near copies one stays; a kept document may be repeated by the mix, up to 3 times; an empty
+table gives an empty result of the same columns. A text is never cut.
+"""
 
 from __future__ import annotations
 
