@@ -8,7 +8,7 @@ holds no such place, it is doubled until it does or the text ends. So no more th
 Shorter texts are cut at their spaces, and the library encodes each distinct stretch once (`token_ids`).
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows each get a row; an empty table gives an
-empty result; other columns are not read.
+empty result; other columns are not read; texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from quillmill.llm.token_ids import WORDS, Encoder
 
 #: Characters of a chunk and of the first overlap; texts of over two chunks are huge.
-CHUNK, OVERLAP = 16_384, 256
+CHUNK, OVERLAP = 8_192, 256
 
 
 class TokenCounter:
@@ -33,6 +33,8 @@ class TokenCounter:
         self.chunk, self.overlap = chunk, overlap
         #: How often an overlap was widened.
         self.widened = 0
+        #: Chunks of the last huge document.
+        self.chunks = 0
 
     def _starts(self, text: str, a: int, b: int) -> tuple[list[int], list[bool]]:
         """For each token of text[a:b]: the character at which it starts, and whether a piece starts with it."""
@@ -44,6 +46,7 @@ class TokenCounter:
         end, size = len(text), self.chunk + self.overlap
         at, reach, total, done = 0, min(end, size), 0, 0
         starts, first = self._starts(text, at, reach)  # done: index of the first token not yet counted
+        self.chunks = 1
         following = self.chunk
         while reach < end:
             stop = min(end, following + size)
@@ -55,6 +58,7 @@ class TokenCounter:
                 total += found - done
                 done = places[starts[found]]
                 starts, first, at, reach = later, later_first, following, stop
+                self.chunks += 1
                 following = max(following + 1, reach - self.overlap)
                 continue
             self.widened += 1  # no common boundary: twice the overlap
@@ -66,10 +70,11 @@ class TokenCounter:
                 following = max(following + 1, min(stop, reach) - self.overlap)
         return total + len(starts) - done
 
-    def count(self, texts: list[str]) -> list[int]:
+    def count(self, texts: list[str]) -> list[tuple[int, int]]:
+        """(tokens, chunks) of each text."""
         short = [t for t in texts if len(t) <= 2 * self.chunk]
         sizes = iter(map(len, self.ids.encode(short)))
-        return [next(sizes) if len(t) <= 2 * self.chunk else self.huge(t) for t in texts]
+        return [(next(sizes), 1) if len(t) <= 2 * self.chunk else (self.huge(t), self.chunks) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -78,7 +83,7 @@ def counter(path: str) -> TokenCounter:
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
-    """docs (doc_id, text) → doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
+    """docs (doc_id, text) → doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), chunks (how many were spliced)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
@@ -88,10 +93,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 n = c.count(texts)
                 size = [len(t.encode()) for t in texts]
-                yield pa.record_batch([part.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                yield pa.record_batch([part.column(0), pa.array(size, pa.int64()), pa.array([x for x, _ in n], pa.int64()), pa.array([x > limit for x, _ in n], pa.bool_()), pa.array([c for _, c in n], pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "chunks"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, chunks long")
 
 
 def op3_token_count(spark, sf_dir: str) -> DataFrame:
