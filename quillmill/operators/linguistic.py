@@ -573,3 +573,50 @@ def grammar_marks(docs: DataFrame, exact: dict[str, str], pairs: dict[str, tuple
         return *(counts[t] for t in exact.values()), *(sum(n for (w, t), n in both.items() if w == v and t.startswith(p)) for v, p in pairs.values()), *(sum(n for t, n in counts.items() if t.startswith(p) and t not in known) for p in others.values())
 
     return per_document(docs, feature, ", ".join(f"{n} long" for n in (*exact, *pairs, *others)), segmenter)
+
+
+def idiom_counts(docs: DataFrame, idioms: DataFrame, kinds: Sequence[str], phrase_kind: str, phrase_tags: Sequence[str], segmenter: Segmenter | None = None) -> DataFrame:
+    """idioms (kind, first, second or null) → for each document with any: idioms and different ones of each kind, in all,
+    and their diversity (different / all).
+
+    Those with two parts count by sentence; the others are spans taken from the left, the longest first, over all kinds
+    together; tokens with a tag of `phrase_tags` that nothing covers count as `phrase_kind`.
+    """
+    pairs = idioms.where("second is not null").select(F.concat_ws("\x01", "kind", "first", "second").alias("idiom"), "first", "second")
+    two = two_part_idioms(docs, pairs, segmenter).select("doc_id", F.split("idiom", "\x01")[0].alias("kind"), F.col("idiom").alias("term"), "hits")
+    one = idioms.where("second is null").groupBy(F.col("first").alias("term")).agg(F.min("kind").alias("kind"))
+    spans = lexicon_spans(docs, one.select(F.lit("idiom").alias("feature"), "term"), segmenter)
+    single = spans.join(one, "term").groupBy("doc_id", "kind", "term").agg(F.count("*").alias("hits"))
+    covered = spans.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("tok_idx")).distinct()
+    phrases = tokens(docs, segmenter).where(F.col("raw_pos").isin(*phrase_tags)).join(covered, ["doc_id", "tok_idx"], "left_anti")
+    phrases = phrases.groupBy("doc_id", F.col("word").alias("term")).agg(F.count("*").alias("hits")).select("doc_id", F.lit(phrase_kind).alias("kind"), "term", "hits")
+    rows = two.unionByName(single).unionByName(phrases)
+    of = lambda k, e: F.coalesce(F.sum(F.when(F.col("kind") == k, e)), F.lit(0)).cast("long")
+    g = rows.groupBy("doc_id", "kind", "term").agg(F.sum("hits").alias("hits")).groupBy("doc_id")
+    out = g.agg(*[c for i, k in enumerate(kinds) for c in (of(k, F.col("hits")).alias(f"n_{i}"), of(k, F.lit(1)).alias(f"different_{i}"))], F.sum("hits").alias("idioms"), F.countDistinct("kind", "term").alias("different"))
+    return out.withColumn("diversity", r6(F.col("different") / F.col("idioms")))
+
+
+def narrative(docs: DataFrame, spans: DataFrame, groups: dict[str, Sequence[str]], tag_sets: dict[str, Sequence[str]], word_tags: dict[str, tuple[str, str]], free: Sequence[str], first_person: Sequence[str], segmenter: Segmenter | None = None) -> DataFrame:
+    """Narrative marks of each document: matches of each group of a lexicon's features (`groups`), tokens by tag prefix
+    (`tag_sets`) and by word and tag prefix (`word_tags`), tokens of the roots `free` that no span covers, direct quotes,
+    and the share of first-person words among the pronouns (root r)."""
+    from quillmill.functions import text as T
+
+    first = set(first_person)
+
+    def feature(text, words, tags, paragraphs):
+        counts, both = Counter(tags), Counter(zip(words, tags))
+        pronouns = sum(n for t, n in counts.items() if raw_root(t) == "r")
+        own = sum(n for (w, t), n in both.items() if w in first and raw_root(t) == "r")
+        sets = [sum(n for t, n in counts.items() if t.startswith(tuple(ps))) for ps in tag_sets.values()]
+        pairs = [sum(n for (w, t), n in both.items() if w == v and t.startswith(p)) for v, p in word_tags.values()]
+        return *sets, *pairs, *(sum(n for t, n in counts.items() if raw_root(t) == r) for r in free), share(own, pronouns)
+
+    names = [*tag_sets, *word_tags, *(f"free_{r}" for r in free)]
+    d = per_document(docs, feature, ", ".join(f"{n} long" for n in names) + ", first_person double", segmenter)
+    at = spans.select("doc_id", F.inline(F.arrays_zip(F.sequence("start", F.col("end") - 1).alias("i"), F.transform("tags", lambda t: F.lower(F.substring(t, 1, 1))).alias("t")))).distinct()
+    covered = at.groupBy("doc_id").agg(*[F.sum((F.col("t") == r).cast("int")).alias(f"_c_{r}") for r in free])
+    hits = spans.groupBy("doc_id").agg(*[F.sum(F.col("feature").isin(*fs).cast("int")).alias(n) for n, fs in groups.items()])
+    j = d.join(covered, "doc_id", "left").join(hits, "doc_id", "left").join(docs.select("doc_id", T.count_direct_quotes(F.coalesce("text", F.lit(""))).cast("long").alias("quotes")), "doc_id")
+    return j.select("doc_id", *tag_sets, *word_tags, *[(F.col(f"free_{r}") - F.coalesce(f"_c_{r}", F.lit(0))).alias(f"free_{r}") for r in free], *[F.coalesce(n, F.lit(0)).alias(n) for n in groups], "quotes", r6(F.col("first_person")).alias("first_person"))

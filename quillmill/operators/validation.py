@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Elements without an end tag.
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+
 
 def first_failure(checks: list[tuple[str, Column]]) -> Column:
     """The reason of the first check that does not hold (a null does not), null if all do."""
@@ -46,3 +53,100 @@ def listing(pages: DataFrame, html: str, block: str, fields: dict[str, str]) ->
 def last_page(html: Column, pattern: str) -> Column:
     """The greatest page number that pattern's group finds, 1 if none."""
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda n: n.try_cast("int"))), F.lit(1))
+
+
+class Places(HTMLParser):
+    """Texts of the places that `rules` (name → (tag, class or None)) mark, to the end of the element; line ends for br, p
+    and div."""
+
+    def __init__(self, rules: dict[str, tuple[str, str | None]]):
+        super().__init__(convert_charrefs=True)
+        self.rules, self.out, self.open, self.depth, self.skip = rules, {n: [] for n in rules}, {}, 0, 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        classes = (dict(attrs).get("class") or "").split()
+        if tag in ("br", "p", "div"):
+            for n in self.open:
+                self.out[n].append("\n")
+        if tag in VOID:
+            return
+        self.depth += 1
+        self.skip += tag in ("script", "style")
+        for n, (t, c) in self.rules.items():
+            if n not in self.open and not self.out[n] and t == tag and (c is None or c in classes):
+                self.open[n] = self.depth
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in VOID:
+            return
+        if tag in ("p", "div"):
+            for n in self.open:
+                self.out[n].append("\n")
+        self.skip -= tag in ("script", "style") and self.skip > 0
+        for n in [n for n, d in self.open.items() if d == self.depth]:
+            del self.open[n]
+        self.depth -= 1
+
+    def handle_data(self, data: str) -> None:
+        if not self.skip:
+            for n in self.open:
+                self.out[n].append(data)
+
+
+def page_places(pages: DataFrame, key: str, html: str, rules: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """key and the text of each place of every page, '' where there is none; null html has none. Pages are read in Arrow
+    batches where they lie."""
+    names = list(rules)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, page in zip(b["key"], b["html"]):
+                found = Places(rules)
+                found.feed(page or "")
+                found.close()
+                rows.append((k, *("".join(found.out[n]) for n in names)))
+            yield pd.DataFrame(rows, columns=["key", *names])
+
+    kind = pages.schema[key].dataType.simpleString()
+    out = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, f"key {kind}, " + ", ".join(f"`{n}` string" for n in names))
+    return out.withColumnRenamed("key", key)
+
+
+def articles(pages: DataFrame, key: str, url: str, html: str, rules: dict[str, tuple[str, str | None]], genres: list[str], grades: str, boilerplate: list[str], dropped: list[str], tail: str, markers: list[str]) -> DataFrame:
+    """Fields of each page's article: title (the place title, else the page's title), breadcrumb, published (a date in the
+    place meta, else in the url, else ''), source (a label in meta), grade (first match of `grades` in breadcrumb and
+    title, else ''), genre (the first of `genres` in them, else ''), article_id (digits in the url, else the start of its
+    SHA-1), raw_text, clean_text, letters, text_hash (SHA-256 without white space), and failed: why there is no article.
+
+    `rules` names the places title, page_title, breadcrumb, meta and body.
+    """
+    from quillmill.functions import text as T
+
+    p = pages.select(key, F.col(url).alias("url")).join(page_places(pages, key, html, rules), key)
+    squeeze = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    p = p.select(key, "url", squeeze(F.when(squeeze(F.col("title")) != "", F.col("title")).otherwise(F.col("page_title"))).alias("title"), squeeze(F.col("breadcrumb")).alias("breadcrumb"), squeeze(F.col("meta")).alias("meta"), F.trim(F.regexp_replace("body", r"^\s+|\s+$", "")).alias("raw_text"))
+    date = r"(\d{4})[-/年.](\d{1,2})[-/月.](\d{1,2})"
+    day = lambda c: F.when(c.rlike(date), F.concat_ws("-", F.regexp_extract(c, date, 1), F.lpad(F.regexp_extract(c, date, 2), 2, "0"), F.lpad(F.regexp_extract(c, date, 3), 2, "0")))
+    header = F.concat_ws(" ", "breadcrumb", "title")
+    genre = F.lit("")
+    for g in reversed(genres):
+        genre = F.when(F.contains(header, F.lit(g)), g).otherwise(genre)
+    number = F.regexp_extract("url", r"/(\d{3,})(?:\.\w+)?/?(?:[?#].*)?$", 1)
+    p = p.select(
+        key, "url", "title", "breadcrumb", "raw_text", F.coalesce(day(F.col("meta")), day(F.col("url")), F.lit("")).alias("published"), T.source_label(F.regexp_extract("meta", r"((?:来源|[Ss]ource)[:：]\s*\S+(?:\s*\S+)?)", 1), markers).alias("source"),
+        F.regexp_extract(header, grades, 0).alias("grade"), genre.alias("genre"), F.when(number != "", number).otherwise(F.substring(F.sha1("url"), 1, 16)).alias("article_id"), T.clean_body(F.col("raw_text"), F.col("title"), boilerplate, dropped, tail).alias("clean_text"),
+    )
+    return p.withColumns({"letters": F.regexp_count("clean_text", F.lit(r"\p{L}")).cast("long"), "text_hash": F.sha2(F.regexp_replace("clean_text", r"(?U)\s+", ""), 256), "failed": F.when(F.col("raw_text") == "", "no body")})
+
+
+def genre_checks(header: Column, breadcrumb: Column, text: Column, stages: list[str], excluded: list[str], genre: str, named: dict[str, list[str]], units: list[str], on_topic: Column, markers: list[str], letters: Column, low: int, high: int, tolerance: float = 0.0) -> list[tuple[str, Column]]:
+    """Ordered checks of an article: a stage in its breadcrumb, no excluded term in its header, its genre by a name in the
+    header (`named`), or, in pages of a unit, by topic for the first genre and by two or more `markers` for the others, a
+    length from low to floor(high * (1 + tolerance)), and a text."""
+    any_in = lambda c, terms: signals(c, terms) > 0
+    inferred = on_topic if genre == next(iter(named)) else signals(text, markers) >= 2
+    return [
+        ("stage", any_in(breadcrumb, stages)), ("excluded", ~any_in(header, excluded)), ("genre", any_in(header, named[genre]) | (any_in(breadcrumb, units) & inferred)),
+        ("length", letters.between(low, int(high * (1 + tolerance)))), ("empty", F.length(F.trim(text)) > 0),
+    ]

@@ -569,3 +569,45 @@ def _(spark, sf):
 @query("source_labels", r"SELECT page_id, rtrim(trim(regexp_replace(split_part(regexp_replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), '^(来源|source)[:：]\s*', '', 'i'), ' the', 1), '[|｜/\s]+$', ''))) AS label FROM pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.source_label(F.regexp_extract("html", "<title>([^<]*)</title>", 1), [" the"]).alias("label"))
+
+
+_H = {"title": ("h1", None), "page_title": ("title", None), "breadcrumb": ("nav", None), "meta": ("footer", None), "body": ("article", None)}
+
+
+@query("page_articles")
+def _(spark, sf):
+    """Fields of every page's article."""
+    return validation.articles(table(spark, sf, "pages"), "page_id", "url", "html", _H, ["en", "fr"], "[A-Z]", [r"track\(.*"], [], "", ["&"])
+
+
+@query("idiom_counts")
+def _(spark, sf):
+    idioms = spark.createDataFrame([("pair", "la", "de"), ("pair", "the", "of"), ("fixed", "of the", None), ("fixed", "de la", None)], "kind string, first string, second string")
+    return linguistic.idiom_counts(table(spark, sf, "documents"), idioms, ["pair", "fixed"], "fixed", [])
+
+
+@query("narrative_marks", rf"""WITH {TAGGED} SELECT d.doc_id, count(tag) FILTER (tag IN ('v', 'a')) AS acts, count(tag) FILTER (word = 'the' AND tag = 'u') AS the_u, count(tag) FILTER (tag = 'n' AND word NOT IN ('that', 'with')) AS free_n, count(tag) FILTER (word IN ('that', 'with')) AS links,
+any_value(len(regexp_extract_all(coalesce(d.text, ''), '“[^”]*”')) + len(regexp_extract_all(coalesce(d.text, ''), '「[^」]*」')) + len(regexp_extract_all(coalesce(d.text, ''), '『[^』]*』')) + len(regexp_extract_all(coalesce(d.text, ''), '"[^"' || chr(10) || ']*"'))) AS quotes, 0.0::DOUBLE AS first_person FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id""")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    spans = linguistic.lexicon_spans(d, spark.createDataFrame([("w", "that"), ("w", "with")], "feature string, term string"))
+    return linguistic.narrative(d, spans, {"links": ["w"]}, {"acts": ["v", "a"]}, {"the_u": ("the", "u")}, ["n"], ["i"])
+
+
+@query("labelled_rows", "SELECT 'orders' AS source, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+def _(spark, sf):
+    parts = {"orders": table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), "lineitem": table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"))}
+    return reports.labelled_union(parts).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("main_loadings", "WITH c AS (SELECT source, lang, count(*) / 100.0 AS l FROM documents GROUP BY ALL), m AS (SELECT source, max(l) FILTER (lang = 'en') AS fen, max(l) FILTER (lang = 'fr') AS ffr, arg_max(lang, (l, lang)) AS main, max(l) AS main_loading FROM c GROUP BY source) SELECT source AS feature, round(fen, 4) AS fen, round(ffr, 4) AS ffr, main, round(main_loading, 4) AS main_loading FROM m")
+def _(spark, sf):
+    c = table(spark, sf, "documents").groupBy(F.col("source").alias("feature"), F.col("lang").alias("factor")).agg((F.count("*") / 100.0).cast("double").alias("loading"))
+    m = reports.main_loadings(c, ["en", "fr"])
+    return m.select("feature", F.round("fen", 4).alias("fen"), F.round("ffr", 4).alias("ffr"), "main", F.round("main_loading", 4).alias("main_loading"))
+
+
+@query("top_loadings", "WITH c AS (SELECT source AS feature, lang AS factor, round(count(*) / 100.0, 4) AS loading FROM documents GROUP BY ALL) SELECT factor, 1 AS sign, CAST(r AS INTEGER) AS place, feature, loading FROM (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY loading DESC, feature) AS r FROM c WHERE loading >= 0.05) WHERE r <= 6")
+def _(spark, sf):
+    c = table(spark, sf, "documents").groupBy(F.col("source").alias("feature"), F.col("lang").alias("factor")).agg(F.round((F.count("*") / 100.0).cast("double"), 4).alias("loading"))
+    return reports.top_loadings(c, 0.05)
