@@ -106,8 +106,10 @@ def equal_sizes(df: DataFrame, score: str, group: str) -> DataFrame:
 
 def quantile_targets(df: DataFrame, group: str, value: str, n: int) -> DataFrame:
     """n targets at (i + 0.5) / n, interpolated, halves to even."""
-    points = F.array(*[F.lit((i + 0.5) / n) for i in range(n)])
-    return df.groupBy(group).agg(F.percentile(value, points).alias("q")).select(group, F.posexplode("q").alias("i", "x")).select(group, "i", F.bround(F.round("x", 6), 0).cast("long").alias("target"))
+    from quillmill.operators.statistics import quantiles
+
+    q = quantiles(df.select(group, F.col(value).cast("double").alias("_x")), [group], "_x", [(i + 0.5) / n for i in range(n)])
+    return q.select(group, F.posexplode("q").alias("i", "x")).select(group, "i", F.bround(F.round("x", 6), 0).cast("long").alias("target"))
 
 
 def align_columns(df: DataFrame, target: list[str], dynamic: str) -> DataFrame:

@@ -105,3 +105,13 @@ def test_scan_stops_when_there_are_enough(spark):
     got = selection.scanned_pools(df, "g", "ok", [F.col("i")], 8, ["g", "h", "k"])
     by = {r.g: (r.n, r.k) for r in got.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k")).collect()}
     assert by == {"g": (10, 5), "h": (5, 5), "k": (1, 1)}
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v)) for g in ("a", "b", None) for v in rng.integers(0, 9, 37)] + [("c", 4.0), ("c", None), ("d", None)]
+    points = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    got = {r.g: r.q for r in statistics.quantiles(spark.createDataFrame(rows, "g string, x double").repartition(3), ["g"], "x", points).collect()}
+    assert set(got) == {"a", "b", None, "c"}
+    for g in got:
+        assert got[g] == pytest.approx(np.quantile([x for h, x in rows if h == g and x is not None], points))
