@@ -109,7 +109,14 @@ def _(spark, sf):
     return linguistic.vocabulary_levels(table(spark, sf, "documents"), spark.createDataFrame(VOCABULARY, "word string, level int, tag string"))
 
 
-@query("lexicon_features")
+_LEX = ", ".join(f"('{f}', '{t}')" for f, t in LEXICON)
+
+
+@query("lexicon_features", rf"""WITH {PARTS}, g AS (SELECT doc_id, tok_idx, word AS a, lead(word, 1) OVER w AS b, lead(word, 2) OVER w AS c FROM tok WINDOW w AS (PARTITION BY doc_id, p ORDER BY tok_idx)),
+n AS (SELECT doc_id, tok_idx, 1 AS n, a AS term FROM g UNION ALL SELECT doc_id, tok_idx, 2, a || ' ' || b FROM g WHERE b IS NOT NULL UNION ALL SELECT doc_id, tok_idx, 3, a || ' ' || b || ' ' || c FROM g WHERE c IS NOT NULL),
+l(feature, term) AS (VALUES {_LEX}), h AS (SELECT doc_id, feature, tok_idx AS s, max(tok_idx + n.n) AS e, arg_max(n.term, n.n) AS term FROM n JOIN l ON l.term = n.term GROUP BY ALL),
+f AS (SELECT doc_id, feature, list_reduce(list({{'s': s, 'e': e, 'n': 1, 't': [term]}} ORDER BY s), lambda a, x: CASE WHEN x.s >= a.e THEN {{'s': x.s, 'e': x.e, 'n': a.n + 1, 't': list_append(a.t, x.t[1])}} ELSE a END) AS m FROM h GROUP BY ALL)
+SELECT doc_id, feature, CAST(m.n AS BIGINT) AS matches, len(list_distinct(m.t)) AS terms FROM f""")
 def _(spark, sf):
     return linguistic.lexicon_features(linguistic.lexicon_spans(table(spark, sf, "documents"), spark.createDataFrame(LEXICON, "feature string, term string")))
 
@@ -290,9 +297,10 @@ def _(spark, sf):
     return selection.first_valid(d, "source", "valid", [F.desc("n_chars"), F.col("doc_id")], 5).select("source", "doc_id", "n_chars")
 
 
-@query("merged_sources")
+@query("merged_sources", """WITH r AS (SELECT conv_id, list({'p': turn, 'score': length(text), 'verified': role = 'system', 'hint': contains(text, '?'), 'backup': turn % 5 = 4} ORDER BY turn) AS l FROM conversations GROUP BY conv_id)
+SELECT conv_id, m.p, m.score, m.verified, m.hint, m.backup FROM (SELECT conv_id, list_reduce(l, lambda a, x: CASE WHEN CASE WHEN x.backup <> a.backup THEN a.backup WHEN x.verified <> a.verified THEN x.verified WHEN x.hint AND NOT a.hint THEN true ELSE x.score > a.score END THEN x ELSE a END) AS m FROM r)""")
 def _(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("score"), (F.col("role") == "system").alias("verified"), F.contains("text", F.lit("?")).alias("hint"), (F.col("turn") % 5 == 4).alias("backup"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("score"), (F.col("role") == "system").alias("verified"), F.contains("text", F.lit("?")).alias("hint"), (F.col("turn") % 5 == 4).alias("backup"))
     return selection.merge_sources(c, ["conv_id"], "turn")
 
 
@@ -551,14 +559,20 @@ def _(spark, sf):
     return reports.serial_gaps(table(spark, sf, "orders").where("o_orderkey % 7 <> 3"), "o_orderkey", 2000)
 
 
-@query("representatives")
+@query("representatives", """WITH q AS (SELECT quantile_cont(n_chars, 0.1) AS a, quantile_cont(n_chars, 0.9) AS b FROM documents), l AS (SELECT doc_id, n_chars FROM documents, q ORDER BY abs(n_chars - a), doc_id LIMIT 1),
+h AS (SELECT doc_id, n_chars FROM documents, q WHERE doc_id NOT IN (SELECT doc_id FROM l) ORDER BY abs(n_chars - b), doc_id LIMIT 1)
+SELECT 'n_chars' AS dimension, 'low' AS pole, doc_id, CAST(n_chars AS DOUBLE) AS score FROM l UNION ALL SELECT 'n_chars', 'high', doc_id, CAST(n_chars AS DOUBLE) FROM h""")
 def _(spark, sf):
     return reports.representatives(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", ["n_chars"], {"low": 0.1, "high": 0.9})
 
 
-@query("correlation_filter")
+_R = "r AS (SELECT " + ", ".join(f"corr({a}, {b}) AS r{i}{j}" for i, a in enumerate(NUMBERS) for j, b in enumerate(NUMBERS) if i < j) + " FROM lineitem)"
+_KEPT = [f"coalesce(NOT ({' OR '.join(f'(k{i} AND abs(r{i}{j}) >= 0.85)' for i in range(j))}), true)" for j in range(1, 4)]
+
+
+@query("correlation_filter", f"WITH {_R}, a AS (SELECT *, true AS k0 FROM r), b AS (SELECT *, {_KEPT[0]} AS k1 FROM a), c AS (SELECT *, {_KEPT[1]} AS k2 FROM b), d AS (SELECT *, {_KEPT[2]} AS k3 FROM c) " + " UNION ALL ".join(f"SELECT '{v}' AS variable, k{j} AS kept FROM d" for j, v in enumerate(NUMBERS)))
 def _(spark, sf):
-    return statistics.correlation_filter(table(spark, sf, "lineitem"), NUMBERS)
+    return statistics.correlation_filter(table(spark, sf, "lineitem"), NUMBERS).select("variable", "kept")
 
 
 @query("deduplicated_across")
