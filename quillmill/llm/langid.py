@@ -8,7 +8,8 @@ number and the table size. Since both layers are linear, prediction uses the pro
 
 Defined results: a null text, or one without letters, is `und` with score 0 and is rejected; rows with a null language
 are predicted but not learnt from; repeated rows each get a row; an empty table, or one without labels, trains nothing
-and every text is `und`; other columns are never inputs.
+and every text is `und`; of equal scores the first language by name is told; texts of any length are read whole; other
+columns are never inputs.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ is taken floor(r) times whole, and documents in seeded hash order give the fract
 
 Defined results: a null text has size 0; rows with a null source form a source of their own, last in the order;
 repeated rows are separate documents; ids may be null (the
-text then gives the place in the order) or shared by documents; an empty table gives an empty result; sources without words get target 0.
+text then gives the place in the order) or shared by documents; of equal places the given order decides, and reruns agree;
+texts are measured whole; columns other than doc_id, text, source and `carry` are not read; an empty table gives an empty
+result; sources without words get target 0.
 """
 
 from __future__ import annotations
