@@ -594,7 +594,10 @@ def _(spark, sf):
     return validation.articles(table(spark, sf, "pages"), "page_id", "url", "html", _H, ["en", "fr"], "[A-Z]", [r"track\(.*"], [], "", ["&"])
 
 
-@query("idiom_counts")
+@query("idiom_counts", f"""WITH {PARTS}, t AS (SELECT *, {TAG} AS tag FROM tok), s AS (SELECT *, coalesce(sum(CAST(tag = 'wj' AS INT)) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM t), r(a, b) AS (VALUES ('la', 'de'), ('the', 'of')),
+x AS (SELECT doc_id, sentence, a FROM s JOIN r ON word IN (a, b) GROUP BY doc_id, sentence, a, b HAVING bool_or(word = a) AND bool_or(word = b)), n AS (SELECT doc_id, word || ' ' || lead(word) OVER (PARTITION BY doc_id, p ORDER BY tok_idx) AS term FROM tok),
+u AS (SELECT doc_id, 'pair' AS kind, a AS term, count(*) AS hits FROM x GROUP BY ALL UNION ALL SELECT doc_id, 'fixed', term, count(*) FROM n WHERE term IN ('of the', 'de la') GROUP BY ALL)
+SELECT doc_id, {', '.join(f"CAST(coalesce(sum(hits) FILTER (kind = '{k}'), 0) AS BIGINT) AS n_{i}, count(*) FILTER (kind = '{k}') AS different_{i}" for i, k in enumerate(('pair', 'fixed')))}, CAST(sum(hits) AS BIGINT) AS idioms, count(*) AS different, round(count(*) / sum(hits), 6) AS diversity FROM u GROUP BY doc_id""")
 def _(spark, sf):
     idioms = spark.createDataFrame([("pair", "la", "de"), ("pair", "the", "of"), ("fixed", "of the", None), ("fixed", "de la", None)], "kind string, first string, second string")
     return linguistic.idiom_counts(table(spark, sf, "documents"), idioms, ["pair", "fixed"], "fixed", [])
