@@ -163,7 +163,17 @@ def _(spark, sf):
     return dedup.jaccard_pairs(table(spark, sf, "documents"), "source").withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("deduplicated")
+#: Documents in the order of removal, one step each; `kept` is the list of the places kept so far.
+@query("deduplicated", r"""WITH RECURSIVE x AS (SELECT source, doc_id, row_number() OVER (ORDER BY length(coalesce(text, '')) DESC, doc_id) AS rn, regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0B　]+', '', 'g') AS b FROM documents),
+d AS (SELECT source, min(doc_id) AS id, b FROM x GROUP BY source, b), x2 AS (SELECT x.source, x.doc_id, x.rn, d.id FROM x JOIN d ON d.source = x.source AND d.b = x.b),
+g AS (SELECT DISTINCT source, id, g FROM (SELECT source, id, CASE WHEN length(b) <= 5 THEN b ELSE substring(b, CAST(i AS BIGINT), 5) END AS g FROM d, unnest(range(1, greatest(length(b) - 3, 2))) AS u(i))),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id), p AS (SELECT y.id AS a, z.id AS b, count(*) AS s FROM g y JOIN g z ON y.source = z.source AND y.g = z.g AND y.id < z.id GROUP BY ALL),
+q AS (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE s / (na.n + nb.n - s) >= 0.85 - 1e-9), w AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
+h AS (SELECT y.rn, list(z.rn) AS same FROM x2 y JOIN x2 z ON z.id = y.id AND z.rn <> y.rn GROUP BY y.rn), m AS (SELECT y.rn, list(z.rn) AS near FROM x2 y JOIN w ON w.a = y.id JOIN x2 z ON z.id = w.b GROUP BY y.rn),
+o AS (SELECT x2.doc_id, x2.rn, coalesce(same, []) AS same, coalesce(near, []) AS near FROM x2 LEFT JOIN h ON h.rn = x2.rn LEFT JOIN m ON m.rn = x2.rn),
+r(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT i + 1, CASE WHEN len(list_intersect(kept, list_concat(same, near))) = 0 THEN list_append(kept, rn) ELSE kept END FROM r JOIN o ON o.rn = i + 1),
+k AS (SELECT kept FROM r ORDER BY i DESC LIMIT 1), f AS (SELECT doc_id, list_contains(kept, rn) AS kept, list_min(list_filter(list_intersect(same, kept), lambda v: v < rn)) AS hs, list_min(list_filter(list_intersect(near, kept), lambda v: v < rn)) AS ns FROM o, k)
+SELECT f.doc_id, f.kept, CASE WHEN f.kept THEN NULL WHEN hs IS NOT NULL THEN 'hash' ELSE 'near' END AS reason, CASE WHEN f.kept THEN NULL ELSE o.doc_id END AS winner FROM f LEFT JOIN o ON o.rn = coalesce(hs, ns)""")
 def _(spark, sf):
     return dedup.deduplicate(table(spark, sf, "documents"))
 
