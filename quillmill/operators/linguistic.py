@@ -36,6 +36,8 @@ TOKEN = regex.compile(r"\p{L}+|[^\p{L}\s]")
 LETTER = regex.compile(r"\p{L}")
 PUNCTUATION = regex.compile(r"\p{P}+")
 ENDS = ("wj", "ww", "wt")
+#: Characters of the documents whose rows are put out together, about: n-grams take many times their text.
+CHARS = 300_000
 
 Segmenter = Callable[[str], Sequence[tuple[str, str]]]
 
@@ -135,12 +137,16 @@ def per_document(docs: DataFrame, feature: Feature, schema: str, segmenter: Segm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tags = Tags()
         for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                part = b.slice(k, 1024)
-                rows = [feature(t or "", *segment_text(t or "", tags, segmenter, fallback)) for t in part.column(1).to_pylist()]
+            start, rows, size = 0, [], 0
+            for i, t in enumerate(b.column(1).to_pylist(), 1):
+                rows.append(feature(t or "", *segment_text(t or "", tags, segmenter, fallback)))
+                size += len(t or "")
+                if size < CHARS and i < b.num_rows:
+                    continue
                 keep = pa.array([r is not None for r in rows], pa.bool_())
                 values = list(zip(*[r for r in rows if r is not None])) or [()] * len(columns)
-                yield pa.record_batch([part.column(0).filter(keep), *(pa.array(v, f.type) for v, f in zip(values, columns))], names=["doc_id", *columns.names])
+                yield pa.record_batch([b.column(0).slice(start, i - start).filter(keep), *(pa.array(v, f.type) for v, f in zip(values, columns))], names=["doc_id", *columns.names])
+                start, rows, size = i, [], 0
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}")
 
