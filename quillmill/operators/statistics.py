@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quillmill.operators.correlation import packed, pearson, summed
 from quillmill.plans.prefix import range_offsets
 
 
@@ -138,7 +139,7 @@ def welch_anova(df: DataFrame, group: str, values: list[str]) -> DataFrame:
     base = F.col("ssb") + F.col("within") + ms
     omega = F.when(base > 0, F.greatest(F.lit(0.0), (F.col("ssb") - (k - 1) * ms) / base)).otherwise(0.0)
     out = out.select("variable", f.alias("f"), (k - 1).alias("df1"), F.try_divide(k**2 - 1, 3 * lam).alias("df2"), omega.alias("omega2")).withColumn("p", f_p("f", "df1", "df2"))
-    return out.select("variable", F.round("f", 4).alias("f"), "df1", F.round("df2", 4).alias("df2"), F.round("omega2", 6).alias("omega2"), "p")
+    return out.select("variable", "f", "df1", "df2", "omega2", "p")
 
 
 def adjust(df: DataFrame, family: str, p: str, key: list[str]) -> DataFrame:
@@ -154,14 +155,9 @@ def adjust(df: DataFrame, family: str, p: str, key: list[str]) -> DataFrame:
 
 
 def correlation(df: DataFrame, values: list[str]) -> DataFrame:
-    """(x, y, r) for all pairs, in one pass of co-moments with map-side combine; r is null where a column doesn't vary."""
-    pairs = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :]]
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    of = lambda c, a, b: F.when(both(a, b), F.col(c).cast("double"))
-    r = lambda a, b: F.try_divide(F.covar_samp(of(a, a, b), of(b, a, b)), F.stddev_samp(of(a, a, b)) * F.stddev_samp(of(b, a, b)))
-    row = df.agg(*[r(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    stack = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.round(F.col(f"`{a}|{b}`"), 6).alias("r")) for a, b in pairs])
-    return row.select(F.inline(stack))
+    """(x, y, r) for all pairs, x before y in `values`, over the rows that have both; r is null where a column doesn't vary.
+    Hundreds of columns take one pass, see `operators.correlation`."""
+    return pearson(df, values).select("x", "y", "r")
 
 
 def mid_ranks(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
@@ -206,42 +202,32 @@ def ols_hc3(df: DataFrame, y: str, xs: list[str], dummies: dict[str, list] | Non
     products, then of weighted products; only p x p matrices reach the driver."""
     terms = {"intercept": F.lit(1.0), **{x: F.col(x).cast("double") for x in xs}, **{f"log_{x}": F.log(F.greatest(F.col(x).cast("double"), F.lit(1.0))) for x in logs}}
     terms |= {f"{c}={v}": (F.col(c) == v).cast("double") for c, vs in (dummies or {}).items() for v in vs}
-    names, cols = list(terms), list(terms.values())
-    p, out = len(cols), F.col(y).cast("double")
-    df = df.dropna(subset=[y, *xs, *logs, *(dummies or {})])
-
-    def gram(w: Column) -> list[Column]:
-        return [F.sum(cols[i] * cols[j] * w) for i in range(p) for j in range(i, p)]
-
-    def square(v: list[float]) -> np.ndarray:
-        m, k = np.zeros((p, p)), 0
-        for i in range(p):
-            for j in range(i, p):
-                m[i, j] = m[j, i] = v[k] or 0.0
-                k += 1
-        return m
+    names, p = list(terms), len(terms)
+    rows = packed(df.dropna(subset=[y, *xs, *logs, *(dummies or {})]).select(*[c.alias(f"_{i}") for i, c in enumerate([*terms.values(), F.col(y).cast("double")])]), [f"_{i}" for i in range(p + 1)])
 
     schema = "term string, coef double, se double, stat double, p double, low double, high double, p_normal double, n long, r2 double, adjusted_r2 double"
-    first = df.agg(F.count("*"), *gram(F.lit(1.0)), *[F.sum(c * out) for c in cols], F.sum(out * out)).first()
-    n = int(first[0])
+    first = summed(rows, p + 1, lambda x: x.T @ x)  # of the terms and y
+    n = int(round(first[0, 0])) if len(first) else 0
     if n <= p:
         return df.sparkSession.createDataFrame([], schema)
-    k = p * (p + 1) // 2
-    inverse = np.linalg.pinv(square(first[1 : 1 + k]))
-    moments_xy = np.array(first[1 + k : -1], float)
-    beta = inverse @ moments_xy
-    residual = out - reduce(lambda a, b: a + b, [float(b) * c for b, c in zip(beta, cols)])
-    leverage = reduce(lambda a, b: a + b, [float(inverse[i, j]) * cols[i] * cols[j] for i in range(p) for j in range(p)])
-    second = df.agg(F.sum(residual**2), *gram((residual / (1 - leverage)) ** 2)).first()
-    se = np.sqrt(np.diag(inverse @ square(list(second[1:])) @ inverse))
-    spread = float(first[-1]) - float(moments_xy[0]) ** 2 / n
-    r2 = 1 - float(second[0]) / spread if spread > 0 else 0.0
+    inverse = np.linalg.pinv(first[:p, :p])
+    beta = inverse @ first[:p, p]
+
+    def weighted(x: np.ndarray) -> np.ndarray:
+        x, residual = x[:, :p], x[:, p] - x[:, :p] @ beta
+        w = residual / (1 - ((x @ inverse) * x).sum(axis=1))
+        return np.vstack([(x * (w * w)[:, None]).T @ x, np.full((1, p), (residual * residual).sum())])
+
+    second = summed(rows, p + 1, weighted)
+    se = np.sqrt(np.diag(inverse @ second[:p] @ inverse))
+    spread = float(first[p, p] - first[0, p] ** 2 / n)
+    r2 = 1 - float(second[p, 0]) / spread if spread > 0 else 0.0
     adjusted, point = 1 - (1 - r2) * (n - 1) / (n - p), t_point(1 - level, n - p)
-    rows = []
+    out = []
     for t, b, s in zip(names, beta.tolist(), se.tolist()):
         stat = b / s if s > 0 else math.nan
-        rows.append((t, round(b, 6), round(s, 6), round(stat, 4), t_tail(stat, n - p), b - point * s, b + point * s, math.erfc(abs(stat) / math.sqrt(2)), n, round(r2, 6), round(adjusted, 6)))
-    return df.sparkSession.createDataFrame(rows, schema)
+        out.append((t, b, s, stat, t_tail(stat, n - p), b - point * s, b + point * s, math.erfc(abs(stat) / math.sqrt(2)), n, r2, adjusted))
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def bootstrap_difference(df: DataFrame, group: str, a: str, b: str, value: str, replicates: int = 2000, seed: int = 20260830) -> DataFrame:

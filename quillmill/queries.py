@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import dedup, factors, linguistic, matching, reports, selection, statistics, validation
+from quillmill.operators import correlation, dedup, factors, linguistic, matching, reports, selection, statistics, validation
 from quillmill.plans.scratch import materialize
 
 FEATURES = ["rate_a", "rate_n", "rate_u", "rate_v", "rate_wd", "rate_wj", "ttr", "guiraud", "top10_share", "mean_length", "mattr"]
@@ -252,12 +252,33 @@ def _(spark, sf):
 f AS (SELECT variable, k, rows, ssw, sum(w * power(mean - grand, 2)) AS b, sum(n * power(mean - plain, 2)) AS ssb, sum(power(1 - w / sw, 2) / (n - 1)) AS l FROM w JOIN t USING (variable) GROUP BY ALL)
 SELECT variable, round(b / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * l), 4) AS f, k - 1 AS df1, round((k * k - 1) / (3 * l), 4) AS df2, round(greatest(0, (ssb - (k - 1) * ssw / (rows - k)) / (ssb + ssw + ssw / (rows - k))), 6) AS omega2 FROM f""")
 def _(spark, sf):
-    return statistics.welch_anova(table(spark, sf, "lineitem"), "l_returnflag", NUMBERS).drop("p")
+    out = statistics.welch_anova(table(spark, sf, "lineitem"), "l_returnflag", NUMBERS)
+    return out.select("variable", F.round("f", 4).alias("f"), "df1", F.round("df2", 4).alias("df2"), F.round("omega2", 6).alias("omega2"))
 
 
 @query("correlations", " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]))
 def _(spark, sf):
-    return statistics.correlation(table(spark, sf, "lineitem"), NUMBERS)
+    return statistics.correlation(table(spark, sf, "lineitem"), NUMBERS).select("x", "y", F.round("r", 6).alias("r"))
+
+
+#: The components of the vectors, as a wide table.
+WIDE = [f"e{i:02d}" for i in range(64)]
+_CELLS = "e AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings WHERE len(embedding) = 64)"
+_PAIRS = "SELECT format('e{:02d}', a.i) AS x, format('e{:02d}', b.i) AS y, count(*) AS n, round(corr(a.v, b.v), 6) AS r FROM c AS a JOIN c AS b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i"
+
+
+def components(spark, sf):
+    return table(spark, sf, "embeddings").where(F.size("embedding") == 64).select(*[F.col("embedding")[i].alias(c) for i, c in enumerate(WIDE)])
+
+
+@query("wide_correlations", f"WITH {_CELLS}, c AS (SELECT vec_id, i, v::DOUBLE AS v FROM e) {_PAIRS}")
+def _(spark, sf):
+    return correlation.pearson(components(spark, sf), WIDE).withColumn("r", F.round("r", 6))
+
+
+@query("wide_spearman", f"WITH {_CELLS}, c AS (SELECT vec_id, i, rank() OVER (PARTITION BY i ORDER BY v) + (count(*) OVER (PARTITION BY i, v) - 1) / 2 AS v FROM e) {_PAIRS}")
+def _(spark, sf):
+    return correlation.spearman_all(components(spark, sf), WIDE).withColumn("r", F.round("r", 6))
 
 
 @query("spearman", """WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS x, rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2 AS y FROM lineitem)
