@@ -2,14 +2,20 @@
 
 A page is read into elements and blocks. Its main mass is its article, or the element that holds most of its text.
 Subtrees beside the main mass are hashed by their shape: their place, elements and classes, without texts, which change
-from page to page in menus, adverts and footers. Block elements inside it are hashed with their texts. Spark counts, for
-each host, in how many different texts each hash occurs, and subtrees recurring in at least `share` of them, `least` at
-least, are deleted. What no template takes, on hosts with few pages above all, is left to rules for furniture by markup
-(menus, headers, footers, sidebars, notices, adverts, forms, comments), which in an article only know containers of
-adverts, links and comments. Copies and near copies of an article count once, so that they don't
-make it a template: pages with the same main text are one, and a page of whose word pairs less than OWN are found on no
-other text of its host is a near copy, which counts together with those that agree on the least hash of the other pairs.
-A page whose template is that much longer than its own text looks the same; then the template stays, and no text is lost.
+from page to page in menus, adverts and footers. Block elements inside it are hashed with their texts, and those that a
+class names as furniture or that mostly hold links by their shape, too. Spark counts, for each host, in how many different
+texts each hash occurs; subtrees recurring in at least `share` of them, `least` at least, are templates.
+
+On hosts of `least` texts or more the counts decide, and no rule by markup does: the whole page without its templates is
+the text, inside the article and beside it. Only where what is left beside the main mass is under BESIDE of all that is
+left, it is odd furniture of that one page and goes, too. Hosts with fewer texts can't be counted; there, rules for
+furniture by markup (menus, headers, footers, sidebars, notices, adverts, forms, comments) take it from the main mass, and
+in an article they only know containers of adverts, links and comments.
+
+Copies and near copies of an article count once, so that they don't make it a template: pages with the same main text are
+one, and a page of whose word pairs less than OWN are found on no other text of its host is a near copy, which counts
+together with those that agree on the least hash of the other pairs. A page whose template is that much longer than its own
+text looks the same; then the template stays, and no text is lost.
 
 Defined results: null and empty html give an empty text; broken markup is read as far as it goes; repeated rows each
 get a row; an empty table gives an empty result; pages without a host form a host of their own; pages are read whole,
@@ -263,6 +269,30 @@ def shape(top: Node, path: str) -> int:
     return _signed("shape " + DIGITS.sub("#", path) + "\x00" + told[id(top)])
 
 
+def inside(tops: list[Node]) -> Iterator[tuple[Node, list[int]]]:
+    """Shown blocks of the main mass, outer ones first, and the hashes by which each may be a template. Whoever reads this
+    may set `cut`; what stands in a cut block is left out."""
+    todo, mass = [c for t in tops for c in t.parts if isinstance(c, Node)], sum(t.size for t in tops)
+    while todo:
+        n = todo.pop()
+        if n.drop or n.cut:
+            continue
+        if n.name in BLOCK and n.hash:
+            furniture = n.name in CONTAINERS and 0 < 2 * n.size < mass and (n.mark == MARKED or 2 * n.links >= n.size) and not _holds(n, "h1")
+            yield n, [n.hash, shape(n, "inside")] if furniture else [n.hash]
+        if not n.cut:
+            todo += [c for c in n.parts if isinstance(c, Node)]
+
+
+def show(root: Node) -> None:
+    """Forgets what rules say of the page: only what is never shown stays dropped."""
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        n.drop = n.mark == HIDDEN or (n.parent is not None and n.parent.drop)
+        todo += [c for c in n.parts if isinstance(c, Node)]
+
+
 def _main(root: Node) -> list[Node]:
     """The outermost article elements, else main, else the whole page."""
     for wanted in ("article", "main"):
@@ -296,7 +326,7 @@ def _hash(top: Node) -> None:
         n.hash = _signed(n.label + "\x00" + "\x01".join(x for x in inner if x)) if any(inner) else 0
 
 
-def blocks(tops: list[Node], templates: frozenset[int] | set[int] = frozenset()) -> list[str]:
+def blocks(tops: list[Node]) -> list[str]:
     """Non-empty blocks in page order, without dropped elements and template subtrees."""
     out, now = [], []
 
@@ -312,7 +342,7 @@ def blocks(tops: list[Node], templates: frozenset[int] | set[int] = frozenset())
             end()
         elif isinstance(x, str):
             now.append(x)
-        elif not x.drop and not x.cut and not (x.hash and x.name in BLOCK and x.hash in templates):
+        elif not x.drop and not x.cut:
             todo += [*([None] if x.name in BLOCK else []), *reversed(x.parts)]
         elif x.name in BLOCK:
             end()
@@ -340,44 +370,58 @@ def subtrees(page: str) -> tuple[int, list[int], list[int]]:
     root = parse(page)
     measure(root)
     tops = _main(root)
+    texts = blocks(tops)  # as rules have it, for what tells one text from another
+    show(root)
     for t in tops:
         _hash(t)
-    found, todo = {shape(n, path) for n, path in beside(root, tops)}, [c for t in tops for c in t.parts]
+    found = {shape(n, path) for n, path in beside(root, tops)} | {h for _, hs in inside(tops) for h in hs}
+    return _signed("\n".join(texts)), sorted(found - {0}), sketch(texts)
+
+
+#: What is left beside the main mass goes if it is less than this share of all that is left.
+BESIDE = 0.05
+
+
+def _left(top: Node) -> int:
+    """Characters of text without cut and dropped subtrees."""
+    size, todo = 0, [top]
     while todo:
         n = todo.pop()
-        if isinstance(n, Node) and not n.drop:
-            if n.name in BLOCK:
-                found.add(n.hash)
-            todo += n.parts
-    texts = blocks(tops)
-    return _signed("\n".join(texts)), sorted(found - {0}), sketch(texts)
+        if not n.cut and not n.drop:
+            size += sum(len(x.strip()) for x in n.parts if isinstance(x, str))
+            todo += [c for c in n.parts if isinstance(c, Node)]
+    return size
 
 
-def extract(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple[str, int]:
-    """(main text, subtrees that templates took)."""
+def extract(page: str, templates: frozenset[int] | set[int] | None = None) -> tuple[str, int]:
+    """(main text, subtrees that templates took). Without `templates`, rules by markup decide; else these alone."""
     root = parse(page)
-    tops, taken = _main(root), 0
-    if templates:
-        measure(root)
-        for n, path in beside(root, tops):
-            if shape(n, path) in templates:
-                n.cut = True
-                taken += 1
-        for t in tops:
-            _hash(t)
-        todo = [c for t in tops for c in t.parts]
-        while todo:
-            n = todo.pop()
-            if isinstance(n, Node) and not n.drop and not n.cut:
-                if n.hash and n.name in BLOCK and n.hash in templates:
-                    taken += 1
-                else:
-                    todo += n.parts
-    return "\n".join(blocks(tops, templates)), taken
+    tops = _main(root)
+    if templates is None:
+        return "\n".join(blocks(tops)), 0
+    measure(root)
+    show(root)
+    for t in tops:
+        _hash(t)
+    for n, path in beside(root, tops):
+        n.cut = shape(n, path) in templates
+    for n, hashes in inside(tops):
+        n.cut = not templates.isdisjoint(hashes)
+    taken, todo = 0, [root]
+    while todo:
+        n = todo.pop()
+        taken += n.cut
+        todo += [c for c in n.parts if isinstance(c, Node) and not n.cut]
+    if tops != [root]:
+        main = sum(map(_left, tops))
+        everything = _left(root)
+        if everything - main >= BESIDE * everything:
+            tops = [root]
+    return "\n".join(blocks(tops)), taken
 
 
-def site_templates(pages: DataFrame, share: float = 0.25, least: int = 5) -> DataFrame:
-    """(host, hash): block subtrees that recur across the texts of a host, of which there are `least` at least."""
+def _template_counts(pages: DataFrame, share: float, least: int) -> DataFrame:
+    """(host, hash, texts): for each host of `least` texts a row with hash 0, and one for each of its templates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -401,7 +445,12 @@ def site_templates(pages: DataFrame, share: float = 0.25, least: int = 5) -> Dat
     rows = rows.join(named, "main").select("host", "text", "hash").distinct()
     counts = materialize(rows.groupBy("host", "hash").agg(F.count("*").alias("texts")).where(F.col("texts") >= least), "html-counts")
     totals = counts.where("hash = 0").select("host", F.col("texts").alias("all_texts"))
-    return counts.where("hash <> 0").join(totals, "host").where(F.col("texts") >= share * F.col("all_texts")).select("host", "hash")
+    return counts.join(totals, "host").where((F.col("hash") == 0) | (F.col("texts") >= share * F.col("all_texts"))).select("host", "hash", "texts")
+
+
+def site_templates(pages: DataFrame, share: float = 0.25, least: int = 5) -> DataFrame:
+    """(host, hash): block subtrees that recur across the texts of a host, of which there are `least` at least."""
+    return _template_counts(pages, share, least).where("hash <> 0").select("host", "hash")
 
 
 #: Template subtrees, at most, that are broadcast to the pages (some 10 MB); more of them are joined by a merge.
@@ -412,7 +461,7 @@ def main_text(pages: DataFrame, share: float = 0.25, least: int = 5) -> DataFram
     """pages (page_id, url, html) → page_id, url, text, n_chars, n_templates (subtrees that templates took)."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
-    found = materialize(site_templates(pages, share, least), "html-templates")
+    found = materialize(_template_counts(pages, share, least), "html-templates")
     of = found.groupBy("host").agg(F.collect_set("hash").alias("templates"))  # at most all subtrees that recur in a quarter of a host's texts
     few = found.limit(TABLE + 1).count() <= TABLE
     pages = pages.join(F.broadcast(of) if few else of.hint("merge"), "host", "left")
@@ -420,7 +469,7 @@ def main_text(pages: DataFrame, share: float = 0.25, least: int = 5) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [extract(p or "", set(t or ())) for p, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            got = [extract(p or "", None if t is None else frozenset(t)) for p, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             text = [t for t, _ in got]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64()), pa.array([n for _, n in got], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_templates"])
 

@@ -126,3 +126,50 @@ def test_templates_equal_brute_force_and_see_shapes(spark):
     pages = spark.createDataFrame([(i, f"http://{h}/{i}", x) for i, (h, x) in enumerate(rows)], "page_id long, url string, html string")
     out = {r.page_id: r for r in html_text.main_text(pages).collect()}
     assert all(out[i].text.split("\n")[1:] == want[i] and out[i].n_templates == 3 for i in want)
+
+
+def many(spark, page, n=30, host="big"):
+    return spark.createDataFrame([(i, f"http://{host}.example/{i}", page(i)) for i in range(n)], "page_id long, url string, html string")
+
+
+def test_templates_decide_on_hosts_with_enough_texts(spark, monkeypatch):
+    """Furniture without any class that tells it, beside and inside the article, goes by the counts alone: with the templates
+    off, it stays."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 99_999)}" for _ in range(n))
+    body = {i: (prose(3), prose(40), prose(30)) for i in range(30)}
+    page = lambda i: (
+        f"<body><div class=q1>{prose(4)}</div><section><div>{prose(3)} <a href=/x>{prose(2)}</a></div><p>Fixed line</p></section>"
+        f"<article><h1>{body[i][0]}</h1><p>{body[i][1]}</p><div><p>More stories</p></div><div class=z4><ul><li><a href=/{i}>{prose(3)}</a></ul></div><p>{body[i][2]}</p></article><div>{prose(9)}</div></body>"
+    )
+    pages = many(spark, page)
+    want = {i: "\n".join(b) for i, b in body.items()}
+    out = {r.page_id: r for r in html_text.main_text(pages).collect()}
+    assert {i: r.text for i, r in out.items()} == want and {r.n_templates for r in out.values()} == {5}
+    off = {r.page_id: r.text for r in html_text.main_text(pages, share=99).collect()}
+    assert all(off[i] != want[i] and "More stories" in off[i] and "Fixed line" in off[i] for i in want)
+
+
+def test_class_words_inside_articles_stay_where_counts_decide(spark):
+    """What a class names as furniture goes only if it recurs; a single page's block of that class is text."""
+    rng = random.Random(7)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 99_999)}" for _ in range(n))
+    body = {i: (prose(30), prose(25)) for i in range(20)}
+    odd = {3: "<div class='share'>Market share rose</div>", 4: "<table class='comments'><tr><td>12<td>40</table>"}
+    share = lambda i: f"<div class='share'><a href=/{i}>{prose(2)}</a> <span>{prose(1)}</span></div>"
+    page = lambda i: f"<nav>{prose(5)}</nav><article><h1>T {i}</h1><p>{body[i][0]}</p>{odd.get(i, '')}{share(i) if i > 4 else ''}<p>{body[i][1]}</p></article>"
+    told = {3: ["Market share rose"], 4: ["12", "40"]}
+    out = {r.page_id: r.text for r in html_text.main_text(many(spark, page, 20)).collect()}
+    assert out == {i: "\n".join([f"T {i}", body[i][0], *told.get(i, []), body[i][1]]) for i in body}
+    small = {r.page_id: r.text for r in html_text.main_text(many(spark, page, 4)).collect()}
+    assert small[3] == f"T 3\n{body[3][0]}\n{body[3][1]}"  # four texts: rules by markup
+
+
+def test_odd_furniture_of_one_page_goes_and_large_parts_stay(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 99_999)}" for _ in range(n))
+    body, part = {i: prose(200) for i in range(12)}, prose(150)
+    extra = {5: "<div><div><b>Win now</b></div></div>", 6: f"<div><div><i>{part}</i></div></div>"}
+    page = lambda i: f"<div class=m><ul><li>{prose(2)}</ul></div><article><p>{body[i]}</p></article>{extra.get(i, '')}"
+    out = {r.page_id: r.text for r in html_text.main_text(many(spark, page, 12)).collect()}
+    assert out == {i: body[i] + (f"\n{part}" if i == 6 else "") for i in body}
