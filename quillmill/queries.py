@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import correlation, dedup, factors, linguistic, matching, reports, selection, statistics, validation
+from quillmill.operators import correlation, dedup, factors, linguistic, matching, reports, selection, similarity, statistics, validation
 from quillmill.plans.scratch import materialize
 
 FEATURES = ["rate_a", "rate_n", "rate_u", "rate_v", "rate_wd", "rate_wj", "ttr", "guiraud", "top10_share", "mean_length", "mattr"]
@@ -163,6 +163,16 @@ def _(spark, sf):
     return dedup.jaccard_pairs(table(spark, sf, "documents"), "source").withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("near_families", r"""WITH RECURSIVE x AS (SELECT source, doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0B　]+', '', 'g') AS b FROM documents), d AS (SELECT source, min(doc_id) AS id, b FROM x GROUP BY source, b),
+g AS (SELECT DISTINCT source, id, g FROM (SELECT source, id, CASE WHEN length(b) <= 5 THEN b ELSE substring(b, CAST(i AS BIGINT), 5) END AS g FROM d, unnest(range(1, greatest(length(b) - 3, 2))) AS u(i))),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id), p AS (SELECT y.id AS a, z.id AS b, count(*) AS s FROM g y JOIN g z ON y.source = z.source AND y.g = z.g AND y.id < z.id GROUP BY ALL),
+q AS (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE s / (na.n + nb.n - s) >= 0.85 - 1e-9), w AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
+r(id, root) AS (SELECT a, a FROM w UNION SELECT w.b, r.root FROM r JOIN w ON w.a = r.id), f AS (SELECT id, min(root) AS family FROM r GROUP BY id), l AS (SELECT a AS id, count(*) AS links FROM w GROUP BY a)
+SELECT x.doc_id, d.id AS representative, coalesce(f.family, d.id) AS family, coalesce(l.links, 0) AS links FROM x JOIN d ON x.source IS NOT DISTINCT FROM d.source AND x.b = d.b LEFT JOIN f ON f.id = d.id LEFT JOIN l ON l.id = d.id""")
+def _(spark, sf):
+    return similarity.near_families(table(spark, sf, "documents"), "source")
+
+
 #: Documents in the order of removal, one step each; `kept` is the list of the places kept so far.
 @query("deduplicated", r"""WITH RECURSIVE x AS (SELECT source, doc_id, row_number() OVER (ORDER BY length(coalesce(text, '')) DESC, doc_id) AS rn, regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0B　]+', '', 'g') AS b FROM documents),
 d AS (SELECT source, min(doc_id) AS id, b FROM x GROUP BY source, b), x2 AS (SELECT x.source, x.doc_id, x.rn, d.id FROM x JOIN d ON d.source = x.source AND d.b = x.b),
@@ -606,7 +616,18 @@ def _(spark, sf):
     return statistics.correlation_filter(table(spark, sf, "lineitem"), NUMBERS).select("variable", "kept")
 
 
-@query("deduplicated_across")
+#: As `deduplicated`, with conflicts between sources alone; near texts are told by their rarest grams first.
+@query("deduplicated_across", r"""WITH RECURSIVE x AS (SELECT source, doc_id, row_number() OVER (ORDER BY length(coalesce(text, '')) DESC, doc_id) AS rn, regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0B　]+', '', 'g') AS b FROM documents),
+d AS (SELECT min(doc_id) AS id, b FROM x GROUP BY b), x2 AS (SELECT x.source, x.doc_id, x.rn, d.id FROM x JOIN d ON d.b = x.b),
+g AS (SELECT DISTINCT id, g FROM (SELECT id, CASE WHEN length(b) <= 5 THEN b ELSE substring(b, CAST(i AS BIGINT), 5) END AS g FROM d, unnest(range(1, greatest(length(b) - 3, 2))) AS u(i))),
+v AS (SELECT id, list(g) AS gs, count(*) AS n FROM g GROUP BY id), c AS (SELECT id, g, row_number() OVER (PARTITION BY id ORDER BY df, g) AS r FROM (SELECT id, g, count(*) OVER (PARTITION BY g) AS df FROM g)),
+pf AS (SELECT c.id, g FROM c JOIN v ON v.id = c.id WHERE r <= n - ceil(0.85 * n - 1e-9) + 1), t AS (SELECT DISTINCT y.id AS a, z.id AS b FROM pf y JOIN pf z ON y.g = z.g AND y.id < z.id),
+q AS (SELECT a, b FROM (SELECT a, b, len(list_intersect(va.gs, vb.gs)) AS s, va.n AS na, vb.n AS nb FROM t JOIN v va ON va.id = a JOIN v vb ON vb.id = b WHERE va.n >= 0.85 * vb.n - 1e-9 AND vb.n >= 0.85 * va.n - 1e-9) WHERE s / (na + nb - s) >= 0.85 - 1e-9), w AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
+h AS (SELECT y.rn, list(z.rn) AS same FROM x2 y JOIN x2 z ON z.id = y.id AND z.source IS DISTINCT FROM y.source GROUP BY y.rn), m AS (SELECT y.rn, list(z.rn) AS near FROM x2 y JOIN w ON w.a = y.id JOIN x2 z ON z.id = w.b AND z.source IS DISTINCT FROM y.source GROUP BY y.rn),
+o AS (SELECT x2.source, x2.doc_id, x2.rn, coalesce(same, []) AS same, coalesce(near, []) AS near FROM x2 LEFT JOIN h ON h.rn = x2.rn LEFT JOIN m ON m.rn = x2.rn),
+r(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT i + 1, CASE WHEN len(list_intersect(kept, list_concat(same, near))) = 0 THEN list_append(kept, rn) ELSE kept END FROM r JOIN o ON o.rn = i + 1),
+k AS (SELECT kept FROM r ORDER BY i DESC LIMIT 1), f AS (SELECT doc_id, list_contains(kept, rn) AS kept, list_min(list_filter(list_intersect(same, kept), lambda v: v < rn)) AS hs, list_min(list_filter(list_intersect(near, kept), lambda v: v < rn)) AS ns FROM o, k)
+SELECT f.doc_id, f.kept, CASE WHEN f.kept THEN NULL WHEN hs IS NOT NULL THEN 'hash' ELSE 'near' END AS reason, CASE WHEN f.kept THEN NULL ELSE o.doc_id END AS winner, CASE WHEN f.kept THEN NULL ELSE o.source END AS winner_group FROM f LEFT JOIN o ON o.rn = coalesce(hs, ns)""")
 def _(spark, sf):
     return dedup.deduplicate_across(table(spark, sf, "documents"))
 
