@@ -2,20 +2,20 @@
 
 `segmented` makes the words, tags and paragraphs of each document, in Arrow batches, by the built-in tokenizer and tagger
 or by a caller's segmenter. What one document's tokens tell by themselves is computed in the same pass by small functions
-of its lists, and needs no shuffle. What joins tokens with a lexicon or a vocabulary works on rows: n-grams or distinct
-words are joined, and matches and sums are grouped by doc_id, which must be unique.
+of its lists, and needs no shuffle. Lexicons and idioms walk along as tries of words, FEW terms in a pass. A vocabulary is
+joined to the distinct words of each document, and sums are grouped by doc_id, which must be unique.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import chain, groupby, repeat
 from statistics import mean, median, pstdev
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -36,7 +36,7 @@ TOKEN = regex.compile(r"\p{L}+|[^\p{L}\s]")
 LETTER = regex.compile(r"\p{L}")
 PUNCTUATION = regex.compile(r"\p{P}+")
 ENDS = ("wj", "ww", "wt")
-#: Characters of the documents whose rows are put out together, about: n-grams take many times their text.
+#: Characters of the documents whose rows are put out together, about.
 CHARS = 300_000
 
 Segmenter = Callable[[str], Sequence[tuple[str, str]]]
@@ -413,52 +413,145 @@ def level_profile(docs: DataFrame, vocabulary: DataFrame, groups: dict[str, Sequ
     return g.where("kind <> 'all'").join(words, "doc_id").select("doc_id", "kind", "name", "n", r6(F.col("n") / F.col("words")).alias("share"), "types", r6(F.col("types") / F.col("n")).alias("ttr"))
 
 
-def _lengths(terms: DataFrame) -> list[int]:
-    return sorted(r[0] for r in terms.select(F.size(F.split("term", " "))).distinct().collect())  # a few small numbers
-
-
-def _small(dictionary: DataFrame) -> DataFrame:
-    return F.broadcast(dictionary) if dictionary.limit(FEW + 1).count() <= FEW else dictionary
-
-
 def sentence_tokens(docs: DataFrame, segmenter: Segmenter | None = None) -> DataFrame:
     """tokens with the number of their sentence, which a token tagged wj, ww or wt ends."""
 
     def feature(text, words, tags, paragraphs):
-        ends = [i for i, t in enumerate(tags) if t in ENDS]
-        return words, tags, paragraphs, [bisect_left(ends, i) for i in range(len(words))]
+        return words, tags, paragraphs, _sentences(tags)
 
     t = per_document(docs, feature, "word array<string>, raw_pos array<string>, paragraph array<int>, sentence array<int>", segmenter)
     return t.select("doc_id", F.posexplode(F.arrays_zip("word", "raw_pos", "paragraph", "sentence")).alias("tok_idx", "t")).select("doc_id", "tok_idx", "t.*")
 
 
-def ngrams(docs: DataFrame, lengths: list[int], within: str, segmenter: Segmenter | None = None) -> DataFrame:
-    """(doc_id, start, end, term, sentence, tags): the runs of these numbers of tokens inside each paragraph or sentence
-    (`within`), made in the document's row."""
-    by_sentence = within == "sentence"
-
-    def feature(text, words, tags, paragraphs):
-        ends = [i for i, t in enumerate(tags) if t in ENDS]
-        sentences = [bisect_left(ends, i) for i in range(len(words))]
-        place = sentences if by_sentence else paragraphs
-        at = [(i, i + n) for n in lengths for i in range(len(words) - n + 1) if place[i] == place[i + n - 1]]
-        return [a for a, _ in at], [z for _, z in at], [" ".join(words[a:z]) for a, z in at], [sentences[a] for a, _ in at], [tags[a:z] for a, z in at]
-
-    t = per_document(docs, feature, "start array<int>, end array<int>, term array<string>, sentence array<int>, tags array<array<string>>", segmenter)
-    return t.select("doc_id", F.inline(F.arrays_zip("start", "end", "term", "sentence", "tags")))
+class Trie:
+    """Terms (words joined by spaces) as a trie of words; a term's node holds, under None, what is told of it."""
+
+    def __init__(self, terms: list[tuple[str, object]]):
+        self.root: dict = {}
+        for term, told in terms:
+            node = self.root
+            for w in term.split(" "):
+                node = node.setdefault(w, {})
+            node.setdefault(None, []).append((term, told))
+
+    def matches(self, words: list[str], place: list[int]) -> Iterator[tuple[int, int, list]]:
+        """(start, end, what is told) of each run of words that is a term and stands in one place, by start, then by end."""
+        root, n = self.root, len(words)
+        for i, w in enumerate(words):
+            node, j = root.get(w), i
+            while node is not None:
+                j += 1
+                if None in node:
+                    yield i, j, node[None]
+                node = node.get(words[j]) if j < n and place[j] == place[i] else None
+
+
+def _sentences(tags: list[str]) -> list[int]:
+    """Number of the sentence of each token; one tagged wj, ww or wt ends its sentence."""
+    out, at = [], 0
+    for t in tags:
+        out.append(at)
+        at += t in ENDS
+    return out
+
+
+class _Walk:
+    """A feature that walks a document's tokens with a trie, which a task builds from the broadcast terms."""
+
+    def __init__(self, spark, terms: list[tuple]):
+        self.terms, self.trie = spark.sparkContext.broadcast(terms), None
+
+    def ready(self) -> Trie:
+        if self.trie is None:
+            self.trie = Trie(self.terms.value)
+        return self.trie
+
+
+class _Spans(_Walk):
+    """Spans of a lexicon: for each feature from the left, the longest first, without overlap (or all the longest at each
+    start, if `raw`). A term is told by its feature and the prefixes of its first tag."""
+
+    raw = False
+
+    def __call__(self, text, words, tags, paragraphs):
+        out, free, sentences = [], {}, None
+        found: dict = {}
+        last = -1
+
+        def settle(start: int) -> None:
+            nonlocal sentences
+            for feature, (end, term) in found.items():
+                if self.raw or start >= free.get(feature, 0):
+                    free[feature] = end
+                    if sentences is None:
+                        sentences = _sentences(tags)
+                    out.append({"feature": feature, "start": start, "end": end, "term": term, "sentence": sentences[start], "tags": tags[start:end]})
+            found.clear()
+
+        for start, end, told in self.ready().matches(words, paragraphs):
+            if start != last and found:
+                settle(last)
+            last = start
+            for term, (feature, prefixes) in told:
+                if not prefixes or tags[start].startswith(prefixes):
+                    found[feature] = end, term  # later ones are longer
+        if found:
+            settle(last)
+        return (out,) if out else None
+
+
+class _Parts(_Walk):
+    """Idioms of two parts: sentences (or whether the document) hold both; a term is told by its idiom and part."""
+
+    def __init__(self, spark, terms: list[tuple], by_sentence: bool):
+        super().__init__(spark, terms)
+        self.by_sentence = by_sentence
+
+    def __call__(self, text, words, tags, paragraphs):
+        sentences, seen = _sentences(tags), {}
+        for start, _, told in self.ready().matches(words, sentences):
+            for _, (idiom, part) in told:
+                key = (idiom, sentences[start] if self.by_sentence else 0)
+                seen[key] = seen.get(key, 0) | part
+        hits = Counter(idiom for (idiom, _), parts in seen.items() if parts == 3)
+        return ([{"idiom": i, "hits": n} for i, n in hits.items()],) if hits else None
+
+
+def _shards(dictionary: DataFrame, key: str) -> Iterator[list]:
+    """The dictionary's rows in lists of about FEW, by hash of the key; each goes to every task for one pass over the texts."""
+    n = -(-dictionary.count() // FEW)
+    if n <= 1:
+        yield dictionary.collect()
+        return
+    for k in range(n):
+        yield dictionary.where(F.pmod(F.xxhash64(key), F.lit(n)) == k).collect()
+
+
+SPANS = "spans array<struct<feature:string,start:int,end:int,term:string,sentence:int,tags:array<string>>>"
 
 
 def lexicon_spans(docs: DataFrame, lexicon: DataFrame, segmenter: Segmenter | None = None) -> DataFrame:
     """lexicon (feature, term: words joined by spaces, prefixes: tags' prefixes, array, optional) → doc_id, feature,
     start, end (exclusive), term, sentence, tags (of its tokens).
 
-    Runs of the lexicon's few lengths, inside paragraphs, are hash-joined to the terms; the first token's tag must begin
-    with one of the prefixes, if there are any. For each feature, matches are taken from the left, the longest first,
-    without overlap. Only matches are shuffled.
+    Terms are runs of words inside paragraphs; the first token's tag must begin with one of the prefixes, if there are
+    any. For each feature, matches are taken from the left, the longest first, without overlap. A trie of the terms walks
+    through each document in its row, and matches alone leave it: nothing is shuffled. A lexicon of over FEW terms takes a
+    pass for each FEW of them, and the matches of a document are put together by a shuffle.
     """
+    spark = docs.sparkSession
     lexicon = lexicon if "prefixes" in lexicon.columns else lexicon.withColumn("prefixes", F.array().cast("array<string>"))
-    lexicon = lexicon.groupBy("feature", "term").agg(F.flatten(F.collect_list(F.when(F.size("prefixes") > 0, F.col("prefixes")).otherwise(F.array(F.lit(""))))).alias("prefixes"))
-    hits = ngrams(docs, _lengths(lexicon) or [1], "paragraph", segmenter).join(_small(lexicon), "term").where(F.exists("prefixes", lambda p: F.get(F.col("tags"), F.lit(0)).startswith(p)))
+    every = F.max((F.size("prefixes") < 1).cast("int")) == 1  # an entry without prefixes takes all
+    lexicon = lexicon.where("term is not null").groupBy("feature", "term").agg(F.when(~every, F.flatten(F.collect_list("prefixes"))).alias("prefixes"))
+    shards = [[(r.term, (r.feature, tuple(r.prefixes or ()))) for r in rows] for rows in _shards(lexicon, "term")]
+    found = []
+    for terms in shards:
+        walk = _Spans(spark, terms)
+        walk.raw = len(shards) > 1
+        found.append(per_document(docs, walk, SPANS, segmenter))
+    if len(found) == 1:
+        return found[0].select("doc_id", F.inline("spans"))
+    hits = reduce(DataFrame.unionByName, found).select("doc_id", F.inline("spans"))
     best = hits.groupBy("doc_id", "feature", "start").agg(F.max_by(F.struct("end", "term", "sentence", "tags"), "end").alias("m"))
     rows = best.groupBy("doc_id", "feature").agg(F.array_sort(F.collect_list(F.struct("start", "m.end", "m.term", "m.sentence", "m.tags"))).alias("found"))
     nothing = F.array().cast(rows.schema["found"].dataType)
@@ -473,44 +566,38 @@ def lexicon_features(spans: DataFrame) -> DataFrame:
 def terms_in_corpus(docs: DataFrame, terms: DataFrame, least: int = 3) -> DataFrame:
     """terms (term) of `least` characters or more that occur somewhere in a text.
 
-    Up to FEW terms go to every task as one automaton that reads each text once; the terms found are all that leaves a
-    task. More of them are looked up as character n-grams, joined by shuffling distinct grams.
+    FEW terms at a time go to every task as one automaton that reads each text once; the terms found are all that leaves
+    a task, so no text and none of its n-grams is shuffled.
     """
     terms = terms.where(F.length("term") >= least).select("term").distinct()
     found = docs.where("text is not null").select("text")
-    try:
-        import ahocorasick
-    except ImportError:
-        ahocorasick = None
-    few = [r[0] for r in terms.limit(FEW + 1).collect()] if ahocorasick else [""] * (FEW + 1)
-    if not few:
-        return terms
-    if len(few) > FEW:
-        lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()]
-        grams = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}})).")) for n in lengths])))
-        return terms.join(found.select(F.explode(grams).alias("term")).distinct(), "term", "left_semi")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = dict.fromkeys(few)
-        machine = None
-        for b in batches:
-            for text in b["text"]:
-                if machine is None and left:  # without the terms already found; built again when half of them are
-                    machine, size, seen = ahocorasick.Automaton(), len(left), set()
-                    for t in left:
-                        machine.add_word(t, t)
-                    machine.make_automaton()
-                if not left:
-                    continue
-                seen.update(t for _, t in machine.iter(text))
-                if len(seen) > size // 2:
-                    yield pd.DataFrame({"term": list(seen)})
-                    left = dict.fromkeys(t for t in left if t not in seen)
-                    machine = None
-        if machine is not None:
-            yield pd.DataFrame({"term": list(seen)})
-
-    return found.mapInPandas(run, "term string").distinct()
+    spark = docs.sparkSession
+
+    def reader(few):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            left = dict.fromkeys(few.value)
+            machine = None
+            for b in batches:
+                for text in b["text"]:
+                    if machine is None and left:  # without the terms already found; built again when half of them are
+                        machine, size, seen = ahocorasick.Automaton(), len(left), set()
+                        for t in left:
+                            machine.add_word(t, t)
+                        machine.make_automaton()
+                    if not left:
+                        continue
+                    seen.update(t for _, t in machine.iter(text))
+                    if len(seen) > size // 2:
+                        yield pd.DataFrame({"term": list(seen)}, dtype=object)
+                        left = dict.fromkeys(t for t in left if t not in seen)
+                        machine = None
+            if machine is not None:
+                yield pd.DataFrame({"term": list(seen)}, dtype=object)
+
+        return run
+
+    shards = [spark.sparkContext.broadcast([r.term for r in rows]) for rows in _shards(terms, "term")]
+    return reduce(DataFrame.unionByName, [found.mapInPandas(reader(few), "term string").distinct() for few in shards])
 
 
 def scalars(docs: DataFrame) -> DataFrame:
@@ -538,14 +625,15 @@ def two_part_idioms(docs: DataFrame, idioms: DataFrame, segmenter: Segmenter | N
     """idioms (idiom, first, second: words joined by spaces) → doc_id, idiom, hits: sentences that hold both parts (or
     `within` = "document": 1 if the document does).
 
-    The parts are runs inside a sentence; distinct (document, sentence, idiom, part) rows are counted, so a part that
-    repeats makes no pairs.
+    The parts are runs inside a sentence, found by a trie in the document's row; nothing is shuffled. Over FEW parts take
+    a pass for each FEW of them, with both parts of an idiom in the same pass.
     """
-    part = lambda c, k: F.struct(F.col(c).alias("term"), F.lit(k).alias("part"))
-    parts = idioms.select("idiom", F.explode(F.array(part("first", 1), part("second", 2))).alias("p")).select("idiom", "p.term", "p.part").distinct()
-    place = ["doc_id", "sentence"] if within == "sentence" else ["doc_id"]
-    found = ngrams(docs, _lengths(parts) or [1], "sentence", segmenter).join(_small(parts), "term").groupBy(*place, "idiom").agg(F.countDistinct("part").alias("parts")).where("parts = 2")
-    return found.groupBy("doc_id", "idiom").agg(F.count("*").alias("hits"))
+    spark, found = docs.sparkSession, []
+    for rows in _shards(idioms.select("idiom", "first", "second").distinct().where("idiom is not null and first is not null and second is not null"), "idiom"):
+        terms = [(term, (r.idiom, part)) for r in rows for part, term in ((1, r.first), (2, r.second))]
+        found.append(per_document(docs, _Parts(spark, terms, within == "sentence"), "found array<struct<idiom:string,hits:long>>", segmenter))
+    hits = reduce(DataFrame.unionByName, found).select("doc_id", F.inline("found"))
+    return hits if len(found) == 1 else hits.groupBy("doc_id", "idiom").agg(F.sum("hits").alias("hits"))
 
 
 def idiom_diversity(hits: DataFrame) -> DataFrame:
