@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import correlation, dedup, factors, linguistic, matching, reports, selection, similarity, statistics, validation
+from quillmill.operators import correlation, dedup, factors, linguistic, matching, reports, selection, similarity, statistics, topics, validation
+from quillmill.operators.topics import Rule
 from quillmill.plans.scratch import materialize
 
 FEATURES = ["rate_a", "rate_n", "rate_u", "rate_v", "rate_wd", "rate_wj", "ttr", "guiraud", "top10_share", "mean_length", "mattr"]
@@ -142,6 +143,38 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tier.alias("tier"), score.alias("score"))
 
 
+#: Term sets over the documents' words; none overlaps itself, so SQL can count occurrences by replacing the longest first.
+RULES = [
+    Rule("r1", ("water", "thing"), ("ther", "tion"), ("ment", "ing"), ("schen", "ble"), ("the", "and")),
+    Rule("r2", ("ción", "lich"), ("que", "der"), ("los", "und", "von"), ("ver", "ión"), ("de", "la"), True),
+    Rule("r3", ("wherever",), ("nowhere",), ("eaux", "lement", "oi"), ("pour", "dans", "ou"), ("les", "est", "que")),
+]
+
+
+def _rule_sql(r: Rule) -> str:
+    hits = lambda s, where: "(" + (" + ".join(f"CAST(contains({where}, '{t}') AS INT)" for t in getattr(r, s)) or "0") + ")"
+
+    def times(*sets: str) -> str:
+        x = "w"
+        for t in sorted({t for s in sets for t in getattr(r, s)}, key=lambda t: (-len(t), t)):
+            x = f"replace({x}, '{t}', chr(1))"
+        return f"(length({x}) - length(replace({x}, chr(1), '')))"
+
+    cols = ", ".join(f"{hits(s, 'f')} AS n_{s}, {hits(s, 't')} > 0 AS at_{s}" for s in ("exact", "near", "extended", "broad", "context"))
+    return f"""SELECT doc_id, '{r.code}' AS code, tier, CAST(CASE tier WHEN 'exact' THEN 100 + 8 * n_exact + n_context + least(k, 8) WHEN 'near' THEN 70 + 6 * n_near + n_context + least(n_extended, 4) + least(k, 8)
+  WHEN 'extended' THEN 40 + 3 * least(n_extended, 5) + n_context + least(k, 8) + least(c, 5) WHEN 'broad' THEN 20 + 2 * least(n_broad, 5) + n_context + least(b, 8) + least(c, 5) ELSE 8 * n_exact + 5 * n_near + n_extended + n_broad + n_context END AS BIGINT) AS score
+  FROM (SELECT *, CASE WHEN n_exact > 0 AND (at_exact OR k >= 2) AND (n_context > 0 OR {r.bare}) THEN 'exact' WHEN n_near > 0 AND (at_near OR k >= 3) AND (n_context > 0 OR n_extended > 0) THEN 'near'
+    WHEN n_extended > 0 AND (at_extended OR k >= 3) AND (n_context >= 2 OR at_extended AND c >= 2) THEN 'extended' WHEN n_broad > 0 AND (at_broad OR b >= 3) AND (n_context >= 2 OR at_broad AND c >= 2) THEN 'broad' ELSE 'mismatch' END AS tier
+    FROM (SELECT doc_id, {cols}, {times('exact', 'near', 'extended')} AS k, {times('context')} AS c, {times('broad')} AS b FROM s))"""
+
+
+@query("topic_rules", r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x, strpos(coalesce(text, ''), chr(10)) AS p FROM documents),
+s AS (SELECT doc_id, regexp_replace(x, '\s+', '', 'g') AS w, regexp_replace(CASE WHEN p > 0 THEN substring(x, 1, p - 1) ELSE x END, '\s+', '', 'g') AS t, regexp_replace(CASE WHEN p > 0 THEN substring(x, 1, p - 1) || substring(x, p + 1, 260) ELSE x END, '\s+', '', 'g') AS f FROM d)
+""" + " UNION ALL ".join(map(_rule_sql, RULES)))
+def _(spark, sf):
+    return topics.topics(table(spark, sf, "documents"), RULES)
+
+
 @query("normalized_urls", r"""SELECT page_id, CASE WHEN trim(url) = '' THEN NULL WHEN h = 'example.com' OR h LIKE '%.example.com' THEN 'https://www.example.com' || CASE WHEN p = '' THEN '/' ELSE p END ELSE regexp_replace(url, '^http://', 'https://') END AS url
 FROM (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS h, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) AS p FROM pages)""")
 def _(spark, sf):
