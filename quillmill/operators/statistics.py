@@ -298,12 +298,12 @@ def assigned(c: DataFrame) -> DataFrame:
 
     rows = c.collect()
     left, right = sorted({r.factor_a for r in rows}), sorted({r.factor_b for r in rows})
-    score = np.zeros((max(len(left), len(right)),) * 2)
+    score = np.zeros((len(left), len(right)))
     value = {(r.factor_a, r.factor_b): r.c for r in rows}
     for i, x in enumerate(left):
         for j, y in enumerate(right):
             score[i, j] = abs(value[x, y])
-    found = [(left[i], right[j], value[left[i], right[j]]) for i, j in enumerate(best_match(score)) if i < len(left) and j < len(right)] if rows else []
+    found = [(left[i], right[j], value[left[i], right[j]]) for i, j in enumerate(best_match(score)) if j >= 0] if rows else []
     return c.sparkSession.createDataFrame(found, c.schema)
 
 

@@ -420,6 +420,24 @@ def _(spark, sf):
     return statistics.congruence(a, b).withColumn("c", F.round("c", 6))
 
 
+#: The best partners by trying all of them: four factors take one each of the five.
+_PARTNERS = ["q0", "q1", "t0", "t1"]
+
+
+@query("assigned_factors", f"""WITH d AS (SELECT source AS feature, lang AS factor, CAST(count(*) AS DOUBLE) AS loading FROM documents GROUP BY ALL UNION ALL SELECT 'other', 'apart', 1),
+e AS (SELECT source AS feature, 'q' || quality AS factor, CAST(count(*) AS DOUBLE) AS loading FROM documents JOIN labels USING (doc_id) GROUP BY ALL UNION ALL SELECT source, 't' || toxic, CAST(count(*) AS DOUBLE) FROM documents JOIN labels USING (doc_id) GROUP BY ALL),
+x AS (SELECT factor, sum(loading * loading) AS n FROM d GROUP BY factor), y AS (SELECT factor, sum(loading * loading) AS n FROM e GROUP BY factor), p AS (SELECT d.factor AS a, e.factor AS b, sum(d.loading * e.loading) AS s FROM d JOIN e USING (feature) GROUP BY ALL),
+c AS (SELECT x.factor AS a, y.factor AS b, coalesce(s, 0) / sqrt(x.n * y.n) AS c FROM x CROSS JOIN y LEFT JOIN p ON p.a = x.factor AND p.b = y.factor),
+best AS (SELECT {', '.join(f'k{i}.a AS a{i}, k{i}.c AS c{i}' for i in range(4))} FROM {', '.join(f'c AS k{i}' for i in range(4))} WHERE {' AND '.join(f"k{i}.b = '{b}'" for i, b in enumerate(_PARTNERS))}
+  AND {' AND '.join(f'k{i}.a <> k{j}.a' for i in range(4) for j in range(i))} ORDER BY {' + '.join(f'abs(k{i}.c)' for i in range(4))} DESC LIMIT 1)
+""" + " UNION ALL ".join(f"SELECT a{i} AS factor_a, '{b}' AS factor_b, round(c{i}, 6) AS c FROM best" for i, b in enumerate(_PARTNERS)))
+def _(spark, sf):
+    a = table(spark, sf, "documents").groupBy(F.col("source").alias("feature"), F.col("lang").alias("factor")).agg(F.count("*").cast("double").alias("loading"))
+    a = a.unionByName(spark.createDataFrame([("other", "apart", 1.0)], "feature string, factor string, loading double"))
+    sides = [scored(spark, sf).groupBy(F.col("source").alias("feature"), F.concat(F.lit(n), c).alias("factor")).agg(F.count("*").cast("double").alias("loading")) for n, c in (("q", "quality"), ("t", "toxic"))]
+    return statistics.assigned(statistics.congruence(a, sides[0].unionByName(sides[1]))).withColumn("c", F.round("c", 6))
+
+
 @query("compound_sentences", rf"""WITH {TAGGED}, s AS (SELECT *, coalesce(sum(CAST(tag = 'wj' AS INT)) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM t),
 r(relation, marker) AS (VALUES {', '.join(map(repr, RELATIONS))}), h AS (SELECT DISTINCT doc_id, relation, sentence FROM s JOIN r ON word = marker)
 SELECT doc_id, count(*) AS relation_sentences, count(DISTINCT sentence) AS compound, count(DISTINCT relation) AS relations FROM h GROUP BY doc_id""")
