@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.plans.scratch import materialize
+
 # What a row without grade, of a grade without quota, or over its quota costs.
 NO_GRADE, FREE_UNGRADED, UNGRADED_STEP = 0.16, 9, 2.0
 NO_QUOTA, FULL, FULL_STEP = 0.12, 0.28, 0.08
@@ -63,17 +66,17 @@ def select_slots(pool: DataFrame, targets: DataFrame, group: str, key: str, leng
     return d.groupBy("g").applyInPandas(fill, f"g {kinds['g']}, i int, target long, key {kinds['key']}").select(F.col("g").alias(group), "i", "target", F.col("key").alias(key))
 
 
-def match_lengths(have: dict[int, int], wanted: list[int], rng: np.random.Generator) -> dict[int, int]:
-    """Rows taken of each length: every wanted length, in random order, takes the nearest length that is left; of two
-    equally near ones each in proportion to its rows left. Stops when nothing is left."""
+def take_nearest(have: dict[int, int], order: list[int], draw: Callable[[int, int], bool]) -> dict[int, int]:
+    """Rows taken of each length: every wanted length, in this order, takes the nearest length that is left; of two equally
+    near ones the shorter if `draw` (rows left of the shorter, of the longer) says so. Stops when nothing is left."""
     left, sizes, taken = sorted(have), dict(have), {}
-    for x in rng.permutation(np.array(wanted, np.int64)).tolist():
+    for x in order:
         if not left:
             break
         at = bisect_left(left, x)
         near = [left[j] for j in (at - 1, at) if 0 <= j < len(left)]
         if len(near) == 2 and x - near[0] == near[1] - x:
-            pick = near[rng.random() * (sizes[near[0]] + sizes[near[1]]) >= sizes[near[0]]]
+            pick = near[not draw(sizes[near[0]], sizes[near[1]])]
         else:
             pick = min(near, key=lambda v: abs(v - x))
         taken[pick] = taken.get(pick, 0) + 1
@@ -83,28 +86,79 @@ def match_lengths(have: dict[int, int], wanted: list[int], rng: np.random.Genera
     return taken
 
 
+def match_lengths(have: dict[int, int], wanted: list[int], rng: np.random.Generator) -> dict[int, int]:
+    """`take_nearest` in random order; of two equally near lengths each in proportion to its rows left."""
+    order = rng.permutation(np.array(wanted, np.int64)).tolist()
+    return take_nearest(have, order, lambda a, b: rng.random() * (a + b) < a)
+
+
+def cut_ranges(have: np.ndarray, supply: np.ndarray, wanted: np.ndarray, demand: np.ndarray) -> np.ndarray:
+    """Places in `have` (different lengths, in order, with their supply) where a range of its own begins, the first one's 0.
+
+    Let p < q be neighbouring lengths, none wanted between them. If p runs out while nobody crosses, the lengths just below
+    it have run out, too, down to some length that has not (or to the first one), and all that was taken of them was wanted
+    above that length: demand there reached supply. So p never runs out if the surplus up to p (supply less demand) is
+    above the surplus up to every shorter length and above 0; the same holds for q from the other end. Then what wants p
+    or less never looks at q, and what wants q or more never at p, in whatever order they come: a range begins at q.
+    """
+    stock, total = np.cumsum(supply), np.concatenate([[0], np.cumsum(demand)])
+    upto = total[np.searchsorted(wanted, have, side="right")]  # wanted up to each length
+    below = np.r_[total[np.searchsorted(wanted, have, side="left")][1:], total[-1]]  # and below the next one
+    surplus, short = stock - upto, stock - below
+    before = np.maximum.accumulate(np.r_[0, surplus[:-1]])
+    after = np.minimum.accumulate(short[::-1])[::-1]
+    holds = (surplus > before)[:-1] & (surplus[:-1] < after[1:]) & (upto == below)[:-1]
+    return np.r_[0, np.flatnonzero(holds) + 1]
+
+
+def _ranges(rows: pd.DataFrame) -> pd.DataFrame:
+    """One group's histograms (g, n, have, want) → its ranges: g, at (first length), n, have, want."""
+    rows = rows.sort_values("n")
+    n, have, want = rows["n"].to_numpy(), rows["have"].to_numpy(), rows["want"].to_numpy()
+    known, asked = np.flatnonzero(have > 0), np.flatnonzero(want > 0)
+    if not len(known) or not len(asked):
+        return pd.DataFrame(columns=["g", "at", "n", "have", "want"])
+    if want.sum() >= have.sum():  # all is taken, in any order
+        parts = [np.array([i]) for i in known]
+        want = have
+    else:
+        starts = cut_ranges(n[known], have[known], n[asked], want[asked])
+        edges = np.searchsorted(n, n[known][starts][1:])
+        parts = [p for p in np.split(np.arange(len(n)), edges) if want[p].any()]
+    return pd.DataFrame([(rows["g"].iloc[0], int(n[p[0]]), n[p].tolist(), have[p].tolist(), want[p].tolist()) for p in parts], columns=["g", "at", "n", "have", "want"])
+
+
 def length_matched(pool: DataFrame, wanted: DataFrame, group: str, key: str, length: str, score: str, iterations: int = 1000, seed: int = 20260830) -> DataFrame:
     """(group, difference, sd, low, high, length_gap, iterations): mean score of wanted minus that of a pool sample
     matched on length, over random orders.
 
-    Matching sees only histograms of lengths, one task for each group and iteration. Rows of one length stand in one
-    hashed order; an iteration takes a run of them from a random start, around the end, whose sum is two lookups in
-    prefix sums. So no iteration copies the rows. Rows with a null group, length or score take no part.
+    Matching sees only histograms of lengths, a row for each different length of a group. A group's histogram is cut into
+    ranges that no match crosses (`cut_ranges`); each range and iteration is a row, so one large group is the work of many
+    tasks. A range of one length is a count; only where lengths run short are its wanted rows gone through one by one. Rows
+    of one length stand in one hashed order; an iteration takes a run of them from a random start, around the end, whose
+    sum is two lookups in prefix sums. So no iteration copies the rows. Rows with a null group, length or score take no part.
     """
     clean = lambda d: d.select(F.col(group).alias("g"), F.col(key).alias("key"), F.col(length).cast("long").alias("n"), F.col(score).cast("double").alias("x")).dropna()
     a, b = clean(pool), clean(wanted)
-    histogram = lambda d, name: d.groupBy("g", "n").count().groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("n", "count"))).alias(name))
-    todo = histogram(a, "have").join(histogram(b, "want"), "g").withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).repartition("g", "iteration")
+    kind = a.schema["g"].dataType.simpleString()
+    sides = a.select("g", "n", F.lit(1).alias("h"), F.lit(0).alias("w")).unionByName(b.select("g", "n", F.lit(0).alias("h"), F.lit(1).alias("w")))
+    histograms = sides.groupBy("g", "n").agg(F.sum("h").alias("have"), F.sum("w").alias("want"))
+    ranges = materialize(histograms.groupBy("g").applyInPandas(_ranges, f"g {kind}, at long, n array<long>, have array<long>, want array<long>"), "length-ranges")
+    todo = ranges.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).repartition("g", "at", "iteration")
 
     def run(batches):
         for d in batches:
-            for g, have, want, it in d[["g", "have", "want", "iteration"]].itertuples(index=False):
-                have, want = dict(have), dict(want)
-                rng = np.random.default_rng([seed, int(it), sum(have) & 0xFFFFFFFF, sum(want) & 0xFFFFFFFF])
-                taken = match_lengths(have, [n for n in sorted(want) for _ in range(want[n])], rng)
-                yield pd.DataFrame([(g, it, n, have[n], int(rng.integers(have[n])), c) for n, c in sorted(taken.items())], columns=["g", "iteration", "n", "size", "start", "c"])
+            out = []
+            for g, at, n, have, want, it in d[["g", "at", "n", "have", "want", "iteration"]].itertuples(index=False):
+                rng = np.random.default_rng([seed, int(it), int(at) & 0xFFFFFFFF, len(n), int(sum(want)) & 0xFFFFFFFF])
+                sizes = {int(x): int(c) for x, c in zip(n, have) if c}
+                if len(sizes) == 1:
+                    taken = {x: min(c, int(sum(want))) for x, c in sizes.items()}
+                else:
+                    taken = match_lengths(sizes, np.repeat(np.asarray(n), np.asarray(want)), rng)
+                out += [(g, it, x, sizes[x], int(rng.integers(sizes[x])), c) for x, c in sorted(taken.items())]
+            yield pd.DataFrame(out, columns=["g", "iteration", "n", "size", "start", "c"])
 
-    kind = a.schema["g"].dataType.simpleString()
     picks = todo.mapInPandas(run, f"g {kind}, iteration int, n long, size long, start long, c long")
     order = Window.partitionBy("g", "n").orderBy(F.xxhash64("key", F.lit(seed)), "key")
     upto = a.select("g", "n", F.row_number().over(order).cast("long").alias("r"), F.sum("x").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))

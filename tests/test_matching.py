@@ -52,6 +52,47 @@ def test_length_matched(spark):
     assert r[0].difference == pytest.approx(10 - (1 + 1 + 3.5) / 3, abs=0.1)
 
 
+def test_ranges_equal_the_whole_in_any_order():
+    """The sequential matcher over all lengths, and over each range with its own part of the order."""
+    rng = random.Random(7)
+    cut = 0
+    for _ in range(400):
+        have = {rng.randint(1, 40): rng.randint(1, 9) for _ in range(rng.randint(2, 30))}
+        order = [rng.choice([*have, rng.randint(0, 42)]) for _ in range(rng.randint(1, max(1, min(12, sum(have.values()) - 1))))]
+        lengths = np.array(sorted(have))
+        wanted = np.array(sorted(set(order)))
+        starts = matching.cut_ranges(lengths, np.array([have[n] for n in lengths.tolist()]), wanted, np.array([order.count(n) for n in wanted.tolist()]))
+        edges = [-1, *lengths[starts][1:].tolist(), 10**9]
+        cut += len(starts) > 1
+        draw = lambda a, b: a * 3 >= b * 2
+        parts = {}
+        for low, high in zip(edges, edges[1:]):
+            parts |= matching.take_nearest({n: c for n, c in have.items() if low <= n < high}, [x for x in order if low <= x < high], draw)
+        assert parts == matching.take_nearest(have, order, draw)
+    assert cut > 100
+
+
+def test_a_hot_group_is_many_ranges(spark):
+    """A third of all rows in one group, with a short supply in one place: its rows for Spark are ranges, not the group."""
+    rng = np.random.default_rng(2)
+    n = rng.integers(100, 400, 40_000)
+    pool = spark.createDataFrame([("hot", i, int(x), float(x % 7)) for i, x in enumerate(n)] + [("b", 10**6 + i, 5, 1.0) for i in range(50)], "g string, id long, n long, x double")
+    wanted = spark.createDataFrame([("hot", i, int(x), 1.0) for i, x in enumerate([*rng.integers(100, 400, 2000), *[401] * 300])] + [("b", i, 5, 3.0) for i in range(60)] + [("c", 1, 5, 1.0)], "g string, id long, n long, x double")
+    sides = pool.select("g", "n", F.lit(1).alias("have"), F.lit(0).alias("want")).unionByName(wanted.select("g", "n", F.lit(0).alias("have"), F.lit(1).alias("want")))
+    h = sides.groupBy("g", "n").agg(F.sum("have").alias("have"), F.sum("want").alias("want")).toPandas()
+    parts = matching._ranges(h[h["g"] == "hot"])
+    assert len(parts) > 200 and sum(map(sum, parts["want"])) == 2300
+    got = {r.g: r for r in matching.length_matched(pool, wanted, "g", "id", "n", "x", 50).collect()}
+    assert set(got) == {"hot", "b"} and got["b"].difference == 2.0 and got["b"].length_gap == 0.0 and got["hot"].iterations == 50
+    plain = []
+    have = {int(k): int(v) for k, v in zip(*np.unique(n, return_counts=True))}
+    want = [r.n for r in wanted.where("g = 'hot'").collect()]
+    for it in range(20):
+        taken = matching.match_lengths(have, want, np.random.default_rng(it))
+        plain.append(np.mean(want) - sum(k * v for k, v in taken.items()) / sum(taken.values()))
+    assert got["hot"].length_gap == pytest.approx(np.mean(plain), abs=0.02)
+
+
 def test_idioms_and_cover(spark):
     docs = spark.createDataFrame([(1, "not only red but also blue. not only green."), (2, None), (3, "but also x not only y not only z.")], "doc_id long, text string")
     idioms = spark.createDataFrame([("i", "not only", "but also")], "idiom string, first string, second string")
