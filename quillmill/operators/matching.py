@@ -17,24 +17,60 @@ NO_GRADE, FREE_UNGRADED, UNGRADED_STEP = 0.16, 9, 2.0
 NO_QUOTA, FULL, FULL_STEP = 0.12, 0.28, 0.08
 
 
+#: What a row costs by topic tier and beyond the preferred stage; without a year; the most that years away
+#: from the preferred ones cost, a year's part and how many count; the greatest topic score that counts, and its divisor.
+TIER_COST = {"exact": 0.0, "near": 0.16, "extended": 0.38, "broad": 0.68}
+OTHER_STAGE, NO_YEAR, MOST_YEARS, A_YEAR, YEARS, MOST_SCORE, SCORE_PART = 0.55, 0.20, 0.35, 0.02, 15, 140, 3000
+
+
+def slot_cost(tier: Column, published: Column, preferred: Column, score: Column, first: int, last: int) -> Column:
+    """What a row costs in any slot: by its topic tier, the years that its publication is away from those asked, its stage,
+    and less for a high topic score. Rows of no known tier have no cost and can't be chosen: it is null."""
+    from quillmill.functions.text import publication_year
+
+    year = publication_year(published)
+    years = F.when(year.between(first, last), 0.0).when(year == 9999, NO_YEAR).otherwise(F.least(F.lit(MOST_YEARS), A_YEAR * F.least(F.abs(year - last), F.lit(YEARS))))
+    tiers = F.lit(None).cast("double")
+    for name, c in TIER_COST.items():
+        tiers = F.when(tier == name, c).otherwise(tiers)
+    stage = F.when(F.coalesce(preferred, F.lit(False)), 0.0).otherwise(OTHER_STAGE)
+    return tiers + years + stage - F.least(F.coalesce(score, F.lit(0)), F.lit(MOST_SCORE)) / SCORE_PART
+
+
+def _cheapest(d: DataFrame, per: list[str], count: int, salts: int) -> DataFrame:
+    """The `count` rows of least (c, key) of each class, in two salted levels."""
+    d = d.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(salts)))
+    for extra in (["_salt"], []):
+        d = d.withColumn("_r", F.row_number().over(Window.partitionBy(*per, *extra).orderBy("c", "key"))).where(F.col("_r") <= count)
+    return d.drop("_r", "_salt")
+
+
+def slot_candidates(pool: DataFrame, targets: DataFrame, group: str, key: str, length: str, cost: Column, preferred: Column, grade: Column, quotas: dict[str, int], count: int, salts: int = 16) -> DataFrame:
+    """g, i, target, preferred, grade, key, n, c (cost with that of the length): for each target the `count` cheapest rows of
+    each class (preferred, grade), which are all that its slot can take.
+
+    Of rows of one class and length, the order is the same for every target, so `count` of each length are kept before any
+    target is looked at. The pool is read once; only what is left, bounded by the different lengths, meets the targets.
+    """
+    known = F.when(grade.isNull(), "?").when(grade.isin(*quotas), grade).otherwise("other")
+    p = pool.select(F.col(group).alias("g"), F.col(key).alias("key"), F.col(length).alias("n"), F.coalesce(cost, F.lit(0.0)).cast("double").alias("c"), F.coalesce(preferred, F.lit(False)).alias("preferred"), known.alias("grade"))
+    t = targets.where(F.col("i") < count).groupBy(F.col(group).alias("g")).agg(F.collect_list(F.struct("i", "target")).alias("t"))
+    few = _cheapest(p, ["g", "preferred", "grade", "n"], count, salts)
+    d = few.join(t, "g").select("*", F.explode("t").alias("s")).select("g", "key", "n", "preferred", "grade", "s.i", "s.target", (F.col("c") + F.abs(F.col("n") - F.col("s.target")) / F.greatest("s.target", F.lit(1))).alias("c"))
+    return _cheapest(d, ["g", "i", "preferred", "grade"], count, salts)
+
+
 def select_slots(pool: DataFrame, targets: DataFrame, group: str, key: str, length: str, cost: Column, preferred: Column, grade: Column, quotas: dict[str, int], count: int, salts: int = 16) -> DataFrame:
     """(group, i, target, key): for each target (group, i, target) in order, the cheapest row left in the pool.
 
     A row costs `cost` + |length - target| / max(target, 1) + a penalty that depends on the grades taken so far; while
     enough preferred rows are left for the open slots, only those count. Ties go to the smaller key. That penalty is
-    one constant for a (preferred, grade) class, so its `count` cheapest rows for each target suffice: they are found
-    in two salted levels, and what is left of a group has a fixed bound.
+    one constant for a (preferred, grade) class, so `slot_candidates` suffice, and what is left of a group has a fixed bound.
     """
-    known = F.when(grade.isNull(), "?").when(grade.isin(*quotas), grade).otherwise("other")
-    p = pool.select(F.col(group).alias("g"), F.col(key).alias("key"), F.col(length).alias("n"), F.coalesce(cost, F.lit(0.0)).cast("double").alias("c"), F.coalesce(preferred, F.lit(False)).alias("preferred"), known.alias("grade"))
-    t = targets.where(F.col("i") < count).groupBy(F.col(group).alias("g")).agg(F.collect_list(F.struct("i", "target")).alias("t"))
-    d = p.join(t, "g").select("*", F.explode("t").alias("s")).select("g", "key", "preferred", "grade", "s.i", "s.target", (F.col("c") + F.abs(F.col("n") - F.col("s.target")) / F.greatest("s.target", F.lit(1))).alias("c"))
+    d = slot_candidates(pool, targets, group, key, length, cost, preferred, grade, quotas, count, salts)
+    p = pool.select(F.col(group).alias("g"), F.coalesce(preferred, F.lit(False)).alias("preferred"))
     sizes = p.where("preferred").groupBy("g").agg(F.count("*").alias("rich"))
-    d = d.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)))
-    for extra in (["salt"], []):
-        w = Window.partitionBy("g", "i", "preferred", "grade", *extra).orderBy("c", "key")
-        d = d.withColumn("r", F.row_number().over(w)).where(F.col("r") <= count)
-    d = d.drop("r", "salt").join(sizes, "g", "left").na.fill(0, ["rich"])
+    d = d.join(sizes, "g", "left").na.fill(0, ["rich"])
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         taken, used, rich, out = {}, set(), int(rows["rich"].iloc[0]), []

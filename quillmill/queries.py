@@ -510,6 +510,43 @@ def _(spark, sf):
     return matching.select_slots(pool, targets, "source", "doc_id", "n_chars", F.col("toxic") * 0.38, F.col("quality") == 1, F.col("lang"), {"en": 2, "fr": 2, "de": 1}, 5)
 
 
+_SLOT = {"en": 2, "fr": 2, "de": 1}
+
+
+def slots(spark, sf) -> dict:
+    """Documents as a pool: their topic by the first rule, a date from orders, and labels of quality as the stage."""
+    d = table(spark, sf, "documents")
+    found = topics.topics(d, RULES[:1]).select("doc_id", "tier", "score")
+    dates = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("string").alias("day"))
+    pool = d.join(found, "doc_id").where("tier <> 'mismatch'").join(table(spark, sf, "labels"), "doc_id", "left").join(dates, "doc_id", "left")
+    targets = selection.quantile_targets(d, "source", "n_chars", 5)
+    stage = F.col("quality") == 1
+    return dict(pool=pool, targets=targets, group="source", key="doc_id", length="n_chars", cost=matching.slot_cost(F.col("tier"), F.col("day"), stage, F.col("score"), 1994, 1996), preferred=stage, grade=F.col("lang"), quotas=_SLOT, count=5)
+
+
+_SLOT_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x, strpos(coalesce(text, ''), chr(10)) AS p FROM documents),
+s AS (SELECT doc_id, regexp_replace(x, '\\s+', '', 'g') AS w, regexp_replace(CASE WHEN p > 0 THEN substring(x, 1, p - 1) ELSE x END, '\\s+', '', 'g') AS t, regexp_replace(CASE WHEN p > 0 THEN substring(x, 1, p - 1) || substring(x, p + 1, 260) ELSE x END, '\\s+', '', 'g') AS f FROM d),
+r AS ({_rule_sql(RULES[0])}),
+q AS (SELECT source, CAST(i AS INTEGER) AS i, CAST(round_even(round(quantile_cont(n_chars, [0.1, 0.3, 0.5, 0.7, 0.9])[i + 1], 6), 0) AS BIGINT) AS target FROM documents, range(5) AS r(i) GROUP BY source, i),
+p AS (SELECT d.source, d.doc_id, d.n_chars, coalesce(l.quality = 1, false) AS preferred, CASE WHEN d.lang IS NULL THEN '?' WHEN d.lang IN ('en', 'fr', 'de') THEN d.lang ELSE 'other' END AS grade, coalesce(try_cast(substr(CAST(o.o_orderdate AS VARCHAR), 1, 4) AS INT), 9999) AS y,
+  CASE r.tier WHEN 'exact' THEN 0.0 WHEN 'near' THEN 0.16 WHEN 'extended' THEN 0.38 ELSE 0.68 END AS tc, r.score FROM documents d JOIN r USING (doc_id) LEFT JOIN labels l USING (doc_id) LEFT JOIN orders o ON o.o_orderkey = d.doc_id WHERE r.tier <> 'mismatch'),
+c AS (SELECT *, tc + CASE WHEN y BETWEEN 1994 AND 1996 THEN 0 WHEN y = 9999 THEN 0.2 ELSE least(0.35, 0.02 * least(abs(y - 1996), 15)) END + CASE WHEN preferred THEN 0 ELSE 0.55 END - least(score, 140) / 3000.0 AS c FROM p),
+t AS (SELECT c.source, q.i, q.target, preferred, grade, doc_id, c + abs(n_chars - target) / greatest(target, 1) AS total FROM c JOIN q ON q.source = c.source)
+SELECT source, i, target, preferred, grade, doc_id, round(total, 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY source, i, preferred, grade ORDER BY total, doc_id) AS k FROM t) WHERE k = 1"""
+
+
+@query("slot_candidates", _SLOT_SQL)
+def _(spark, sf):
+    d = matching.slot_candidates(**(slots(spark, sf) | {"count": 5}))
+    best = d.groupBy("g", "i", "target", "preferred", "grade").agg(F.min(F.struct("c", "key")).alias("m"))
+    return best.select(F.col("g").alias("source"), "i", "target", "preferred", "grade", F.col("m.key").alias("doc_id"), F.round("m.c", 6).alias("cost"))
+
+
+@query("slots_by_topic")
+def _(spark, sf):
+    return matching.select_slots(**slots(spark, sf))
+
+
 @query("length_matched")
 def _(spark, sf):
     d = table(spark, sf, "documents").withColumn("words", F.size(F.split("text", " ")))

@@ -112,3 +112,14 @@ def test_checks(spark):
     rows = validation.listing(page, "html", "<li>.*?</li>", {"url": 'href="([^"]*)"'}).collect()
     assert [tuple(r) for r in rows] == [(1, 0, "u1"), (1, 1, "")]
     assert [r[0] for r in page.select(validation.last_page(F.col("html"), r"p=(\d+)")).collect()] == [12, 1]
+
+
+def test_slot_cost(spark):
+    rows = [(t, d, p, s) for t in ("exact", "near", "extended", "broad", "mismatch", None) for d in ("1990-01-01", "2015-05", "2000", "undated", None) for p in (True, False, None) for s in (None, 20, 400)]
+    df = spark.createDataFrame(rows, "t string, d string, p boolean, s long")
+    got = [r[0] for r in df.select(matching.slot_cost(F.col("t"), F.col("d"), F.col("p"), F.col("s"), 1995, 2005)).collect()]
+    for (t, d, p, s), c in zip(rows, got):
+        tier = {"exact": 0.0, "near": 0.16, "extended": 0.38, "broad": 0.68}.get(t)
+        year = int(d[:4]) if d and d[:4].isdigit() else None
+        years = 0.2 if year is None else 0.0 if 1995 <= year <= 2005 else min(0.35, 0.02 * min(abs(year - 2005), 15))
+        assert c == (None if tier is None else pytest.approx(tier + years + (0 if p else 0.55) - min(s or 0, 140) / 3000))
