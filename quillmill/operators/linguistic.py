@@ -710,7 +710,7 @@ def narrative(docs: DataFrame, spans: DataFrame, groups: dict[str, Sequence[str]
     names = [*tag_sets, *word_tags, *(f"free_{r}" for r in free)]
     d = per_document(docs, feature, ", ".join(f"{n} long" for n in names) + ", first_person double", segmenter)
     at = spans.select("doc_id", F.inline(F.arrays_zip(F.sequence("start", F.col("end") - 1).alias("i"), F.transform("tags", lambda t: F.lower(F.substring(t, 1, 1))).alias("t")))).distinct()
-    covered = at.groupBy("doc_id").agg(*[F.sum((F.col("t") == r).cast("int")).alias(f"_c_{r}") for r in free])
-    hits = spans.groupBy("doc_id").agg(*[F.sum(F.col("feature").isin(*fs).cast("int")).alias(n) for n, fs in groups.items()])
+    covered = at.groupBy("doc_id").agg(*[F.sum((F.col("t") == r).cast("int")).alias(f"_c_{r}") for r in free], F.count("*").alias("_c"))
+    hits = spans.groupBy("doc_id").agg(*[F.sum(F.col("feature").isin(*fs).cast("int")).alias(n) for n, fs in groups.items()], F.count("*").alias("_h"))
     j = d.join(covered, "doc_id", "left").join(hits, "doc_id", "left").join(docs.select("doc_id", T.count_direct_quotes(F.coalesce("text", F.lit(""))).cast("long").alias("quotes")), "doc_id")
     return j.select("doc_id", *tag_sets, *word_tags, *[(F.col(f"free_{r}") - F.coalesce(f"_c_{r}", F.lit(0))).alias(f"free_{r}") for r in free], *[F.coalesce(n, F.lit(0)).alias(n) for n in groups], "quotes", r6(F.col("first_person")).alias("first_person"))

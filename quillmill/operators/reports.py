@@ -86,10 +86,17 @@ def count_map(column: str, values: list) -> Column:
 
 def sampling_audit(df: DataFrame, group: str, length: str, tier: str, tiers: list, flag: Column, deviation: str) -> DataFrame:
     """Of each group: rows, mean and median length, rows of each tier, flagged ones, mean deviation."""
-    return df.groupBy(group).agg(
-        F.count("*").alias("n"), F.avg(length).alias("mean_length"), F.percentile(length, 0.5).alias("median_length"),
-        *[F.count(F.when(F.col(tier) == t, 1)).alias(f"tier_{t}") for t in tiers], F.count(F.when(flag, 1)).alias("flagged"), F.avg(deviation).alias("mean_deviation"),
-    )
+    counts = [F.count(F.when(F.col(tier) == t, 1)).alias(f"tier_{t}") for t in tiers]
+    out = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(length).alias("mean_length"), *counts, F.count(F.when(flag, 1)).alias("flagged"), F.avg(deviation).alias("mean_deviation"))
+    return with_median(out, df, group, length).select(group, "n", "mean_length", "median_length", *[f"tier_{t}" for t in tiers], "flagged", "mean_deviation")
+
+
+def with_median(summary: DataFrame, df: DataFrame, group: str, value: str, out: str = "median_length") -> DataFrame:
+    """summary (a row for each group) with the median of df's values, told by distributed ranks: no group is one task's."""
+    from quillmill.operators.statistics import quantiles
+
+    q = quantiles(df.select(group, F.col(value).cast("double").alias("_x")), [group], "_x", [0.5]).select(F.col(group).alias("_g"), F.col("q")[0].alias(out))
+    return summary.join(F.broadcast(q), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")  # a row for each group
 
 
 def mean_difference(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column) -> Column:
@@ -103,8 +110,8 @@ def selection_summary(chosen: DataFrame, wanted: DataFrame, group: str, length:
     """Of each group of `chosen`: rows, how many hold each value of the columns in `maps`, range of years, mean and median
     length, and the standardised difference of its lengths from those of `wanted`."""
     stats = lambda d, n: d.groupBy(group).agg(F.count("*").alias(f"n{n}"), F.avg(length).alias(f"m{n}"), F.var_samp(length).alias(f"v{n}"))
-    c = chosen.groupBy(group).agg(F.count("*").alias("n"), *[count_map(k, v).alias(k) for k, v in maps.items()], F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.percentile(length, 0.5).alias("median_length"))
-    j = c.join(stats(chosen, 1), group).join(stats(wanted, 2), group, "left")
+    c = chosen.groupBy(group).agg(F.count("*").alias("n"), *[count_map(k, v).alias(k) for k, v in maps.items()], F.min(year).alias("first_year"), F.max(year).alias("last_year"))
+    j = with_median(c, chosen, group, length).join(stats(chosen, 1), group).join(stats(wanted, 2), group, "left")
     smd = F.when(F.col("n2").isNotNull(), mean_difference(*[F.col(x) for x in ("n1", "m1", "v1", "n2", "m2", "v2")]))
     return j.select(group, "n", *maps, "first_year", "last_year", F.col("m1").alias("mean_length"), "median_length", smd.alias("length_difference"))
 
@@ -135,13 +142,16 @@ def top_loadings(loadings: DataFrame, least: float = 0.3, first: int = 6) -> Dat
     return d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= first).select("factor", "sign", "place", "feature", "loading")
 
 
-def strongest(effects: DataFrame, effect: str, key: list[str], first: int, group: str | None = None) -> DataFrame:
-    """The rows with the greatest |effect|, in each group or in all, ties by key."""
+def strongest(effects: DataFrame, effect: str, key: list[str], first: int, group: str | None = None, salts: int = 16) -> DataFrame:
+    """The rows with the greatest |effect|, in each group or in all, ties by key; in two levels, so that few groups keep many
+    tasks busy."""
     order = [F.desc(F.abs(effect)), *[F.asc(k) for k in key]]
     if group is None:
         return effects.orderBy(*order).limit(first)
-    w = Window.partitionBy(group).orderBy(*order)
-    return effects.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= first).drop("_r")
+    d = effects.withColumn("_s", F.pmod(F.xxhash64(*key), F.lit(salts)))
+    for keys in ([group, "_s"], [group]):
+        d = d.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= first)
+    return d.drop("_r", "_s")
 
 
 def representatives(scores: DataFrame, key: str, dimensions: list[str], points: dict[str, float]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,9 +74,16 @@ def balanced_quota(counts: DataFrame, stratum: list[str], unit: str, sizes: Data
         size, so_far = min(rs[0]["_size"], sum(r["n"] for r in rs)), {r[unit]: taken.get(r[unit], 0) for r in rs}
         first = sorted(rs, key=lambda r: (so_far[r[unit]], r["_t"], str(r[unit])))[:size]
         here = {r[unit]: 1 for r in first}
+        place = lambda r: (so_far[r[unit]] + here[r[unit]], here[r[unit]], so_far[r[unit]], r["_t"], str(r[unit]))  # noqa: E731, B023
+        waiting = [(place(r), i) for i, r in enumerate(first) if here[r[unit]] < r["n"]]
+        heapq.heapify(waiting)
         for _ in range(size - len(here)):
-            best = min((r for r in first if here[r[unit]] < r["n"]), key=lambda r: (so_far[r[unit]] + here[r[unit]], here[r[unit]], so_far[r[unit]], r["_t"], str(r[unit])))
-            here[best[unit]] += 1
+            i = waiting[0][1]
+            here[first[i][unit]] += 1
+            if here[first[i][unit]] < first[i]["n"]:
+                heapq.heapreplace(waiting, (place(first[i]), i))
+            else:
+                heapq.heappop(waiting)
         for r in first:
             taken[r[unit]] = taken.get(r[unit], 0) + here[r[unit]]
             out.append((*[r[c] for c in stratum], r[unit], here[r[unit]]))

@@ -247,9 +247,9 @@ def _(spark, sf):
 
 @query("sample_summary", "SELECT source, count(*) AS n, round(avg(quality), 6) AS mean_quality, round(stddev_samp(quality), 6) AS sd_quality, round(avg(n_chars), 6) AS mean_length, round(quantile_cont(n_chars, 0.5), 6) AS median_length, count(DISTINCT lang) AS langs FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def _(spark, sf):
-    return scored(spark, sf).groupBy("source").agg(
-        F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("mean_quality"), F.round(F.stddev_samp("quality"), 6).alias("sd_quality"), F.round(F.avg("n_chars"), 6).alias("mean_length"), F.round(F.percentile("n_chars", 0.5), 6).alias("median_length"), F.countDistinct("lang").alias("langs")
-    )
+    d = scored(spark, sf)
+    out = d.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("mean_quality"), F.round(F.stddev_samp("quality"), 6).alias("sd_quality"), F.round(F.avg("n_chars"), 6).alias("mean_length"), F.countDistinct("lang").alias("langs"))
+    return reports.with_median(out, d, "source", "n_chars").withColumn("median_length", F.round("median_length", 6))
 
 
 @query("crosstab", "SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'es') AS es FROM documents GROUP BY source")
@@ -393,8 +393,8 @@ def _(spark, sf):
 
 @query("top_by_effect", "SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r <= 6")
 def _(spark, sf):
-    w = Window.partitionBy("l_returnflag").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
-    return table(spark, sf, "lineitem").withColumn("r", F.row_number().over(w)).where("r <= 6").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
+    d = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return reports.strongest(d, "l_extendedprice", ["l_orderkey", "l_linenumber"], 6, "l_returnflag")
 
 
 @query("source_share", "SELECT source, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY source")
@@ -768,3 +768,105 @@ def _(spark, sf):
 def _(spark, sf):
     c = table(spark, sf, "documents").groupBy(F.col("source").alias("feature"), F.col("lang").alias("factor")).agg(F.round((F.count("*") / 100.0).cast("double"), 4).alias("loading"))
     return reports.top_loadings(c, 0.05)
+
+
+@query("segmented_lines", rf"""WITH {PARTS}, l AS (SELECT doc_id, p, string_agg(word || '/' || {TAG}, ' ' ORDER BY tok_idx) AS line FROM tok GROUP BY doc_id, p), g AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS segmented FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(segmented, '') AS segmented FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id""")
+def _(spark, sf):
+    return linguistic.segmented_lines(table(spark, sf, "documents"))
+
+
+@query("grammar_marks", rf"""WITH {TAGGED} SELECT d.doc_id, count(tag) FILTER (tag = 'u') AS exact_u, count(tag) FILTER (tag = 'm') AS exact_m, count(tag) FILTER (word = 'the' AND tag LIKE 'u%') AS the_u, count(tag) FILTER (word = 'with' AND tag LIKE 'n%') AS with_n, count(tag) FILTER (tag LIKE 'w%' AND tag <> 'wj') AS other_w, count(tag) FILTER (tag = 'wj') AS stops
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id""")
+def _(spark, sf):
+    return linguistic.grammar_marks(table(spark, sf, "documents"), {"exact_u": "u", "exact_m": "m", "stops": "wj"}, {"the_u": ("the", "u"), "with_n": ("with", "n")}, {"other_w": "w"})
+
+
+#: Every way that a sentence is classed by: what asks for a thing, what asks yes or no, and marks.
+@query("sentence_kinds", rf"""WITH {TAGGED}, s AS (SELECT *, coalesce(sum(CAST(tag = 'wj' AS INT)) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM t),
+f AS (SELECT doc_id, sentence, bool_or(word IN ('?', '？')) AS q, bool_or(word IN ('!', '！')) AS e, bool_or(word IN ('que', 'was', 'the')) AS wh, contains(string_agg(word, '' ORDER BY tok_idx), 'ent') AS yn, bool_or(tag LIKE 'v%') AS verbs FROM s GROUP BY ALL HAVING bool_or(regexp_matches(word, '^\p{{L}}')))
+SELECT doc_id, count(*) AS sentences, {", ".join(f"CAST(sum(CAST({c} AS INT)) AS BIGINT) AS {n}" for c, n in (("q", "questions"), ("(NOT q AND e)", "exclamations"), ("e", "all_exclamations"), ("(q AND wh)", "wh_questions"), ("(q AND NOT wh AND yn)", "yes_no_questions"), ("verbs", "with_verbs")))} FROM f GROUP BY doc_id""")
+def _(spark, sf):
+    return linguistic.sentence_classes(table(spark, sf, "documents"), ["que", "was", "the"], ["ent"], [], {"with_verbs": "v"})
+
+
+#: First person among pronouns, by a segmenter that tags some words as pronouns.
+def _pronouns(line: str) -> list[tuple[str, str]]:
+    return [(w, "r" if w in ("the", "la", "it") else linguistic.rule_tag(w)) for w in linguistic.TOKEN.findall(line.lower())]
+
+
+@query("first_person", rf"""WITH {TAGGED} SELECT d.doc_id, count(tag) FILTER (word NOT IN ('the', 'la', 'it') AND tag = 'n') AS nouns, round(coalesce(count(tag) FILTER (word = 'it') / nullif(count(tag) FILTER (word IN ('the', 'la', 'it')), 0), 0), 6) AS first_person FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id""")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    nothing = linguistic.lexicon_spans(d, spark.createDataFrame([("w", "no such word")], "feature string, term string"), _pronouns)
+    return linguistic.narrative(d, nothing, {}, {"nouns": ["n"]}, {}, [], ["it"], _pronouns).select("doc_id", "nouns", "first_person")
+
+
+@query("excerpts", r"""WITH b AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS b FROM documents), l AS (SELECT doc_id, b, regexp_extract_all(b, '[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$') AS s FROM b),
+s AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM l), m AS (SELECT doc_id, arg_min(s, (abs(length(s) - 130), i)) AS s FROM s WHERE length(s) BETWEEN 45 AND 180 GROUP BY doc_id),
+e AS (SELECT l.doc_id, coalesce(m.s, substring(b, 1, 130)) AS e FROM l LEFT JOIN m ON m.doc_id = l.doc_id) SELECT doc_id, CASE WHEN length(e) > 160 THEN substring(e, 1, 158) || '……' ELSE e END AS excerpt FROM e""")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.excerpt(F.coalesce("text", F.lit(""))).alias("excerpt"))
+
+
+@query("normalized_space", r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t　]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS t FROM documents), b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^[\n ]+|[\n ]+$', '', 'g') AS t FROM a)
+SELECT doc_id, CASE WHEN t = '' THEN '' ELSE t || chr(10) END AS text FROM b""")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.normalize_space(F.col("text")).alias("text"))
+
+
+@query("body_lines", r"""WITH l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS x, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM (SELECT doc_id, '1234567 codes .12 of' || chr(10) || ' Title: one' || chr(10) || coalesce(text, '') || chr(10) || '（AB）(c1)' AS x FROM documents))
+SELECT doc_id, string_agg(CASE WHEN trim(regexp_replace(x, '\s+', ' ', 'g')) = '' THEN '' ELSE x END, chr(10) ORDER BY i) AS body FROM l WHERE i > 1 AND NOT starts_with(lower(trim(regexp_replace(x, '^\s+', ''))), 'title') AND NOT regexp_matches(trim(x), '^([（(][A-Za-z0-9]+[）)]\s*)+$') GROUP BY doc_id""")
+def _(spark, sf):
+    x = F.concat(F.lit("1234567 codes .12 of\n Title: one\n"), F.coalesce("text", F.lit("")), F.lit("\n（AB）(c1)"))
+    return table(spark, sf, "documents").select("doc_id", T.body_lines(x).alias("body"))
+
+
+@query("article_urls", r"""SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) IN ('blog.tionsh.example.net', 'www.blog.tionsh.example.net') AND regexp_matches(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/\d{3,}') AS is_article FROM pages""")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.is_article_url(F.col("url"), "blog.tionsh.example.net").alias("is_article"))
+
+
+@query("effect_labels", "SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_discount * 10) < 0.2 THEN 'negligible' WHEN abs(l_discount * 10) < 0.5 THEN 'small' WHEN abs(l_discount * 10) < 0.8 THEN 'medium' ELSE 'large' END AS effect, CASE WHEN l_tax < 0.001 THEN '<.001' ELSE regexp_replace(printf('%.3f', CAST(l_tax AS DOUBLE)), '^0', '') END AS p FROM lineitem")
+def _(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.effect_label(F.col("l_discount") * 10).alias("effect"), T.p_text(F.col("l_tax").cast("double")).alias("p"))
+
+
+@query("score_forms", r"""SELECT c_custkey, CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(c_acctbal AS INTEGER) END AS score, CAST(c_custkey % 9 AS VARCHAR) AS main, CAST(c_nationkey AS VARCHAR) || '|x' AS extra, CASE WHEN c_custkey % 9 BETWEEN 1 AND 3 THEN 'elementary' WHEN c_custkey % 9 BETWEEN 4 AND 6 THEN 'middle' ELSE 'other' END AS level_group,
+c_mktsegment AS sheet, CASE WHEN c_custkey BETWEEN 10 AND 9999 THEN CAST(c_custkey AS INTEGER) WHEN c_custkey > 9999 THEN NULL END AS nominal FROM customer""")
+def _(spark, sf):
+    level = T.level_parts(F.concat((F.col("c_custkey") % 9).cast("string"), F.lit("（"), F.col("c_nationkey").cast("string"), F.lit("）（x）")))
+    c = table(spark, sf, "customer").withColumn("level", level)
+    sheet = T.sheet_title(F.concat(F.col("c_nationkey").cast("string"), F.lit(" - "), "c_mktsegment"), F.col("c_nationkey").cast("string"))
+    return c.select("c_custkey", T.whole_score(F.col("c_acctbal")).alias("score"), "level.main", "level.extra", F.col("level.group").alias("level_group"), sheet.alias("sheet"), T.nominal_length(F.concat(F.lit("t_"), F.col("c_custkey").cast("string"), F.lit("字"))).alias("nominal"))
+
+
+@query("agreement", "SELECT count(*) AS n, round(corr(a, b), 6) AS r, max(abs(a - b)) AS greatest_error FROM (SELECT CAST(n_chars AS DOUBLE) AS a, CAST(len(string_split(text, ' ')) AS DOUBLE) AS b FROM documents)")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    a, b = d.select("doc_id", F.col("n_chars").cast("double").alias("x")), d.select("doc_id", F.size(F.split("text", " ")).cast("double").alias("x"))
+    return statistics.agreement(a, b, ["doc_id"], "x").withColumn("r", F.round("r", 6))
+
+
+@query("mapped_priorities", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 END AS rank FROM orders")
+def _(spark, sf):
+    return reports.mapped(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", {"1-URGENT": 1, "2-HIGH": 2}, "rank").select("o_orderkey", "rank")
+
+
+@query("reviewed", "SELECT doc_id, source, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'exclude' END AS decision FROM documents")
+def _(spark, sf):
+    manual = table(spark, sf, "labels").where("toxic = 1").select("doc_id", F.lit("exclude").alias("decision"))
+    return validation.review(table(spark, sf, "documents").select("doc_id", "source"), manual, ["doc_id"])
+
+
+@query("overridden", "SELECT doc_id, CASE WHEN quality = 1 AND o_orderstatus <> 'O' THEN o_orderstatus ELSE d.source END AS source, d.lang FROM documents d LEFT JOIN labels USING (doc_id) LEFT JOIN orders o ON o.o_orderkey = d.doc_id")
+def _(spark, sf):
+    """A document's source is that of its order, where a label verifies it and it is told."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).otherwise("").alias("source"))
+    listed = o.join(table(spark, sf, "labels"), "doc_id").select("doc_id", "source", (F.col("quality") == 1).alias("verified"))
+    return reports.override(table(spark, sf, "documents").select("doc_id", "source", "lang"), listed, "doc_id", "verified", ["source"])
+
+
+@query("publication_years", "SELECT o_orderkey, CAST(substr(CAST(o_orderdate AS VARCHAR), 1, 4) AS INTEGER) AS year, 9999 AS none FROM orders")
+def _(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", T.publication_year(F.col("o_orderdate").cast("string")).alias("year"), T.publication_year(F.col("o_orderpriority")).alias("none"))
