@@ -82,7 +82,7 @@ def _add(license: str, names: list[str], texts: list[str], identifiers: tuple[st
 for _l, _names in {
     "Apache-2.0": ["Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License"], "MIT": [], "ISC": ["ISC License"], "Unlicense": ["The Unlicense"], "BSD-2-Clause": ["BSD 2-Clause License", "BSD-2-Clause License"],
     "BSD-3-Clause": ["BSD 3-Clause License", "BSD-3-Clause License"], "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
-    "Zlib": ["zlib License"], "BSL-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0"], "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, Version 2.0", "Eclipse Public License v2.0"], "0BSD": ["BSD Zero Clause License"],
+    "Zlib": ["zlib License"], "BSL-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0"], "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, Version 2.0", "Eclipse Public License v2.0"], "EPL-1.0": ["Eclipse Public License 1.0", "Eclipse Public License, Version 1.0", "Eclipse Public License v1.0"], "0BSD": ["BSD Zero Clause License"],
 }.items():
     _add(_l, _names, [f"Licensed under the {x}." for x in _names])
 for _l, _name, _versions in (("GPL", "GNU General Public License", ("2", "3")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3")), ("AGPL", "GNU Affero General Public License", ("3",))):
@@ -90,12 +90,17 @@ for _l, _name, _versions in (("GPL", "GNU General Public License", ("2", "3")),
         _id = f"{_l}-{_v if '.' in _v else _v + '.0'}"
         _said = [x for v in dict.fromkeys((_v, _v if "." in _v else _v + ".0")) for x in (f"{_name}, version {v}", f"{_name} v{v}", f"{_name} {v}")]
         _terms = f"is free software: you can redistribute it and/or modify it under the terms of the {_name} as published by the Free Software Foundation, either version {_v} of the License, or (at your option) any later version."
-        _add(_id, [_name, f"version {_v}", *_said], [f"This work is licensed under the {x}." for x in _said] + [f"This program {_terms}"], (f"{_id}-only", f"{_id}-or-later", f"{_id}+"))
+        _add(_id, [_name, f"version {_v}", *_said], [f"{lead} under the {x}." for x in _said for lead in ("This work is licensed", "Licensed")] + [f"This program {_terms}"], (f"{_id}-only", f"{_id}-or-later", f"{_id}+"))
 for _kind, _long in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items():
     for _v in ("2.0", "2.5", "3.0", "4.0"):
         _said = [f"CC {_kind} {_v}", f"CC-{_kind}-{_v}", f"Creative Commons {_long} {_v}"]
         _add(f"CC-{_kind}-{_v}", _said, [f"Licensed under {_said[0]}.", f"Licensed under {_said[1]}.", f"Licensed under the {_said[2]} International License."])
 _add("CC0-1.0", ["CC0 1.0"], ["Licensed under CC0 1.0.", "CC0 1.0 Universal"])
+#: Short names, which count only behind "licensed under" whole.
+for _l, _names in {
+    "Apache-2.0": ["Apache 2.0"], "MPL-2.0": ["MPL 2.0"], "EPL-2.0": ["EPL 2.0"], "GPL-2.0": ["GPLv2", "GPL v2", "GNU GPL version 2"], "GPL-3.0": ["GPLv3", "GPL v3", "GNU GPL version 3"], "LGPL-2.1": ["LGPLv2.1", "LGPL v2.1"], "LGPL-3.0": ["LGPLv3", "LGPL v3"], "AGPL-3.0": ["AGPLv3", "AGPL v3"],
+}.items():
+    _add(_l, _names, [f"{lead} under {the}{x}." for x in _names for lead in ("Licensed", "Released", "Distributed") for the in ("", "the ")])
 #: The title lines of whole license texts.
 for _l, _title in {
     "GPL-2.0": "GNU General Public License Version 2, June 1991", "GPL-3.0": "GNU General Public License Version 3, 29 June 2007", "LGPL-2.1": "GNU Lesser General Public License Version 2.1, February 1999", "LGPL-3.0": "GNU Lesser General Public License Version 3, 29 June 2007",

@@ -51,6 +51,29 @@ def test_look_alikes(spark):
     assert {x: got.get(x) for x in lines} == lines
 
 
+WORDINGS = {
+    "GPL-3.0": ["Licensed under the GNU General Public License, version 3", "This program is distributed under the GNU General Public License v3", "released under the GPLv3."],
+    "GPL-2.0": ["Released under the GNU General Public License 2.0.", "Distributed under the GNU General Public License, version 2", "Licensed under GPL v2"],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1", "released under the GNU Lesser General Public License v2.1", "Distributed under the LGPLv2.1"],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3", "Made available under the GNU Affero General Public License v3.0", "Released under AGPLv3"],
+    "EPL-1.0": ["Released under the Eclipse Public License 1.0", "Licensed under the Eclipse Public License, Version 1.0", "distributed under the Eclipse Public License v1.0"],
+    "EPL-2.0": ["Released under the Eclipse Public License 2.0", "Licensed under the Eclipse Public License, Version 2.0", "Licensed under EPL 2.0"],
+    "Apache-2.0": ["Released under the Apache License, Version 2.0", "Distributed under the Apache License 2.0", "Licensed under Apache 2.0"],
+    "MPL-2.0": ["Released under the Mozilla Public License 2.0", "Licensed under the Mozilla Public License, version 2.0", "Distributed under the MPL 2.0"],
+    "MIT": ["Licensed under the MIT License", "Distributed under the MIT License", "Released under the MIT license!"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0", "Released under the Boost Software License 1.0", "Licensed under the Boost Software License 1.0"],
+    None: ["the GNU General Public License is long", "Apache 2.0 serves pages", "we talk of GPL v2 here", "Licensed under the Eclipse Public License 9.0", "a public licence, version 3"],
+}
+
+
+def test_each_license_in_three_wordings(spark):
+    rows = [(i, name, f"some words before {text} and words after it") for i, (name, text) in enumerate((n, t) for n, ts in WORDINGS.items() for t in ts)]
+    got = {}
+    for r in ls.scan_texts(spark.createDataFrame(rows, "doc_id long, want string, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert {i: got.get(i) for i, _, _ in rows} == {i: {name} if name else None for i, name, _ in rows}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5])
 def test_repeated_notices_are_all_counted(spark, n):
     rows = [(1, "x " + "Released under the MIT License. " * n), (2, (ls.TEMPLATES["BSD-2-Clause"][0] + ". ") * n), (3, ("some words " + ls.TEMPLATES["ISC"][0] + " ") * n)]
