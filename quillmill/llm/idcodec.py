@@ -1,15 +1,16 @@
 """Token ids as compressed binary shards: an adaptive context-mixing range coder over independent, checksummed blocks.
 
-Each id has three predictions. Order 2 by the block's own history: the id that last followed the same two ids, in use
-while it has held lately; the chance that it holds mixes, in the logistic domain and with weights learnt in the block,
-how often it held in this state with what the counts say of it. Counts under the last two ids where they are frequent,
-else under the last one, else under none; they hold frequent ids only. Order 0 over the ids that the counts leave out.
-The counts are those of the whole shard and stand in its head, so every block starts from them and can be read alone;
-history, chances and weights start anew in every block. A shard's blocks are coded side by side in numpy.
-
-Shard format, little-endian: the fixed head (HEADER), the packed documents (an Arrow stream of doc_id and length) and
-the packed counts; for each block its payload's bytes u32 and crc32 u32; crc32 of all that u32; the payloads, 32-bit words
-each.
+A block is coded in lanes, stretches of its ids that take their steps side by side in numpy, and all lanes share what the
+block has learnt. Nothing is known at its start, and nothing but its own ids tells the model: as a lane moves on, the counts
+of order 2 (after two frequent ids), of order 1 (after one) and of order 0 are made anew from all ids that the lanes
+have coded so far, at steps that grow in proportion; ids never seen take classes of size, whose shares are learnt, too. Beside
+the counts, each lane has its own order-2 history: the id that last followed the same two ids, in slots with a check. The
+chance that this guess holds mixes, in the logistic domain and with weights learnt at every step, how often guesses held in
+this state with what the counts say of it; it is coded first, and the counts code what it doesn't settle. A block can be
+decoded alone: the decoder learns what the encoder learnt.
+
+Shard format, little-endian: the fixed head (HEADER) and the packed documents (an Arrow stream of doc_id and length); for
+each block its bytes u32 and crc32 u32; crc32 of all that u32; the blocks: words of each lane u32, then the lanes' words.
 
 Defined results: a null text is encoded as empty and so holds the end id alone; documents with equal doc_id follow one
 another; rows without doc_id come first; texts of any length are one document of one shard; columns other than doc_id
@@ -30,22 +31,26 @@ from pyspark.sql import functions as F
 
 from quillmill.plans.scratch import materialize
 
-MAGIC, VERSION = b"QMID", 3
-#: Magic, version, bits of order 0, ids, ids of a block, blocks, bytes of the documents and of the counts.
-HEADER = struct.Struct("<4sBBQIIII")
-#: Ids of a shard, about; a document never spans two shards.
-SHARD = 1 << 23
-#: Blocks of a shard, about, and the least and most ids of one. Many short blocks side by side keep numpy busy.
-ROWS, SHORT, LONG = 4096, 256, 1024
-#: Fixed values of the format: frequent ids (the last stands for all others), contexts of two ids at most, slots of a
-#: block's history, bits of a chance, of a count, and of a mixing weight.
-KINDS, PAIRS, SLOTS, CHANCE, COUNT, WEIGHT = 2048, 2047, 512, 12, 10, 16
-#: Counts of a context below this are left to order 0: in the head they cost more than they save.
-LEAST = 4
+MAGIC, VERSION = b"QMID", 4
+#: Magic, version, ids, ids of a block, blocks, bytes of the documents.
+HEADER = struct.Struct("<4sBQIII")
+#: Ids of a shard, about (a document never spans two shards), and of a block.
+SHARD, BLOCK = 1 << 23, 1 << 22
+#: Lanes of a block, at most, and steps from which a block has more than one.
+LANES, STEPS = 4096, 1024
+#: Fixed values of the format: kinds of ids (the last stands for all but the most frequent), contexts of two ids at most,
+#: slots of a lane's history, bits of a chance, of a count, of a mixing weight, and of the shares of classes of size.
+KINDS, PAIRS, SLOTS, CHANCE, COUNT, WEIGHT, CLASS = 2048, 6000, 512, 12, 10, 16, 12
+#: Fixed values of the format: how often contexts of one and of two ids, and ids in them, must have been seen to count.
+SINGLE, PAIR, LEAST = 6, 10, 2
+#: Fixed values of the format: what each entry of a context costs its chance, when asked first and when asked again.
+COST, COST2 = 0.6, 0.1
+#: An id beyond all: what stands before a lane.
+NONE, IDS = 1 << 22, 22
 #: States (the last three outcomes of the history, as bits) in which it is in use, and the logits they begin with.
-IN_USE = np.array([0, 0, 0, 1, 0, 1, 1, 1], bool)
+IN_USE = np.array([0, 1, 0, 1, 0, 1, 1, 1], bool)
 BEGIN = np.array([-550, -320, -270, 80, -150, 270, 190, 500])
-#: Positions that the encoder looks up together.
+#: Steps that the encoder looks up together.
 CHUNK = 64
 WORD, BOTTOM, LOW = np.uint64(32), np.uint64(1 << 32), np.uint64(0xFFFFFFFF)
 FULL = 1 << CHANCE
@@ -69,167 +74,193 @@ def _spread(counts: np.ndarray, owner: np.ndarray, total: int) -> np.ndarray:
     return share
 
 
-class Counts:
-    """What a shard's head knows: `top` (frequent ids), `singles` and `pairs` (contexts), for each context's slot the
-    chance that it holds the id and its ids' shares, and the shares of order 0."""
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, in order, and how often each is there."""
+    v = np.sort(values.ravel())
+    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
+    return v[first].astype(np.int64), np.diff(first, append=len(v))
+
+
+class Tables:
+    """Large tables that a block's counts fill one after another; kept for the next block, since fresh memory is slow."""
+
+    spare: list[Tables] = []
+
+    def __init__(self):
+        self.entry_of = np.full((1 + KINDS + PAIRS) * KINDS, -1, np.int32)
+        self.slot = np.zeros(KINDS * KINDS, np.int16)
+        self.entries = np.zeros(0, np.int64)
+
+    @classmethod
+    def take(cls) -> Tables:
+        return cls.spare.pop() if cls.spare else cls()
+
+    def give(self) -> None:
+        Tables.spare.append(self)
+
+    def fill(self, one: np.ndarray, pairs: np.ndarray) -> None:
+        """Slots of contexts: those of one id, then those of two."""
+        self.slot.reshape(KINDS, KINDS)[:] = one[:, None]
+        self.slot[pairs] = one.max() + 1 + np.arange(len(pairs))
+
+    def hold(self, entries: np.ndarray) -> None:
+        self.entry_of[self.entries] = -1
+        self.entries = entries
+        self.entry_of[entries] = np.arange(len(entries))
 
-    def __init__(self, parts: list[np.ndarray], bits: int):
-        self.parts, self.bits = parts, bits
-        self.top, self.singles, self.pairs, chance, held, kind, share, self.rare, rare_share = parts
-        slots = 1 + len(self.singles) + len(self.pairs)
+
+class Counts:
+    """What the ids coded so far, x (steps, lanes), say of the next ones; with no steps, nothing."""
+
+    def __init__(self, x: np.ndarray, tables: Tables):
+        often = np.bincount(x.ravel(), minlength=1)
+        seen_ids = np.flatnonzero(often)
+        self.limit = len(often)
+        order = np.argsort(-often, kind="stable")[: KINDS - 1]
+        self.top = order[often[order] > 0]
+        self.kind = np.full(self.limit + 1, KINDS - 1, np.int16)
+        self.kind[self.top] = np.arange(len(self.top))
+        c = self.kind.take(x)
+        before = np.full((2, x.shape[1]), KINDS - 1, np.int16)
+        before = np.concatenate([before, c])[: len(c) + 1]
+        context = (before[1 : len(c) + 1].astype(np.int32) << 11) + before[: len(c)]
+        singles = np.flatnonzero(np.bincount(before[1 : len(c) + 1].ravel(), minlength=KINDS) >= SINGLE)
+        pairs, at_pair = _runs(context)
+        often_pair = at_pair >= PAIR
+        pairs, at_pair = pairs[often_pair], at_pair[often_pair]
+        if len(pairs) > PAIRS:
+            pairs = np.sort(pairs[np.argsort(-at_pair, kind="stable")[:PAIRS]])
         one = np.zeros(KINDS, np.int16)
-        one[self.singles] = 1 + np.arange(len(self.singles))
-        self.slot = np.repeat(one, KINDS)
-        self.slot[self.pairs] = 1 + len(self.singles) + np.arange(len(self.pairs))
-        self.chance = chance.astype(np.int64)
-        owner = np.repeat(np.arange(slots), held)
-        self.entries, n = owner * KINDS + kind, len(kind)
+        one[singles] = 1 + np.arange(len(singles))
+        tables.fill(one, pairs)
+        self.slot = tables.slot
+        slots, self.singles = 1 + len(singles) + len(pairs), len(singles)
+        slot = self.slot.take(context).astype(np.int32)
+        paired, self.one = slot > len(singles), one
+        key1 = (one.take(before[1 : len(c) + 1]).astype(np.int32) << 11) + c
+        key = (slot << 11) + c
+        entries, counts = _runs(np.concatenate([key1.ravel(), key[paired]]))
+        owner = entries >> 11
+        known = (counts >= LEAST) & (entries & KINDS - 1 != KINDS - 1)
+        entries, counts, owner = entries[known], counts[known], owner[known]
+        # of more entries than half a slot's units, the rarest go to order 0
+        if len(entries) and np.bincount(owner).max() > 1 << COUNT - 1:
+            by = np.lexsort((-counts, owner))
+            rank = np.arange(len(by)) - np.searchsorted(owner[by], owner[by])
+            kept = np.sort(by[rank < 1 << COUNT - 1])
+            entries, counts, owner = entries[kept], counts[kept], owner[kept]
+        held = np.bincount(owner, minlength=slots)
+        tables.hold(entries)
+        self.entry_of = tables.entry_of
+        missed = self.entry_of.take(key) < 0
+        again = missed & paired  # asked once more after one id
+        key1, last = key1[again], one.take(before[1 : len(c) + 1])[again]
+        found = self.entry_of.take(key1) >= 0
+        # a context's ids hold less often than they did: each of its entries costs it a part of one
+        chance = lambda total, hits, cost: np.where(held > 0, np.clip(np.maximum(hits - cost * held, 0.2) / (total + 0.4) * FULL, 1, FULL - 32), 0).astype(np.int64)
+        self.chance = chance(np.bincount(slot.ravel(), minlength=slots), np.bincount(slot[~missed], minlength=slots), COST)
+        self.chance2 = chance(np.bincount(last, minlength=slots), np.bincount(last[found], minlength=slots), COST2)
+        missed[again] = ~found
+        # order 0: ids by how often no context held them, and the share of ids never seen, by those seen once
+        escaped = np.bincount(x[missed], minlength=self.limit)[seen_ids] if len(x) else seen_ids
+        weight = np.append(2 * escaped + 1, 2 * int((often == 1).sum()) + 1)
+        self.rare = seen_ids
+        self.bits = max(16, int(2 * len(weight)).bit_length())
+        share0 = _spread(weight, np.zeros(len(weight), np.int64), 1 << self.bits)
+        share = _spread(counts, owner, 1 << COUNT)
         upto = np.cumsum(share)
         # shares of a slot add up to 1 << COUNT, so empty slots are taken out of the running sum
         start = upto - share - ((np.cumsum(held > 0) - 1)[owner] << COUNT)
-        end0 = np.cumsum(rare_share)
-        #: Of each entry, start << 32 | width; entries are those of the slots, of order 0, and then the frequent ids alone.
-        self.width = np.concatenate([share, rare_share])
-        self.span = (np.concatenate([start, end0 - rare_share]) << 32 | self.width).astype(np.uint64)
-        self.ids = np.concatenate([self.top[kind], self.rare, self.top]).astype(np.int32)
-        self.kinds = np.concatenate([kind, self.kind_of(self.rare), np.arange(len(self.top))]).astype(np.int16)
-        self.first_rare, self.first_top = n, n + len(self.rare)
-
-    def kind_of(self, ids: np.ndarray) -> np.ndarray:
-        if not len(self.top):
-            return np.full(len(ids), KINDS - 1)
-        order = np.argsort(self.top)
-        at = order[np.minimum(np.searchsorted(self.top, ids, sorter=order), len(order) - 1)]
-        return np.where(self.top[at] == ids, at, KINDS - 1)
-
-    def entry_of(self) -> np.ndarray:
-        """Entry of each (slot, kind), -1 where there is none."""
-        out = np.full(len(self.chance) * KINDS, -1, np.int32)
-        out[self.entries] = np.arange(len(self.entries))
-        return out
+        #: Of each entry, start << 32 | width; entries are those of the slots, of order 0, and that of ids never seen.
+        self.width = np.concatenate([share, share0])
+        self.span = (np.concatenate([start, np.cumsum(share0) - share0]) << 32 | self.width).astype(np.uint64)
+        self.first_rare, self.novel = len(entries), len(entries) + len(seen_ids)
+        self.ids = np.concatenate([self.top[entries % KINDS] if len(entries) else entries, seen_ids, [0]]).astype(np.int32)
+        self.full = held > 0
+        classes = np.minimum(np.arange(IDS + 1) + 1, 16) + 4 * np.bincount(_class(seen_ids), minlength=IDS + 1)
+        self.class_share = _spread(classes, np.zeros(len(classes), np.int64), 1 << CLASS).astype(np.uint64)
+        self.class_start = np.cumsum(self.class_share) - self.class_share
+
+    def kinds(self, ids: np.ndarray) -> np.ndarray:
+        return self.kind.take(np.minimum(ids, self.limit))
+
+    def order0(self, ids: np.ndarray) -> np.ndarray:
+        """Entries of order 0, that of ids never seen for others."""
+        if not len(self.rare):
+            return np.full(len(ids), self.novel)
+        at = np.minimum(np.searchsorted(self.rare, ids), len(self.rare) - 1)
+        return np.where(self.rare[at] == ids, self.first_rare + at, self.novel)
 
     def places(self) -> np.ndarray:
         """Entry of each unit of each slot, and then of each unit of order 0."""
-        held = np.bincount(self.entries // KINDS, minlength=len(self.chance)) > 0
-        units = np.zeros((len(held), 1 << COUNT), np.int32)
-        units[held] = np.repeat(np.arange(self.first_rare, dtype=np.int32), self.width[: self.first_rare].astype(np.int64)).reshape(-1, 1 << COUNT)
-        rare = np.repeat(np.arange(self.first_rare, len(self.width), dtype=np.int32), self.width[self.first_rare :].astype(np.int64))
-        return np.concatenate([units.ravel(), rare if len(rare) else np.zeros(1 << self.bits, np.int32)])
-
-    def pack(self) -> bytes:
-        """Rising lists as differences; everything as u32 after the number of values, under zlib."""
-        top, singles, pairs, chance, held, kind, share, rare, rare_share = self.parts
-        lists = [top, np.diff(singles, prepend=0), np.diff(pairs, prepend=0), chance, held, np.diff(kind, prepend=0), share, np.diff(rare, prepend=0), rare_share]
-        raw = b"".join(struct.pack("<I", len(v)) + np.ascontiguousarray(v.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for v in lists)
-        return zlib.compress(raw, 6)
+        units = np.zeros((len(self.full), 1 << COUNT), np.int32)
+        units[self.full] = np.repeat(np.arange(self.first_rare, dtype=np.int32), self.width[: self.first_rare]).reshape(-1, 1 << COUNT)
+        return np.concatenate([units.ravel(), np.repeat(np.arange(self.first_rare, len(self.width), dtype=np.int32), self.width[self.first_rare :])])
 
-    @classmethod
-    def unpack(cls, packed: bytes, bits: int) -> Counts:
-        raw, at, lists = zlib.decompress(packed), 0, []
-        for _ in range(9):
-            (n,) = struct.unpack_from("<I", raw, at)
-            planes = np.frombuffer(raw, np.uint8, 4 * n, at + 4).reshape(4, n)
-            lists.append(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) if n else np.zeros(0, np.int64))
-            at += 4 + 4 * n
-        for i in (1, 2, 5, 7):
-            lists[i] = np.cumsum(lists[i].astype(np.int32), dtype=np.int64)
-        return cls(lists, bits)
-
-
-def count(x: np.ndarray, n: int) -> tuple[Counts, np.ndarray]:
-    """Counts of the ids x (steps, rows), n but for filling at the end; also slot and kind of each id, as one number."""
-    often = np.bincount(x.ravel())
-    order = np.argsort(-often, kind="stable")[: KINDS - 1]
-    top = order[often[order] > 0]
-    kind_of = np.full(len(often), KINDS - 1, np.int16)
-    kind_of[top] = np.arange(len(top))
-    c = kind_of[x]
-    other = np.full((1, x.shape[1]), KINDS - 1, np.int16)
-    last = np.concatenate([other, c[:-1]])
-    context = (last.astype(np.int32) << 11) + np.concatenate([other, last[:-1]])
-    at_pair = np.bincount(context.ravel(), minlength=KINDS * KINDS)
-    singles = np.flatnonzero(at_pair.reshape(KINDS, KINDS).sum(axis=1) >= max(16, n >> 16))
-    pairs = np.argpartition(-at_pair, PAIRS)[:PAIRS]
-    pairs = np.sort(pairs[at_pair[pairs] >= max(64, n >> 12)])
-    del at_pair
-    one = np.zeros(KINDS, np.int16)
-    one[singles] = 1 + np.arange(len(singles))
-    slot = np.repeat(one, KINDS)
-    slot[pairs] = 1 + len(singles) + np.arange(len(pairs))
-    slots = 1 + len(singles) + len(pairs)
-    key = slot[context].astype(np.int32)
-    key <<= 11
-    key += c
-    seen = np.bincount(key.ravel(), minlength=slots * KINDS)
-    total = seen.reshape(slots, KINDS).sum(axis=1)
-    seen.reshape(slots, KINDS)[:, KINDS - 1] = 0
-    entries = np.flatnonzero(seen >= LEAST)
-    counts, owner = seen[entries], entries // KINDS
-    # no slot has more than 2047 entries; of more than half its units the rarest go to order 0
-    if len(entries) and np.bincount(owner).max() > 1 << COUNT - 1:
-        by = np.lexsort((-counts, owner))
-        rank = np.arange(len(by)) - np.searchsorted(owner[by], owner[by])
-        entries = np.sort(entries[by[rank < 1 << COUNT - 1]])
-        counts, owner = seen[entries], entries // KINDS
-    held = np.bincount(owner, minlength=slots)
-    hits = np.bincount(owner, counts, minlength=slots)
-    keep = np.zeros(slots * KINDS, bool)
-    keep[entries] = True
-    escaped = ~keep[key]
-    rare = np.bincount(x[escaped]) if escaped.any() else np.zeros(0, np.int64)
-    rare_ids = np.flatnonzero(rare)
-    bits = max(16, int(2 * len(rare_ids)).bit_length())
-    chance = np.where(held > 0, np.clip(hits * FULL / np.maximum(total, 1), 1, FULL - (1 << bits - 16)), 0).astype(np.int64)
-    share = _spread(counts, owner, 1 << COUNT)
-    rare_share = _spread(rare[rare_ids], np.zeros(len(rare_ids), np.int64), 1 << bits)
-    return Counts([top, singles, pairs, chance, held, entries % KINDS, share, rare_ids, rare_share], bits), key
+
+def _class(ids: np.ndarray) -> np.ndarray:
+    """The class of an id never seen: the bits of id + 1, less one."""
+    return np.frexp((np.asarray(ids) + 1).astype(float))[1] - 1
+
+
+def turns(lanes: int, steps: int) -> list[int]:
+    """Steps at which the counts are made anew: each time that the lanes have coded twice as much (a quarter more in blocks
+    of fewer lanes), if they have a fair part still to go."""
+    out, t = [], 0
+    while t < steps and (not out or steps - t > t // 8):
+        out.append(t)
+        t = max(t + 1, t * 2 if lanes >= 2048 else t * 5 // 4)
+    return out
 
 
 class History:
-    """The blocks' own order-2 history and its logistic mixer; all blocks stand at the same position."""
+    """The lanes' own order-2 histories and their logistic mixers; all lanes stand at the same step."""
+
+    def __init__(self, lanes: int):
+        self.id = np.zeros(lanes * SLOTS, np.int32)
+        self.check = np.zeros(lanes * SLOTS, np.uint8)
+        self.state = np.zeros(lanes, np.int64)
+        self.logit = np.tile(BEGIN, lanes)
+        self.weight = np.full(lanes, 1 << WEIGHT - 2)
+        self.row8, self.place = np.arange(lanes) * 8, np.arange(lanes) * SLOTS
 
-    def __init__(self, rows: int):
-        self.kind = np.full(rows * SLOTS, KINDS - 1, np.int16)
-        self.state = np.zeros(rows, np.int64)
-        self.logit = np.tile(BEGIN, rows)
-        self.weight = np.full(rows, 1 << WEIGHT - 2)
-        self.row8, self.place = np.arange(rows) * 8, np.arange(rows) * SLOTS
+    def slots(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot and check of the two ids before, a the last one."""
+        mix = a * np.int64(0x9E3779B1) ^ b * np.int64(0x85EBCA77)
+        return ((mix >> 13) & SLOTS - 1) + self.place, ((mix >> 33) & 255 | 1).astype(np.uint8)
 
     def guess(self, go: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        """Chances that the guesses of rows `go` hold; `counted`: the chances that the counts give them."""
+        """Chances that the guesses of lanes `go` hold; `counted`: the chances that the counts give them."""
         self.go, self.at = go, self.row8.take(go) + self.state.take(go)
-        self.own, self.said = self.logit.take(self.at), STRETCH.take(counted)
-        self.mixed = SQUASH.take(self.own + (self.weight.take(go) * self.said >> WEIGHT) + MIDDLE, mode="clip")
+        self.own, self.said, self.by = self.logit.take(self.at), STRETCH.take(counted), self.weight.take(go)
+        self.mixed = SQUASH.take(self.own + (self.by * self.said >> WEIGHT) + MIDDLE, mode="clip")
         return self.mixed
 
-    def learn(self, hit: np.ndarray, t: int) -> None:
-        """Of the guesses just made; the weights learn at every eighth position."""
+    def learn(self, hit: np.ndarray) -> None:
+        """Of the guesses just made."""
         error = (hit << CHANCE) - self.mixed
         self.logit[self.at] = self.own + (error >> 5)
-        if not t & 7:
-            self.weight[self.go] += error * self.said >> 7
-
-
-def _place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Slot of the history after the kinds a, and b before it."""
-    return (a * 40503 ^ b * 30011) >> 5 & SLOTS - 1
-
-
-def encode_blocks(ids: np.ndarray, block: int) -> tuple[Counts, list[bytes]]:
-    """Counts, and the payload of each run of `block` ids."""
-    n, rows = len(ids), -(-len(ids) // block)
-    steps = block if rows > 1 else n
-    x = np.full(rows * steps, ids[-1], np.int32)
-    x[:n] = ids
-    x = np.ascontiguousarray(x.reshape(rows, steps).T)
-    m, keys = count(x, n)
-    entry_of, h = m.entry_of(), History(rows)
-    rare_at = np.zeros(int(m.rare[-1]) + 1 if len(m.rare) else 1, np.int32)
-    rare_at[m.rare] = m.first_rare + np.arange(len(m.rare))
-    low, size = np.zeros(rows, np.uint64), np.full(rows, (1 << 64) - 1, np.uint64)
-    out, used = np.zeros((rows, steps + 8), np.uint32), np.zeros(rows, np.int64)
-    flat, base = out.ravel(), np.arange(rows) * out.shape[1]
-    chance_bits, count_bits, order0 = np.uint64(CHANCE), np.uint64(COUNT), np.uint64(m.bits)
+        self.weight[self.go] = self.by + (error * self.said >> 10)
+
+
+def _lanes(n: int) -> tuple[int, int]:
+    """(lanes, steps) of n ids."""
+    lanes = int(np.clip(n // STEPS, 1, LANES))
+    return lanes, -(-n // lanes)
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    n = len(ids)
+    lanes, steps = _lanes(n)
+    flat_ids = np.full(lanes * steps, ids[-1], np.int32)
+    flat_ids[:n] = ids
+    x = np.concatenate([np.full((2, lanes), NONE, np.int32), flat_ids.reshape(lanes, steps).T])  # two rows before the first step
+    h = History(lanes)
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    told = np.zeros(lanes, bool)  # lanes whose guess held in this step
+    out, used = np.zeros((lanes, 2 * steps + 8), np.uint32), np.zeros(lanes, np.int64)
+    flat, base = out.ravel(), np.arange(lanes) * out.shape[1]
+    chance_bits, count_bits, class_bits = np.uint64(CHANCE), np.uint64(COUNT), np.uint64(CLASS)
 
     def carry(go: np.ndarray) -> None:
         back = 1
@@ -245,82 +276,126 @@ def encode_blocks(ids: np.ndarray, block: int) -> tuple[Counts, list[bytes]]:
         low[go] = own << WORD
         size[go] <<= WORD
 
-    past = np.full((2, rows), KINDS - 1, np.int64)
-    for t0 in range(0, steps, CHUNK):
-        key = keys[t0 : t0 + CHUNK]
-        kinds = key & KINDS - 1
-        slot, kinds16 = key >> 11, kinds.astype(np.int16)
-        entry = entry_of.take(key)
-        rare_t, rare_row = np.nonzero(entry < 0)
-        entry[rare_t, rare_row] = rare_at[x[t0 + rare_t, rare_row]]
-        rare_from = np.searchsorted(rare_t, np.arange(len(key) + 1)).tolist()
-        span, chance = m.span.take(entry), m.chance.take(slot)
-        start, width, chance64 = span >> WORD, span & LOW, chance.view(np.uint64)
-        seen = np.concatenate([past, kinds])
-        past, place = seen[-2:], _place(seen[1:-1], seen[:-2]) + h.place
-        known = kinds != KINDS - 1
-        for t in range(len(key)):
-            kind, at = kinds16[t], place[t]
-            old = h.kind.take(at)
-            h.kind[at] = kind
-            held = (old == kind) & known[t]
-            go = np.flatnonzero(IN_USE.take(h.state) & (old != KINDS - 1))
-            done = go[:0]
-            if len(go):
-                e = entry_of.take((slot[t].take(go) << 11) + old.take(go))
-                p = h.guess(go, (e >= 0) * chance[t].take(go) * m.width.take(e, mode="clip") >> COUNT).view(np.uint64)
-                hit, own = held.take(go), size.take(go)
-                bound = (own >> chance_bits) * p
-                begin = bound * ~hit
-                new, from_ = np.where(hit, bound, own - bound), low.take(go) + begin
-                size[go], low[go] = new, from_
-                carry(go[from_ < begin])
-                h.learn(hit, t0 + t)
-                short = go[new < BOTTOM]
+    def put(go: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        """Narrows these lanes to `length` from `begin` on."""
+        from_ = low.take(go) + begin
+        low[go], size[go] = from_, length
+        carry(go[from_ < begin])
+        short = go[length < BOTTOM]
+        if len(short):
+            shift(short)
+
+    starts, tables = turns(lanes, steps), Tables.take()
+    for t0, t1 in zip(starts, [*starts[1:], steps]):
+        m = Counts(x[2 : 2 + t0], tables)
+        order0 = np.uint64(m.bits)
+        for c0 in range(t0, t1, CHUNK):
+            c1 = min(c0 + CHUNK, t1)
+            now = x[c0 + 2 : c1 + 2]
+            kinds = m.kinds(x[c0 : c1 + 2])
+            slot = m.slot.take((kinds[1:-1].astype(np.int32) << 11) + kinds[:-2]).astype(np.int32)
+            entry = m.entry_of.take((slot << 11) + kinds[2:])
+            rare_t, rare_lane = np.nonzero(entry < 0)
+            rare_from = np.searchsorted(rare_t, np.arange(c1 - c0 + 1)).tolist()
+            span, chance = m.span.take(entry, mode="clip"), m.chance.take(slot)
+            start, width, chance64 = span >> WORD, span & LOW, chance.view(np.uint64)
+            # what the first context doesn't hold: after one id, if that was after two, and then order 0
+            last = m.one.take(kinds[rare_t + 1, rare_lane]).astype(np.int32)
+            chance2 = np.where(slot[rare_t, rare_lane] > m.singles, m.chance2.take(last), 0)
+            entry2 = np.where(chance2 > 0, m.entry_of.take((last << 11) + kinds[rare_t + 2, rare_lane]), -1)
+            base2, chance2 = np.flatnonzero(entry2 < 0), chance2.astype(np.uint64)
+            entry2[base2] = m.order0(now[rare_t[base2], rare_lane[base2]])
+            span2, plain2 = m.span.take(entry2), entry2 >= m.first_rare
+            place, check = h.slots(x[c0 + 1 : c1 + 1].astype(np.int64), x[c0:c1].astype(np.int64))
+            for t in range(c1 - c0):
+                at, own_id = place[t], now[t]
+                old, known = h.id.take(at), h.check.take(at) == check[t]
+                h.id[at] = own_id
+                h.check[at] = check[t]
+                held = known & (old == own_id)
+                go = np.flatnonzero(IN_USE.take(h.state) & known)
+                done = go[:0]
+                if len(go):
+                    e = m.entry_of.take((slot[t].take(go) << 11) + m.kinds(old.take(go)))
+                    p = h.guess(go, (e >= 0) * chance[t].take(go) * m.width.take(e, mode="clip") >> COUNT).view(np.uint64)
+                    hit, own = held.take(go), size.take(go)
+                    bound = (own >> chance_bits) * p
+                    begin = bound * ~hit
+                    new, from_ = np.where(hit, bound, own - bound), low.take(go) + begin
+                    size[go], low[go] = new, from_
+                    carry(go[from_ < begin])
+                    h.learn(hit)
+                    short = go[new < BOTTOM]
+                    if len(short):
+                        shift(short)
+                    done = go[hit]
+                    kept = size.take(done)
+                h.state = (h.state << 1 & 7) + held
+                bound = (size >> chance_bits) * chance64[t]
+                unit = bound >> count_bits
+                begin = start[t] * unit
+                length = width[t] * unit
+                r0, r1 = rare_from[t], rare_from[t + 1]
+                rare, at2 = rare_lane[r0:r1], slice(r0, r1)
+                begin[rare] = own = bound.take(rare)
+                length[rare] = size.take(rare) - own
+                size = length
+                if len(done):
+                    begin[done], size[done] = 0, kept
+                low += begin
+                over = np.flatnonzero(low < begin)
+                if len(over):
+                    carry(over)
+                short = np.flatnonzero(size < BOTTOM)
                 if len(short):
                     shift(short)
-                done = go[hit]
-                kept = size.take(done)
-            h.state = (h.state << 1 & 7) + held
-            bound = (size >> chance_bits) * chance64[t]
-            unit = bound >> count_bits
-            begin = start[t] * unit
-            r0, r1 = rare_from[t], rare_from[t + 1]
-            if r0 < r1:
-                rare = rare_row[r0:r1]
-                own = bound.take(rare)
-                unit[rare] = few = size.take(rare) - own >> order0
-                begin[rare] = start[t].take(rare) * few + own
-            size = width[t] * unit
-            if len(done):
-                begin[done], size[done] = 0, kept
-            low += begin
-            over = np.flatnonzero(low < begin)
-            if len(over):
-                carry(over)
-            short = np.flatnonzero(size < BOTTOM)
-            if len(short):
-                shift(short)
+                if r0 == r1:
+                    continue
+                parts = rare, chance2[at2], span2[at2], plain2[at2], entry2[at2]
+                if len(done):
+                    told[done] = True
+                    open_ = np.flatnonzero(~told.take(rare))
+                    told[done] = False
+                    parts = tuple(v.take(open_) for v in parts)
+                rare, c2, s2, plain, e2 = parts
+                own = size.take(rare)
+                bound = (own >> chance_bits) * c2
+                unit = np.where(plain, own - bound >> order0, bound >> count_bits)
+                put(rare, (s2 >> WORD) * unit + np.where(plain, bound, np.uint64(0)), (s2 & LOW) * unit)
+                new_ids = rare[e2 == m.novel]
+                if len(new_ids):
+                    v = own_id.take(new_ids)
+                    k = _class(v)
+                    unit = size.take(new_ids) >> class_bits
+                    put(new_ids, m.class_start[k] * unit, m.class_share[k] * unit)
+                    unit = size.take(new_ids) >> k.astype(np.uint64)
+                    put(new_ids, (v + 1 - (1 << k)).astype(np.uint64) * unit, unit)
+    tables.give()
     flat[base + used] = low >> WORD
     flat[base + used + 1] = low & LOW
-    return m, [out[i, : used[i] + 2].astype("<u4").tobytes() for i in range(rows)]
-
-
-def decode_blocks(m: Counts, payloads: list[bytes], n: int, block: int) -> np.ndarray:
-    rows = len(payloads)
-    steps = block if rows > 1 else n
-    words = np.zeros((rows, max(map(len, payloads)) // 4 + 4), np.uint32)
-    for i, p in enumerate(payloads):
-        words[i, : len(p) // 4] = np.frombuffer(p, "<u4")
-    flat, end, used = words.ravel(), words.shape[1] - 1, np.full(rows, 2)
-    base = np.arange(rows) * words.shape[1]
+    # of the last words, as many as tell the lane's interval
+    last = used + 2
+    return last.astype("<u4").tobytes() + b"".join(out[i, : last[i]].astype("<u4").tobytes() for i in range(lanes))
+
+
+def decode_block(payload: bytes, n: int) -> np.ndarray:
+    lanes, steps = _lanes(n)
+    last = np.frombuffer(payload, "<u4", lanes).astype(np.int64)
+    body = np.frombuffer(payload, "<u4", offset=4 * lanes)
+    if len(body) != last.sum():
+        raise ValueError("a block's lanes don't fill it")
+    ends = np.cumsum(last)
+    words = np.zeros((lanes, int(last.max()) + 4), np.uint32)
+    for i in range(lanes):
+        words[i, : last[i]] = body[ends[i] - last[i] : ends[i]]
+    flat, end, used = words.ravel(), words.shape[1] - 1, np.full(lanes, 2)
+    base = np.arange(lanes) * words.shape[1]
     code = words[:, 0].astype(np.uint64) << WORD | words[:, 1]  # less the start of the interval
-    size = np.full(rows, (1 << 64) - 1, np.uint64)
-    out = np.zeros((steps, rows), np.int32)
-    entry_of, places, h = m.entry_of(), m.places(), History(rows)
-    chance_bits, count_bits, order0 = np.uint64(CHANCE), np.uint64(COUNT), np.uint64(m.bits)
-    most, most0, first0 = np.uint64((1 << COUNT) - 1), np.uint64((1 << m.bits) - 1), len(m.chance) << COUNT
-    a = b = np.full(rows, KINDS - 1, np.int64)
+    size = np.full(lanes, (1 << 64) - 1, np.uint64)
+    x = np.full((steps + 2, lanes), NONE, np.int32)
+    h = History(lanes)
+    chance_bits, count_bits, class_bits = np.uint64(CHANCE), np.uint64(COUNT), np.uint64(CLASS)
+    most, most_class = np.uint64((1 << COUNT) - 1), np.uint64((1 << CLASS) - 1)
 
     def shift(go: np.ndarray) -> None:
         at = used.take(go)
@@ -328,93 +403,128 @@ def decode_blocks(m: Counts, payloads: list[bytes], n: int, block: int) -> np.nd
         used[go] = at + 1
         size[go] <<= WORD
 
-    for t in range(steps):
-        slot = m.slot.take((a << 11) + b).astype(np.int64)
-        chance = m.chance.take(slot)
-        at = _place(a, b) + h.place
-        old = h.kind.take(at)
-        known = old != KINDS - 1
-        go = np.flatnonzero(IN_USE.take(h.state) & known)
-        done = go[:0]
-        if len(go):
-            e = entry_of.take((slot.take(go) << 11) + old.take(go))
-            p = h.guess(go, (e >= 0) * chance.take(go) * m.width.take(e, mode="clip") >> COUNT).view(np.uint64)
-            own, mine = size.take(go), code.take(go)
-            bound = (own >> chance_bits) * p
-            hit = mine < bound
-            new = np.where(hit, bound, own - bound)
-            size[go], code[go] = new, mine - bound * ~hit
-            h.learn(hit, t)
-            short = go[new < BOTTOM]
+    starts, tables = turns(lanes, steps), Tables.take()
+    for t0, t1 in zip(starts, [*starts[1:], steps]):
+        m = Counts(x[2 : 2 + t0], tables)
+        order0, places = np.uint64(m.bits), m.places()
+        most0, first0 = np.uint64((1 << m.bits) - 1), len(m.chance) << COUNT
+        classes = np.repeat(np.arange(IDS + 1), m.class_share.astype(np.int64))
+        a, b = (m.kinds(x[t0 + k]).astype(np.int64) for k in (1, 0))
+        for t in range(t0, t1):
+            slot = m.slot.take((a << 11) + b).astype(np.int64)
+            chance = m.chance.take(slot)
+            at, check = h.slots(x[t + 1].astype(np.int64), x[t].astype(np.int64))
+            old, known = h.id.take(at), h.check.take(at) == check
+            go = np.flatnonzero(IN_USE.take(h.state) & known)
+            done = go[:0]
+            if len(go):
+                e = m.entry_of.take((slot.take(go) << 11) + m.kinds(old.take(go)))
+                p = h.guess(go, (e >= 0) * chance.take(go) * m.width.take(e, mode="clip") >> COUNT).view(np.uint64)
+                own, mine = size.take(go), code.take(go)
+                bound = (own >> chance_bits) * p
+                hit = mine < bound
+                new = np.where(hit, bound, own - bound)
+                size[go], code[go] = new, mine - bound * ~hit
+                h.learn(hit)
+                short = go[new < BOTTOM]
+                if len(short):
+                    shift(short)
+                done = go[hit]
+                kept = size.take(done), code.take(done)
+            bound = (size >> chance_bits) * chance.view(np.uint64)
+            missed = code >= bound
+            missed[done] = False
+            rare = np.flatnonzero(missed)
+            unit = np.maximum(bound >> count_bits, np.uint64(1))  # without a context, or where the guess held: not used
+            d = np.minimum(code // unit, most)
+            d[rare] = 0
+            entry = places.take((slot << COUNT) + d.view(np.int64)).astype(np.int64)
+            span = m.span.take(entry)
+            begin, length = (span >> WORD) * unit, (span & LOW) * unit
+            begin[rare] = own = bound.take(rare)
+            length[rare] = size.take(rare) - own
+            code -= begin
+            size = length
+            found = m.ids.take(entry)
+            if len(done):
+                size[done], code[done] = kept
+                found[done] = old.take(done)
+            short = np.flatnonzero(size < BOTTOM)
             if len(short):
                 shift(short)
-            done = go[hit]
-            kept = size.take(done), code.take(done)
-        bound = (size >> chance_bits) * chance.view(np.uint64)
-        rare = np.flatnonzero(code >= bound)
-        unit = bound >> count_bits
-        slot <<= COUNT
-        if len(rare):
-            own = bound.take(rare)
-            unit[rare] = few = size.take(rare) - own >> order0
-            code[rare] = rest = code.take(rare) - own
-            slot[rare] = first0 + np.minimum(rest // few, most0).view(np.int64)
-        np.maximum(unit, np.uint64(1), out=unit)  # of rows whose guess held: their result is not used
-        d = code // unit
-        np.minimum(d, most, out=d)
-        if len(rare):
-            d[rare] = 0
-        entry = places.take(slot + d.view(np.int64)).astype(np.int64)
-        span = m.span.take(entry)
-        code -= (span >> WORD) * unit
-        size = (span & LOW) * unit
-        if len(done):
-            size[done], code[done] = kept
-            entry[done] = old.take(done).astype(np.int64) + m.first_top
-        short = np.flatnonzero(size < BOTTOM)
-        if len(short):
-            shift(short)
-        kind = m.kinds.take(entry)
-        out[t] = entry
-        h.kind[at] = kind
-        h.state = (h.state << 1 & 7) + ((old == kind) & known)
-        a, b = kind.astype(np.int64), a
-    for t in range(0, steps, CHUNK):
-        out[t : t + CHUNK] = m.ids.take(out[t : t + CHUNK])
-    return np.ascontiguousarray(out.T).ravel()[:n]
+            new_ids = rare
+            if len(rare):
+                last = m.one.take(a.take(rare)).astype(np.int64)
+                own, mine = size.take(rare), code.take(rare)
+                bound = (own >> chance_bits) * np.where(slot.take(rare) > m.singles, m.chance2.take(last), 0).astype(np.uint64)
+                plain = mine >= bound
+                unit = np.maximum(np.where(plain, own - bound >> order0, bound >> count_bits), np.uint64(1))
+                mine -= np.where(plain, bound, np.uint64(0))
+                d = np.minimum(mine // unit, np.where(plain, most0, most)).view(np.int64)
+                e = places.take(np.where(plain, first0, last << COUNT) + d).astype(np.int64)
+                span = m.span.take(e)
+                code[rare] = mine - (span >> WORD) * unit
+                size[rare] = length = (span & LOW) * unit
+                found[rare] = m.ids.take(e)
+                short = rare[length < BOTTOM]
+                if len(short):
+                    shift(short)
+                new_ids = rare[e == m.novel]
+            if len(new_ids):
+                unit = size.take(new_ids) >> class_bits
+                k = classes.take(np.minimum(code.take(new_ids) // unit, most_class).view(np.int64))
+                code[new_ids] -= m.class_start[k] * unit
+                size[new_ids] = width = m.class_share[k] * unit
+                short = new_ids[width < BOTTOM]
+                if len(short):
+                    shift(short)
+                wide = k.astype(np.uint64)
+                unit = size.take(new_ids) >> wide
+                off = np.minimum(code.take(new_ids) // unit, (np.uint64(1) << wide) - np.uint64(1))
+                code[new_ids] -= off * unit
+                size[new_ids] = unit
+                short = new_ids[unit < BOTTOM]
+                if len(short):
+                    shift(short)
+                found[new_ids] = off.view(np.int64) + (1 << k) - 1
+            x[t + 2] = found
+            h.state = (h.state << 1 & 7) + (known & (old == found))
+            h.id[at] = found
+            h.check[at] = check
+            a, b = m.kinds(found).astype(np.int64), a
+    tables.give()
+    return np.ascontiguousarray(x[2:].T).ravel()[:n]
 
 
 def write_shard(ids: np.ndarray, documents: bytes = b"") -> bytes:
     """A shard of non-negative ids below 2^22, and whatever bytes tell its documents."""
-    if ids.max(initial=0) >> 22 or ids.min(initial=0) < 0:
+    if ids.max(initial=0) >> IDS or ids.min(initial=0) < 0:
         raise ValueError("ids below 0, of 2^22 and more do not fit the format")
-    block = int(np.clip(-(-len(ids) // ROWS), SHORT, LONG))
-    m, payloads = encode_blocks(ids, block) if len(ids) else (None, [])
-    packed, counts = zlib.compress(documents), m.pack() if m else b""
-    table = b"".join(struct.pack("<II", len(p), zlib.crc32(p)) for p in payloads)
-    head = HEADER.pack(MAGIC, VERSION, m.bits if m else 16, len(ids), block, len(payloads), len(packed), len(counts)) + packed + counts + table
-    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(payloads)
+    blocks = [encode_block(ids[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
+    packed = zlib.compress(documents)
+    table = b"".join(struct.pack("<II", len(b), zlib.crc32(b)) for b in blocks)
+    head = HEADER.pack(MAGIC, VERSION, len(ids), BLOCK, len(blocks), len(packed)) + packed + table
+    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(blocks)
 
 
 def read_shard(shard: bytes) -> tuple[np.ndarray, bytes]:
     """(ids, the bytes that tell the documents)."""
     if len(shard) < HEADER.size or shard[:4] != MAGIC or shard[4] != VERSION:
         raise ValueError("not a shard of this format")
-    _, _, bits, n, block, blocks, packed, counts = HEADER.unpack_from(shard)
-    at = HEADER.size + packed + counts
+    _, _, n, block, blocks, packed = HEADER.unpack_from(shard)
+    at = HEADER.size + packed
     end = at + 8 * blocks + 4
     if len(shard) < end or zlib.crc32(shard[: end - 4]) != struct.unpack_from("<I", shard, end - 4)[0]:
         raise ValueError("the head is damaged")
-    documents, payloads = zlib.decompress(shard[HEADER.size : HEADER.size + packed]), []
+    found = [np.zeros(0, np.int32)]
     for i in range(blocks):
         size, own = struct.unpack_from("<II", shard, at + 8 * i)
-        payloads.append(shard[end : end + size])
-        if len(payloads[-1]) != size or zlib.crc32(payloads[-1]) != own:
+        payload = shard[end : end + size]
+        if len(payload) != size or zlib.crc32(payload) != own:
             raise ValueError(f"block {i} is damaged")
+        found.append(decode_block(payload, min(block, n - i * block)))
         end += size
-    if not blocks:
-        return np.zeros(0, np.int32), documents
-    return decode_blocks(Counts.unpack(shard[HEADER.size + packed : at], bits), payloads, n, block), documents
+    return np.concatenate(found), zlib.decompress(shard[HEADER.size : HEADER.size + packed])
 
 
 def write_documents(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:

@@ -44,6 +44,38 @@ def test_real_ids_take_less_than_order_0():
     assert np.array_equal(idcodec.read_shard(shard)[0], ids)
 
 
+@pytest.mark.parametrize("n,most", [(2_000, 9.0), (20_000, 8.2), (100_000, 7.3), (984_065, 6.2)])
+def test_bits_of_shards_of_any_size(n, most):
+    """Small shards, too, stay under zlib over 16-bit ids: nothing but a short head stands before the ids."""
+    found = sorted(glob.glob("/root/testdata/sf0.01/documents.parquet"))
+    if not found:
+        pytest.skip("no test data")
+    rows = pq.read_table(found[0], columns=["doc_id", "text"]).sort_by("doc_id")["text"].to_pylist()
+    ids = np.concatenate([np.append(x, 2) for x in encoder(PATH).encode([t or "" for t in rows])]).astype(np.int32)[:n]
+    shard = idcodec.write_shard(ids)
+    assert len(shard) < len(zlib.compress(ids.astype("<u2").tobytes(), 6)) and 8 * len(shard) / len(ids) <= most
+    assert np.array_equal(idcodec.read_shard(shard)[0], ids)
+
+
+def test_counts_adapt():
+    """The second half has other ids than the first: what is learnt on the way brings them near their entropy."""
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 256, 30_000), rng.integers(40_000, 40_256, 30_000)
+    one = np.concatenate([a, b]).astype(np.int32)
+    assert 8 * len(idcodec.write_shard(one)) / len(one) < 10.5 < np.log2(512) + 2
+    assert 8 * len(idcodec.write_shard(a.astype(np.int32))) / len(a) < 8.8
+
+
+@pytest.mark.parametrize("block", [1 << 22, 5000, 999])
+def test_blocks_stand_alone(block, monkeypatch):
+    monkeypatch.setattr(idcodec, "BLOCK", block)
+    ids = np.random.default_rng(7).zipf(1.4, 12_345).clip(0, 50_000).astype(np.int32)
+    shard = idcodec.write_shard(ids, b"x")
+    assert np.array_equal(idcodec.read_shard(shard)[0], ids)
+    at = ids[:block]
+    assert np.array_equal(idcodec.decode_block(idcodec.encode_block(at), len(at)), at)
+
+
 def test_history_pays():
     """A passage that a block repeats costs next to nothing, though the counts see only chance."""
     rng = np.random.default_rng(3)
