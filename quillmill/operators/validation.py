@@ -55,6 +55,89 @@ def last_page(html: Column, pattern: str) -> Column:
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda n: n.try_cast("int"))), F.lit(1))
 
 
+class Blocks(HTMLParser):
+    """Repeated blocks of a page by a stack of its open elements: a block begins where an element of its tag and class does and
+    ends where that one is closed, at whatever depth, so blocks may stand in one another; what stands in an inner block is not
+    the outer one's. Of each block, every field takes the first element of its tag and class: an attribute, or its text."""
+
+    def __init__(self, block: tuple[str, str | None], fields: dict[str, tuple[str, str | None, str | None]]):
+        super().__init__(convert_charrefs=True)
+        self.block, self.fields = block, fields
+        self.stack: list[tuple[str, dict | None, list[str]]] = []  # tag, block that begins there, fields that it fills
+        self.open: list[dict] = []
+        self.out: list[dict] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        found = {k: v or "" for k, v in attrs}
+        classes = found.get("class", "").split()
+        fits = lambda t, c: t == tag and (c is None or c in classes)
+        began = None
+        if fits(*self.block) and tag not in VOID:
+            began = {"depth": len(self.open), "parts": {}, "filling": set()}
+            self.open.append(began)
+            self.out.append(began)
+        filled = []
+        if self.open:
+            now = self.open[-1]
+            for name, (t, c, attribute) in self.fields.items():
+                if name in now["parts"] or not fits(t, c):
+                    continue
+                now["parts"][name] = [found.get(attribute, "")] if attribute else []
+                if not attribute and tag not in VOID:
+                    now["filling"].add(name)
+                    filled.append(name)
+        if tag not in VOID:
+            self.stack.append((tag, began, filled))
+
+    def handle_endtag(self, tag: str) -> None:
+        if not any(t == tag for t, _, _ in self.stack):
+            return
+        while True:  # elements that were left open end with the one around them
+            t, began, filled = self.stack.pop()
+            if self.open:
+                self.open[-1]["filling"].difference_update(filled)
+            if began is not None:
+                self.open.pop()
+            if t == tag:
+                return
+
+    def handle_data(self, data: str) -> None:
+        if self.open and (not self.stack or self.stack[-1][0] not in ("script", "style")):
+            for name in self.open[-1]["filling"]:
+                self.open[-1]["parts"][name].append(data)
+
+
+def listing_blocks(pages: DataFrame, key: str, html: str, block: tuple[str, str | None], fields: dict[str, tuple[str, str | None, str | None]]) -> DataFrame:
+    """key, position (of the block in its page), depth (blocks around it) and each field (tag, class or None, attribute or
+    None for the text; white space collapsed), '' where a block has none; pages without html have no row. Pages are read
+    where they lie."""
+    names = list(fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, page in zip(b["key"], b["html"]):
+                found = Blocks(block, fields)
+                found.feed(page or "")
+                found.close()
+                rows += [(k, i, r["depth"], *(" ".join("".join(r["parts"].get(n, [])).split()) for n in names)) for i, r in enumerate(found.out)]
+            yield pd.DataFrame(rows, columns=["key", "position", "depth", *names]).astype({n: object for n in names})
+
+    kind = pages.schema[key].dataType.simpleString()
+    out = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, f"key {kind}, position int, depth int, " + ", ".join(f"`{n}` string" for n in names))
+    return out.withColumnRenamed("key", key)
+
+
+def listed_topics(blocks: DataFrame, key: str, title: str, excerpt: str, rules: list, head: int = 260) -> DataFrame:
+    """`listing_blocks` with code, tier and score: a row for each rule that the title and excerpt of a block match; the others
+    are dropped."""
+    from quillmill.operators.topics import topics
+
+    whole = F.struct(*[F.col(c) for c in blocks.columns])
+    told = topics(blocks.select(whole.alias("doc_id"), F.concat_ws(" ", title, excerpt).alias("text")), rules, head)
+    return told.where("tier <> 'mismatch'").select("doc_id.*", "code", "tier", "score")
+
+
 class Places(HTMLParser):
     """Texts of the places that `rules` (name → (tag, class or None)) mark, to the end of the element; line ends for br, p
     and div."""

@@ -477,6 +477,25 @@ def _(spark, sf):
     return validation.listing(table(spark, sf, "pages").select("page_id", "html"), "html", "<a [^>]*>[^<]*</a>", {"target": 'href="([^"]*)"', "label": ">([^<]*)<"})
 
 
+_ITEMS = r"""i AS (SELECT page_id, CAST(k - 1 AS INTEGER) AS position, replace(regexp_extract(l[k], 'href="([^"]*)"', 1), '&amp;', '&') AS target, replace(regexp_extract(l[k], '>([^<>]*)</a>', 1), '&amp;', '&') AS label
+FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '<li><a [^>]*>[^<]*</a></li>') AS l FROM pages WHERE html IS NOT NULL)))"""
+
+
+def items(spark, sf) -> DataFrame:
+    return validation.listing_blocks(table(spark, sf, "pages"), "page_id", "html", ("li", None), {"target": ("a", None, "href"), "label": ("a", None, None)})
+
+
+@query("listing_blocks", f"WITH {_ITEMS} SELECT page_id, position, 0 AS depth, target, label FROM i")
+def _(spark, sf):
+    return items(spark, sf)
+
+
+@query("listed_topics", f"""WITH {_ITEMS}, s AS (SELECT page_id * 1000 + position AS doc_id, regexp_replace(label || ' ' || target, '\\s+', '', 'g') AS w, w AS t, w AS f FROM i),
+r AS ({" UNION ALL ".join(map(_rule_sql, RULES))}) SELECT doc_id // 1000 AS page_id, CAST(doc_id % 1000 AS INTEGER) AS position, code, tier, score FROM r WHERE tier <> 'mismatch'""")
+def _(spark, sf):
+    return validation.listed_topics(items(spark, sf), "page_id", "label", "target", RULES).select("page_id", "position", "code", "tier", "score")
+
+
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """Rates and diversity of each document with words, written once: the factor queries read it several times."""
     d = table(spark, sf, "documents")

@@ -123,3 +123,26 @@ def test_slot_cost(spark):
         year = int(d[:4]) if d and d[:4].isdigit() else None
         years = 0.2 if year is None else 0.0 if 1995 <= year <= 2005 else min(0.35, 0.02 * min(abs(year - 2005), 15))
         assert c == (None if tier is None else pytest.approx(tier + years + (0 if p else 0.55) - min(s or 0, 140) / 3000))
+
+
+def test_blocks_by_depth(spark):
+    html = """<ul><li class="x item"><h2><a href="/1?a=1&amp;b" title="t">One <b>two</b></a></h2><span>2001</span>
+      <div>text <ul><li class=item><a href=/in>Inner</a></li></ul> tail</div><p class="sum"> A &lt; B<br>c </p></li>
+      <li>no item</li><li class="item"><script>var x = "<a href=no>";</script><p class=sum>open<li class="item"><a>bare</a></ul><div class=item>other tag</div>"""
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    fields = {"url": ("a", None, "href"), "title": ("a", None, None), "sum": ("p", "sum", None), "date": ("span", None, None)}
+    got = [tuple(r) for r in validation.listing_blocks(pages, "page_id", "html", ("li", "item"), fields).orderBy("position").collect()]
+    assert got == [
+        (1, 0, 0, "/1?a=1&b", "One two", "A < Bc", "2001"), (1, 1, 1, "/in", "Inner", "", ""), (1, 2, 0, "", "", "open", ""), (1, 3, 1, "", "bare", "", ""),
+    ]
+
+
+def test_listed_topics_drop_what_matches_no_rule(spark):
+    from quillmill.operators.topics import Rule
+
+    html = "".join(f"<div class=b><a href='/{i}'>{t}</a><p>{e}</p></div>" for i, (t, e) in enumerate([("big water", "the end"), ("none", "none"), ("a thing", "the river")]))
+    pages = spark.createDataFrame([("k", html)], "page string, html string")
+    blocks = validation.listing_blocks(pages, "page", "html", ("div", "b"), {"url": ("a", None, "href"), "title": ("a", None, None), "text": ("p", None, None)})
+    rules = [Rule("w", exact=("water",), context=("the",)), Rule("t", exact=("thing", "river"), context=("the",))]
+    got = {(r.position, r.code, r.tier, r.url) for r in validation.listed_topics(blocks, "page", "title", "text", rules).collect()}
+    assert got == {(0, "w", "exact", "/0"), (2, "t", "exact", "/2")}
