@@ -889,3 +889,13 @@ def _(spark, sf):
 @query("publication_years", "SELECT o_orderkey, CAST(substr(CAST(o_orderdate AS VARCHAR), 1, 4) AS INTEGER) AS year, 9999 AS none FROM orders")
 def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", T.publication_year(F.col("o_orderdate").cast("string")).alias("year"), T.publication_year(F.col("o_orderpriority")).alias("none"))
+
+
+#: Marks of annotation set into the texts: a code that goes, one whose payload stays, one around a word, one in another.
+@query("cleaned_annotations", r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\[\]{}（）［］｛｝]', '', 'g') AS x FROM documents)
+SELECT doc_id, substring(x, 1, 20) || substring(x, 21, 20) || '，的走' || substring(x, 41) AS text, '[B|{C' AS leftover FROM d""")
+def _(spark, sf):
+    x = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]{}（）［］｛｝]", "")
+    marked = F.concat(F.substring(x, 1, 20), F.lit("[b棒]"), F.substring(x, 21, 20), F.lit("［BQ，］{CQ的}{CP{CC了去}走P}"), F.expr("substring(regexp_replace(coalesce(text, ''), '[\\\\[\\\\]{}（）［］｛｝]', ''), 41)"))
+    left = F.array_join(T.leftover_markers(F.concat(F.lit("[B {C "), x)), "|")
+    return table(spark, sf, "documents").select("doc_id", T.clean_annotations(marked).alias("text"), left.alias("leftover"))
