@@ -517,6 +517,11 @@ def _(spark, sf):
     return factors.factor_models(features(spark, sf), FEATURES, [1, 2, 3])
 
 
+@query("model_summary")
+def _(spark, sf):
+    return factors.model_summary(factors.factor_models(features(spark, sf), FEATURES, [1, 2, 3]))
+
+
 @query("factor_stability")
 def _(spark, sf):
     return factors.factor_stability(features(spark, sf), FEATURES, 2)
