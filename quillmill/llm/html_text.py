@@ -61,7 +61,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 
 
 class Node:
-    __slots__ = ("name", "parent", "mark", "drop", "main", "label", "parts", "hash", "size", "links", "cut")
+    __slots__ = ("name", "parent", "mark", "drop", "main", "label", "parts", "hash", "size", "links", "cut", "made")
 
     def __init__(self, name: str, parent: Node | None, mark: int, main: bool, label: str):
         self.name, self.parent, self.mark, self.drop, self.main, self.label = name, parent, mark, False, main, label
@@ -69,6 +69,7 @@ class Node:
         self.hash = 0
         self.size = self.links = 0  # characters of text, and of those in links
         self.cut = False  # a template takes it
+        self.made: list[Node] = []  # of the root: all elements, parents before their children
 
 
 #: What markup says of an element: nothing, furniture unless the page's own text is in it, never shown.
@@ -186,19 +187,19 @@ def parse(page: str) -> Node:
         if not t.endswith("/>") or name in BLOCK:
             here = child
     _settle(made)
+    root.made = made
     return root
 
 
 def measure(root: Node) -> None:
     """Sets size and links of every element that is shown."""
-    order, todo = [], [root]
-    while todo:
-        n = todo.pop()
-        if n.mark != HIDDEN:
-            order.append(n)
-            todo += [c for c in n.parts if isinstance(c, Node)]
-    for n in reversed(order):
-        n.size += sum(len(x.strip()) for x in n.parts if isinstance(x, str))
+    for n in reversed(root.made):
+        if n.mark == HIDDEN:
+            n.size = n.links = 0
+            continue
+        for x in n.parts:
+            if type(x) is str:
+                n.size += len(x.strip())
         if n.name == "a":
             n.links = n.size
         if n.parent is not None:
@@ -286,11 +287,8 @@ def inside(tops: list[Node]) -> Iterator[tuple[Node, list[int]]]:
 
 def show(root: Node) -> None:
     """Forgets what rules say of the page: only what is never shown stays dropped."""
-    todo = [root]
-    while todo:
-        n = todo.pop()
+    for n in root.made:
         n.drop = n.mark == HIDDEN or (n.parent is not None and n.parent.drop)
-        todo += [c for c in n.parts if isinstance(c, Node)]
 
 
 def _main(root: Node) -> list[Node]:
@@ -382,12 +380,12 @@ def subtrees(page: str) -> tuple[int, list[int], list[int]]:
 BESIDE = 0.05
 
 
-def _left(top: Node) -> int:
-    """Characters of text without cut and dropped subtrees."""
-    size, todo = 0, [top]
+def _left(tops: list[Node], apart: list[Node]) -> int:
+    """Characters of text without cut and dropped subtrees, and without those of `apart`."""
+    size, todo, beyond = 0, list(tops), set(map(id, apart))
     while todo:
         n = todo.pop()
-        if not n.cut and not n.drop:
+        if not n.cut and not n.drop and id(n) not in beyond:
             size += sum(len(x.strip()) for x in n.parts if isinstance(x, str))
             todo += [c for c in n.parts if isinstance(c, Node)]
     return size
@@ -403,20 +401,15 @@ def extract(page: str, templates: frozenset[int] | set[int] | None = None) -> tu
     show(root)
     for t in tops:
         _hash(t)
+    taken = 0
     for n, path in beside(root, tops):
         n.cut = shape(n, path) in templates
+        taken += n.cut
     for n, hashes in inside(tops):
         n.cut = not templates.isdisjoint(hashes)
-    taken, todo = 0, [root]
-    while todo:
-        n = todo.pop()
         taken += n.cut
-        todo += [c for c in n.parts if isinstance(c, Node) and not n.cut]
-    if tops != [root]:
-        main = sum(map(_left, tops))
-        everything = _left(root)
-        if everything - main >= BESIDE * everything:
-            tops = [root]
+    if tops != [root] and (odd := _left([root], tops)) and odd >= BESIDE * (odd + _left(tops, [])):
+        tops = [root]
     return "\n".join(blocks(tops)), taken
 
 
