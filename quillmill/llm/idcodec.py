@@ -40,7 +40,7 @@ SHARD, BLOCK = 1 << 23, 1 << 22
 LANES, STEPS = 4096, 1024
 #: Fixed values of the format: kinds of ids (the last stands for all but the most frequent), contexts of two ids at most,
 #: slots of a lane's history, bits of a chance, of a count, of a mixing weight, and of the shares of classes of size.
-KINDS, PAIRS, SLOTS, CHANCE, COUNT, WEIGHT, CLASS = 2048, 6000, 512, 12, 10, 16, 12
+KINDS, PAIRS, SLOTS, CHANCE, COUNT, WEIGHT, CLASS = 2048, 2047, 512, 12, 10, 16, 12
 #: Fixed values of the format: how often contexts of one and of two ids, and ids in them, must have been seen to count.
 SINGLE, PAIR, LEAST = 6, 10, 2
 #: Fixed values of the format: what each entry of a context costs its chance, when asked first and when asked again.
@@ -204,12 +204,12 @@ def _class(ids: np.ndarray) -> np.ndarray:
 
 
 def turns(lanes: int, steps: int) -> list[int]:
-    """Steps at which the counts are made anew: each time that the lanes have coded twice as much (a quarter more in blocks
-    of fewer lanes), if they have a fair part still to go."""
+    """Steps at which the counts are made anew: each time that the lanes have coded twice as much (half or a quarter more in
+    blocks of fewer lanes), if they have a fair part still to go."""
     out, t = [], 0
     while t < steps and (not out or steps - t > t // 8):
         out.append(t)
-        t = max(t + 1, t * 2 if lanes >= 2048 else t * 5 // 4)
+        t = max(t + 1, t * 2 if lanes >= 2048 else t * 3 // 2 if lanes >= 1024 else t * 5 // 4)
     return out
 
 
@@ -500,10 +500,11 @@ def write_shard(ids: np.ndarray, documents: bytes = b"") -> bytes:
     """A shard of non-negative ids below 2^22, and whatever bytes tell its documents."""
     if ids.max(initial=0) >> IDS or ids.min(initial=0) < 0:
         raise ValueError("ids below 0, of 2^22 and more do not fit the format")
-    blocks = [encode_block(ids[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
+    block = max(1, -(-len(ids) // max(1, -(-len(ids) // BLOCK))))  # blocks of one size
+    blocks = [encode_block(ids[at : at + block]) for at in range(0, len(ids), block)]
     packed = zlib.compress(documents)
     table = b"".join(struct.pack("<II", len(b), zlib.crc32(b)) for b in blocks)
-    head = HEADER.pack(MAGIC, VERSION, len(ids), BLOCK, len(blocks), len(packed)) + packed + table
+    head = HEADER.pack(MAGIC, VERSION, len(ids), block, len(blocks), len(packed)) + packed + table
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(blocks)
 
 
