@@ -226,6 +226,12 @@ def whole_score(score: Column) -> Column:
     return F.when(d == F.floor(d), d.cast("int"))
 
 
+def stratum_score(score: Column, strata: list[int]) -> Column:
+    """A score that must be a whole number and one of the strata; any other one, and a missing one, is an error."""
+    whole = whole_score(score)
+    return F.when(whole.isin(strata), whole).otherwise(F.raise_error(F.concat(F.lit("no stratum: "), F.coalesce(score.cast("string"), F.lit("missing")))).cast("int"))
+
+
 def sheet_title(sheet: Column, code: Column) -> Column:
     """A sheet's name without the code and separators before it."""
     return F.when(sheet.startswith(code), F.trim(F.regexp_replace(F.substring(sheet, F.length(code) + 1, F.length(sheet)), r"^[\s_\-—:：]+", ""))).otherwise(F.trim(sheet))

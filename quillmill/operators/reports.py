@@ -68,6 +68,29 @@ def override(pages: DataFrame, listed: DataFrame, key: str, verified: str, colum
     return pages.join(l, key, "left").select(*[take(c).alias(c) if c in columns else F.col(c) for c in pages.columns])
 
 
+def verified_pages(pages: DataFrame, listed: DataFrame, key: str, library: str, trail: list[str], stages: dict[str, list[str]], unknown: str = "unverified") -> DataFrame:
+    """pages (key, breadcrumb, grade, genre, source, published) with what their listing (key, verified, grade, genre, day)
+    tells: where that is verified, its grade and genre if told, a breadcrumb made of `trail` and both, and `library` as the
+    source, with the page's own in brackets if that is another one. A page without a date takes its listing's. `stage` is the
+    first of `stages` (name → terms) with a term in the breadcrumb, else `unknown`."""
+    told = listed.select(key, F.coalesce("verified", F.lit(False)).alias("_v"), *[F.col(c).alias(f"_{c}") for c in ("grade", "genre", "day")])
+    j = pages.join(told, key, "left").withColumn("_v", F.coalesce("_v", F.lit(False)))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    take = lambda c: F.when(F.col("_v") & (text(F.col(f"_{c}")) != ""), F.col(f"_{c}")).otherwise(F.col(c))
+    own = text(F.col("source"))
+    source = F.when(F.col("_v"), F.when((own == "") | (own == library), library).otherwise(F.concat(F.lit(f"{library}（"), own, F.lit("）")))).otherwise(F.col("source"))
+    crumb = F.when(F.col("_v"), F.concat_ws(" > ", *map(F.lit, trail), text(F.col("_grade")), text(F.col("_genre")))).otherwise(F.col("breadcrumb"))
+    new = {"breadcrumb": crumb, "grade": take("grade"), "genre": take("genre"), "source": source, "published": F.when(text(F.col("published")) != "", F.col("published")).otherwise(F.col("_day"))}
+    out = j.select(*[new[c].alias(c) if c in new else F.col(c) for c in pages.columns])
+    stage = F.lit(unknown)
+    for name, terms in reversed(stages.items()):
+        found = F.lit(False)
+        for t in terms:
+            found = found | text(F.col("breadcrumb")).contains(t)
+        stage = F.when(found, name).otherwise(stage)
+    return out.withColumn("stage", stage)
+
+
 def numbered(df: DataFrame, group: str, order: list, name: str = "filename", width: int = 3, salts: int = 64) -> DataFrame:
     """Adds `{group}_{number}` by order within the group. Counts and ranks are taken in ranges of the order, so that a few
     groups keep many tasks busy."""

@@ -904,3 +904,24 @@ def _(spark, sf):
     marked = F.concat(F.substring(x, 1, 20), F.lit("[b棒]"), F.substring(x, 21, 20), F.lit("［BQ，］{CQ的}{CP{CC了去}走P}"), F.expr("substring(regexp_replace(coalesce(text, ''), '[\\\\[\\\\]{}（）［］｛｝]', ''), 41)"))
     left = F.array_join(T.leftover_markers(F.concat(F.lit("[B {C "), x)), "|")
     return table(spark, sf, "documents").select("doc_id", T.clean_annotations(marked).alias("text"), left.alias("leftover"))
+
+
+@query("document_idioms", rf"""WITH {TOK}, r(idiom, a, b) AS (VALUES {', '.join(map(repr, IDIOMS))}) SELECT doc_id, idiom, CAST(1 AS BIGINT) AS hits FROM tok JOIN r ON word IN (a, b) GROUP BY doc_id, idiom HAVING bool_or(word = a) AND bool_or(word = b)""")
+def _(spark, sf):
+    return linguistic.two_part_idioms(table(spark, sf, "documents"), spark.createDataFrame(IDIOMS, "idiom string, first string, second string"), within="document")
+
+
+@query("verified_pages", """WITH p AS (SELECT d.doc_id, d.lang AS breadcrumb, '' AS grade, d.source AS genre, d.source, CASE WHEN d.doc_id % 3 > 0 THEN 'y' || d.n_chars ELSE '' END AS published, coalesce(l.quality = 1, false) AS v, 'g' || l.toxic AS g, CASE WHEN l.doc_id % 2 = 0 THEN 'even' ELSE '' END AS n, 'd' || l.doc_id AS day FROM documents d LEFT JOIN labels l USING (doc_id)),
+q AS (SELECT doc_id, CASE WHEN v THEN 'all > ' || g || ' > ' || n ELSE breadcrumb END AS breadcrumb, CASE WHEN v THEN g ELSE grade END AS grade, CASE WHEN v AND n <> '' THEN n ELSE genre END AS genre, CASE WHEN NOT v THEN source WHEN source = 'src1' THEN 'src1' ELSE 'src1（' || source || '）' END AS source, CASE WHEN published <> '' THEN published ELSE day END AS published FROM p)
+SELECT *, CASE WHEN contains(breadcrumb, 'g1') OR contains(breadcrumb, 'fr') THEN 'first' WHEN contains(breadcrumb, 'g0') THEN 'second' ELSE 'unverified' END AS stage FROM q""")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    pages = d.select("doc_id", F.col("lang").alias("breadcrumb"), F.lit("").alias("grade"), F.col("source").alias("genre"), "source", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("y"), "n_chars")).otherwise("").alias("published"))
+    l = table(spark, sf, "labels")
+    listed = l.select("doc_id", (F.col("quality") == 1).alias("verified"), F.concat(F.lit("g"), "toxic").alias("grade"), F.when(F.col("doc_id") % 2 == 0, "even").otherwise("").alias("genre"), F.concat(F.lit("d"), "doc_id").alias("day"))
+    return reports.verified_pages(pages, listed, "doc_id", "src1", ["all"], {"first": ["g1", "fr"], "second": ["g0"]})
+
+
+@query("stratum_scores", "SELECT doc_id, CAST(quality AS INTEGER) AS score FROM labels")
+def _(spark, sf):
+    return table(spark, sf, "labels").select("doc_id", T.stratum_score(F.concat(F.lit(" "), F.col("quality").cast("string"), F.lit(".0")), [0, 1]).alias("score"))

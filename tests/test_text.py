@@ -29,3 +29,10 @@ def test_small_functions(spark):
     assert one(spark, "短", T.excerpt) == "短"
     assert one(spark, "土家族", lambda c: T.exclusion_reason(c, ["香港"])) == "minority" and one(spark, " ", lambda c: T.exclusion_reason(c, ["香港"])) == "missing"
     assert one(spark, "法国", lambda c: T.exclusion_reason(c, ["香港"])) is None
+
+
+@pytest.mark.parametrize("score", ["2.5", None, "", "7", "x"])
+def test_a_score_of_no_stratum_is_an_error(spark, score):
+    assert one(spark, " 60.0", lambda c: T.stratum_score(c, [60, 65])) == 60
+    with pytest.raises(Exception, match="no stratum"):
+        one(spark, score, lambda c: T.stratum_score(c, [60, 65]))
