@@ -35,7 +35,7 @@ MAGIC, VERSION = b"QMID", 4
 #: Magic, version, ids, ids of a block, blocks, bytes of the documents.
 HEADER = struct.Struct("<4sBQIII")
 #: Ids of a shard, about (a document never spans two shards), and of a block.
-SHARD, BLOCK = 1 << 23, 1 << 22
+SHARD, BLOCK = 1 << 21, 1 << 21
 #: Lanes of a block, at most, and steps from which a block has more than one.
 LANES, STEPS = 4096, 1024
 #: Fixed values of the format: kinds of ids (the last stands for all but the most frequent), contexts of two ids at most,
@@ -82,22 +82,13 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tables:
-    """Large tables that a block's counts fill one after another; kept for the next block, since fresh memory is slow."""
-
-    spare: list[Tables] = []
+    """Large tables that a block's counts fill one after another."""
 
     def __init__(self):
         self.entry_of = np.full((1 + KINDS + PAIRS) * KINDS, -1, np.int32)
         self.slot = np.zeros(KINDS * KINDS, np.int16)
         self.entries = np.zeros(0, np.int64)
 
-    @classmethod
-    def take(cls) -> Tables:
-        return cls.spare.pop() if cls.spare else cls()
-
-    def give(self) -> None:
-        Tables.spare.append(self)
-
     def fill(self, one: np.ndarray, pairs: np.ndarray) -> None:
         """Slots of contexts: those of one id, then those of two."""
         self.slot.reshape(KINDS, KINDS)[:] = one[:, None]
@@ -285,7 +276,7 @@ def encode_block(ids: np.ndarray) -> bytes:
         if len(short):
             shift(short)
 
-    starts, tables = turns(lanes, steps), Tables.take()
+    starts, tables = turns(lanes, steps), Tables()
     for t0, t1 in zip(starts, [*starts[1:], steps]):
         m = Counts(x[2 : 2 + t0], tables)
         order0 = np.uint64(m.bits)
@@ -370,7 +361,6 @@ def encode_block(ids: np.ndarray) -> bytes:
                     put(new_ids, m.class_start[k] * unit, m.class_share[k] * unit)
                     unit = size.take(new_ids) >> k.astype(np.uint64)
                     put(new_ids, (v + 1 - (1 << k)).astype(np.uint64) * unit, unit)
-    tables.give()
     flat[base + used] = low >> WORD
     flat[base + used + 1] = low & LOW
     # of the last words, as many as tell the lane's interval
@@ -403,7 +393,7 @@ def decode_block(payload: bytes, n: int) -> np.ndarray:
         used[go] = at + 1
         size[go] <<= WORD
 
-    starts, tables = turns(lanes, steps), Tables.take()
+    starts, tables = turns(lanes, steps), Tables()
     for t0, t1 in zip(starts, [*starts[1:], steps]):
         m = Counts(x[2 : 2 + t0], tables)
         order0, places = np.uint64(m.bits), m.places()
@@ -492,7 +482,6 @@ def decode_block(payload: bytes, n: int) -> np.ndarray:
             h.id[at] = found
             h.check[at] = check
             a, b = m.kinds(found).astype(np.int64), a
-    tables.give()
     return np.ascontiguousarray(x[2:].T).ravel()[:n]
 
 
