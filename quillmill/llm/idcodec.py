@@ -35,7 +35,7 @@ MAGIC, VERSION = b"QMID", 4
 #: Magic, version, ids, ids of a block, blocks, bytes of the documents.
 HEADER = struct.Struct("<4sBQIII")
 #: Ids of a shard, about (a document never spans two shards), and of a block.
-SHARD, BLOCK = 1 << 21, 1 << 21
+SHARD, BLOCK = 3 << 20, 3 << 20
 #: Lanes of a block, at most, and steps from which a block has more than one.
 LANES, STEPS = 4096, 1024
 #: Fixed values of the format: kinds of ids (the last stands for all but the most frequent), contexts of two ids at most,
@@ -195,12 +195,12 @@ def _class(ids: np.ndarray) -> np.ndarray:
 
 
 def turns(lanes: int, steps: int) -> list[int]:
-    """Steps at which the counts are made anew: each time that the lanes have coded twice as much (half or a quarter more in
+    """Steps at which the counts are made anew: each time that the lanes have coded twice as much (a quarter more in
     blocks of fewer lanes), if they have a fair part still to go."""
     out, t = [], 0
     while t < steps and (not out or steps - t > t // 8):
         out.append(t)
-        t = max(t + 1, t * 2 if lanes >= 2048 else t * 3 // 2 if lanes >= 1024 else t * 5 // 4)
+        t = max(t + 1, t * 2 if lanes >= 1024 else t * 5 // 4)
     return out
 
 
