@@ -34,8 +34,8 @@ from quillmill.plans.scratch import materialize
 MAGIC, VERSION = b"QMID", 4
 #: Magic, version, ids, ids of a block, blocks, bytes of the documents.
 HEADER = struct.Struct("<4sBQIII")
-#: Ids of a shard, about (a document never spans two shards), and of a block.
-SHARD, BLOCK = 3 << 20, 3 << 20
+#: Ids of a shard, about (a document never spans two shards; a part's last shard has up to a third more), and of a block.
+SHARD, BLOCK = 3 << 20, 4 << 20
 #: Lanes of a block, at most, and steps from which a block has more than one.
 LANES, STEPS = 4096, 1024
 #: Fixed values of the format: kinds of ids (the last stands for all but the most frequent), contexts of two ids at most,
@@ -50,8 +50,8 @@ NONE, IDS = 1 << 22, 22
 #: States (the last three outcomes of the history, as bits) in which it is in use, and the logits they begin with.
 IN_USE = np.array([0, 1, 0, 1, 0, 1, 1, 1], bool)
 BEGIN = np.array([-550, -320, -270, 80, -150, 270, 190, 500])
-#: Steps that the encoder looks up together.
-CHUNK = 64
+#: Steps that the encoder looks up together, at least, and about how many ids.
+CHUNK, TOGETHER = 8, 1 << 16
 WORD, BOTTOM, LOW = np.uint64(32), np.uint64(1 << 32), np.uint64(0xFFFFFFFF)
 FULL = 1 << CHANCE
 _p = np.arange(FULL) + 0.5
@@ -69,16 +69,21 @@ def _spread(counts: np.ndarray, owner: np.ndarray, total: int) -> np.ndarray:
     sizes = np.diff(first, append=len(owner))
     sums = np.add.reduceat(counts, first)
     share = counts * np.repeat(total - sizes, sizes) // np.repeat(sums, sizes) + 1
-    top = np.lexsort((-counts, owner))[first]
+    top = np.flatnonzero(counts == np.repeat(np.maximum.reduceat(counts, first), sizes))
+    top = top[np.r_[True, owner[top[1:]] != owner[top[:-1]]]]
     share[top] += total - np.add.reduceat(share, first)
     return share
 
 
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different values, in order, and how often each is there."""
-    v = np.sort(values.ravel())
+def _runs(values: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The different values (below 2^31), in order, and how often each is there, if each counts `times`."""
+    if times is None:
+        v = np.sort(values.ravel())
+    else:
+        both = np.sort(values << 32 | times)
+        v, times = both >> 32, both & 0xFFFFFFFF
     first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
-    return v[first].astype(np.int64), np.diff(first, append=len(v))
+    return v[first].astype(np.int64), np.diff(first, append=len(v)) if times is None else np.add.reduceat(times, first) if len(v) else first
 
 
 class Tables:
@@ -88,6 +93,14 @@ class Tables:
         self.entry_of = np.full((1 + KINDS + PAIRS) * KINDS, -1, np.int32)
         self.slot = np.zeros(KINDS * KINDS, np.int16)
         self.entries = np.zeros(0, np.int64)
+        self.often, self.counted = np.zeros(1, np.int64), 0
+
+    def count(self, x: np.ndarray) -> np.ndarray:
+        """How often each id is in x, which only grows."""
+        new = np.bincount(x[self.counted :].ravel(), minlength=len(self.often))
+        new[: len(self.often)] += self.often
+        self.often, self.counted = new, len(x)
+        return new
 
     def fill(self, one: np.ndarray, pairs: np.ndarray) -> None:
         """Slots of contexts: those of one id, then those of two."""
@@ -104,7 +117,7 @@ class Counts:
     """What the ids coded so far, x (steps, lanes), say of the next ones; with no steps, nothing."""
 
     def __init__(self, x: np.ndarray, tables: Tables):
-        often = np.bincount(x.ravel(), minlength=1)
+        often = tables.count(x)
         seen_ids = np.flatnonzero(often)
         self.limit = len(often)
         order = np.argsort(-often, kind="stable")[: KINDS - 1]
@@ -115,8 +128,9 @@ class Counts:
         before = np.full((2, x.shape[1]), KINDS - 1, np.int16)
         before = np.concatenate([before, c])[: len(c) + 1]
         context = (before[1 : len(c) + 1].astype(np.int32) << 11) + before[: len(c)]
-        singles = np.flatnonzero(np.bincount(before[1 : len(c) + 1].ravel(), minlength=KINDS) >= SINGLE)
         pairs, at_pair = _runs(context)
+        at_one = np.bincount(pairs >> 11, at_pair, KINDS)
+        singles = np.flatnonzero(at_one >= SINGLE)
         often_pair = at_pair >= PAIR
         pairs, at_pair = pairs[often_pair], at_pair[often_pair]
         if len(pairs) > PAIRS:
@@ -126,34 +140,42 @@ class Counts:
         tables.fill(one, pairs)
         self.slot = tables.slot
         slots, self.singles = 1 + len(singles) + len(pairs), len(singles)
-        slot = self.slot.take(context).astype(np.int32)
-        paired, self.one = slot > len(singles), one
-        key1 = (one.take(before[1 : len(c) + 1]).astype(np.int32) << 11) + c
-        key = (slot << 11) + c
-        entries, counts = _runs(np.concatenate([key1.ravel(), key[paired]]))
+        self.one = one
+        # from here on, the different kinds of each slot and their counts stand for the ids
+        key = self.slot.take(context).astype(np.int32)
+        key <<= 11
+        key += c
+        key, at_key = _runs(key)
+        slot, paired = key >> 11, np.searchsorted(key, (1 + len(singles)) << 11)
+        last = one.take(pairs >> 11).astype(np.int64).take(slot[paired:] - 1 - len(singles))  # of contexts of two, that of one
+        key1 = (last << 11) + (key[paired:] & KINDS - 1)
+        entries, counts = _runs(np.concatenate([key[:paired], key1]), at_key)
+        entries, counts = np.concatenate([entries, key[paired:]]), np.concatenate([counts, at_key[paired:]])
         owner = entries >> 11
         known = (counts >= LEAST) & (entries & KINDS - 1 != KINDS - 1)
         entries, counts, owner = entries[known], counts[known], owner[known]
         # of more entries than half a slot's units, the rarest go to order 0
-        if len(entries) and np.bincount(owner).max() > 1 << COUNT - 1:
-            by = np.lexsort((-counts, owner))
-            rank = np.arange(len(by)) - np.searchsorted(owner[by], owner[by])
-            kept = np.sort(by[rank < 1 << COUNT - 1])
+        large = np.flatnonzero(np.bincount(owner) > 1 << COUNT - 1)
+        if len(large):
+            kept = np.ones(len(owner), bool)
+            for first, end in zip(np.searchsorted(owner, large), np.searchsorted(owner, large, "right")):
+                kept[first + np.argsort(-counts[first:end], kind="stable")[1 << COUNT - 1 :]] = False
             entries, counts, owner = entries[kept], counts[kept], owner[kept]
         held = np.bincount(owner, minlength=slots)
         tables.hold(entries)
         self.entry_of = tables.entry_of
         missed = self.entry_of.take(key) < 0
-        again = missed & paired  # asked once more after one id
-        key1, last = key1[again], one.take(before[1 : len(c) + 1])[again]
-        found = self.entry_of.take(key1) >= 0
+        again = np.flatnonzero(missed[paired:])  # asked once more after one id
+        last, found, at_again = last[again], self.entry_of.take(key1[again]) >= 0, at_key[paired:][again]
         # a context's ids hold less often than they did: each of its entries costs it a part of one
         chance = lambda total, hits, cost: np.where(held > 0, np.clip(np.maximum(hits - cost * held, 0.2) / (total + 0.4) * FULL, 1, FULL - 32), 0).astype(np.int64)
-        self.chance = chance(np.bincount(slot.ravel(), minlength=slots), np.bincount(slot[~missed], minlength=slots), COST)
-        self.chance2 = chance(np.bincount(last, minlength=slots), np.bincount(last[found], minlength=slots), COST2)
-        missed[again] = ~found
+        self.chance = chance(np.bincount(slot, at_key, slots), np.bincount(slot[~missed], at_key[~missed], slots), COST)
+        self.chance2 = chance(np.bincount(last, at_again, slots), np.bincount(last[found], at_again[found], slots), COST2)
+        missed[paired + again] = ~found
         # order 0: ids by how often no context held them, and the share of ids never seen, by those seen once
-        escaped = np.bincount(x[missed], minlength=self.limit)[seen_ids] if len(x) else seen_ids
+        escaped = often.copy()
+        escaped[self.top] = np.bincount(key[missed] & KINDS - 1, at_key[missed], KINDS)[: len(self.top)]
+        escaped = escaped[seen_ids]
         weight = np.append(2 * escaped + 1, 2 * int((often == 1).sum()) + 1)
         self.rare = seen_ids
         self.bits = max(16, int(2 * len(weight)).bit_length())
@@ -166,7 +188,7 @@ class Counts:
         self.width = np.concatenate([share, share0])
         self.span = (np.concatenate([start, np.cumsum(share0) - share0]) << 32 | self.width).astype(np.uint64)
         self.first_rare, self.novel = len(entries), len(entries) + len(seen_ids)
-        self.ids = np.concatenate([self.top[entries % KINDS] if len(entries) else entries, seen_ids, [0]]).astype(np.int32)
+        self.ids = np.concatenate([self.top[entries % KINDS] if len(entries) else entries, seen_ids, [0]])
         self.full = held > 0
         classes = np.minimum(np.arange(IDS + 1) + 1, 16) + 4 * np.bincount(_class(seen_ids), minlength=IDS + 1)
         self.class_share = _spread(classes, np.zeros(len(classes), np.int64), 1 << CLASS).astype(np.uint64)
@@ -194,6 +216,11 @@ def _class(ids: np.ndarray) -> np.ndarray:
     return np.frexp((np.asarray(ids) + 1).astype(float))[1] - 1
 
 
+def _rows(chosen: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Places of what is true, row by row, and where each row's begin among them."""
+    return np.flatnonzero(chosen), [0, *np.cumsum(np.count_nonzero(chosen, axis=1)).tolist()]
+
+
 def turns(lanes: int, steps: int) -> list[int]:
     """Steps at which the counts are made anew: each time that the lanes have coded twice as much (a quarter more in
     blocks of fewer lanes), if they have a fair part still to go."""
@@ -208,30 +235,40 @@ class History:
     """The lanes' own order-2 histories and their logistic mixers; all lanes stand at the same step."""
 
     def __init__(self, lanes: int):
-        self.id = np.zeros(lanes * SLOTS, np.int32)
-        self.check = np.zeros(lanes * SLOTS, np.uint8)
-        self.state = np.zeros(lanes, np.int64)
+        self.held = np.zeros(lanes * SLOTS, np.int32)  # of each slot, check and id
         self.logit = np.tile(BEGIN, lanes)
         self.weight = np.full(lanes, 1 << WEIGHT - 2)
         self.row8, self.place = np.arange(lanes) * 8, np.arange(lanes) * SLOTS
 
     def slots(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slot and check of the two ids before, a the last one."""
-        mix = a * np.int64(0x9E3779B1) ^ b * np.int64(0x85EBCA77)
-        return ((mix >> 13) & SLOTS - 1) + self.place, ((mix >> 33) & 255 | 1).astype(np.uint8)
-
-    def guess(self, go: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        """Chances that the guesses of lanes `go` hold; `counted`: the chances that the counts give them."""
-        self.go, self.at = go, self.row8.take(go) + self.state.take(go)
-        self.own, self.said, self.by = self.logit.take(self.at), STRETCH.take(counted), self.weight.take(go)
-        self.mixed = SQUASH.take(self.own + (self.by * self.said >> WEIGHT) + MIDDLE, mode="clip")
+        """Slot and check (as it stands above an id) of the two ids before, a the last one."""
+        mix = a * np.int64(0x9E3779B1)
+        mix ^= b * np.int64(0x85EBCA77)
+        at = mix >> 13
+        at &= SLOTS - 1
+        at += self.place
+        mix >>= 33
+        return at, (mix & 255 | 1).astype(np.int32) << IDS
+
+    def guess(self, go: np.ndarray, at: np.ndarray, said: np.ndarray) -> np.ndarray:
+        """Chances that the guesses of lanes `go` hold; `at`: lane and state; `said`: logits of the chances by the counts."""
+        self.go, self.at, self.said = go, at, said
+        self.own, self.by = self.logit.take(at), self.weight.take(go)
+        mixed = self.by * said
+        mixed >>= WEIGHT
+        mixed += self.own
+        mixed += MIDDLE
+        self.mixed = SQUASH.take(mixed, mode="clip")
         return self.mixed
 
     def learn(self, hit: np.ndarray) -> None:
         """Of the guesses just made."""
         error = (hit << CHANCE) - self.mixed
         self.logit[self.at] = self.own + (error >> 5)
-        self.weight[self.go] = self.by + (error * self.said >> 10)
+        error *= self.said
+        error >>= 10
+        error += self.by
+        self.weight[self.go] = error
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -248,24 +285,26 @@ def encode_block(ids: np.ndarray) -> bytes:
     x = np.concatenate([np.full((2, lanes), NONE, np.int32), flat_ids.reshape(lanes, steps).T])  # two rows before the first step
     h = History(lanes)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    told = np.zeros(lanes, bool)  # lanes whose guess held in this step
-    out, used = np.zeros((lanes, 2 * steps + 8), np.uint32), np.zeros(lanes, np.int64)
-    flat, base = out.ravel(), np.arange(lanes) * out.shape[1]
+    before = np.zeros((3, lanes), np.int8)  # whether the last guesses held
+    # lanes stand side by side in each row of words, so those that write together write near one another
+    out = np.zeros((2 * steps + 8, lanes), np.uint32)
+    flat, end = out.ravel(), np.arange(lanes)
     chance_bits, count_bits, class_bits = np.uint64(CHANCE), np.uint64(COUNT), np.uint64(CLASS)
 
     def carry(go: np.ndarray) -> None:
-        back = 1
-        while len(go):  # a carry runs back through words of ones
-            at = base[go] + used[go] - back
-            flat[at] += np.uint32(1)
-            go, back = go[flat[at] == 0], back + 1
+        at = end.take(go)
+        while len(at):  # a carry runs back through words of ones
+            at -= lanes
+            word = flat.take(at) + np.uint32(1)
+            flat[at] = word
+            at = at[word == 0]
 
     def shift(go: np.ndarray) -> None:
-        own, at = low.take(go), used.take(go)
-        flat[base.take(go) + at] = own >> WORD
-        used[go] = at + 1
+        own, at = low.take(go), end.take(go)
+        flat[at] = own >> WORD
+        end[go] = at + lanes
         low[go] = own << WORD
-        size[go] <<= WORD
+        size[go] = size.take(go) << WORD
 
     def put(go: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
         """Narrows these lanes to `length` from `begin` on."""
@@ -277,60 +316,74 @@ def encode_block(ids: np.ndarray) -> bytes:
             shift(short)
 
     starts, tables = turns(lanes, steps), Tables()
+    chunk = max(CHUNK, TOGETHER // lanes)
     for t0, t1 in zip(starts, [*starts[1:], steps]):
         m = Counts(x[2 : 2 + t0], tables)
         order0 = np.uint64(m.bits)
-        for c0 in range(t0, t1, CHUNK):
-            c1 = min(c0 + CHUNK, t1)
+        for c0 in range(t0, t1, chunk):
+            c1 = min(c0 + chunk, t1)
             now = x[c0 + 2 : c1 + 2]
+            # what the lanes' histories guess, and whether it holds
+            place, check = h.slots(x[c0 + 1 : c1 + 1].astype(np.int64), x[c0:c1].astype(np.int64))
+            new, old = check | now, np.empty_like(check)
+            for t in range(c1 - c0):
+                at = place[t]
+                h.held.take(at, out=old[t], mode="wrap")
+                h.held[at] = new[t]
+            held = old == new
+            state = np.concatenate([before, held])
+            before = state[-3:]
+            state = state[:-3] << 2 | state[1:-2] << 1 | state[2:-1]
+            guessed = IN_USE.take(state)
+            guessed &= old >> IDS == check >> IDS
             kinds = m.kinds(x[c0 : c1 + 2])
             slot = m.slot.take((kinds[1:-1].astype(np.int32) << 11) + kinds[:-2]).astype(np.int32)
             entry = m.entry_of.take((slot << 11) + kinds[2:])
-            rare_t, rare_lane = np.nonzero(entry < 0)
-            rare_from = np.searchsorted(rare_t, np.arange(c1 - c0 + 1)).tolist()
             span, chance = m.span.take(entry, mode="clip"), m.chance.take(slot)
             start, width, chance64 = span >> WORD, span & LOW, chance.view(np.uint64)
+            go, go_from = _rows(guessed)
+            go_lane = go % lanes
+            e = m.entry_of.take((slot.take(go) << 11) + m.kinds(old.take(go) & NONE - 1))
+            said = STRETCH.take((e >= 0) * chance.take(go) * m.width.take(e, mode="clip") >> COUNT)
+            at8, hits = h.row8.take(go_lane) + state.take(go), held.take(go)
             # what the first context doesn't hold: after one id, if that was after two, and then order 0
-            last = m.one.take(kinds[rare_t + 1, rare_lane]).astype(np.int32)
-            chance2 = np.where(slot[rare_t, rare_lane] > m.singles, m.chance2.take(last), 0)
-            entry2 = np.where(chance2 > 0, m.entry_of.take((last << 11) + kinds[rare_t + 2, rare_lane]), -1)
+            held &= guessed
+            rare, rare_from = _rows((entry < 0) & ~held)
+            rare_lane = rare % lanes
+            last = m.one.take(kinds[1:-1].take(rare)).astype(np.int32)
+            chance2 = np.where(slot.take(rare) > m.singles, m.chance2.take(last), 0)
+            entry2 = np.where(chance2 > 0, m.entry_of.take((last << 11) + kinds[2:].take(rare)), -1)
             base2, chance2 = np.flatnonzero(entry2 < 0), chance2.astype(np.uint64)
-            entry2[base2] = m.order0(now[rare_t[base2], rare_lane[base2]])
+            entry2[base2] = m.order0(now.take(rare[base2]))
             span2, plain2 = m.span.take(entry2), entry2 >= m.first_rare
-            place, check = h.slots(x[c0 + 1 : c1 + 1].astype(np.int64), x[c0:c1].astype(np.int64))
+            start2, width2, bits2 = span2 >> WORD, span2 & LOW, np.where(plain2, order0, count_bits)
+            novel = entry2 == m.novel
             for t in range(c1 - c0):
-                at, own_id = place[t], now[t]
-                old, known = h.id.take(at), h.check.take(at) == check[t]
-                h.id[at] = own_id
-                h.check[at] = check[t]
-                held = known & (old == own_id)
-                go = np.flatnonzero(IN_USE.take(h.state) & known)
-                done = go[:0]
+                g, r = slice(go_from[t], go_from[t + 1]), slice(rare_from[t], rare_from[t + 1])
+                go = done = go_lane[g]
                 if len(go):
-                    e = m.entry_of.take((slot[t].take(go) << 11) + m.kinds(old.take(go)))
-                    p = h.guess(go, (e >= 0) * chance[t].take(go) * m.width.take(e, mode="clip") >> COUNT).view(np.uint64)
-                    hit, own = held.take(go), size.take(go)
+                    p, hit, own = h.guess(go, at8[g], said[g]).view(np.uint64), hits[g], size.take(go)
                     bound = (own >> chance_bits) * p
                     begin = bound * ~hit
-                    new, from_ = np.where(hit, bound, own - bound), low.take(go) + begin
-                    size[go], low[go] = new, from_
+                    length, from_ = np.where(hit, bound, own - bound), low.take(go) + begin
+                    size[go], low[go] = length, from_
                     carry(go[from_ < begin])
                     h.learn(hit)
-                    short = go[new < BOTTOM]
+                    short = go[length < BOTTOM]
                     if len(short):
                         shift(short)
                     done = go[hit]
                     kept = size.take(done)
-                h.state = (h.state << 1 & 7) + held
-                bound = (size >> chance_bits) * chance64[t]
+                bound = size >> chance_bits
+                bound *= chance64[t]
                 unit = bound >> count_bits
                 begin = start[t] * unit
-                length = width[t] * unit
-                r0, r1 = rare_from[t], rare_from[t + 1]
-                rare, at2 = rare_lane[r0:r1], slice(r0, r1)
-                begin[rare] = own = bound.take(rare)
-                length[rare] = size.take(rare) - own
-                size = length
+                unit *= width[t]
+                rare = rare_lane[r]
+                if len(rare):
+                    begin[rare] = own = bound.take(rare)
+                    unit[rare] = size.take(rare) - own
+                size = unit
                 if len(done):
                     begin[done], size[done] = 0, kept
                 low += begin
@@ -340,32 +393,26 @@ def encode_block(ids: np.ndarray) -> bytes:
                 short = np.flatnonzero(size < BOTTOM)
                 if len(short):
                     shift(short)
-                if r0 == r1:
+                if not len(rare):
                     continue
-                parts = rare, chance2[at2], span2[at2], plain2[at2], entry2[at2]
-                if len(done):
-                    told[done] = True
-                    open_ = np.flatnonzero(~told.take(rare))
-                    told[done] = False
-                    parts = tuple(v.take(open_) for v in parts)
-                rare, c2, s2, plain, e2 = parts
-                own = size.take(rare)
-                bound = (own >> chance_bits) * c2
-                unit = np.where(plain, own - bound >> order0, bound >> count_bits)
-                put(rare, (s2 >> WORD) * unit + np.where(plain, bound, np.uint64(0)), (s2 & LOW) * unit)
-                new_ids = rare[e2 == m.novel]
+                plain, own = plain2[r], size.take(rare)
+                bound = (own >> chance_bits) * chance2[r]
+                unit = np.where(plain, own - bound, bound) >> bits2[r]
+                put(rare, start2[r] * unit + bound * plain, width2[r] * unit)
+                new_ids = rare[novel[r]]
                 if len(new_ids):
-                    v = own_id.take(new_ids)
+                    v = now[t].take(new_ids)
                     k = _class(v)
                     unit = size.take(new_ids) >> class_bits
                     put(new_ids, m.class_start[k] * unit, m.class_share[k] * unit)
                     unit = size.take(new_ids) >> k.astype(np.uint64)
                     put(new_ids, (v + 1 - (1 << k)).astype(np.uint64) * unit, unit)
-    flat[base + used] = low >> WORD
-    flat[base + used + 1] = low & LOW
+    flat[end] = low >> WORD
+    flat[end + lanes] = low & LOW
     # of the last words, as many as tell the lane's interval
-    last = used + 2
-    return last.astype("<u4").tobytes() + b"".join(out[i, : last[i]].astype("<u4").tobytes() for i in range(lanes))
+    last = end // lanes + 2
+    words = out[: last.max()].T
+    return last.astype("<u4").tobytes() + words[np.arange(words.shape[1]) < last[:, None]].astype("<u4").tobytes()
 
 
 def decode_block(payload: bytes, n: int) -> np.ndarray:
@@ -374,24 +421,23 @@ def decode_block(payload: bytes, n: int) -> np.ndarray:
     body = np.frombuffer(payload, "<u4", offset=4 * lanes)
     if len(body) != last.sum():
         raise ValueError("a block's lanes don't fill it")
-    ends = np.cumsum(last)
     words = np.zeros((lanes, int(last.max()) + 4), np.uint32)
-    for i in range(lanes):
-        words[i, : last[i]] = body[ends[i] - last[i] : ends[i]]
-    flat, end, used = words.ravel(), words.shape[1] - 1, np.full(lanes, 2)
-    base = np.arange(lanes) * words.shape[1]
+    words[np.arange(words.shape[1]) < last[:, None]] = body
     code = words[:, 0].astype(np.uint64) << WORD | words[:, 1]  # less the start of the interval
+    flat, at_word = np.ascontiguousarray(words.T).ravel(), np.arange(lanes) + 2 * lanes  # as the encoder's
     size = np.full(lanes, (1 << 64) - 1, np.uint64)
     x = np.full((steps + 2, lanes), NONE, np.int32)
     h = History(lanes)
+    state = np.zeros(lanes, np.int64)
+    found = earlier = np.full(lanes, NONE)  # the last two ids
     chance_bits, count_bits, class_bits = np.uint64(CHANCE), np.uint64(COUNT), np.uint64(CLASS)
     most, most_class = np.uint64((1 << COUNT) - 1), np.uint64((1 << CLASS) - 1)
 
     def shift(go: np.ndarray) -> None:
-        at = used.take(go)
-        code[go] = code.take(go) << WORD | flat.take(base.take(go) + np.minimum(at, end))
-        used[go] = at + 1
-        size[go] <<= WORD
+        at = at_word.take(go)
+        code[go] = code.take(go) << WORD | flat.take(at, mode="clip")
+        at_word[go] = at + lanes
+        size[go] = size.take(go) << WORD
 
     starts, tables = turns(lanes, steps), Tables()
     for t0, t1 in zip(starts, [*starts[1:], steps]):
@@ -399,17 +445,19 @@ def decode_block(payload: bytes, n: int) -> np.ndarray:
         order0, places = np.uint64(m.bits), m.places()
         most0, first0 = np.uint64((1 << m.bits) - 1), len(m.chance) << COUNT
         classes = np.repeat(np.arange(IDS + 1), m.class_share.astype(np.int64))
-        a, b = (m.kinds(x[t0 + k]).astype(np.int64) for k in (1, 0))
+        a, b = (m.kinds(v).astype(np.int64) for v in (found, earlier))
         for t in range(t0, t1):
             slot = m.slot.take((a << 11) + b).astype(np.int64)
             chance = m.chance.take(slot)
-            at, check = h.slots(x[t + 1].astype(np.int64), x[t].astype(np.int64))
-            old, known = h.id.take(at), h.check.take(at) == check
-            go = np.flatnonzero(IN_USE.take(h.state) & known)
+            at, check = h.slots(found, earlier)
+            old = h.held.take(at)
+            go = np.flatnonzero(IN_USE.take(state) & (old >> IDS == check >> IDS))
             done = go[:0]
             if len(go):
-                e = m.entry_of.take((slot.take(go) << 11) + m.kinds(old.take(go)))
-                p = h.guess(go, (e >= 0) * chance.take(go) * m.width.take(e, mode="clip") >> COUNT).view(np.uint64)
+                guessed = old.take(go) & NONE - 1
+                e = m.entry_of.take((slot.take(go) << 11) + m.kinds(guessed))
+                said = STRETCH.take((e >= 0) * chance.take(go) * m.width.take(e, mode="clip") >> COUNT)
+                p = h.guess(go, h.row8.take(go) + state.take(go), said).view(np.uint64)
                 own, mine = size.take(go), code.take(go)
                 bound = (own >> chance_bits) * p
                 hit = mine < bound
@@ -435,10 +483,10 @@ def decode_block(payload: bytes, n: int) -> np.ndarray:
             length[rare] = size.take(rare) - own
             code -= begin
             size = length
-            found = m.ids.take(entry)
+            found, earlier = m.ids.take(entry), found
             if len(done):
                 size[done], code[done] = kept
-                found[done] = old.take(done)
+                found[done] = guessed[hit]
             short = np.flatnonzero(size < BOTTOM)
             if len(short):
                 shift(short)
@@ -478,9 +526,11 @@ def decode_block(payload: bytes, n: int) -> np.ndarray:
                     shift(short)
                 found[new_ids] = off.view(np.int64) + (1 << k) - 1
             x[t + 2] = found
-            h.state = (h.state << 1 & 7) + (known & (old == found))
-            h.id[at] = found
-            h.check[at] = check
+            new = check | x[t + 2]
+            state <<= 1
+            state &= 7
+            state += old == new
+            h.held[at] = new
             a, b = m.kinds(found).astype(np.int64), a
     return np.ascontiguousarray(x[2:].T).ravel()[:n]
 
@@ -531,14 +581,18 @@ def write_documents(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
         encode, end = encoder(path).encode, np.array([end_id], np.int32)
         names, kept, size, before, seq, part = [], [], 0, 0, 0, None
 
-        def flush() -> pa.RecordBatch:
+        def flush(least: int) -> pa.RecordBatch:
+            """A shard of the first documents, as few as hold so many ids."""
             nonlocal names, kept, size, before, seq
-            told = pa.record_batch([pa.concat_arrays(names), pa.array(map(len, kept), pa.int64())], names=["doc_id", "length"])
+            lengths = np.fromiter(map(len, kept), np.int64, len(kept))
+            k = int(np.searchsorted(np.cumsum(lengths), least)) + 1
+            held, all_names, ids, rest = lengths[:k].sum(), pa.concat_arrays(names), np.concatenate(kept[:k]), kept[k:]
+            told = pa.record_batch([all_names[:k], pa.array(lengths[:k])], names=["doc_id", "length"])
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, told.schema) as stream:
                 stream.write_batch(told)
-            row = [[part], [seq], [before], [size], [write_shard(np.concatenate(kept), sink.getvalue())]]
-            names, kept, before, seq, size = [], [], before + size, seq + 1, 0
+            row = [[part], [seq], [before], [held], [write_shard(ids, sink.getvalue())]]
+            names, kept, before, seq, size = [all_names[k:]], rest, before + held, seq + 1, size - held
             return pa.record_batch([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "seq", "before", "ids", "shard"])
 
         for b in batches:
@@ -548,14 +602,14 @@ def write_documents(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
                 for i, ids in enumerate(encode([t or "" for t in piece.column(1).to_pylist()]), 1):
                     kept.append(np.concatenate([ids, end]))
                     size += len(kept[-1])
-                    if size >= SHARD:
+                    if size >= 2 * SHARD:
                         names.append(piece.column(0).slice(taken, i - taken))
                         taken = i
-                        yield flush()
+                        yield flush(SHARD)
                 if taken < piece.num_rows:
                     names.append(piece.column(0).slice(taken))
-        if kept:
-            yield flush()
+        while kept:  # no small rest: it would learn anew from few ids
+            yield flush(-(-size // 2) if size > SHARD * 4 // 3 else size)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")

@@ -13,14 +13,14 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Stretches whose ids a task keeps, about, and ids kept for each: beyond them it starts anew.
-WORDS, EACH = 600_000, 8
+#: Stretches whose ids a task keeps, about, and ids kept for each: beyond them it keeps those that it met again.
+WORDS, EACH = 800_000, 8
 #: Stretches that the library takes at once.
 JOINED = 512
 #: Characters that are split at once, about.
@@ -58,7 +58,8 @@ class Encoder:
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that begin with a space
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.most = max(1, words)
-        self.forget()
+        self.known: dict[str, int] = {}
+        self.pool, self.width, self.again = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
         self.merger = None
         said = json.loads(self.lib.to_str())
         cut, model = said["pre_tokenizer"] or {}, said["model"]
@@ -69,8 +70,13 @@ class Encoder:
             self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\0")
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.width = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        """Stretches that no later batch held go; all do, if the others would fill half the memory."""
+        kept = np.flatnonzero(self.again)
+        if len(kept) > self.most // 2 or self.width[kept].sum() > EACH * self.most // 2:
+            kept = kept[:0]
+            self.again[:] = False
+        self.known = dict(zip(compress(self.known, self.again.tolist()), range(len(kept))))  # in order of their places
+        self.pool, self.width, self.again = self.pool[np.repeat(self.again, self.width)], self.width[kept], np.zeros(len(kept), bool)
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after another, and their numbers of ids."""
@@ -99,14 +105,16 @@ class Encoder:
         if len(self.known) > self.most or len(self.pool) > EACH * self.most:
             self.forget()
         at = np.fromiter(map(self.known.get, stretches, repeat(-1)), np.int64, len(stretches))
+        self.again[at[at >= 0]] = True
         names = [stretches[i] for i in np.flatnonzero(at < 0).tolist()]
         if names:
-            simple = [w for w in names if self.merger and PLAIN(w)]
-            rest = [w for w in names if not (self.merger and PLAIN(w))]
+            is_simple = [bool(self.merger and PLAIN(w)) for w in names]
+            simple, rest = list(compress(names, is_simple)), [w for w, s in zip(names, is_simple) if not s]
             found = [(f, ws[k : k + JOINED]) for f, ws in ((self.plain, simple), (self.other, rest)) for k in range(0, len(ws), JOINED)]
             ids, width = zip((self.pool, self.width), *[f(ws) for f, ws in found])
             n = len(self.width)
             self.pool, self.width = np.concatenate(ids), np.concatenate(width)
+            self.again = np.concatenate([self.again, np.zeros(len(names), bool)])
             self.known.update(zip(simple + rest, range(n, n + len(names))))
             missing = np.flatnonzero(at < 0)
             at[missing] = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))

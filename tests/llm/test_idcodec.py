@@ -115,3 +115,18 @@ def test_any_kind_of_doc_id(spark):
     got = idcodec.read_documents(idcodec.write_documents(docs, PATH), "string").orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, "a", "b", "b", "c"]
     assert [r.start for r in got[1:]] == np.cumsum([r.n_tokens for r in got])[:-1].tolist()
+
+
+def test_no_part_ends_in_a_small_shard(spark, monkeypatch):
+    """A rest after full shards would learn anew from few ids, at several times the cost of an id."""
+    monkeypatch.setattr(idcodec, "SHARD", 300)
+    docs = spark.createDataFrame([(i, "a " * 99) for i in range(10)], "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        shards = idcodec.write_documents(docs, PATH)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sizes = [r.ids for r in shards.orderBy("seq").collect()]
+    total = sum(r.n_tokens for r in idcodec.read_documents(shards).collect())
+    assert sum(sizes) == total > 900 and min(sizes) >= 150 and max(sizes) <= 600, sizes
