@@ -29,7 +29,7 @@ BATCH = 8_000_000
 SLICE = 1 << 15
 #: A stretch whose pieces are told without the library: letters and the marks after them, twice if a line ends within.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
-PLAIN = re.compile(rf"[{LETTERS}]+[{MARKS}]*(?:\n[{LETTERS}]+[{MARKS}]*)?").fullmatch
+PLAIN = rf"\A[{LETTERS}]+[{MARKS}]*(?:\n[{LETTERS}]+[{MARKS}]*)?\z"
 PIECES = re.compile(rf" ?[{LETTERS}]+|[{MARKS}]+|\n").findall
 
 
@@ -40,8 +40,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
 
 
-#: NUL stays: it cuts pieces.
-WRITTEN = {b: c for b, c in byte_letters().items() if b}
+#: By byte; NUL stays: it cuts pieces.
+WRITTEN = np.array([ord(c) if b else 0 for b, c in sorted(byte_letters().items())], "<u2")
 
 
 class Encoder:
@@ -95,7 +95,7 @@ class Encoder:
 
     def plain(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
         text = "\0".join(PIECES(" " + " ".join(part)))
-        return self._run(self.merger, part, text.replace(" ", "Ġ").replace("\n", "Ċ") if text.isascii() else text.encode().decode("latin-1").translate(WRITTEN))
+        return self._run(self.merger, part, text.replace(" ", "Ġ").replace("\n", "Ċ") if text.isascii() else WRITTEN.take(np.frombuffer(text.encode(), np.uint8)).tobytes().decode("utf-16-le"))
 
     def other(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self._run(self.lib, part, " " + " ".join(part))
@@ -108,7 +108,7 @@ class Encoder:
         self.again[at[at >= 0]] = True
         names = [stretches[i] for i in np.flatnonzero(at < 0).tolist()]
         if names:
-            is_simple = [bool(self.merger and PLAIN(w)) for w in names]
+            is_simple = pc.match_substring_regex(pa.array(names), PLAIN).to_pylist() if self.merger else [False] * len(names)
             simple, rest = list(compress(names, is_simple)), [w for w, s in zip(names, is_simple) if not s]
             found = [(f, ws[k : k + JOINED]) for f, ws in ((self.plain, simple), (self.other, rest)) for k in range(0, len(ws), JOINED)]
             ids, width = zip((self.pool, self.width), *[f(ws) for f, ws in found])
