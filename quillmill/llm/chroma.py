@@ -5,8 +5,8 @@ neighbouring areas, and each answer is quantised to two bits: 16 filters make on
 Two recordings are aligned by an offset histogram of the integers they share, and the share of differing bits at the
 fullest offset tells how well they agree.
 
-On Spark: recordings with equal fingerprints form a class; a stated set of query classes goes, in blocks of bounded
-size, against all classes, in pages of bounded size; each recording gets its class's row. Nothing pairs up copies.
+On Spark: recordings with equal fingerprints form a class; classes lie in pages of about PAGE bytes, and a stated set of
+query classes streams past each page; each recording gets its class's row. Nothing pairs up copies.
 
 Defined results: null, empty and too short recordings have an empty fingerprint, are a class of their own and align
 with nothing; repeated rows each get a row; equal counts of offsets go to the smaller offset; an empty table gives an
@@ -16,11 +16,9 @@ fills much of both recordings (silence, a held tone) are counted by convolution,
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +27,8 @@ from quillmill.plans.scratch import materialize
 
 RATE, FRAME, HOP = 4000, 1024, 256
 FILTERS = 16
-PAGE, BLOCK = 512, 128
+#: Bytes of the fingerprints that a task holds, about.
+PAGE = 4 << 20
 #: Frames that are transformed at once, and pairs of frames that are listed at once.
 FRAMES, PAIRS = 4096, 1 << 18
 GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -137,15 +136,39 @@ def offsets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        prints = [fingerprint(chroma(np.frombuffer(p[: len(p) // 2 * 2] or b"", "<i2"))).astype("<u4").tobytes() for p in (x.as_py() or b"" for x in b.column(1))]
+        yield pa.record_batch([b.column(0), pa.array(prints, pa.binary())], names=["media_id", "print"])
+
+
 def fingerprints(media: DataFrame) -> DataFrame:
     """media (media_id long, pcm binary: 16-bit little-endian samples at RATE) → media_id, print binary."""
+    return media.select("media_id", "pcm").mapInArrow(_prints, "media_id long, print binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            prints = [fingerprint(chroma(np.frombuffer(p[: len(p) // 2 * 2] or b"", "<i2"))).astype("<u4").tobytes() for p in (x.as_py() or b"" for x in b.column(1))]
-            yield pa.record_batch([b.column(0), pa.array(prints, pa.binary())], names=["media_id", "print"])
 
-    return media.select("media_id", "pcm").mapInArrow(run, "media_id long, print binary")
+class Page:
+    """Fingerprints (ids, prints) with an index of their integers."""
+
+    def __init__(self, ids: list[int], prints: list[np.ndarray]) -> None:
+        self.ids, self.prints = ids, prints
+        values = np.concatenate([np.zeros(0, np.uint32), *prints])
+        order = np.argsort(values, kind="stable")
+        self.values = values[order]
+        self.who = np.repeat(np.arange(len(prints), dtype=np.int32), list(map(len, prints)))[order]
+
+    def sharing(self, p: np.ndarray, least_hits: int) -> np.ndarray:
+        """Places of those that share enough integers with p to reach least_hits at all."""
+        u, times = np.unique(p, return_counts=True)
+        lo, hi = np.searchsorted(self.values, u, "left"), np.searchsorted(self.values, u, "right")
+        shared = np.zeros(len(self.prints), np.int64)
+        some = np.flatnonzero(hi > lo)
+        lo, n, times = lo[some], (hi - lo)[some], times[some]
+        ends = np.cumsum(n)
+        for k in np.split(np.arange(len(some)), np.searchsorted(ends, np.arange(PAIRS, ends[-1] if len(ends) else 0, PAIRS))):
+            within = np.arange(n[k].sum()) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
+            shared += np.bincount(self.who[np.repeat(lo[k], n[k]) + within], np.repeat(times[k], n[k]), len(shared)).astype(np.int64)
+        return np.flatnonzero(shared >= least_hits)
 
 
 def align_queries(prints: DataFrame, every: int = 50, least_hits: int = 8, most_error: float = 0.25) -> DataFrame:
@@ -159,68 +182,63 @@ def align_queries(prints: DataFrame, every: int = 50, least_hits: int = 8, most_
     prints = materialize(prints, "prints")
     classes = prints.groupBy("print").agg(F.min("media_id").alias("class_id"), F.max((F.col("media_id") % every == 0).cast("int")).alias("query"))
     classes = materialize(classes, "print-classes")
-    some = classes.where("class_id is not null and length(print) > 0")
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lane": [int(rows["part"].iloc[0])], "packed": [pickle.dumps((rows["class_id"].tolist(), rows["print"].tolist()))]})
-
-    def packed(df: DataFrame, size: int) -> tuple[DataFrame, int]:
-        parts = max(1, -(-df.count() // size))
-        return df.withColumn("part", F.pmod(F.xxhash64("class_id"), F.lit(parts))).groupBy("part").applyInPandas(pack, "lane int, packed binary"), parts
-
-    pages, lanes = packed(some.select("class_id", "print"), PAGE)  # a page is a join key of its own
-    asked, _ = packed(some.where("query = 1").select("class_id", "print"), BLOCK)
-    meet = pages.join(asked.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("packed").alias("asked")), "lane").select("packed", "asked")
+    some = classes.where("class_id is not null and length(print) > 0").select("class_id", "print", "query")
+    pages = max(1, -(-(some.agg(F.sum(F.length("print"))).first()[0] or 0) // PAGE))
+    # a page's classes, then every query, stream through one task; only the page is held
+    page = F.pmod(F.xxhash64("class_id"), F.lit(pages)).cast("int")
+    held = some.select(page.alias("page"), F.lit(0).alias("asks"), "class_id", "print")
+    asked = some.where("query = 1").select(F.explode(F.sequence(F.lit(0), F.lit(pages - 1))).alias("page"), F.lit(1).alias("asks"), "class_id", "print")
+    meet = held.unionByName(asked).repartition("page").sortWithinPartitions("page", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, own, index = None, [], [], None
         for b in batches:
-            for page, block in zip(b.column(0), b.column(1)):
-                (ids, own), (names, others) = pickle.loads(page.as_py()), pickle.loads(block.as_py())
-                own, others = [np.frombuffer(p, "<u4") for p in own], [np.frombuffer(p, "<u4") for p in others]
-                out = []
-                if others:
-                    values = np.concatenate(others)
-                    who = np.repeat(np.arange(len(others)), list(map(len, others)))
-                    order = np.argsort(values, kind="stable")
-                    values, who = values[order], who[order]
-                    for i, p in zip(ids, own):
-                        # queries that share enough integers with this class to reach least_hits at all
-                        u, times = np.unique(p, return_counts=True)
-                        lo, hi = np.searchsorted(values, u, "left"), np.searchsorted(values, u, "right")
-                        n = hi - lo
-                        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        shared = np.bincount(who[np.repeat(lo, n) + within], np.repeat(times, n), len(others))
-                        for j in np.flatnonzero(shared >= least_hits):
-                            if names[j] != i and (got := align(p, others[j])) and got[1] >= least_hits and got[2] <= most_error:
-                                out.append((i, names[j], *got))
-                cols = list(zip(*out)) if out else [()] * 5
-                yield pa.record_batch([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["class_id", "match_id", "offset", "hits", "bit_error"])
+            out = []
+            for k, asks, i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                if k != at:
+                    at, ids, own, index = k, [], [], None
+                p = np.frombuffer(p.as_py(), "<u4")
+                if not asks:
+                    ids.append(i)
+                    own.append(p)
+                    continue
+                index = index or Page(ids, own)
+                for j in index.sharing(p, least_hits):
+                    if ids[j] != i and (got := align(own[j], p)) and got[1] >= least_hits and got[2] <= most_error:
+                        out.append((ids[j], i, *got))
+            cols = list(zip(*out)) if out else [()] * 5
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["class_id", "match_id", "offset", "hits", "bit_error"])
 
     found = meet.mapInArrow(run, "class_id long, match_id long, offset long, hits long, bit_error double")
     best = found.groupBy("class_id").agg(F.count("*").alias("links"), F.min(F.struct("bit_error", (-F.col("hits")).alias("less"), "match_id", "offset", "hits")).alias("b"))
     best = best.select("class_id", "links", "b.match_id", "b.offset", "b.hits", "b.bit_error")
-    of = materialize(classes.join(best, "class_id", "left").fillna({"links": 0}).drop("query"), "print-rows")
-    return prints.join(of, "print").select("media_id", "class_id", "links", "match_id", "offset", "hits", "bit_error")
+    of = materialize(classes.join(best.hint("merge"), "class_id", "left").fillna({"links": 0}).drop("query"), "print-rows")
+    return prints.join(of.hint("merge"), "print").select("media_id", "class_id", "links", "match_id", "offset", "hits", "bit_error")
+
+
+def _melodies(batches: Iterator[pa.RecordBatch], note: float, spread: float) -> Iterator[pa.RecordBatch]:
+    t = np.arange(int(note * RATE)) / RATE
+    hz = 110.0 * 2 ** (np.arange(24) / 12)
+    tones = (12_000 * np.sin(2 * np.pi * hz[:, None] * t) * np.hanning(len(t)) ** 0.25).astype("<i2")
+    for b in batches:
+        for k in range(0, b.num_rows, 256):
+            part, pcm = b.slice(k, 256), []
+            for v, q in zip(part.column(1), part.column(2)):
+                x = [0.0 if c is None or not np.isfinite(c) else c for c in (q.as_py() or []) + (v.as_py() or [])]
+                pcm.append(tones[np.clip((np.array(x) / spread + 1) * 12, 0, 23).astype(int)].tobytes() if x else b"")
+            yield pa.record_batch([part.column(0), pa.array(pcm, pa.binary())], names=["media_id", "pcm"])
 
 
 def melodies(vectors: DataFrame, note: float = 0.128, spread: float = 0.25) -> DataFrame:
     """A media column derived from vectors (media_id, embedding, quoted or null): each component is a note of an 8-second
     recording (for 64 components; notes last two hops), its pitch one of 24 semitones by the component's value; the notes of `quoted` stand
     before them. 16-bit samples at RATE."""
+    return vectors.select("media_id", "embedding", "quoted").mapInArrow(lambda batches: _melodies(batches, note, spread), "media_id long, pcm binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = np.arange(int(note * RATE)) / RATE
-        hz = 110.0 * 2 ** (np.arange(24) / 12)
-        tones = (12_000 * np.sin(2 * np.pi * hz[:, None] * t) * np.hanning(len(t)) ** 0.25).astype("<i2")
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part, pcm = b.slice(k, 256), []
-                for v, q in zip(part.column(1), part.column(2)):
-                    x = [0.0 if c is None or not np.isfinite(c) else c for c in (q.as_py() or []) + (v.as_py() or [])]
-                    pcm.append(tones[np.clip((np.array(x) / spread + 1) * 12, 0, 23).astype(int)].tobytes() if x else b"")
-                yield pa.record_batch([part.column(0), pa.array(pcm, pa.binary())], names=["media_id", "pcm"])
 
-    return vectors.select("media_id", "embedding", "quoted").mapInArrow(run, "media_id long, pcm binary")
+def melody_fingerprints(vectors: DataFrame, note: float = 0.128, spread: float = 0.25) -> DataFrame:
+    """`fingerprints` of `melodies`, with the samples of a few recordings held at a time: they don't leave the task."""
+    return vectors.select("media_id", "embedding", "quoted").mapInArrow(lambda batches: _prints(_melodies(batches, note, spread)), "media_id long, print binary")
 
 
 def with_quotes(vectors: DataFrame, every: int = 50) -> DataFrame:
@@ -235,4 +253,4 @@ def with_quotes(vectors: DataFrame, every: int = 50) -> DataFrame:
 
 def op9_chroma(spark, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("media_id"), "embedding")
-    return align_queries(fingerprints(melodies(with_quotes(vectors))))
+    return align_queries(melody_fingerprints(with_quotes(vectors)))

@@ -81,3 +81,27 @@ def test_quotes_are_found_as_by_all_pairs(spark):
     quoting = [i for i in range(150) if i % 4 == 1 and i % 50]
     found = [i for i in quoting if got[i].match_id == i // 50 * 50]
     assert len(found) >= 0.9 * len(quoting) and sum(want.values()) <= 1.1 * len(quoting), (len(found), len(quoting), sum(want.values()))
+
+
+def test_pages_are_bounded_in_bytes_and_lose_nothing(spark, monkeypatch):
+    """A page is one task's; no row that meets it holds more than one recording."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 0.125, 64).tolist()) for i in range(203)] + [(203, None)]
+    made = chroma.with_quotes(spark.createDataFrame(rows, "media_id long, embedding array<double>"))
+    prints = chroma.melody_fingerprints(made)
+    assert sorted(map(tuple, prints.collect())) == sorted(map(tuple, chroma.fingerprints(chroma.melodies(made)).collect()))
+    whole = sorted(map(tuple, chroma.align_queries(prints).collect()), key=str)
+    monkeypatch.setattr(chroma, "PAGE", 4000)
+    monkeypatch.setattr(chroma, "PAIRS", 64)
+    got = chroma.align_queries(prints)
+    assert sorted(map(tuple, got.collect()), key=str) == whole and sum(r[2] for r in whole) >= 40
+
+
+def test_sharing_equals_counts_of_pairs():
+    rng = np.random.default_rng(3)
+    own = [rng.integers(0, 9, n).astype(np.uint32) for n in (5, 1, 30, 7, 12)]
+    p = rng.integers(0, 9, 6).astype(np.uint32)
+    page = chroma.Page(list(range(5)), own)
+    for least in (1, 4, 8, 20):
+        assert page.sharing(p, least).tolist() == [k for k, x in enumerate(own) if (x[:, None] == p[None, :]).sum() >= least]
+    assert chroma.Page([], []).sharing(p, 1).tolist() == []
