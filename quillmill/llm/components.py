@@ -12,10 +12,11 @@ SALTS = 16
 
 
 def _lower_all(links: DataFrame) -> DataFrame:
-    """links (u, v): rows with the smallest v of each u as m. The join is salted, since a hub may hold most links."""
+    """links (u, v): rows with the smallest v of each u as m. The join is salted, since a hub may hold most links,
+    and never broadcast: after explode, `low` is SALTS times the size that Spark estimates."""
     low = links.groupBy("u").agg(F.min("v").alias("m"))
     low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low, ["u", "salt"]).drop("salt")
+    return links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low.hint("merge"), ["u", "salt"]).drop("salt")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -108,9 +108,9 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     """
     if not 0 <= max_bits <= 4:
         raise ValueError("the anchors reach 4 differing bits")
-    at = anchor_table(distinct)
+    at = anchor_table(distinct)  # up to 32 rows a fingerprint, which Spark counts as one: its join is never broadcast
     full = at.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    dealt = at.join(full, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    dealt = at.join(full.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     groups = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("members"))
 
@@ -131,7 +131,7 @@ def _rooted(of: DataFrame, max_bits: int) -> DataFrame:
     """(fp, first, root): the distinct fingerprints of `of`, their smallest doc_id and the root of their component."""
     distinct = materialize(of.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = connected_components(links(distinct.select("fp"), max_bits))
-    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return distinct.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 4, n: int = 4, seed: int = 42) -> DataFrame:
@@ -139,8 +139,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, n: int = 4, seed: int =
     of = materialize(fingerprints(docs, n, seed), "simhash")
     named = _rooted(of, max_bits)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(named.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return of.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(named.join(least.hint("merge"), "root").select("fp", "component_id"), "simhash-components")
+    return of.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, max_bits: int = 4, n: int = 4, seed: int = 42) -> DataFrame:
@@ -150,7 +150,7 @@ def keep_one(docs: DataFrame, max_bits: int = 4, n: int = 4, seed: int = 42) ->
     of = materialize(fingerprints(keyed, n, seed, ROW_KEY), "simhash")
     named = materialize(_rooted(of, max_bits).select("fp", "root"), "simhash-components")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)
-    kept = of.join(named, "fp").groupBy("root").agg(F.min(order).alias("best")).select(*(f"best.{k}" for k in ROW_KEY)).distinct()
+    kept = of.join(named.hint("merge"), "fp").groupBy("root").agg(F.min(order).alias("best")).select(*(f"best.{k}" for k in ROW_KEY)).distinct()
     rows = keyed.join(materialize(kept, "simhash-kept").hint("merge"), ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)
     return rows.select(*docs.columns)
 

@@ -79,3 +79,11 @@ def test_null_and_shared_ids_stay(spark):
     want = {(None, text(1), "a"), (None, text(2), "b"), (7, text(3), "a"), (7, text(4), "a"), (big, text(5), None)}
     got = [tuple(r) for r in simhash.keep_one(df).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_exploded_anchors_are_never_broadcast(spark, tmp_path):
+    """Spark takes the anchors, and the salted minima of components, for as small as what they were made of."""
+    spark.createDataFrame([(k * 977,) for k in range(300)], "fp long").write.parquet(str(tmp_path / "fp"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "fp")))._jdf.queryExecution().toString()
+    salted = components._lower_all(spark.read.parquet(str(tmp_path / "fp")).selectExpr("fp as u", "fp + 1 as v"))._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "SortMergeJoin" in salted and "Broadcast" not in plan + salted
