@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from quillmill.operators.correlation import packed, pearson, summed
 from quillmill.plans.prefix import range_offsets
+from quillmill.plans.scratch import materialize
 
 
 def beta_share(a: float, b: float, x: float) -> float:
@@ -144,14 +145,34 @@ def welch_anova(df: DataFrame, group: str, values: list[str]) -> DataFrame:
 
 def adjust(df: DataFrame, family: str, p: str, key: list[str]) -> DataFrame:
     """Adds holm (running maximum of (m - i + 1) p) and bh (running minimum from the end of m / i p), both 1 at most.
-    Families are tables of test results, so a family fits a window."""
-    up = Window.partitionBy(family).orderBy(p, *key)
-    d = df.withColumn("_i", F.row_number().over(up)).withColumn("_m", F.count("*").over(Window.partitionBy(family)))
-    run = up.rowsBetween(Window.unboundedPreceding, 0)
-    back = up.rowsBetween(0, Window.unboundedFollowing)
-    holm = F.least(F.lit(1.0), F.max((F.col("_m") - F.col("_i") + 1) * F.col(p)).over(run))
-    bh = F.least(F.lit(1.0), F.min(F.col("_m") / F.col("_i") * F.col(p)).over(back))
-    return d.withColumn("holm", holm).withColumn("bh", bh).drop("_i", "_m")
+
+    Tests are dealt by range of (family, p, key) and written with their part's number, so a large family is the work of many
+    tasks; what the parts of a family before and after a part hold comes from one row for each family and part. Both windows
+    only look back in their order: Spark computes a frame that ends at the last row anew for every row.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(n, family, p, *key).withColumn("_part", F.spark_partition_id()), "tests")
+    within = Window.partitionBy("_part", family)
+    up, down = within.orderBy(p, *key), within.orderBy(F.col(p).desc(), *[F.col(k).desc() for k in key])
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    per = Window.partitionBy(family)
+    before = per.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    after = per.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+    sizes = dealt.groupBy(family, "_part").agg(F.count("*").alias("_n"))
+    sizes = sizes.select(F.col(family).alias("_family"), F.col("_part").alias("_of"), F.sum("_n").over(Window.partitionBy(family)).alias("_m"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    same = lambda: F.col(family).eqNullSafe(F.col("_family")) & (F.col("_part") == F.col("_of"))
+    i = F.col("_first") + F.row_number().over(up)
+    d = dealt.join(sizes, same()).withColumn("_i", i).drop("_family", "_of", "_first")
+    d = d.withColumn("_h", F.max((F.col("_m") - F.col("_i") + 1) * F.col(p)).over(past(up)))
+    d = materialize(d.withColumn("_b", F.min(F.col("_m") / F.col("_i") * F.col(p)).over(past(down))), "tests")
+    ends = d.groupBy(family, "_part").agg(F.max("_h").alias("_most"), F.min("_b").alias("_least"))
+    ends = ends.select(F.col(family).alias("_family"), F.col("_part").alias("_of"), F.max("_most").over(before).alias("_most"), F.min("_least").over(after).alias("_least"))
+    d = d.join(ends, same())
+    # greatest and least pass nulls over
+    d = d.withColumn("holm", F.least(F.lit(1.0), F.greatest("_most", "_h"))).withColumn("bh", F.least(F.lit(1.0), F.least("_least", "_b")))
+    return d.select(*df.columns, "holm", "bh")
 
 
 def correlation(df: DataFrame, values: list[str]) -> DataFrame:

@@ -28,6 +28,29 @@ def test_adjust(spark):
     assert [got[i].holm for i in range(4)] == pytest.approx([0.04, 0.09, 0.09, 0.5]) and [got[i].bh for i in range(4)] == pytest.approx([0.04, 0.16 / 3, 0.16 / 3, 0.5])
 
 
+def test_adjust_looks_back_only_and_deals_families_out(spark):
+    """Against the definition, with a family that lies in several parts, one of null, equal p values and a null p; no frame
+    ends at a window's last row, and no window is a whole family of tests."""
+    rng = np.random.default_rng(3)
+    rows = [(f, i, round(float(rng.random()), 2)) for f, n in (("a", 400), ("b", 3), (None, 5)) for i in range(n)]
+    df = spark.createDataFrame(rows + [("b", 9, None)], "fam string, i int, p double")
+    out = statistics.adjust(df, "fam", "p", ["i"])
+    got = {(r.fam, r.i): r for r in out.collect()}
+    assert len(got) == len(rows) + 1
+    for fam in ("a", "b", None):
+        tests = sorted((-1.0 if r.p is None else r.p, i) for (f, i), r in got.items() if f == fam)
+        m, most = len(tests), 0.0
+        for k, (p, i) in enumerate(tests, 1):
+            if p < 0:
+                continue
+            most = max(most, (m - k + 1) * p)
+            least = min(m / (k + j) * q for j, (q, _) in enumerate(tests[k - 1 :]))
+            assert got[fam, i].holm == pytest.approx(min(1, most)) and got[fam, i].bh == pytest.approx(min(1, least))
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    parts = {f.rpartition("/")[0] for f in out.inputFiles()}
+    assert max(spark.read.parquet(p).where("fam = 'a'").groupBy("_part").count().agg({"*": "count"}).first()[0] for p in parts if "_part" in spark.read.parquet(p).columns) > 1
+
+
 def test_merge_and_align(spark):
     rows = [(1, 0, 5, False, False, False), (1, 1, 3, False, True, False), (1, 2, 9, False, False, False), (2, 0, 9, False, False, True), (2, 1, 1, False, False, False), (3, 0, 1, True, False, False), (3, 1, 9, False, True, False)]
     df = spark.createDataFrame(rows, "k int, p int, score int, verified boolean, hint boolean, backup boolean")
