@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from quillmill.plans.scratch import materialize
 
+#: Rows of a range whose scores a task holds, at most, and iterations that it goes through with them.
+HELD, BLOCK = 200_000, 50
+
 # What a row without grade, of a grade without quota, or over its quota costs.
 NO_GRADE, FREE_UNGRADED, UNGRADED_STEP = 0.16, 9, 2.0
 NO_QUOTA, FULL, FULL_STEP = 0.12, 0.28, 0.08
@@ -110,15 +113,17 @@ def take_nearest(have: dict[int, int], order: list[int], draw: Callable[[int, in
         if not left:
             break
         at = bisect_left(left, x)
-        near = [left[j] for j in (at - 1, at) if 0 <= j < len(left)]
-        if len(near) == 2 and x - near[0] == near[1] - x:
-            pick = near[not draw(sizes[near[0]], sizes[near[1]])]
-        else:
-            pick = min(near, key=lambda v: abs(v - x))
+        if at == len(left):
+            at -= 1
+        elif at and left[at] != x:
+            below, above = x - left[at - 1], left[at] - x
+            if below < above or below == above and draw(sizes[left[at - 1]], sizes[left[at]]):
+                at -= 1
+        pick = left[at]
         taken[pick] = taken.get(pick, 0) + 1
         sizes[pick] -= 1
         if not sizes[pick]:
-            left.remove(pick)
+            del left[at]
     return taken
 
 
@@ -164,15 +169,33 @@ def _ranges(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(rows["g"].iloc[0], int(n[p[0]]), n[p].tolist(), have[p].tolist(), want[p].tolist()) for p in parts], columns=["g", "at", "n", "have", "want"])
 
 
+def _runs(n: np.ndarray, have: np.ndarray, want: np.ndarray, at: int, it: int, seed: int) -> tuple[np.ndarray, ...]:
+    """One iteration of a range: the lengths taken, in order, their rows, and the run of them that is taken: its first row
+    and how many."""
+    some, asked = have > 0, int(want.sum())
+    if asked >= have.sum():  # all is taken, wherever a run begins
+        return n[some], have[some], np.zeros(some.sum(), np.int64), have[some]
+    rng = np.random.default_rng([seed, it, at & 0xFFFFFFFF, len(n), asked & 0xFFFFFFFF])
+    if some.sum() == 1:
+        lengths, size = n[some], have[some]
+        c = np.minimum(size, asked)
+    else:
+        taken = match_lengths(dict(zip(n[some].tolist(), have[some].tolist())), np.repeat(n, want), rng)
+        lengths = np.array(sorted(taken), np.int64)
+        size, c = have[np.searchsorted(n, lengths)], np.array([taken[x] for x in lengths.tolist()], np.int64)
+    return lengths, size, rng.integers(0, size), c
+
+
 def length_matched(pool: DataFrame, wanted: DataFrame, group: str, key: str, length: str, score: str, iterations: int = 1000, seed: int = 20260830) -> DataFrame:
     """(group, difference, sd, low, high, length_gap, iterations): mean score of wanted minus that of a pool sample
     matched on length, over random orders.
 
     Matching sees only histograms of lengths, a row for each different length of a group. A group's histogram is cut into
-    ranges that no match crosses (`cut_ranges`); each range and iteration is a row, so one large group is the work of many
+    ranges that no match crosses (`cut_ranges`); each range and BLOCK iterations are a row, so one large group is the work of many
     tasks. A range of one length is a count; only where lengths run short are its wanted rows gone through one by one. Rows
     of one length stand in one hashed order; an iteration takes a run of them from a random start, around the end, whose
-    sum is two lookups in prefix sums. So no iteration copies the rows. Rows with a null group, length or score take no part.
+    sum is two lookups in prefix sums. A range of up to HELD rows has its scores with it, and what leaves the task is one row for
+    an iteration; of larger ones the runs leave it and are joined with prefix sums. Rows with a null group, length or score take no part.
     """
     clean = lambda d: d.select(F.col(group).alias("g"), F.col(key).alias("key"), F.col(length).cast("long").alias("n"), F.col(score).cast("double").alias("x")).dropna()
     a, b = clean(pool), clean(wanted)
@@ -180,31 +203,56 @@ def length_matched(pool: DataFrame, wanted: DataFrame, group: str, key: str, len
     sides = a.select("g", "n", F.lit(1).alias("h"), F.lit(0).alias("w")).unionByName(b.select("g", "n", F.lit(0).alias("h"), F.lit(1).alias("w")))
     histograms = sides.groupBy("g", "n").agg(F.sum("h").alias("have"), F.sum("w").alias("want"))
     ranges = materialize(histograms.groupBy("g").applyInPandas(_ranges, f"g {kind}, at long, n array<long>, have array<long>, want array<long>"), "length-ranges")
-    todo = ranges.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).repartition("g", "at", "iteration")
+    rows = F.aggregate("have", F.lit(0).cast("long"), lambda t, x: t + x)
+    ranges = ranges.withColumn("fits", rows <= HELD)
+
+    def runs(d: pd.DataFrame):
+        for g, at, n, have, want, block, x in d[["g", "at", "n", "have", "want", "block", "x"]].itertuples(index=False):
+            n, have, want = (np.asarray(v, np.int64) for v in (n, have, want))
+            for it in range(block * BLOCK + 1, min(iterations, (block + 1) * BLOCK) + 1):
+                yield g, it, n, have, x, _runs(n, have, want, int(at), it, seed)
 
-    def run(batches):
+    def sums(batches):
+        """Ranges with their scores: what an iteration takes of them."""
         for d in batches:
             out = []
-            for g, at, n, have, want, it in d[["g", "at", "n", "have", "want", "iteration"]].itertuples(index=False):
-                rng = np.random.default_rng([seed, int(it), int(at) & 0xFFFFFFFF, len(n), int(sum(want)) & 0xFFFFFFFF])
-                sizes = {int(x): int(c) for x, c in zip(n, have) if c}
-                if len(sizes) == 1:
-                    taken = {x: min(c, int(sum(want))) for x, c in sizes.items()}
-                else:
-                    taken = match_lengths(sizes, np.repeat(np.asarray(n), np.asarray(want)), rng)
-                out += [(g, it, x, sizes[x], int(rng.integers(sizes[x])), c) for x, c in sorted(taken.items())]
-            yield pd.DataFrame(out, columns=["g", "iteration", "n", "size", "start", "c"])
-
-    picks = todo.mapInPandas(run, f"g {kind}, iteration int, n long, size long, start long, c long")
+            for g, it, n, have, x, (lengths, size, start, c) in runs(d):
+                upto = np.concatenate([[0.0], np.cumsum(x)])
+                first = (np.cumsum(have) - have)[np.searchsorted(n, lengths)]
+                end = start + c
+                s = upto[first + np.minimum(end, size)] - upto[first + start] + upto[first + np.maximum(end - size, 0)] - upto[first]
+                out.append((g, it, float(s.sum()), int(c.sum()), int((lengths * c).sum())))
+            yield pd.DataFrame(out, columns=["g", "iteration", "s", "c", "chars"])
+
+    def picked(batches):
+        """Ranges of too many rows for that: the runs."""
+        for d in batches:
+            for g, it, _, _, _, (lengths, size, start, c) in runs(d):
+                yield pd.DataFrame({"g": [g] * len(c), "iteration": it, "n": lengths, "size": size, "start": start, "c": c})
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-iterations // BLOCK) - 1)))
+    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes and much work: without a number, they'd be merged into few tasks
+    dealt = lambda d: d.withColumn("block", blocks).repartition(parts, "g", "at", "block")
+    lengths = ranges.where("fits").select("g", "at", F.explode(F.arrays_zip("n", "have")).alias("z")).where("z.have > 0").select("g", "at", "z.n")
+    held = a.join(lengths.hint("merge"), ["g", "n"]).groupBy("g", "at").agg(F.array_sort(F.collect_list(F.struct("n", F.xxhash64("key", F.lit(seed)).alias("h"), "key", "x"))).alias("held"))
+    held = held.select("g", "at", F.transform("held", lambda r: r["x"]).alias("x"))
+    taken = dealt(materialize(ranges.where("fits").join(held.hint("merge"), ["g", "at"]), "length-scores")).mapInPandas(sums, f"g {kind}, iteration int, s double, c long, chars long")
+
+    large = ranges.where("not fits")
+    picks = dealt(large.withColumn("x", F.lit(None).cast("array<double>"))).mapInPandas(picked, f"g {kind}, iteration int, n long, size long, start long, c long")
     order = Window.partitionBy("g", "n").orderBy(F.xxhash64("key", F.lit(seed)), "key")
-    upto = a.select("g", "n", F.row_number().over(order).cast("long").alias("r"), F.sum("x").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    some = a.join(large.select("g", F.explode("n").alias("n")).hint("merge"), ["g", "n"], "left_semi")
+    upto = some.select("g", "n", F.row_number().over(order).cast("long").alias("r"), F.sum("x").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
     # a run is prefix(end) - prefix(start), plus the whole and the prefix of what goes around
     end = F.col("start") + F.col("c")
     term = lambda r, sign: F.struct(r.cast("long").alias("r"), F.lit(sign).alias("sign"))
     around = end > F.col("size")
     terms = F.array(term(F.least(end, F.col("size")), 1), term(F.col("start"), -1), term(F.when(around, end - F.col("size")).otherwise(0), 1))
     looked = picks.select("g", "iteration", "n", F.explode(terms).alias("t")).select("g", "iteration", "n", "t.r", "t.sign").where("r > 0").join(upto, ["g", "n", "r"])
-    sums = looked.groupBy("g", "iteration").agg(F.sum(F.col("sign") * F.col("s")).alias("s")).join(picks.groupBy("g", "iteration").agg(F.sum("c").alias("c"), F.sum(F.col("n") * F.col("c")).alias("chars")), ["g", "iteration"])
+    looked = looked.groupBy("g", "iteration").agg(F.sum(F.col("sign") * F.col("s")).alias("s")).join(picks.groupBy("g", "iteration").agg(F.sum("c").alias("c"), F.sum(F.col("n") * F.col("c")).alias("chars")), ["g", "iteration"])
+    if large.limit(1).count():
+        taken = taken.unionByName(looked)
+    whole = taken.groupBy("g", "iteration").agg(F.sum("s").alias("s"), F.sum("c").alias("c"), F.sum("chars").alias("chars"))
     mean = b.groupBy("g").agg(F.avg("x").alias("mx"), F.avg("n").alias("mn"))
-    d = sums.join(mean, "g").select("g", (F.col("mx") - F.col("s") / F.col("c")).alias("d"), (F.col("mn") - F.col("chars") / F.col("c")).alias("gap"))
+    d = whole.join(mean, "g").select("g", (F.col("mx") - F.col("s") / F.col("c")).alias("d"), (F.col("mn") - F.col("chars") / F.col("c")).alias("gap"))
     return d.groupBy(F.col("g").alias(group)).agg(F.avg("d").alias("difference"), F.stddev_samp("d").alias("sd"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg("gap").alias("length_gap"), F.count("*").alias("iterations"))

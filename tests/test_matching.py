@@ -146,3 +146,17 @@ def test_listed_topics_drop_what_matches_no_rule(spark):
     rules = [Rule("w", exact=("water",), context=("the",)), Rule("t", exact=("thing", "river"), context=("the",))]
     got = {(r.position, r.code, r.tier, r.url) for r in validation.listed_topics(blocks, "page", "title", "text", rules).collect()}
     assert got == {(0, "w", "exact", "/0"), (2, "t", "exact", "/2")}
+
+
+def test_scores_in_the_range_or_joined_are_the_same(spark, monkeypatch):
+    """No row for each length and iteration reaches a join where a range's scores fit; either way, the same sums."""
+    rng = np.random.default_rng(5)
+    rows = lambda first, count, top: spark.createDataFrame([(g, first + i, int(n), float(n % 7 + i % 3)) for g in "ab" for i, n in enumerate(rng.integers(1, top, count))], "g string, id long, n long, x double")
+    pool, wanted = rows(0, 300, 60), rows(10_000, 120, 70)
+    tell = lambda: sorted(map(tuple, matching.length_matched(pool, wanted, "g", "id", "n", "x", 70).collect()))
+    held = tell()
+    monkeypatch.setattr(matching, "HELD", 20)
+    some = tell()
+    monkeypatch.setattr(matching, "HELD", 0)
+    for a, b, c in zip(held, some, tell()):
+        assert a[0] == b[0] == c[0] and b[1:] == pytest.approx(a[1:]) and c[1:] == pytest.approx(a[1:]) and a[-1] == 70
